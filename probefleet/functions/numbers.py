@@ -34,9 +34,7 @@ def sample_text(x: Column) -> Column:
     # Plain below 1e-3 has no leading digits to count: such values carry an E already.
     exponent = F.coalesce(F.try_element_at(java, F.lit(2)).cast("int"), F.lit(0)) + whole
     sign = F.when(x < 0, "-").otherwise("")
-    power = F.concat(
-        F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0")
-    )
+    power = F.concat(F.when(exponent < 0, "e-").otherwise("e+"), F.format_string("%02d", F.abs(exponent)))
     tiny = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), F.abs(exponent) - 1), digits)
     return (
         F.when(F.isnan(x), "NaN")

@@ -8,37 +8,56 @@ from pyspark.sql import functions as F
 from probefleet.functions.labels import label_block
 from probefleet.functions.numbers import sample_text
 
-_NAME = r"[a-zA-Z_:][a-zA-Z0-9_:]*"
-_TEXT = r'(?:[^"\\]++|\\.)*+'
-_LABEL = rf'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"({_TEXT})"'
-_SAMPLE = rf'^\s*({_NAME})\s*(?:\{{((?:[^"}}]++|"{_TEXT}")*+)\}})?\s+(\S+)(?:\s+-?[0-9]+)?\s*$'
+_LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"((?:[^"\\]++|\\.)*+)"'
 
 
 def parse_exposition(lines: DataFrame) -> DataFrame:
-    """Samples of the lines (column ``value``): name, labels, value. Comments and broken lines give none."""
-    line = F.col("value")
+    """Samples of the lines (column ``value``): name, labels, value. Comments and broken lines give none.
+
+    A line is cut at its first ``{`` and last ``}``, as neither can stand in a name or a number. The parts
+    are put together and checked in one generated row, so that no pattern runs twice.
+    """
+    line = F.trim("value")
+    block = line.contains("{")
+    before = F.when(block, F.substring_index(line, "{", 1)).otherwise(F.substring_index(line, " ", 1))
+    after = F.when(block, F.substring_index(line, "}", -1)).otherwise(F.substr(line, F.length(before) + 1))
+    inside = F.when(
+        block,
+        F.substr(line, F.length(before) + 2, F.length(line) - F.length(before) - F.length(after) - 2),
+    ).otherwise("")
+    names = F.regexp_extract_all(F.col("_inside"), F.lit(_LABEL), F.lit(1))
+    values = F.regexp_extract_all(F.col("_inside"), F.lit(_LABEL), F.lit(2))
 
     def unescape(text):
         hidden = F.replace(text, F.lit("\\\\"), F.lit("\u0000"))
         shown = F.replace(F.replace(hidden, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"'))
-        return F.replace(shown, F.lit("\u0000"), F.lit("\\"))
+        return F.when(text.contains("\\"), F.replace(shown, F.lit("\u0000"), F.lit("\\"))).otherwise(text)
 
-    kept = [F.col(c) for c in lines.columns if c != "value"]
-    parts = lines.where(~line.startswith("#") & line.rlike(_SAMPLE)).select(
+    kept = [c for c in lines.columns if c != "value"]
+    parts = lines.where(~F.col("value").startswith("#")).select(
         *kept,
-        F.regexp_extract(line, _SAMPLE, 1).alias("name"),
-        F.regexp_extract(line, _SAMPLE, 2).alias("_labels"),
-        F.regexp_extract(line, _SAMPLE, 3).alias("_value"),
+        F.trim(before).alias("_name"),
+        F.trim(inside).alias("_inside"),
+        F.split(F.trim(F.translate(after, "\t", " ")), " +").alias("_after"),
+    )
+    found = F.struct(
+        F.col("_name").alias("name"),
+        names.alias("names"),
+        values.alias("values"),
+        F.get("_after", F.lit(0)).try_cast("double").alias("value"),
+        F.regexp_replace("_inside", rf"\G{_LABEL}\s*(?:,\s*|$)", "").alias("rest"),
+    )
+    checked = F.filter(
+        F.array(found),
+        lambda f: f["value"].isNotNull()
+        & (f["rest"] == "")
+        & f["name"].rlike("^[a-zA-Z_:][a-zA-Z0-9_:]*$")
+        & (F.size(F.array_distinct(f["names"])) == F.size(f["names"]))
+        & ((F.size("_after") == 1) | ((F.size("_after") == 2) & F.get("_after", F.lit(1)).rlike("^-?[0-9]+$"))),
+    )
+    return parts.select(*kept, F.inline(checked)).select(
+        *kept, "name", F.map_from_arrays("names", F.transform("values", unescape)).alias("labels"), "value"
     )
-    # A block that names a label twice is broken.
-    names = F.regexp_extract_all(F.col("_labels"), F.lit(_LABEL), F.lit(1))
-    values = F.regexp_extract_all(F.col("_labels"), F.lit(_LABEL), F.lit(2))
-    return parts.where(F.size(F.array_distinct(names)) == F.size(names)).select(
-        *kept,
-        "name",
-        F.map_from_arrays(names, F.transform(values, unescape)).alias("labels"),
-        F.col("_value").try_cast("double").alias("value"),
-    ).where(F.col("value").isNotNull())
 
 
 def histogram_samples(histogram: DataFrame, name: str, labels: dict[str, str]) -> DataFrame:

@@ -272,6 +272,11 @@ def partition_coverage(expected: DataFrame, consumed: DataFrame) -> DataFrame:
     )
 
 
+def unconsumed_partitions(expected: DataFrame, consumed: DataFrame) -> DataFrame:
+    """Expected partitions without any record."""
+    return expected.join(consumed.select("topic", "partition_id").distinct(), ["topic", "partition_id"], "left_anti")
+
+
 def generate_round(plan_sizes: DataFrame, width: int = 1 << 32) -> DataFrame:
     """One message for each partition 0 .. partitions - 1 at each tick of a client.
 

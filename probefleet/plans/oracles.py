@@ -486,7 +486,7 @@ def oracles() -> dict[str, str]:
         "topology_actions": _sql(
             "decided plan",
             """SELECT d.cluster_id, d.topic,
-            CASE WHEN decision = 'CREATE' OR partition_id < current_partitions THEN 1 ELSE 2 END AS step,
+            CAST(CASE WHEN decision = 'CREATE' OR partition_id < current_partitions THEN 1 ELSE 2 END AS BIGINT) AS step,
             CASE WHEN decision = 'CREATE' THEN 'create_topic' WHEN partition_id < current_partitions THEN 'reassign'
             ELSE 'create_partitions' END AS action, partition_id,
             string_agg(CAST(broker_id AS VARCHAR), ',' ORDER BY replica_idx) AS replicas
@@ -531,6 +531,11 @@ def oracles() -> dict[str, str]:
             LEFT JOIN (SELECT DISTINCT 'topic-' || l_partkey AS l, l_linenumber - 1 AS p FROM lineitem)
             ON topic = l AND partition_id = p GROUP BY topic""",
         ),
+        "partitions_unconsumed": _sql(
+            "topics",
+            """SELECT topic, unnest(range(current_partitions)) AS partition_id FROM topics
+            EXCEPT SELECT 'topic-' || l_partkey, l_linenumber - 1 FROM lineitem""",
+        ),
         "probe_round": _sql(
             "probes",
             f"""SELECT client_id, tick, partition, message_id, '{{"producerId":"' || client_id || '","messageId":'

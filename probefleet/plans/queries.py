@@ -257,6 +257,11 @@ def partition_coverage(t: Tables) -> DataFrame:
     return topology.partition_coverage(expected, fx.consumed_partitions(t.raw("lineitem")))
 
 
+def partitions_unconsumed(t: Tables) -> DataFrame:
+    expected = fx.current_replicas(t.topics).select("topic", "partition_id")
+    return topology.unconsumed_partitions(expected, fx.consumed_partitions(t.raw("lineitem")))
+
+
 def probe_round(t: Tables) -> DataFrame:
     return topology.generate_round(fx.rounds(t.probes))
 
@@ -420,6 +425,7 @@ BATCH = (
     leader_election_needed,
     reassignment_ongoing,
     partition_coverage,
+    partitions_unconsumed,
     probe_round,
     probe_reconcile,
     probe_lost,

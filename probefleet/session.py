@@ -10,9 +10,11 @@ from pyspark.sql import SparkSession
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8, name: str = "probefleet") -> SparkSession:
+def build_session(
+    master: str = "local[*]", shuffle_partitions: int = 8, name: str = "probefleet", **settings: str
+) -> SparkSession:
     """A session for tests and measurements; on a cluster the job's own settings apply."""
-    return (
+    builder = (
         SparkSession.builder.master(master)
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -20,11 +22,14 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, name: s
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-        .getOrCreate()
     )
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
