@@ -99,7 +99,8 @@ def last_before(
     part = [*keys, CHUNK]
     chunked = df.withColumn(CHUNK, chunk_start(F.col(order), width))
     earlier = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    position = F.struct(order, *ties)
+    # A plain order column keeps the aggregation hash-based.
+    position = F.struct(order, *ties) if ties else F.col(order)
     headers = (
         chunked.groupBy(*part)
         .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_end_{out}") for out, c in columns.items()])

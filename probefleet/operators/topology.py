@@ -5,7 +5,7 @@ Brokers are rows (cluster_id, broker_id, rack), topics rows (cluster_id, topic,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probefleet import constants as C
@@ -96,12 +96,17 @@ def planned_partitions(topics: DataFrame, brokers: DataFrame) -> DataFrame:
     ring = replica_ring(broker_order(brokers))
     sizes = brokers.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n"))
     wanted = F.greatest(F.col("current_partitions").cast("bigint"), F.col("_n"))
-    partitions = topics.join(sizes, "cluster_id").select(
-        *topics.columns, "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), wanted - 1)).alias("partition_id")
+    # Topics are spread before they multiply, so that a hot cluster's partitions arise in many tasks.
+    partitions = (
+        topics.join(sizes, "cluster_id")
+        .repartition("cluster_id", "topic")
+        .select(*topics.columns, "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), wanted - 1)).alias("partition_id"))
     )
+    # Every partition finds its position. The left join says that only the ring may be broadcast: sizes are
+    # estimated before rows multiply, so an inner join could take the partitions for the small side.
     return (
         partitions.withColumn("position", F.pmod("partition_id", "_n"))
-        .join(ring, ["cluster_id", "position"])
+        .join(ring, ["cluster_id", "position"], "left")
         .drop("position", "_n")
     )
 
@@ -195,21 +200,31 @@ def orphan_partitions(topics: DataFrame, sizes: DataFrame) -> DataFrame:
 def plan_quality(plan: DataFrame, brokers: DataFrame) -> DataFrame:
     """Does a topic's plan repeat a broker or a rack in a partition, and how many partitions has its busiest leader?
 
-    A rack repeats only where it is known.
+    A rack repeats only where it is known. Each replica is counted once by broker, by rack and, if it leads,
+    by leader; the counts of all three meet in one aggregation.
     """
-    racked = plan.join(brokers.select("cluster_id", "broker_id", "rack"), ["cluster_id", "broker_id"], "left")
-    by = ["cluster_id", "topic", "partition_id"]
-    rack = F.when(F.col("rack") != "", F.col("rack"))
-    partitions = racked.groupBy(*by).agg(
-        (F.count("broker_id") > F.count_distinct("broker_id")).alias("_broker"),
-        (F.count(rack) > F.count_distinct(rack)).alias("_rack"),
-        F.max(F.when(F.col("replica_idx") == 0, F.col("broker_id"))).alias("_leader"),
+    none = F.lit(None).cast("bigint")
+    broker, partition = F.col("broker_id").cast("string"), F.col("partition_id").cast("bigint")
+
+    def mark(kind: str, partition: Column, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), partition.alias("partition_id"), value.alias("value"))
+
+    marks = F.array(
+        mark("broker", partition, broker),
+        mark("rack", partition, F.nullif(F.col("rack"), F.lit(""))),
+        mark("leader", none, F.when(F.col("replica_idx") == 0, broker)),
     )
-    leaders = partitions.groupBy("cluster_id", "topic", "_leader").agg(
-        F.max("_broker").alias("_broker"), F.max("_rack").alias("_rack"), F.count("_leader").alias("_leads")
+    counts = (
+        plan.join(brokers.select("cluster_id", "broker_id", "rack"), ["cluster_id", "broker_id"], "left")
+        .select("cluster_id", "topic", F.inline(F.filter(marks, lambda m: m["value"].isNotNull())))
+        .groupBy("cluster_id", "topic", "kind", "partition_id", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    return leaders.groupBy("cluster_id", "topic").agg(
-        F.max("_broker").alias("dup_broker"), F.max("_rack").alias("dup_rack"), F.max("_leads").alias("max_leaders")
+    kind, n = F.col("kind"), F.col("n")
+    return counts.groupBy("cluster_id", "topic").agg(
+        F.max((kind == "broker") & (n > 1)).alias("dup_broker"),
+        F.max((kind == "rack") & (n > 1)).alias("dup_rack"),
+        F.max(F.when(kind == "leader", n)).alias("max_leaders"),
     )
 
 
