@@ -35,12 +35,15 @@ def running_sums(
     width: int,
     totals: Mapping[str, str] | None = None,
     firsts: Mapping[str, str] | None = None,
+    following: str | None = None,
 ) -> DataFrame:
     """Add running sums (out -> value column) by keys along ``order``, which is unique within a key.
 
-    ``totals`` and ``firsts`` (out -> column) add a key's whole sum and its least value on the way.
+    ``totals`` and ``firsts`` (out -> column) add a key's whole sum and its least value on the way, and
+    ``following`` names a column for the order value of the key's next row.
     """
     keys, totals, firsts = list(keys), dict(totals or {}), dict(firsts or {})
+    ahead = [following] if following else []
     part = [*keys, CHUNK]
     chunked = df.withColumn(CHUNK, chunk_start(F.col(order), width))
     whole = W.partitionBy(*keys)
@@ -50,16 +53,19 @@ def running_sums(
         .agg(
             *[F.sum(c).alias(f"_sum_{out}") for out, c in {**sums, **totals}.items()],
             *[F.min(c).alias(f"_min_{out}") for out, c in firsts.items()],
+            *[F.min(order).alias(f"_min_{out}") for out in ahead],
         )
         .select(
             *part,
             *[F.coalesce(F.sum(f"_sum_{out}").over(earlier), F.lit(0)).alias(f"_add_{out}") for out in sums],
             *[F.sum(f"_sum_{out}").over(whole).alias(f"_key_{out}") for out in totals],
             *[F.min(f"_min_{out}").over(whole).alias(f"_key_{out}") for out in firsts],
+            *[F.lead(f"_min_{out}").over(whole.orderBy(CHUNK)).alias(f"_key_{out}") for out in ahead],
         )
     )
     rows = chunked.select("*", *[F.col(c).alias(f"_add_{out}") for out, c in sums.items()])
-    inside = W.partitionBy(*part).orderBy(ROW, order).rowsBetween(W.unboundedPreceding, 0)
+    near = W.partitionBy(*part).orderBy(ROW, order)
+    inside = near.rowsBetween(W.unboundedPreceding, 0)
     return (
         _headed(rows, headers)
         .select(
@@ -67,6 +73,7 @@ def running_sums(
             ROW,
             *[F.sum(f"_add_{out}").over(inside).alias(out) for out in sums],
             *[F.first(f"_key_{out}").over(inside).alias(out) for out in [*totals, *firsts]],
+            *[F.coalesce(F.lead(order).over(near), F.first(f"_key_{out}").over(inside)).alias(out) for out in ahead],
         )
         .where(F.col(ROW) == 1)
         .drop(ROW)

@@ -35,39 +35,27 @@ def add_increments(increments: DataFrame) -> DataFrame:
 
 
 def accumulate(increments: DataFrame, tick_ms: int) -> DataFrame:
-    """Cumulative counters at every tick from a client's first to its last, quiet ticks included."""
+    """Cumulative counters at every tick from a client's first to its last, quiet ticks included.
+
+    The sums run over the ticks with records; each then holds until the next of them.
+    """
     width = tick_ms * _TICKS_PER_CHUNK
-    spans = increments.groupBy("client_id").agg(F.min("tick").alias("first"), F.max("tick").alias("last"))
-    # The grid is built chunk by chunk, so that a long-lived client is spread over tasks.
-    chunks = spans.select(
-        "*",
-        F.explode(
-            F.sequence(
-                chunk_start(F.col("first"), width), chunk_start(F.col("last"), width), F.lit(width).cast("bigint")
-            )
-        ).alias(CHUNK),
-    ).repartition("client_id", CHUNK)
-    grid = chunks.select(
-        "client_id",
-        F.explode(
-            F.sequence(
-                F.greatest(F.col("first"), F.col(CHUNK)),
-                F.least(F.col("last"), F.col(CHUNK) + (width - tick_ms)),
-                F.lit(tick_ms).cast("bigint"),
-            )
-        ).alias("tick"),
-    )
-    zero = F.lit(0).cast("bigint")
-    dense = add_increments(
-        increments.unionByName(grid.select("client_id", "tick", zero.alias("produced"), zero.alias("consumed")))
-    )
-    return running_sums(
-        dense.select("client_id", "tick", F.col("produced").alias("_p"), F.col("consumed").alias("_c")),
+    known = running_sums(
+        increments.select("client_id", "tick", F.col("produced").alias("_p"), F.col("consumed").alias("_c")),
         ["client_id"],
         "tick",
         {"produced": "_p", "consumed": "_c"},
         width,
-    ).select("client_id", "tick", "produced", "consumed")
+        following="_next",
+    )
+    tick, last = F.col("tick"), F.coalesce(F.col("_next") - tick_ms, F.col("tick"))
+    step, wide = F.lit(tick_ms).cast("bigint"), F.lit(width).cast("bigint")
+    # A long silence is filled piece by piece.
+    pieces = F.sequence(chunk_start(tick, width), chunk_start(last, width), wide)
+    inside = F.sequence(F.greatest(tick, F.col("_piece")), F.least(last, F.col("_piece") + width - tick_ms), step)
+    return known.select("*", F.explode(pieces).alias("_piece")).select(
+        "client_id", F.explode(inside).alias("tick"), "produced", "consumed"
+    )
 
 
 def sample_counters(produced: DataFrame, consumed: DataFrame, tick_ms: int = C.STATUS_SAMPLING_MS) -> DataFrame:

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from probefleet import constants as C
 from probefleet.functions.lookups import is_dynamic, min_in_sync, replication_factor
 from probefleet.functions.payload import encode_payload
-from probefleet.operators.chunks import rank_within, running_sums
+from probefleet.operators.chunks import chunk_start, rank_within, running_sums
 
 _IDS_PER_CHUNK = 65536
 _RANKS_PER_CHUNK = 4096
+_POSITIONS_PER_PIECE = 256
 
 
 def latest_roster(snapshots: DataFrame) -> DataFrame:
@@ -92,22 +93,30 @@ def replica_ring(ordered: DataFrame) -> DataFrame:
 
 
 def planned_partitions(topics: DataFrame, brokers: DataFrame) -> DataFrame:
-    """Every planned partition with its replicas: (cluster_id, topic, partition_id, brokers, replicas)."""
+    """Every planned partition with its replicas: (columns of topics, partition_id, brokers, replicas).
+
+    Topics meet the ring in pieces of a fixed number of positions and multiply only behind the join, so the
+    join sees the true sizes of its sides. The outer join and explode let it broadcast the ring but not the
+    topics, whose tasks do the multiplying. Position q serves the partitions q, q + n, q + 2n ...
+    """
     ring = replica_ring(broker_order(brokers))
-    sizes = brokers.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n"))
-    wanted = F.greatest(F.col("current_partitions").cast("bigint"), F.col("_n"))
-    # Topics are spread before they multiply, so that a hot cluster's partitions arise in many tasks.
-    partitions = (
-        topics.join(sizes, "cluster_id")
-        .repartition("cluster_id", "topic")
-        .select(*topics.columns, "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), wanted - 1)).alias("partition_id"))
+    pieces = ring.groupBy("cluster_id", "brokers", chunk_start(F.col("position"), _POSITIONS_PER_PIECE)).agg(
+        F.collect_list(F.struct("position", "replicas")).alias("_piece")
     )
-    # Every partition finds its position. The left join says that only the ring may be broadcast: sizes are
-    # estimated before rows multiply, so an inner join could take the partitions for the small side.
+    # A given number of partitions is not coalesced: the rows are few now, but not what becomes of them.
+    spread = int(topics.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, position = F.col("brokers"), F.col("_at.position")
+    wanted = F.greatest(F.col("current_partitions").cast("bigint"), n)
     return (
-        partitions.withColumn("position", F.pmod("partition_id", "_n"))
-        .join(ring, ["cluster_id", "position"], "left")
-        .drop("position", "_n")
+        topics.repartition(spread, "cluster_id", "topic")
+        .join(pieces.select("cluster_id", "brokers", "_piece"), "cluster_id", "left")
+        .select(*topics.columns, "brokers", F.explode_outer("_piece").alias("_at"))
+        .select(
+            *topics.columns,
+            F.explode(F.sequence(position, wanted - 1, n)).alias("partition_id"),
+            "brokers",
+            F.col("_at.replicas").alias("replicas"),
+        )
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,55 +48,55 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return fx.table(self.spark, self.sf_dir, name)
 
-    @property
+    @cached_property
     def probes(self) -> DataFrame:
         return fx.probes(self.raw("events"))
 
-    @property
+    @cached_property
     def attempts(self) -> DataFrame:
         return fx.produce_attempts(self.probes)
 
-    @property
+    @cached_property
     def records(self) -> DataFrame:
         return fx.consume_records(self.probes)
 
-    @property
+    @cached_property
     def decoded(self) -> DataFrame:
         return latency.decode_records(self.records)
 
-    @property
+    @cached_property
     def checks(self) -> DataFrame:
         return fx.connection_checks(self.probes)
 
-    @property
+    @cached_property
     def log_rows(self) -> DataFrame:
         return logs.parse_log_lines(fx.log_lines(self.probes))
 
-    @property
+    @cached_property
     def samples(self) -> DataFrame:
         return status.sample_counters(self.attempts, self.records, TICK_MS)
 
-    @property
+    @cached_property
     def metrics(self) -> DataFrame:
         return fx.metric_samples(self.probes)
 
-    @property
+    @cached_property
     def brokers(self) -> DataFrame:
         return topology.latest_roster(fx.broker_snapshots(self.raw("supplier")))
 
-    @property
+    @cached_property
     def sizes(self) -> DataFrame:
         return topology.replication_params(self.brokers).select("cluster_id", "brokers")
 
-    @property
+    @cached_property
     def topics(self) -> DataFrame:
         return fx.topics(self.raw("part"))
 
-    @property
+    @cached_property
     def decided(self) -> DataFrame:
         return topology.decide(self.topics, self.sizes)
 
-    @property
+    @cached_property
     def configs(self) -> DataFrame:
         return fx.configs(self.raw("customer"))
 

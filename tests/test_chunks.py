@@ -73,3 +73,10 @@ def test_border(skewed, back, ahead, width):
 def test_border_needs_room(skewed):
     with pytest.raises(ValueError):
         chunks.with_border(skewed, "at", 10, back=10)
+
+
+@pytest.mark.parametrize("width", [1, 90, 100000])
+def test_following(skewed, width):
+    got = chunks.running_sums(skewed, ["k"], "at", {"run": "v"}, width, following="next")
+    want = skewed.withColumn("next", F.lead("at").over(W.partitionBy("k").orderBy("at")))
+    assert as_set(got, "k", "at", "next") == as_set(want, "k", "at", "next")
