@@ -22,9 +22,14 @@ def chunk_start(order: Column, width: int) -> Column:
     return order - F.pmod(order, F.lit(width))
 
 
-def _headed(chunked: DataFrame, headers: DataFrame) -> DataFrame:
-    """Rows (``_row`` 1) and one header per chunk (``_row`` 0), which sorts before them."""
-    return chunked.withColumn(ROW, F.lit(1)).unionByName(headers.withColumn(ROW, F.lit(0)), allowMissingColumns=True)
+def _headed(chunked: DataFrame, headers: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Rows (``_row`` 1) and one header per chunk (``_row`` 0), which sorts before them.
+
+    They are partitioned by chunk explicitly. Rows that come partitioned by the key alone would satisfy the
+    window as they are and keep a hot key in one task.
+    """
+    rows, heads = chunked.withColumn(ROW, F.lit(1)), headers.withColumn(ROW, F.lit(0))
+    return rows.unionByName(heads, allowMissingColumns=True).repartition(*part)
 
 
 def running_sums(
@@ -67,7 +72,7 @@ def running_sums(
     near = W.partitionBy(*part).orderBy(ROW, order)
     inside = near.rowsBetween(W.unboundedPreceding, 0)
     return (
-        _headed(rows, headers)
+        _headed(rows, headers, part)
         .select(
             *df.columns,
             ROW,
@@ -116,7 +121,7 @@ def last_before(
     rows = chunked.select("*", *[F.col(c).alias(f"_past_{out}") for out, c in columns.items()])
     inside = W.partitionBy(*part).orderBy(ROW, order, *ties).rowsBetween(W.unboundedPreceding, -1)
     return (
-        _headed(rows, headers)
+        _headed(rows, headers, part)
         .select(*df.columns, ROW, *[F.last(f"_past_{out}", True).over(inside).alias(out) for out in columns])
         .where(F.col(ROW) == 1)
         .drop(ROW)

@@ -46,15 +46,26 @@ def replication_params(brokers: DataFrame) -> DataFrame:
     )
 
 
-def broker_order(brokers: DataFrame) -> DataFrame:
-    """Position of each broker, from 0: racks take turns in the order of their smallest id.
+def _ordered(brokers: DataFrame) -> DataFrame:
+    """Brokers with their position and the number of brokers in their cluster.
 
     With ``k`` the rank of a broker in its rack, its position is the number of brokers of lower rank
     anywhere in the cluster, plus the racks before its own that also have a k-th broker.
     """
-    aware = rack_completeness(brokers).select("cluster_id", "rack_aware")
-    grouped = brokers.join(aware, "cluster_id").select(
-        "cluster_id", "broker_id", "rack", F.when(F.col("rack_aware"), F.col("rack")).otherwise("").alias("_rack")
+    rack = F.coalesce("rack", F.lit(""))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    known = brokers.select(
+        "cluster_id", "broker_id", rack.alias("rack"), one.alias("_one"), F.when(rack != "", one).otherwise(none).alias("_known")
+    )
+    counted = running_sums(
+        known, ["cluster_id"], "broker_id", {"_rank": "_one"}, _IDS_PER_CHUNK, totals={"brokers": "_one", "_racked": "_known"}
+    )
+    grouped = counted.select(
+        "cluster_id",
+        "broker_id",
+        "rack",
+        "brokers",
+        F.when(F.col("_racked") == F.col("brokers"), F.col("rack")).otherwise("").alias("_rack"),
     )
     ranked = rank_within(
         grouped, ["cluster_id", "_rack"], "broker_id", "_k", _IDS_PER_CHUNK, firsts={"_first": "broker_id"}
@@ -65,30 +76,37 @@ def broker_order(brokers: DataFrame) -> DataFrame:
     )
     turned = rank_within(ranked, ["cluster_id", "_k"], "_first", "_turn", _IDS_PER_CHUNK)
     return turned.join(lower, ["cluster_id", "_k"]).select(
-        "cluster_id", "broker_id", "rack", (F.col("_lower") + F.col("_turn") - 1).alias("position")
+        "cluster_id", "broker_id", "rack", "brokers", (F.col("_lower") + F.col("_turn") - 1).alias("position")
     )
 
 
-def replica_ring(ordered: DataFrame) -> DataFrame:
+def broker_order(brokers: DataFrame) -> DataFrame:
+    """Position of each broker, from 0: racks take turns in the order of their smallest id.
+
+    Racks count only where every broker of the cluster has one; else brokers stand by id.
+    """
+    return _ordered(brokers).drop("brokers")
+
+
+def replica_ring(brokers: DataFrame) -> DataFrame:
     """Replicas that start at each position: the broker there and the next ones, wrapping around.
 
     Every broker names the (at most three) positions it serves, so a group never exceeds that.
     """
-    sizes = ordered.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("brokers"))
-    r = F.col("_r")
+    r, n = F.col("_r"), F.col("brokers")
     served = (
-        ordered.join(sizes, "cluster_id")
-        .select("*", F.explode(F.sequence(F.lit(0), replication_factor(F.col("brokers")).cast("int") - 1)).alias("_r"))
+        _ordered(brokers)
+        .select("*", F.explode(F.sequence(F.lit(0), replication_factor(n).cast("int") - 1)).alias("_r"))
         .select(
             "cluster_id",
             "brokers",
-            F.pmod(F.col("position") - r, F.col("brokers")).alias("position"),
+            F.pmod(F.col("position") - r, n).alias("position"),
             F.struct(r.alias("r"), F.col("broker_id").alias("broker_id")).alias("_replica"),
         )
     )
     replicas = F.array_sort(F.collect_list("_replica"))
-    return served.groupBy("cluster_id", "position").agg(
-        F.max("brokers").alias("brokers"), F.transform(replicas, lambda x: x["broker_id"]).alias("replicas")
+    return served.groupBy("cluster_id", "brokers", "position").agg(
+        F.transform(replicas, lambda x: x["broker_id"]).alias("replicas")
     )
 
 
@@ -99,7 +117,7 @@ def planned_partitions(topics: DataFrame, brokers: DataFrame) -> DataFrame:
     join sees the true sizes of its sides. The outer join and explode let it broadcast the ring but not the
     topics, whose tasks do the multiplying. Position q serves the partitions q, q + n, q + 2n ...
     """
-    ring = replica_ring(broker_order(brokers))
+    ring = replica_ring(brokers)
     pieces = ring.groupBy("cluster_id", "brokers", chunk_start(F.col("position"), _POSITIONS_PER_PIECE)).agg(
         F.collect_list(F.struct("position", "replicas")).alias("_piece")
     )
