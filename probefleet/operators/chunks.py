@@ -22,14 +22,10 @@ def chunk_start(order: Column, width: int) -> Column:
     return order - F.pmod(order, F.lit(width))
 
 
-def _headed(chunked: DataFrame, headers: DataFrame, part: Sequence[str]) -> DataFrame:
-    """Rows (``_row`` 1) and one header per chunk (``_row`` 0), which sorts before them.
-
-    They are partitioned by chunk explicitly. Rows that come partitioned by the key alone would satisfy the
-    window as they are and keep a hot key in one task.
-    """
+def _headed(chunked: DataFrame, headers: DataFrame) -> DataFrame:
+    """Rows (``_row`` 1) and one header per chunk (``_row`` 0), which sorts before them."""
     rows, heads = chunked.withColumn(ROW, F.lit(1)), headers.withColumn(ROW, F.lit(0))
-    return rows.unionByName(heads, allowMissingColumns=True).repartition(*part)
+    return rows.unionByName(heads, allowMissingColumns=True)
 
 
 def running_sums(
@@ -71,8 +67,11 @@ def running_sums(
     rows = chunked.select("*", *[F.col(c).alias(f"_add_{out}") for out, c in sums.items()])
     near = W.partitionBy(*part).orderBy(ROW, order)
     inside = near.rowsBetween(W.unboundedPreceding, 0)
+    # Partitioned by chunk explicitly: rows that come partitioned by the key alone would satisfy the window
+    # as they are and keep a hot key in one task.
     return (
-        _headed(rows, headers, part)
+        _headed(rows, headers)
+        .repartition(*part)
         .select(
             *df.columns,
             ROW,
@@ -106,10 +105,14 @@ def last_before(
     width: int,
     ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Add the last non-NULL value (out -> column) of the rows before each row of a key."""
+    """Add the last non-NULL value (out -> column) of the rows before each row of a key.
+
+    Pass no other columns than it looks at: headers and rows then share one shuffle.
+    """
     keys, ties = list(keys), list(ties)
     part = [*keys, CHUNK]
-    chunked = df.withColumn(CHUNK, chunk_start(F.col(order), width))
+    # Partitioned first, so that headers and windows read the same shuffle and the input is computed once.
+    chunked = df.withColumn(CHUNK, chunk_start(F.col(order), width)).repartition(*part)
     earlier = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     # A plain order column keeps the aggregation hash-based.
     position = F.struct(order, *ties) if ties else F.col(order)
@@ -121,7 +124,7 @@ def last_before(
     rows = chunked.select("*", *[F.col(c).alias(f"_past_{out}") for out, c in columns.items()])
     inside = W.partitionBy(*part).orderBy(ROW, order, *ties).rowsBetween(W.unboundedPreceding, -1)
     return (
-        _headed(rows, headers, part)
+        _headed(rows, headers.repartition(*part))
         .select(*df.columns, ROW, *[F.last(f"_past_{out}", True).over(inside).alias(out) for out in columns])
         .where(F.col(ROW) == 1)
         .drop(ROW)

@@ -21,18 +21,23 @@ def roster_asof(checks: DataFrame, snapshots: DataFrame, width: int = DAY_MS) ->
     """
     sizes = snapshots.groupBy("cluster_id", "snapshot_ms").agg(F.count_distinct("broker_id").alias("_size"))
     nothing = F.lit(None).cast("bigint")
+    # Snapshots are of kind 0, checks carry their expected size in the kind: 1 for any size. So a snapshot
+    # comes before a check of the same time.
     timeline = sizes.select(
-        "cluster_id", F.col("snapshot_ms").alias("at"), F.lit(0).alias("_kind"), F.col("snapshot_ms").alias("_ms"),
-        "_size", nothing.alias("expected_size"),
+        "cluster_id", F.col("snapshot_ms").alias("at"), F.lit(0).cast("bigint").alias("_kind"),
+        F.col("snapshot_ms").alias("_ms"), "_size",
     ).unionByName(
         checks.select(
-            "cluster_id", F.col("check_ms").alias("at"), F.lit(1).alias("_kind"), nothing.alias("_ms"),
-            nothing.alias("_size"), F.col("expected_size").cast("bigint").alias("expected_size"),
+            "cluster_id", F.col("check_ms").alias("at"),
+            (F.col("expected_size") - C.DYNAMIC_SIZE + 1).cast("bigint").alias("_kind"),
+            nothing.alias("_ms"), nothing.alias("_size"),
         )
     )
-    found = last_before(
-        timeline, ["cluster_id"], "at", {"_seen_ms": "_ms", "_seen_size": "_size"}, width, ties=["_kind"]
-    ).where((F.col("_kind") == 1) & F.col("_seen_ms").isNotNull())
+    found = (
+        last_before(timeline, ["cluster_id"], "at", {"_seen_ms": "_ms", "_seen_size": "_size"}, width, ties=["_kind"])
+        .where((F.col("_kind") > 0) & F.col("_seen_ms").isNotNull())
+        .withColumn("expected_size", F.col("_kind") + C.DYNAMIC_SIZE - 1)
+    )
     fits = (F.col("expected_size") != C.DYNAMIC_SIZE) & (F.col("expected_size") == F.col("_seen_size"))
     fixed = (
         found.where(fits)
