@@ -5,6 +5,14 @@ PRODUCE_BOUNDS = (2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 400.0)
 END_TO_END_BOUNDS = (5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 400.0, 800.0)
 CONNECTION_BOUNDS = (100.0, 200.0, 400.0, 800.0, 1600.0)
 
+# How often the periodic jobs of a probe run; triggers for their streaming queries.
+TRIGGERS = {
+    "reconcile": "30 seconds",
+    "connection_check": "120 seconds",
+    "status": "30 seconds",
+    "config": "30 seconds",
+}
+
 # Status window.
 STATUS_SAMPLING_MS = 30000
 STATUS_WINDOW_MS = 300000

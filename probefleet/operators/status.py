@@ -117,6 +117,13 @@ def status_window(
     )
 
 
+def newest_status(status: DataFrame) -> DataFrame:
+    """Each client's status at its last tick, as the status document reports it when asked."""
+    columns = [c for c in status.columns if c not in ("client_id", "tick")]
+    newest = status.groupBy("client_id").agg(F.max_by(F.struct("tick", *columns), "tick").alias("_newest"))
+    return newest.select("client_id", "_newest.*")
+
+
 def to_status_json(status: DataFrame) -> DataFrame:
     """The status document of each tick."""
     document = F.concat(

@@ -674,6 +674,8 @@ def oracles() -> dict[str, str]:
             GROUP BY client_id) USING (client_id)""",
         ),
     }
+    found["status_current"] = f"""SELECT client_id, max(tick) AS tick, max_by(json, tick) AS json
+        FROM ({found['status_json']}) GROUP BY client_id"""
     found["stream_records_consumed"] = found["records_consumed"]
     found["stream_latency_hist"] = _sql(
         "decoded",

@@ -199,6 +199,11 @@ def status_json(t: Tables) -> DataFrame:
     return status.to_status_json(status.status_window(t.samples, STATUS_MS, TICK_MS))
 
 
+def status_current(t: Tables) -> DataFrame:
+    """What each client's status endpoint would answer now."""
+    return status.to_status_json(status.newest_status(status.status_window(t.samples, STATUS_MS, TICK_MS)))
+
+
 def broker_order(t: Tables) -> DataFrame:
     return topology.broker_order(t.brokers)
 
@@ -384,12 +389,8 @@ def probe_overview(t: Tables) -> DataFrame:
     """Flagship: per client the end-to-end latency histogram beside its newest status."""
     rows = latency.with_e2e_latency(t.decoded)
     hist = histograms.latency_histogram(rows, "latency_ms", ["client_id"], C.END_TO_END_BOUNDS)
-    newest = (
-        status.status_window(t.samples, STATUS_MS, TICK_MS)
-        .groupBy("client_id")
-        .agg(F.max("tick").alias("tick"), F.max_by("percentage", "tick").alias("percentage"))
-    )
-    return hist.join(newest, "client_id")
+    newest = status.newest_status(status.status_window(t.samples, STATUS_MS, TICK_MS))
+    return hist.join(newest.select("client_id", "tick", "percentage"), "client_id")
 
 
 BATCH = (
@@ -413,6 +414,7 @@ BATCH = (
     status_ring,
     status_percentage,
     status_json,
+    status_current,
     broker_order,
     rack_completeness,
     replication_params,

@@ -18,7 +18,8 @@ def write_batches(
 ) -> StreamingQuery:
     """Write each micro-batch to its own folder below ``table``.
 
-    A batch that runs again after a failure replaces its folder, so that every batch counts once.
+    A batch that runs again after a failure replaces its folder, so that every batch counts once. The
+    default trigger ends with what is available; a service passes ``{"processingTime": "30 seconds"}``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -67,3 +67,8 @@ def test_status_document(rows):
         '{"Consuming":{"TimeWindow":30000,"Percentage":-1}}',
         '{"Consuming":{"TimeWindow":300000,"Percentage":66.67}}',
     ]
+
+
+def test_newest_status(rows):
+    df = rows("client_id STRING, tick BIGINT, time_window BIGINT, percentage DOUBLE", ("x", 1, 5, 1.0), ("x", 3, 7, -1.0), ("y", 2, 9, 50.0))
+    assert sorted(tuple(r) for r in status.newest_status(df).collect()) == [("x", 3, 7, -1.0), ("y", 2, 9, 50.0)]

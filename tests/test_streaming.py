@@ -9,7 +9,7 @@ from probefleet import schemas
 from probefleet.functions.payload import encode_payload
 from probefleet.operators import histograms, latency, status
 from probefleet.session import shared_folder
-from probefleet.sources import probe_topic, tables
+from probefleet.sources import probe_topic, sinks, tables
 from probefleet.streaming import batches
 from probefleet.streaming import operators as ops
 
@@ -117,6 +117,19 @@ def test_a_batch_that_runs_again_counts_once(spark, landed):
     assert batches.read_batches(spark, f"{folder}/out", schemas.CONSUME_RECORD).count() == 600
 
 
+def test_stream_on_a_timer(spark, landed):
+    folder = shared_folder(spark, "timer")
+    query = batches.write_batches(
+        records(source(spark, landed)), f"{folder}/out", f"{folder}/checkpoint", trigger={"processingTime": "1 second"}
+    )
+    try:
+        query.processAllAvailable()
+        assert batches.read_batches(spark, f"{folder}/out", schemas.CONSUME_RECORD).count() == 600
+        assert query.isActive
+    finally:
+        query.stop()
+
+
 def test_stream_of_log_lines(spark, tmp_path):
     from probefleet.operators.logs import parse_log_lines
 
@@ -148,3 +161,33 @@ def test_snapshot_tables(spark, tmp_path):
     snapshots = tables.read_topic_snapshots(spark, path)
     assert tuple(tables.topic_leaders(snapshots).first()) == ("c", "t", 0, 3)
     assert [tuple(r) for r in tables.replica_rows(snapshots).collect()] == [("c", "t", 0, 0, 3), ("c", "t", 0, 1, 4)]
+
+
+def test_broker_snapshots(spark, tmp_path):
+    path = str(tmp_path / "brokers")
+    spark.createDataFrame([("c", 1, 2, "r")], schemas.BROKER_SNAPSHOT).write.json(path)
+    assert tuple(tables.read_broker_snapshots(spark, path, "json").first()) == ("c", 1, 2, "r")
+
+
+def test_actions_and_status_tables(spark, rows, tmp_path):
+    actions = rows(
+        "cluster_id STRING, topic STRING, step INT, action STRING, partition_id BIGINT, replicas STRING",
+        ("c", "t", 1, "reassign", 0, "1,2"), ("c", "t", 2, "create_partitions", 1, "2,1"),
+    )
+    sinks.write_actions(actions, str(tmp_path / "actions"))
+    assert [r.action for r in spark.read.parquet(str(tmp_path / "actions")).where("step = 2").collect()] == ["create_partitions"]
+    for tick in (1, 2):
+        sinks.write_status(rows("client_id STRING, tick BIGINT, json STRING", ("x", tick, "{}")), str(tmp_path / "status"))
+    assert spark.read.parquet(str(tmp_path / "status")).count() == 2
+
+
+def test_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError):
+        shared_folder(Session, "x")
