@@ -29,6 +29,8 @@ LATENCY_TARGET_MS = 400
 DYNAMIC_SIZE = -1
 MAX_REPLICATION_FACTOR = 3
 UNKNOWN_TOPIC = "UNKNOWN_TOPIC_OR_PARTITION"
+MIN_ISR_KEY = "min.insync.replicas"
+CLEANUP_KEY = "cleanup.policy"
 CLEANUP_POLICY = "delete"
 
 # Error classes that mean "the connection is gone".
@@ -89,6 +91,9 @@ CONFIG_KEYS = (
     ("EXPORTER_TYPE_TRACING", "string", ""),
     ("PROMETHEUS_CONSTANT_LABELS", "map", ""),
 )
+# Fields of the dynamic configuration file, and their names when displayed.
+DYNAMIC_FIELDS = "saramaLogEnabled BOOLEAN, verbosityLogLevel BIGINT"
+DYNAMIC_DISPLAY = ("SaramaLogEnabled", "VerbosityLogLevel")
 TRUE_WORDS = ("1", "t", "T", "TRUE", "true", "True")
 SASL_MECHANISMS = ("PLAIN", "SCRAM-SHA-256", "SCRAM-SHA-512")
 TRACING_EXPORTERS = ("", "jaeger", "otlp")

@@ -98,12 +98,13 @@ def redact_config(config: DataFrame) -> DataFrame:
 
 def dynamic_config_text(log_enabled: Column, verbosity: Column) -> Column:
     """Display text of a dynamic configuration; absent fields are left out."""
+    log_name, verbosity_name = C.DYNAMIC_DISPLAY
     return F.concat(
         F.lit("{"),
         F.concat_ws(
             ", ",
-            F.concat(F.lit("SaramaLogEnabled:"), log_enabled.cast("string")),
-            F.concat(F.lit("VerbosityLogLevel:"), verbosity.cast("string")),
+            F.concat(F.lit(f"{log_name}:"), log_enabled.cast("string")),
+            F.concat(F.lit(f"{verbosity_name}:"), verbosity.cast("string")),
         ),
         F.lit("}"),
     )
@@ -137,9 +138,9 @@ def merge_topic_config(topics: DataFrame) -> DataFrame:
     """
     user = F.coalesce(pairs_map(F.col("topic_config")), F.create_map().cast("map<string,string>"))
     forced = F.create_map(
-        F.lit("min.insync.replicas"),
+        F.lit(C.MIN_ISR_KEY),
         min_in_sync(F.col("brokers")).cast("string"),
-        F.lit("cleanup.policy"),
+        F.lit(C.CLEANUP_KEY),
         F.lit(C.CLEANUP_POLICY),
     )
     free = F.map_filter(user, lambda k, _: ~F.map_contains_key(forced, k))
@@ -155,7 +156,7 @@ def config_changes(snapshots: DataFrame, width: int = 30000 * 4096, ties: Sequen
     disappears brings the defaults back once.
     """
     ties = list(ties)
-    fields = "saramaLogEnabled BOOLEAN, verbosityLogLevel BIGINT, _bad STRING"
+    fields = f"{C.DYNAMIC_FIELDS}, _bad STRING"
     parsed = F.from_json("content", fields, {"columnNameOfCorruptRecord": "_bad"})
     readable = F.col("exists") & parsed.isNotNull() & parsed["_bad"].isNull()
     polls = snapshots.select(
