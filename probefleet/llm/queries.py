@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from probefleet.llm.decontaminate import decontamination
 from probefleet.llm.language import language_id
+from probefleet.llm.main_text import main_text
 from probefleet.llm.quality_rules import quality_rules
+from probefleet.llm.url_filter import judge_urls
+from probefleet.llm.warc import archive_pages
 from probefleet.llm.workspace import ready, table
 
 
@@ -23,13 +26,35 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_language_id, op8_decontamination)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op3_language_id,
+        op5_main_text,
+        op7_url_filter,
+        op8_decontamination,
+        op10_warc,
+    )
 }
 
 ORACLES: dict[str, str] = {}
