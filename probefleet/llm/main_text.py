@@ -24,6 +24,8 @@ from probefleet.llm.workspace import settled
 LEAST_SHARE = 0.25
 #: Containers of a page that get votes.
 VOTES = 3
+#: Length of a path; elements further out do not tell containers apart.
+PATH_STEPS = 16
 
 _RAW = "script style template noscript iframe textarea title svg math object select button".split()
 _TOKEN = re.compile(
@@ -62,7 +64,9 @@ _KEPT_WITH_MARK = {"body", "html", "main", "article"}
 @dataclass
 class Node:
     tag: str
-    path: str
+    #: Tag and generalised classes.
+    step: str
+    #: The element around the node that is no inline one, -1 for the root.
     parent: int
     skipped: bool
     first: int
@@ -81,6 +85,14 @@ class Page:
     nodes: list[Node] = field(default_factory=list)
     pieces: list[str] = field(default_factory=list)
 
+    def path(self, node: Node) -> str:
+        """The generalised path of a node: its innermost PATH_STEPS elements, without inline ones."""
+        steps: list[str] = []
+        while node.parent >= 0 and len(steps) < PATH_STEPS:
+            steps.append(node.step)
+            node = self.nodes[node.parent]
+        return "".join(f"/{step}" for step in reversed(steps))
+
     def text(self, node: Node) -> str:
         return " ".join("".join(self.pieces[node.first : node.last]).split())
 
@@ -166,19 +178,16 @@ def parse(source: str) -> Page:
         if "=" in rest:
             for x in _NAMES.finditer(rest):
                 names.setdefault(x[1].lower(), x[2] or x[3] or x[4] or "")
-        parent = stack[-1]
-        skipped = nodes[parent].skipped or tag in _SKIPPED
+        inside = nodes[stack[-1]]
+        skipped = inside.skipped or tag in _SKIPPED
         if names and not skipped and tag not in _KEPT_WITH_MARK:
             skipped = _marked(names.values())
         elif names and not skipped and tag == "article":
             skipped = bool(re.search(r"(?<![a-z])(?:comments?|replies|reply)(?![a-z])", " ".join(names.values()), re.I))
-        if skipped or rest.rstrip().endswith("/") and tag in ("svg", "path"):
-            path = ""
-        else:
-            path = f"{nodes[parent].path}/{_step(tag, names)}" if block else nodes[parent].path
+        parent = inside.parent if inside.tag in _INLINE else stack[-1]
         above = nodes[parent]
         around = parent if above.tag in _CONTAINERS or above.parent < 0 else above.around
-        nodes.append(Node(tag, path, parent, skipped, len(pieces), around))
+        nodes.append(Node(tag, "" if skipped else _step(tag, names), parent, skipped, len(pieces), around))
         stack.append(len(nodes) - 1)
         opened[tag] += 1
     add_text(source[at:])
@@ -213,7 +222,8 @@ def chosen(page: Page, path: str | None) -> Node | None:
     """The best container at a path if it holds enough, else the page's best, else the body."""
     ranked = score(page)
     if ranked:
-        at_path = next((n for n in ranked if path and n.path == path), None)
+        last = path.rpartition("/")[2] if path else None
+        at_path = next((n for n in ranked if n.step == last and page.path(n) == path), None)
         return at_path if at_path and at_path.score >= LEAST_SHARE * ranked[0].score else ranked[0]
     return next((n for n in page.nodes if n.tag == "body"), page.nodes[0])
 
@@ -229,10 +239,11 @@ def page_votes(pages: DataFrame) -> DataFrame:
         for batch in T.text_slices(batches, "html"):
             hosts, paths, votes = [], [], []
             for at, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                best = [n for n in score(parse(source or ""))[:VOTES] if n.path]
+                page = parse(source or "")
+                best = [n for n in score(page)[:VOTES] if n.parent >= 0]
                 total = sum(n.score for n in best)
                 for n in best:
-                    hosts.append(at), paths.append(n.path), votes.append(round(1e6 * n.score / total))
+                    hosts.append(at), paths.append(page.path(n)), votes.append(round(1e6 * n.score / total))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes, pa.int64())],
                 ["host", "path", "vote"],

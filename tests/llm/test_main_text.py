@@ -77,4 +77,4 @@ def test_classes_are_generalised(spark):
     votes = spark.createDataFrame([("h", "/b", 5), ("h", "/a", 5), ("h", "/c", 4), ("g", "/c", 1)], "host string, path string, vote long")
     assert dict(M.winning_paths(votes).collect()) == {"h": "/a", "g": "/c"}
     page = M.parse("<div class='post-17 B a'><p>text</p></div>")
-    assert page.nodes[1].path == "/div.a.b.post-#"
+    assert page.path(page.nodes[1]) == "/div.a.b.post-#"
