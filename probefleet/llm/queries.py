@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from probefleet.llm.decontaminate import decontamination
+from probefleet.llm.jaccard_join import similarity_components
 from probefleet.llm.language import language_id
 from probefleet.llm.main_text import main_text
 from probefleet.llm.quality_rules import quality_rules
@@ -40,6 +41,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return similarity_components(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return archive_pages(table(spark, sf_dir, "pages"))
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_main_text,
         op7_url_filter,
         op8_decontamination,
+        op9_jaccard_join,
         op10_warc,
     )
 }
