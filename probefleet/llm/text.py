@@ -127,18 +127,23 @@ def words(t: Texts, is_word: np.ndarray = NOT_SPACE) -> Words:
     return Words(start, end, np.searchsorted(start, t.offsets))
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each [start, end), the same in every process."""
+def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the values in each [start, end), the same in every process and at every place."""
     if not len(start):
         return np.zeros(0, _U)
     with np.errstate(over="ignore"):
-        sums = np.empty(len(data) + 1, _U)
+        sums = np.empty(len(values) + 1, _U)
         sums[0] = 0
-        np.cumsum(_BYTE_VALUES[data] * _power_table(_BASE, len(data))[: len(data)], out=sums[1:])
-        h = (sums[end] - sums[start]) * _power_table(_INVERSE, len(data))[start]
+        np.cumsum(values * _power_table(_BASE, len(values))[: len(values)], out=sums[1:])
+        h = (sums[end] - sums[start]) * _power_table(_INVERSE, len(values))[start]
         return mix64(h + (end - start).astype(_U) * _U(_GOLDEN))
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes in each [start, end)."""
+    return range_hashes(_BYTE_VALUES[data], start, end)
+
+
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive values; shorter by n - 1."""
     size = max(0, len(hashes) - n + 1)
