@@ -10,7 +10,9 @@ from probefleet.llm.decontaminate import decontamination
 from probefleet.llm.jaccard_join import similarity_components
 from probefleet.llm.language import language_id
 from probefleet.llm.main_text import main_text
+from probefleet.llm.perplexity import quality_classifier
 from probefleet.llm.quality_rules import quality_rules
+from probefleet.llm.substrings import substring_digest
 from probefleet.llm.url_filter import judge_urls
 from probefleet.llm.warc import archive_pages
 from probefleet.llm.workspace import ready, table
@@ -27,6 +29,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return substring_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return main_text(table(spark, sf_dir, "pages"))
@@ -56,7 +68,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_rules,
         op3_language_id,
+        op4_substrings,
         op5_main_text,
+        op6_quality_classifier,
         op7_url_filter,
         op8_decontamination,
         op9_jaccard_join,
