@@ -7,9 +7,9 @@ leaves few pairs to verify exactly.
 The join runs in steps:
 
 1. Documents with equal sets are one node.
-2. Nodes that can be similar share a shingle in their prefixes (the first n - ceil(0.75 n) + 1 in a common order), so
-   linked nodes lie in one *cluster* of the graph of shared prefix shingles. Tasks reduce a shared shingle to a star
-   before the shuffle: a frequent shingle sends one entry for each task.
+2. A node's *prefix* is its first n - ceil(0.75 n) + slack(n) shingles in a common order. Prefixes of similar sets share
+   at least the slack of the smaller set, so nodes with fewer shared shingles have no partner and end here. The others
+   lie in *clusters*: components of the graph of shared prefix shingles, to which a shingle adds a star.
 3. Clusters are dealt to jobs of bounded size: small ones together, large ones as pairs of tiles of similar set sizes.
    A job holds an R-tree over its points and verifies the surviving pairs.
 4. Components of the verified links.
@@ -24,23 +24,25 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probefleet.llm import text as T
 from probefleet.llm.components import components
-from probefleet.llm.workspace import settled
+from probefleet.llm.workspace import NO_ID, keyed, packed_texts, settled, unpacked_texts
 
 SHINGLE = 5
 #: Linked: SCALE * |intersection| >= PERCENT * |union|.
 PERCENT, SCALE = 75, 100
 
 #: Coordinates of a point.
-GROUPS = 64
+GROUPS = 256
 #: Points of a leaf of the R-tree, and leaves of a node above.
 FANOUT = 64
 #: A job of small clusters, and a tile of a large one, have about this many shingles.
 JOB_SHINGLES = 2_000_000
+#: A prefix has one more shingle, and similar sets share one more in it, for each so many shingles of a set.
+SLACK_EVERY = 8
 #: Prefix entries that a task gathers before it sends them, and entries for each bucket.
 GATHERED, BUCKET_ENTRIES = 1 << 20, 1 << 18
 #: A shingle is frequent if a slice of texts has it this often; at most FREQUENT_KEPT of them change the order.
@@ -86,12 +88,6 @@ def set_node(shingles: np.ndarray) -> int:
     return int(T.mix64(np.array([total]))[0].astype(np.int64))
 
 
-def keyed(documents: DataFrame) -> DataFrame:
-    """id (doc_id, the largest long for null), key (a hash of id and text) and text."""
-    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    return documents.select(doc_id.alias("id"), F.xxhash64(doc_id, "text").alias("key"), "text")
-
-
 def profiles(documents: DataFrame) -> DataFrame:
     """doc_id, id, key, n_shingles and node (null without shingles) of every row."""
 
@@ -107,7 +103,7 @@ def profiles(documents: DataFrame) -> DataFrame:
                 ["doc_id", "id", "key", "n_shingles", "node"],
             )
 
-    own = keyed(documents).withColumn("doc_id", F.when(F.col("id") != 2**63 - 1, F.col("id")))
+    own = keyed(documents).withColumn("doc_id", F.when(F.col("id") != NO_ID, F.col("id")))
     return own.select("doc_id", "id", "key", "text").mapInArrow(
         rows, "doc_id long, id long, key long, n_shingles long, node long"
     )
@@ -140,89 +136,104 @@ def frequent_shingles(documents: DataFrame) -> np.ndarray:
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
 
-def prefix(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The shingles of a set that a similar set must share one of: first the others by hash, then the frequent ones."""
+def slack(n: int) -> int:
+    return max(1, n // SLACK_EVERY)
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a set's prefix: first the others by hash, then the frequent ones; and flags of the latter."""
     n = len(shingles)
-    size = n - -(-PERCENT * n // SCALE) + 1
+    size = min(n, n - -(-PERCENT * n // SCALE) + slack(n))
+    is_frequent = np.zeros(n, bool)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
         is_frequent = frequent[at] == shingles
-        shingles = np.concatenate([shingles[~is_frequent], shingles[is_frequent]])
-    return shingles[:size]
-
-
-def _stars(h: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(h, lowest node) of each distinct h, and edges as an array of (node, lowest node) for the other nodes of it."""
-    if not len(h):
-        return h, node, np.zeros((0, 2), np.int64)
-    order = np.lexsort((node, h))
-    h, node = h[order], node[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    low = node[new][np.cumsum(new) - 1]
-    edges = np.stack([node, low], axis=1)[node != low]
-    return h[new], node[new], np.unique(edges, axis=0)
-
+        order = np.argsort(is_frequent, kind="stable")
+        shingles, is_frequent = shingles[order], is_frequent[order]
+    return shingles[:size], is_frequent[:size]
 
-_BLOCKS = "bucket long, edge boolean, a binary, b binary"
 
+def shared_entries(documents: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+    """h, node: the prefix shingles that different nodes share, with their nodes.
 
-def candidate_edges(documents: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """a, b: a star of nodes for each prefix shingle that different sets share.
-
-    Entries travel packed, by the shingle's bucket. Edges that a task finds itself go along under buckets of their own.
+    Entries travel packed, by the bucket of their shingle, to meet others. Entries of frequent shingles need no meeting
+    to be known as shared: they go along anywhere, so that no shingle gathers more than the others in one task.
     """
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs: list[np.ndarray] = []
-        nodes: list[np.ndarray] = []
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         gathered = 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            if not hs:
+            if not parts:
                 return
-            h, node, edges = _stars(np.concatenate(hs), np.concatenate(nodes))
-            hs.clear(), nodes.clear()
-            bucket = h % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            h, node, bucket = h[order], node[order], bucket[order]
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            ends = [*cuts[1:].tolist(), len(h)]
-            out = [(int(bucket[a]), False, h[a:b].tobytes(), node[a:b].tobytes()) for a, b in zip(cuts.tolist(), ends, strict=True)]
-            for at in range(0, len(edges), BUCKET_ENTRIES):
-                part = edges[at : at + BUCKET_ENTRIES]
-                salt = int(part[0, 0]) % buckets
-                out.append((-1 - salt, True, part[:, 0].tobytes(), part[:, 1].tobytes()))
-            columns = list(zip(*out, strict=True))
-            types = (pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "edge", "a", "b"]
-            )
+            h, often, node = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            place = np.where(often, -1 - node % buckets, bucket)
+            # Within a bucket the upper half of a hash tells shingles apart.
+            name = (h >> np.uint64(32)).astype(np.uint32)
+            order = np.lexsort((node, name, place))
+            place, bucket, name, node = place[order], bucket[order], name[order], node[order]
+            new = np.concatenate([[True], (place[1:] != place[:-1]) | (name[1:] != name[:-1]) | (node[1:] != node[:-1])])
+            place, bucket, name, node = place[new], bucket[new], name[new], node[new]
+            cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])).tolist()
+            out = [
+                (place[a], (name[a:b] if place[a] >= 0 else bucket[a:b] << 32 | name[a:b]).tobytes(), node[a:b].tobytes())
+                for a, b in zip(cuts, [*cuts[1:], len(node)], strict=True)
+            ]
+            columns = zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["place", "names", "nodes"])
 
         for batch in T.text_slices(batches, "text"):
             for s in shingle_sets(batch.column("text")):
                 if len(s):
-                    p = prefix(s, frequent)
-                    hs.append(p), nodes.append(np.full(len(p), set_node(s), np.int64))
-                    gathered += len(p)
+                    h, often = prefix(s, frequent)
+                    parts.append((h, often, np.full(len(h), set_node(s), np.int64)))
+                    gathered += len(h)
             if gathered >= GATHERED:
                 yield from send()
                 gathered = 0
         yield from send()
 
     def meet(table: pa.Table) -> pa.Table:
-        hs, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        pairs = [np.zeros((0, 2), np.int64)]
-        for edge, a, b in zip(*(table.column(c).to_pylist() for c in ("edge", "a", "b")), strict=True):
-            if edge:
-                pairs.append(np.stack([np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)], axis=1))
-            else:
-                hs.append(np.frombuffer(a, np.uint64)), nodes.append(np.frombuffer(b, np.int64))
-        pairs.append(_stars(np.concatenate(hs), np.concatenate(nodes))[2])
-        edges = np.concatenate(pairs)
-        return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
-
-    packed = documents.select("text").mapInArrow(gather, _BLOCKS)
-    return packed.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+        place = table.column("place")[0].as_py()
+        kind = np.uint32 if place >= 0 else np.int64
+        name = np.concatenate([np.frombuffer(x, kind) for x in table.column("names").to_pylist()]).astype(np.int64)
+        node = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("nodes").to_pylist()])
+        if place >= 0:
+            order = np.lexsort((node, name))
+            name, node = name[order], node[order]
+            same_name = name[1:] == name[:-1]
+            new = np.concatenate([[True], ~same_name | (node[1:] != node[:-1])])
+            name, node = name[new], node[new]
+            same_name = name[1:] == name[:-1]
+            shared = np.concatenate([same_name, [False]]) | np.concatenate([[False], same_name])
+            name, node = place << 32 | name[shared], node[shared]
+        return pa.table({"h": name, "node": node})
+
+    packed = documents.select("text").mapInArrow(gather, "place long, names binary, nodes binary")
+    return packed.groupBy("place").applyInArrow(meet, "h long, node long")
+
+
+def candidate_edges(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: a star for each shared shingle, over the nodes that share enough shingles to have a partner.
+
+    Nodes that go take shared shingles with them, so the test is made again on what is left.
+    """
+    n = F.col("n_shingles")
+    smallest_partner = F.floor((n * PERCENT + SCALE - 1) / SCALE)
+    enough = F.greatest(F.lit(1), F.floor(smallest_partner / SLACK_EVERY))
+    sizes = nodes.select("node", enough.alias("enough"))
+    left = entries
+    for k in range(2):
+        # A node has at most its prefix here; a frequent shingle's rows never gather in one task.
+        counted = left.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("node")))
+        left = counted.join(sizes, "node").where("n >= enough").select("h", "node").distinct()
+        left = settled(left, f"entries-{k}")
+        stars = left.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+        left = left.join(stars, "h").select("h", "node", "low")
+    return left.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
 
 
 class CountTree:
@@ -278,8 +289,9 @@ def linked_sets(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     if len(sets) < 2:
         return
     owner = np.repeat(np.arange(len(sets)), sizes)
-    groups = (np.concatenate(sets) >> np.uint64(58)).astype(np.int64)
-    vectors = np.bincount(owner * GROUPS + groups, minlength=len(sets) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+    groups = (np.concatenate(sets) >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64)
+    vectors = np.bincount(owner * GROUPS + groups, minlength=len(sets) * GROUPS).reshape(-1, GROUPS)
+    vectors = vectors.astype(np.uint16 if vectors.max() < 1 << 16 else np.int64)
     label = np.arange(len(sets))
     for i, others in CountTree(vectors, sizes).pairs():
         others = others[label[others] != label[i]]
@@ -345,24 +357,25 @@ def similarity_components(
     """
     rows = settled(profiles(documents), "profiles")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(1, total // 4 // bucket_entries)
-    edges = candidate_edges(documents, frequent_shingles(documents), buckets)
+    buckets = max(1, total * 3 // 8 // bucket_entries)
     nodes = settled(
         rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("key").alias("key"), F.max("n_shingles").alias("n_shingles")),
         "nodes",
     )
+    entries = settled(shared_entries(documents, frequent_shingles(documents), buckets), "entries")
+    edges = candidate_edges(entries, nodes)
     clusters = settled(components(edges).join(nodes.select("node", "key", "n_shingles"), "node"), "clusters")
     jobs = _jobs(clusters, job_shingles).join(clusters.select("node", "key"), "node")
     # Equal rows of documents have equal keys; one of them is enough.
-    texts = keyed(documents).select("key", "text").join(jobs, "key").dropDuplicates(["key"])
-    texts = texts.select("node", "text", F.explode("jobs").alias("job"))
+    texts = packed_texts(keyed(documents).select("key", "text")).join(jobs, "key").dropDuplicates(["key"])
+    texts = texts.select("node", "packed", F.explode("jobs").alias("job"))
 
     def verify(table: pa.Table) -> pa.Table:
         names = table.column("node").to_numpy()
         _, firsts = np.unique(names, return_index=True)
         names = names[firsts]
         sets: list[np.ndarray] = []
-        for batch in T.text_slices(table.take(firsts).to_batches(), "text"):
+        for batch in T.text_slices(unpacked_texts(table.take(firsts).to_batches()), "text"):
             sets += shingle_sets(batch.column("text"))
         links = [(int(names[i]), int(names[j])) for i, j in linked_sets(sets)]
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
@@ -373,5 +386,5 @@ def similarity_components(
     own = own.select("node", "id", F.coalesce("root", "node").alias("root"))
     lowest = own.groupBy("root").agg(F.min("id").alias("component"))
     named = settled(own.join(lowest, "root").select("node", "component"), "components")
-    component = F.coalesce(F.when(F.col("component") != 2**63 - 1, F.col("component")), F.col("doc_id"))
+    component = F.coalesce(F.when(F.col("component") != NO_ID, F.col("component")), F.col("doc_id"))
     return rows.join(named, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))

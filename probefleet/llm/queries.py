@@ -10,6 +10,7 @@ from probefleet.llm.decontaminate import decontamination
 from probefleet.llm.jaccard_join import similarity_components
 from probefleet.llm.language import language_id
 from probefleet.llm.main_text import main_text
+from probefleet.llm.packing import pack_documents
 from probefleet.llm.perplexity import quality_classifier
 from probefleet.llm.quality_rules import quality_rules
 from probefleet.llm.substrings import substring_digest
@@ -24,6 +25,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("bad_probability")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op2_packing,
         op3_language_id,
         op4_substrings,
         op5_main_text,

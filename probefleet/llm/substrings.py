@@ -21,12 +21,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probefleet.llm import text as T
-from probefleet.llm.workspace import settled
+from probefleet.llm.workspace import NO_ID, keyed, packed_texts, settled, unpacked_texts
 
 WINDOW = 50
 #: Words of an anchor.
@@ -37,7 +36,6 @@ GROUP_SEGMENTS = 2000
 JOB_SEGMENTS = 20_000
 
 _POSITION_BITS = np.uint64(28)
-_NO_ID = 2**63 - 1
 
 
 def anchors(ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,37 +59,6 @@ def anchors(ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return grams, windows, at.astype(np.int64)
 
 
-def keyed(documents: DataFrame) -> DataFrame:
-    """id (doc_id, the largest long for null), key (a hash of id and text) and text."""
-    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    return documents.select(doc_id.alias("id"), F.xxhash64(doc_id, "text").alias("key"), "text")
-
-
-def _packed(keyed_documents: DataFrame) -> DataFrame:
-    """id, key and the compressed text, for shuffles of whole texts."""
-
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
-        for batch in T.text_slices(batches, "text"):
-            raw = [None if x is None else pack.compress(x.encode()) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("key"), pa.array(raw, pa.binary())], ["id", "key", "packed"]
-            )
-
-    return keyed_documents.mapInArrow(rows, "id long, key long, packed binary")
-
-
-def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches with text in place of packed, some rows at a time."""
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        at = batch.schema.get_field_index("packed")
-        for first in range(0, batch.num_rows, 256):
-            part = batch.slice(first, 256)
-            raw = [None if x is None else unpack.decompress(x).decode() for x in part.column(at).to_pylist()]
-            yield part.set_column(at, "text", pa.array(raw, pa.large_string()))
-
-
 def document_anchors(keyed_documents: DataFrame) -> DataFrame:
     """h, id, key: the distinct anchors of each document."""
 
@@ -118,7 +85,7 @@ def segments(keyed_documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.text_slices(_unpacked(batches), "text"):
+        for batch in T.text_slices(unpacked_texts(batches), "text"):
             t = T.texts(batch.column("text"))
             w = T.words(t)
             owner = w.owner
@@ -153,7 +120,7 @@ def segments(keyed_documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 ["h", "seg", "id", "key", "start", "windows", "words"],
             )
 
-    joined = _packed(keyed_documents).join(wanted, "key").select("id", "key", "packed", "hs")
+    joined = packed_texts(keyed_documents).join(wanted, "key").select("id", "key", "packed", "hs")
     return joined.mapInArrow(rows, "h long, seg long, id long, key long, start int, windows int, words string")
 
 
@@ -197,7 +164,7 @@ def node_ids(words: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> np.ndarray
     order, common = suffix_order(words, ends, WINDOW)
     # Neighbours with WINDOW words in common lie below the same deep node.
     node = np.concatenate([[0], np.cumsum(common < WINDOW)]) if len(order) else np.zeros(0, np.int64)
-    low = np.full(int(node[-1]) + 1 if len(node) else 0, _NO_ID)
+    low = np.full(int(node[-1]) + 1 if len(node) else 0, NO_ID)
     np.minimum.at(low, node, ids[order])
     out = np.empty(len(words), np.int64)
     out[order] = low[node]
@@ -317,7 +284,7 @@ def substring_digest(documents: DataFrame, **limits: int) -> DataFrame:
     spans = repeated_ranges(own, **limits)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.text_slices(_unpacked(batches), "text"):
+        for batch in T.text_slices(unpacked_texts(batches), "text"):
             t = T.texts(batch.column("text"))
             w = T.words(t)
             gone = _covered(batch, w)
@@ -329,11 +296,11 @@ def substring_digest(documents: DataFrame, **limits: int) -> DataFrame:
                 removed.append(int(gone[a:b].sum()))
             ids = batch.column("id").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=ids == _NO_ID), pa.array(w.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(digests)],
+                [pa.array(ids, mask=ids == NO_ID), pa.array(w.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(digests)],
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    joined = _packed(own).join(spans, "key", "left").select("id", "packed", "spans")
+    joined = packed_texts(own).join(spans, "key", "left").select("id", "packed", "spans")
     return joined.mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -362,7 +329,7 @@ def without_repeats(documents: DataFrame, **limits: int) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "text")
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "text")
     joined = documents.withColumn("_key", key).join(spans, "_key", "left").select(*names, "_spans")
     out = joined.mapInArrow(rows, documents.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out

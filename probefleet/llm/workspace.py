@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from probefleet.llm import text as T
 from probefleet.session import shared_folder
 
+#: Stands for a null doc_id, which counts as larger than all others.
+NO_ID = 2**63 - 1
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -32,3 +40,33 @@ def settled(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keyed(documents: DataFrame) -> DataFrame:
+    """id (doc_id, or NO_ID), key (a hash of id and text) and text."""
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return documents.select(doc_id.alias("id"), F.xxhash64(doc_id, "text").alias("key"), "text")
+
+
+def packed_texts(rows: DataFrame) -> DataFrame:
+    """The rows with the text compressed as `packed`, for shuffles of whole texts. Other columns are longs."""
+    names = [c for c in rows.columns if c != "text"]
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in T.text_slices(batches, "text"):
+            raw = [None if x is None else packer.compress(x.encode()) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(raw, pa.binary())], [*names, "packed"])
+
+    return rows.select(*names, "text").mapInArrow(pack, ", ".join([*(f"{c} long" for c in names), "packed binary"]))
+
+
+def unpacked_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with text in place of packed, some rows at a time."""
+    unpacker = zstandard.ZstdDecompressor()
+    for batch in batches:
+        at = batch.schema.get_field_index("packed")
+        for first in range(0, batch.num_rows, 256):
+            part = batch.slice(first, 256)
+            raw = [None if x is None else unpacker.decompress(x).decode() for x in part.column(at).to_pylist()]
+            yield part.set_column(at, "text", pa.array(raw, pa.large_string()))
