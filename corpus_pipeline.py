@@ -1,4 +1,7 @@
-"""The corpus pipeline: documents to packed training sequences."""
+"""The corpus pipeline: from documents to packed training sequences.
+
+Each stage works on all rows that the stage before it kept, written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
@@ -7,27 +10,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from probefleet.llm.decontaminate import without_leaks
+from probefleet.llm.jaccard_join import without_near_copies
+from probefleet.llm.packing import pack_documents
+from probefleet.llm.perplexity import without_low_quality
+from probefleet.llm.substrings import without_repeats
 from probefleet.llm.workspace import ready, settled, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaked benchmark passages are cut out; documents that are mostly leaked go."""
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under the trusted ones' language model is too high go."""
+    return without_low_quality(docs, table(ready(spark), sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones stays."""
+    ready(spark)
+    return without_near_copies(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that start in a document with a smaller doc_id too are cut out."""
+    ready(spark)
+    return without_repeats(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items are cut out; documents that are mostly such passages go."""
+    return without_leaks(docs, table(ready(spark), sf_dir, "benchmark"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens, packed into sequences."""
     ready(spark)
-    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return pack_documents(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("benchmark_decontamination", decontamination),
+    ("quality_classifier", quality),
+    ("ngram_jaccard_join", near_copies),
+    ("substring_dedup", repeated_passages),
+    ("benchmark_decontamination", benchmark_passages),
+    ("best_fit_packing", sequences),
 ]
 
-#: Several stages have no SQL form.
+#: Several stages have no SQL form; tests hold run() against brute-force versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(ready(spark), sf_dir, "documents")
     for name, stage in STAGES:
         docs = settled(stage(spark, docs, sf_dir), name)
     return docs

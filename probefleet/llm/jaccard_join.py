@@ -346,15 +346,8 @@ def _jobs(clusters: DataFrame, job_shingles: int) -> DataFrame:
     return small.unionAll(tiled.select("node", F.concat(same, above, below).alias("jobs")))
 
 
-def similarity_components(
-    documents: DataFrame, job_shingles: int = JOB_SHINGLES, bucket_entries: int = BUCKET_ENTRIES
-) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of documents.
-
-    component_id is the smallest doc_id that links reach. Rows without words link with nothing and keep their own
-    doc_id; so do rows with a null doc_id, unless a linked row has one. Equal rows are copies. Columns other than
-    doc_id and text are not read.
-    """
+def _components_of(documents: DataFrame, job_shingles: int, bucket_entries: int) -> tuple[DataFrame, DataFrame]:
+    """The profiles of all rows, and node, root, component (its smallest id) of all nodes."""
     rows = settled(profiles(documents), "profiles")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, total * 3 // 8 // bucket_entries)
@@ -385,6 +378,40 @@ def similarity_components(
     own = nodes.select("node", "id").join(roots, "node", "left")
     own = own.select("node", "id", F.coalesce("root", "node").alias("root"))
     lowest = own.groupBy("root").agg(F.min("id").alias("component"))
-    named = settled(own.join(lowest, "root").select("node", "component"), "components")
+    return rows, settled(own.join(lowest, "root").select("node", "root", "component"), "components")
+
+
+def similarity_components(
+    documents: DataFrame, job_shingles: int = JOB_SHINGLES, bucket_entries: int = BUCKET_ENTRIES
+) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of documents.
+
+    component_id is the smallest doc_id that links reach. Rows without words link with nothing and keep their own
+    doc_id; so do rows with a null doc_id, unless a linked row has one. Equal rows are copies. Columns other than
+    doc_id and text are not read.
+    """
+    rows, named = _components_of(documents, job_shingles, bucket_entries)
     component = F.coalesce(F.when(F.col("component") != NO_ID, F.col("component")), F.col("doc_id"))
     return rows.join(named, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def without_near_copies(
+    documents: DataFrame, job_shingles: int = JOB_SHINGLES, bucket_entries: int = BUCKET_ENTRIES
+) -> DataFrame:
+    """One row of documents for each component, that with the smallest doc_id; all rows without words stay.
+
+    Rows that stay are unchanged. Of rows with that doc_id, one stays.
+    """
+    rows, named = _components_of(documents, job_shingles, bucket_entries)
+    members = rows.join(named, "node").select("root", "id", "key")
+    first = members.groupBy("root").agg(F.min(F.struct("id", "key")).alias("first"))
+    gone = members.join(first, "root").where(F.col("key") != F.col("first.key")).select(F.col("key").alias("_key")).distinct()
+    gone = settled(gone, "near-copies")
+    repeated = rows.where("node is not null").groupBy(F.col("key").alias("_key")).count().where("count > 1").select("_key")
+    repeated = settled(repeated, "repeated-rows")
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "text")
+    kept = documents.withColumn("_key", key).join(gone, "_key", "left_anti")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+        kept = kept.join(repeated, "_key", "left_anti").unionByName(once)
+    return kept.drop("_key")

@@ -89,7 +89,12 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-_SLICE = "slice long, doc_ids array<long>, langs array<string>, docs binary, words binary, grams array<string>"
+def row_key() -> Column:
+    """A hash of all that a verdict depends on."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
+
+
+_SLICE = "slice long, keys array<long>, doc_ids array<long>, langs array<string>, docs binary, words binary, grams array<string>"
 
 
 def slices(documents: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -116,17 +121,18 @@ def slices(documents: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([task + k]),
+                    pa.array([batch.column("key").to_pylist()], pa.list_(pa.int64())),
                     pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                     pa.array([batch.column("lang").to_pylist()], pa.list_(pa.string())),
                     pa.array([_pack(sizes, steps, counts)], pa.binary()),
                     pa.array([joined if words else None], pa.binary()),
                     pa.array([word_grams(words)[0]], pa.list_(pa.string())),
                 ],
-                ["slice", "doc_ids", "langs", "docs", "words", "grams"],
+                ["slice", "keys", "doc_ids", "langs", "docs", "words", "grams"],
             )
 
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text")
+    doc_id, lang = F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("und"))
+    own = documents.select(row_key().alias("key"), doc_id.alias("doc_id"), lang.alias("lang"), "text")
     return own.mapInArrow(rows, _SLICE)
 
 
@@ -221,7 +227,7 @@ def gram_costs(grams: DataFrame, model: DataFrame, unseen: float) -> DataFrame:
 
 
 def document_costs(sliced: DataFrame, costs: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols and cost (summed) of every document of the slices."""
+    """key, doc_id, lang, n_symbols and cost (summed) of every document of the slices."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,8 +250,8 @@ def document_costs(sliced: DataFrame, costs: DataFrame) -> DataFrame:
                 n_symbols = np.bincount(doc, counts * np.diff(first)[word], len(sizes)).astype(np.int64)
                 total = np.bincount(doc, counts * word_cost[word], len(sizes)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
-                    [row["doc_ids"].values, row["langs"].values, pa.array(n_symbols), pa.array(total)],
-                    ["doc_id", "lang", "n_symbols", "cost"],
+                    [*(row[c].values for c in ("keys", "doc_ids", "langs")), pa.array(n_symbols), pa.array(total)],
+                    ["key", "doc_id", "lang", "n_symbols", "cost"],
                 )
 
     answers = (
@@ -254,8 +260,8 @@ def document_costs(sliced: DataFrame, costs: DataFrame) -> DataFrame:
         .groupBy("slice")
         .agg(F.collect_list(F.struct("gram", "cost")).alias("costs"))  # the distinct grams of a slice
     )
-    found = sliced.select("slice", "doc_ids", "langs", "docs", "words").join(answers, "slice", "left").drop("slice")
-    return found.mapInArrow(rows, "doc_id long, lang string, n_symbols long, cost double")
+    found = sliced.drop("grams").join(answers, "slice", "left").drop("slice")
+    return found.mapInArrow(rows, "key long, doc_id long, lang string, n_symbols long, cost double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -273,7 +279,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def quality_classifier(
     documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
-    """doc_id, lang (`und` for null), n_symbols, perplexity, threshold and kept of every row of documents.
+    """doc_id, lang (`und` for null), n_symbols, perplexity, threshold, kept and key of every row of documents.
 
     perplexity is that of a symbol (null without words); kept is false where it, mixed with PRIOR_SYMBOLS of the
     trusted mean of its language, exceeds the threshold. Texts without words are kept: nothing speaks against them here.
@@ -285,10 +291,11 @@ def quality_classifier(
     counts = settled(trusted_counts(sliced, trusted), "gram-counts")
     plain = "doc_id", "lang", "n_symbols"
     if counts.isEmpty():
-        every = sliced.select(F.explode(F.arrays_zip("doc_ids", "langs")).alias("d"))
+        every = sliced.select(F.explode(F.arrays_zip("keys", "doc_ids", "langs")).alias("d"))
         return every.select(
             F.col("d.doc_ids").alias("doc_id"), F.col("d.langs").alias("lang"), F.lit(None).cast("long").alias("n_symbols"),
             F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"),
+            F.col("d.keys").alias("key"),
         )
     model = settled(kneser_ney(counts), "model")
     unseen = model.where("key = 'u'").first()["value"]
@@ -317,4 +324,12 @@ def quality_classifier(
         F.when(has_words, F.exp(F.col("cost") / F.col("n_symbols"))).alias("perplexity"),
         F.exp("limit").alias("threshold"),
         F.coalesce(~has_words | (F.col("level") <= F.col("limit")), F.lit(True)).alias("kept"),
+        "key",
     )
+
+
+def without_low_quality(documents: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
+    """The rows of documents that the classifier keeps, unchanged."""
+    judged = quality_classifier(documents, labels, **options)
+    rejected = settled(judged.where("not kept").select(F.col("key").alias("_key")).distinct(), "rejected")
+    return documents.withColumn("_key", row_key()).join(rejected, "_key", "left_anti").drop("_key")
