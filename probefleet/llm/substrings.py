@@ -9,7 +9,8 @@ the deep internal nodes (WINDOW words or more) of the suffix tree of all documen
 2. Only anchors that occur in two documents can lead to a repeat. The others end here.
 3. Equal segments become one, with their smallest doc_id, before they meet. Groups of bounded size are dealt to tasks;
    each builds the suffixes' order and their common prefixes and reads off the deep nodes. Groups above the bound are
-   split by the longest useful prefix: all WINDOW words of a suffix, of which only the smallest doc_id matters.
+   split by longer prefixes: first by SIDE more words before or after the anchor, as a window holds so many on one of
+   its sides; what is still too large by all WINDOW words of a suffix, of which only the smallest doc_id matters.
 4. Each document gets the word ranges whose node has a smaller doc_id.
 """
 
@@ -30,6 +31,9 @@ from probefleet.llm.workspace import NO_ID, keyed, packed_texts, settled, unpack
 WINDOW = 50
 #: Words of an anchor.
 ANCHOR = 8
+#: Words beside an anchor that split a large group. A window has WINDOW - ANCHOR words beside its anchor, at least SIDE
+#: of them before it or at least SIDE after it.
+SIDE = (WINDOW - ANCHOR) // 2
 #: Segments of one anchor that a task takes; anchors of more are split by their suffixes' whole prefixes.
 GROUP_SEGMENTS = 2000
 #: Segments that are dealt to a task together.
@@ -78,10 +82,10 @@ def document_anchors(keyed_documents: DataFrame) -> DataFrame:
 
 
 def segments(keyed_documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, seg, id, key, start, windows, words: runs of neighbouring windows with the same wanted anchor.
+    """h, seg, id, key, start, windows, anchor, words: runs of neighbouring windows with the same wanted anchor.
 
-    wanted has the distinct anchors (hs) of each key. seg is a hash of the words, which are those of all windows of the
-    run in the document's own spacing.
+    wanted has the distinct anchors (hs) of each key. seg is a hash of the words and the anchor's place among them; the
+    words are those of all windows of the run in the document's own spacing.
     """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,17 +115,18 @@ def segments(keyed_documents: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(grams[at[first]].view(np.int64)),
-                    pa.array(T.range_hashes(ids, begin, end).view(np.int64)),
+                    pa.array((T.range_hashes(ids, begin, end) + at[first].astype(np.uint64) - begin.astype(np.uint64)).view(np.int64)),
                     *(batch.column(c).take(pa.array(doc)) for c in ("id", "key")),
                     pa.array((begin - w.first[doc]).astype(np.int32)),
                     pa.array((last - first + 1).astype(np.int32)),
+                    pa.array((at[first] - begin).astype(np.int32)),
                     pa.array([raw[a:b] for a, b in zip(lo, hi, strict=True)], pa.binary()).cast(pa.string()),
                 ],
-                ["h", "seg", "id", "key", "start", "windows", "words"],
+                ["h", "seg", "id", "key", "start", "windows", "anchor", "words"],
             )
 
     joined = packed_texts(keyed_documents).join(wanted, "key").select("id", "key", "packed", "hs")
-    return joined.mapInArrow(rows, "h long, seg long, id long, key long, start int, windows int, words string")
+    return joined.mapInArrow(rows, "h long, seg long, id long, key long, start int, windows int, anchor int, words string")
 
 
 def suffix_order(words: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,11 +176,11 @@ def node_ids(words: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> np.ndarray
     return out
 
 
-def _runs(low: np.ndarray) -> list[dict[str, int]]:
-    """[start, stop) of equal neighbours."""
+def _runs(low: np.ndarray, first: int) -> list[dict[str, int]]:
+    """[start, stop) of equal neighbours, numbered from first."""
     cuts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     ends = [*cuts[1:].tolist(), len(low)]
-    return [{"start": a, "stop": b, "low": int(low[a])} for a, b in zip(cuts.tolist(), ends, strict=True)]
+    return [{"start": first + a, "stop": first + b, "low": int(low[a])} for a, b in zip(cuts.tolist(), ends, strict=True)]
 
 
 _LOWS = "h long, seg long, lows array<struct<start: int, stop: int, low: long>>"
@@ -183,7 +188,10 @@ _LOWS_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("
 
 
 def subtree_lows(table: pa.Table) -> pa.Table:
-    """The smallest doc_id of each window of some groups' distinct segments (h, seg, low, windows, words)."""
+    """The smallest doc_id of each window of some groups' distinct segments (h, seg, low, first, windows, words).
+
+    first is added to the windows' numbers.
+    """
     found: list[list[dict[str, int]]] = []
     column = table.column("words").combine_chunks()
     t = T.texts(column)
@@ -192,8 +200,8 @@ def subtree_lows(table: pa.Table) -> pa.Table:
     numbers = strings.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
     counts = w.counts
     lows = node_ids(numbers, np.repeat(w.first[1:], counts), np.repeat(table.column("low").to_numpy(), counts))
-    for i, n in enumerate(table.column("windows").to_pylist()):
-        found.append(_runs(lows[w.first[i] : w.first[i] + n]))
+    for i, (first, n) in enumerate(zip(table.column("first").to_pylist(), table.column("windows").to_pylist(), strict=True)):
+        found.append(_runs(lows[w.first[i] : w.first[i] + n], first))
     return pa.table({"h": table.column("h"), "seg": table.column("seg"), "lows": pa.array(found, _LOWS_TYPE)})
 
 
@@ -209,13 +217,14 @@ def _whole_prefixes(distinct: DataFrame) -> DataFrame:
             seg = np.repeat(np.arange(len(n)), n)
             offset = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
             start = w.first[seg] + offset
+            offset += batch.column("first").to_numpy().astype(np.int64)[seg]
             a, b = (T.range_hashes(x, start, start + WINDOW).view(np.int64) for x in (ids, T.mix64(ids + np.uint64(1))))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c).take(pa.array(seg)) for c in ("h", "seg", "low")), pa.array(offset), pa.array(a), pa.array(b)],
                 ["h", "seg", "low", "offset", "a", "b"],
             )
 
-    windows = distinct.select("h", "seg", "low", "windows", "words").mapInArrow(
+    windows = distinct.select("h", "seg", "low", "first", "windows", "words").mapInArrow(
         rows, "h long, seg long, low long, offset long, a long, b long"
     )
     lowest = windows.groupBy("a", "b").agg(F.min("low").alias("lowest"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -223,12 +232,79 @@ def _whole_prefixes(distinct: DataFrame) -> DataFrame:
     one = F.struct(own.alias("start"), (own + 1).alias("stop"), F.col("lowest").alias("low"))
     # Only windows that several segments share can have a smaller doc_id than the segment's own.
     shared = windows.join(lowest, ["a", "b"]).groupBy("h", "seg").agg(F.collect_list(one).alias("shared"))
-    n = F.col("windows").cast("int")
-    alone = F.array(F.struct(F.lit(0).alias("start"), n.alias("stop"), F.col("low").alias("low")))
+    return _own_lows(distinct).unionAll(shared.select("h", "seg", F.col("shared").alias("lows")))
+
+
+def _own_lows(parts: DataFrame) -> DataFrame:
+    """lows of segments whose windows no other segment has."""
+    n = (F.col("first") + F.col("windows")).cast("int")
+    own = F.struct(F.col("first").cast("int").alias("start"), n.alias("stop"), F.col("low").alias("low"))
+    return parts.select("h", "seg", F.array(own).alias("lows"))
+
+
+def _sides(distinct: DataFrame) -> DataFrame:
+    """Distinct segments cut in two: windows with at least SIDE words after the anchor, and the others, which have more
+    before it. group is a hash of the anchor and the SIDE words after or before it."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.text_slices(batches, "words"):
+            t = T.texts(batch.column("words"))
+            w = T.words(t)
+            ids, raw = T.word_hashes(t.data, w.start, w.end), t.data.tobytes()
+            out: list[tuple] = []
+            for i, (n, anchor) in enumerate(zip(batch.column("windows").to_pylist(), batch.column("anchor").to_pylist(), strict=True)):
+                # Windows from cut on start at most WINDOW - ANCHOR - SIDE words before the anchor.
+                cut = min(max(anchor - (WINDOW - ANCHOR - SIDE), 0), n)
+                for after, lo, hi in ((True, cut, n), (False, 0, cut)):
+                    if lo < hi:
+                        a = int(w.first[i])
+                        begin = a + anchor - (0 if after else SIDE)
+                        words = raw[w.start[a + lo] : w.end[a + hi - 1 + WINDOW - 1]]
+                        out.append((i, lo, hi - lo, words, begin, after))
+            rows_, first, windows, words, begin, after = zip(*out, strict=True) if out else [[]] * 6
+            begin = np.array(begin, np.int64)
+            group = T.range_hashes(ids, begin, begin + ANCHOR + SIDE) ^ np.array(after, np.uint64)
+            at = pa.array(np.array(rows_, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c).take(at) for c in ("h", "seg", "low")),
+                    pa.array(first, pa.int32()),
+                    pa.array(windows, pa.int32()),
+                    pa.array(words, pa.binary()).cast(pa.string()),
+                    pa.array(group.view(np.int64)),
+                ],
+                ["h", "seg", "low", "first", "windows", "words", "group"],
+            )
+
+    columns = distinct.select("h", "seg", "low", "windows", "anchor", "words")
+    return columns.mapInArrow(rows, "h long, seg long, low long, first int, windows int, words string, group long")
+
+
+def window_lows(distinct: DataFrame, group_segments: int, job_segments: int) -> DataFrame:
+    """h, seg, lows: for each window of each distinct segment, runs with the smallest doc_id that has the window.
+
+    A segment may have several rows.
+    """
+
+    def in_jobs(parts: DataFrame, group: str) -> DataFrame:
+        jobs = max(1, -(-parts.count() // job_segments))
+        dealt = parts.select("h", "seg", "low", "first", "windows", "words", F.pmod(F.xxhash64(group), F.lit(jobs)).alias("job"))
+        return dealt.groupBy("job").applyInArrow(subtree_lows, _LOWS)
+
+    def larger(parts: DataFrame, group: str, than: int, purpose: str) -> DataFrame:
+        counts = parts.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > than)
+        return settled(counts.select(group), purpose)
+
+    whole = distinct.withColumn("first", F.lit(0))
+    large = larger(whole, "h", group_segments, "large-anchors")
+    lows = in_jobs(whole.join(large, "h", "left_anti"), "h")
+    sides = settled(_sides(whole.join(large, "h", "left_semi")), "sides")
+    several, most = larger(sides, "group", 1, "shared-sides"), larger(sides, "group", group_segments, "large-sides")
+    met = sides.join(several, "group", "left_semi")
     return (
-        distinct.select("h", "seg", "low", "windows")
-        .join(shared, ["h", "seg"], "left")
-        .select("h", "seg", F.concat(alone, F.coalesce("shared", F.array().cast(_LOWS.split("lows ")[1]))).alias("lows"))
+        lows.unionAll(_own_lows(sides.join(several, "group", "left_anti")))
+        .unionAll(in_jobs(met.join(most, "group", "left_anti"), "group"))
+        .unionAll(_whole_prefixes(sides.join(most, "group", "left_semi")))
     )
 
 
@@ -238,20 +314,18 @@ def repeated_ranges(
     """key, spans: word ranges [start, stop) of a document covered by windows that a smaller id has too."""
     found = settled(document_anchors(keyed_documents), "anchors")
     shared = found.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h")
+    # Written, so that the join is between plain shuffles, where Spark can split a frequent anchor.
+    shared = settled(shared, "shared-anchors")
     # An anchor is at least a word of its document, so the lists are bounded by the documents.
     wanted = found.join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("hs"))
     runs = settled(segments(keyed_documents, wanted), "segments")
     distinct = runs.groupBy("h", "seg").agg(
-        F.min("id").alias("low"), F.first("windows").alias("windows"), F.first("words").alias("words")
-    )
-    distinct = settled(distinct, "distinct-segments")
-    sizes = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > group_segments).select("h")
-    jobs = max(1, -(-(distinct.count()) // job_segments))
-    small = distinct.join(large, "h", "left_anti").withColumn("job", F.pmod(F.xxhash64("h"), F.lit(jobs)))
-    lows = small.groupBy("job").applyInArrow(subtree_lows, _LOWS).unionAll(
-        _whole_prefixes(distinct.join(large, "h", "left_semi"))
+        F.min("id").alias("low"),
+        F.first("windows").alias("windows"),
+        F.first("anchor").alias("anchor"),
+        F.first("words").alias("words"),
     )
+    lows = window_lows(settled(distinct, "distinct-segments"), group_segments, job_segments)
     hits = (
         runs.select("h", "seg", "id", "key", "start")
         .join(lows, ["h", "seg"])
