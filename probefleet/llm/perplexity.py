@@ -1,9 +1,10 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 The model predicts the characters of a word, and its end, from up to ORDER - 1 characters before; it is trained on all
-trusted documents. Counts of n-grams are a distributed table, keyed by the n-gram. Documents are taken in slices of
-bounded size: a slice asks for its distinct n-grams once, joins them with the counts, and scores its documents with what
-comes back. So a frequent n-gram costs a row for each slice, not one for each occurrence.
+trusted documents. Counts of n-grams are a distributed table, keyed by the n-gram, and so are the costs that follow from
+them. Documents are taken in slices of bounded size: a slice asks each shard of the costs for its distinct n-grams at
+once and scores its documents with what comes back. So a frequent n-gram costs an entry for each slice, not one for each
+occurrence.
 
 Quantiles of the trusted documents' perplexities, for each language, give the thresholds.
 """
@@ -15,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -25,7 +27,9 @@ from probefleet.llm.workspace import settled
 
 ORDER = 5
 #: Text bytes of a slice.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
+#: Slices whose n-grams a shard answers on average.
+SHARD_SLICES = 16
 #: Longer words are cut into pieces of about so many bytes, each predicted by itself.
 WORD_BYTES = 64
 #: A document goes if its perplexity is above MARGIN times this quantile of the trusted documents of its language.
@@ -75,8 +79,9 @@ def _gram_keys(grams: list[str]) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
+    """32-bit numbers, compressed byte by byte: upper bytes are mostly equal."""
     pack = zstandard.ZstdCompressor(level=3)
-    parts = [pack.compress(a.astype(np.int32).tobytes()) for a in arrays]
+    parts = [pack.compress(np.ascontiguousarray(a.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()) for a in arrays]
     return b"".join(x for p in parts for x in (len(p).to_bytes(8, "little"), p))
 
 
@@ -84,7 +89,8 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     out, at, unpack = [], 0, zstandard.ZstdDecompressor()
     while at < len(blob):
         size = int.from_bytes(blob[at : at + 8], "little")
-        out.append(np.frombuffer(unpack.decompress(blob[at + 8 : at + 8 + size]), np.int32).astype(np.int64))
+        planes = np.frombuffer(unpack.decompress(blob[at + 8 : at + 8 + size]), np.uint8).reshape(4, -1)
+        out.append(np.ascontiguousarray(planes.T).view(np.int32).ravel().astype(np.int64))
         at += 8 + size
     return out
 
@@ -94,12 +100,12 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
 
 
-_SLICE = "slice long, keys array<long>, doc_ids array<long>, langs array<string>, docs binary, words binary, grams array<string>"
+_SLICE = "slice long, keys array<long>, doc_ids array<long>, langs array<string>, docs binary, words binary"
 
 
 def slices(documents: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """A row for each slice of documents: their ids and languages, the distinct words of the slice with their distinct
-    grams, and packed: for each document its distinct words and their counts."""
+    """A row for each slice of documents: their keys, ids and languages, and packed: the distinct words of the slice, and
+    for each document its distinct words and their counts."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
@@ -111,8 +117,12 @@ def slices(documents: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
             strings = pa.LargeBinaryArray.from_buffers(
                 pa.large_binary(), len(w), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(inside)]
             ).dictionary_encode()
-            words = [x.decode() for x in strings.dictionary.to_pylist()]
-            ids = strings.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            # Sorted words compress well.
+            order = pc.sort_indices(strings.dictionary)
+            words = [x.decode() for x in strings.dictionary.take(order).to_pylist()]
+            rank = np.empty(len(words), np.int64)
+            rank[order.to_numpy()] = np.arange(len(words))
+            ids = rank[strings.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
             pairs, counts = np.unique(w.owner * max(1, len(words)) + ids, return_counts=True)
             doc, word = pairs // max(1, len(words)), pairs % max(1, len(words))
             sizes = np.bincount(doc, minlength=len(t))
@@ -126,9 +136,8 @@ def slices(documents: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
                     pa.array([batch.column("lang").to_pylist()], pa.list_(pa.string())),
                     pa.array([_pack(sizes, steps, counts)], pa.binary()),
                     pa.array([joined if words else None], pa.binary()),
-                    pa.array([word_grams(words)[0]], pa.list_(pa.string())),
                 ],
-                ["slice", "keys", "doc_ids", "langs", "docs", "words", "grams"],
+                ["slice", "keys", "doc_ids", "langs", "docs", "words"],
             )
 
     doc_id, lang = F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("und"))
@@ -177,57 +186,127 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for d, (k, _, _) in zip(raw, pairs, strict=True))
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """key, value: the model as a table. `a` + n-gram has its discounted share of its context; `g` + context has the
-    weight that the context leaves to shorter ones; `u` has the probability of a symbol never seen.
+def asked_grams(sliced: DataFrame) -> DataFrame:
+    """gram: the distinct ORDER-grams of all slices."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column("words").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(word_grams(_words_of(packed))[0], pa.string())], ["gram"])
+
+    return sliced.select("words").mapInArrow(rows, "gram string").distinct()
+
+
+def kneser_ney(counts: DataFrame) -> tuple[dict[int, tuple[DataFrame, DataFrame]], float]:
+    """The model: for each order the n-grams' discounted shares of their contexts (gram, share) and the weight that each
+    context leaves to shorter ones (context, weight); and the probability of a symbol before anything is known.
 
     Below the highest order an n-gram counts once for each symbol seen before it.
     """
     orders = {ORDER: counts.select("gram", "n")}
     for order in range(ORDER - 1, 0, -1):
-        longer = orders[order + 1]
-        orders[order] = longer.groupBy(F.substring("gram", 2, order).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        shorter = orders[order + 1].groupBy(F.substring("gram", 2, order).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        orders[order] = settled(shorter, f"grams-{order}")
     tallies = [
-        t.agg(F.lit(order).alias("order"), F.count(F.lit(1)).alias("types"), *(F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)))
+        t.agg(F.lit(order).alias("order"), F.count(F.lit(1)).alias("types"), *(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)))
         for order, t in orders.items()
     ]
     every = tallies[0]
     for t in tallies[1:]:
         every = every.unionAll(t)
     tally = {r["order"]: r for r in every.collect()}
-    unseen = 1 / (tally[1]["types"] + 1)
-    out = counts.sparkSession.range(1).select(F.lit("u").alias("key"), F.lit(unseen).alias("value"))
+    model = {}
     for order, table in orders.items():
-        d1, d2, d3 = discounts(*(tally[order][f"n{k}"] or 0 for k in (1, 2, 3, 4)))
+        d1, d2, d3 = discounts(*(tally[order][f"n{k}"] for k in (1, 2, 3, 4)))
         n = F.col("n")
         taken = F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)
-        context = F.substring("gram", 1, order - 1)
-        contexts = table.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum(taken).alias("left"))
-        shares = table.withColumn("context", context).join(contexts, "context")
-        out = out.unionAll(shares.select(F.concat(F.lit("a"), "gram").alias("key"), ((n - taken) / F.col("total")).alias("value")))
-        out = out.unionAll(contexts.select(F.concat(F.lit("g"), "context").alias("key"), (F.col("left") / F.col("total")).alias("value")))
-    return out
+        context = F.substring("gram", 1, order - 1).alias("context")
+        contexts = table.groupBy(context).agg(F.sum("n").alias("total"), F.sum(taken).alias("left"))
+        shares = table.select("gram", "n", context).join(contexts, "context")
+        model[order] = (
+            shares.select("gram", ((n - taken) / F.col("total")).alias("share")),
+            contexts.select("context", (F.col("left") / F.col("total")).alias("weight")),
+        )
+    return model, 1 / (tally[1]["types"] + 1)
 
 
-def gram_costs(grams: DataFrame, model: DataFrame, unseen: float) -> DataFrame:
-    """gram, cost: minus the logarithm of the interpolated probability of each distinct gram's last symbol."""
-    keys = []
-    for order in range(1, ORDER + 1):
-        gram = F.substring("gram", ORDER - order + 1, order)
-        keys += [F.concat(F.lit("a"), gram), F.concat(F.lit("g"), F.substring(gram, 1, order - 1))]
-    # Ten look-ups for each gram; only values that the model has come back.
-    asked = grams.select("gram", F.posexplode(F.array(*keys)).alias("slot", "key"))
-    value = lambda slot: F.max(F.when(F.col("slot") == slot, F.col("value")))
-    found = asked.join(model, "key").groupBy("gram").agg(*(value(s).alias(f"v{s}") for s in range(2 * ORDER)))
-    p: Column = F.lit(unseen)
+def gram_costs(grams: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], unseen: float) -> DataFrame:
+    """gram, cost: minus the logarithm of the interpolated probability of each distinct gram's last symbol.
+
+    The orders are worked up from the lowest; each joins the grams' distinct endings with their counts.
+    """
+    endings = {ORDER: grams}
+    for order in range(ORDER - 1, 0, -1):
+        endings[order] = endings[order + 1].select(F.substring("gram", 2, order).alias("gram")).distinct()
+    p = None
     for order in range(1, ORDER + 1):
-        share, weight = F.col(f"v{2 * order - 2}"), F.col(f"v{2 * order - 1}")
-        p = F.coalesce(share, F.lit(0.0)) + F.coalesce(weight, F.lit(1.0)) * p
-    return found.select("gram", (-F.log(p)).alias("cost"))
+        shares, weights = model[order]
+        known = endings[order].join(shares, "gram", "left").withColumn("context", F.substring("gram", 1, order - 1))
+        known = known.join(weights, "context", "left")
+        shorter = F.lit(unseen)
+        if p is not None:
+            known = known.withColumn("ending", F.substring("gram", 2, order - 1)).join(p, "ending")
+            shorter = F.col("p")
+        value = F.coalesce("share", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * shorter
+        p = settled(known.select(F.col("gram").alias("ending"), value.alias("p")), f"chances-{order}")
+    return p.select(F.col("ending").alias("gram"), (-F.log("p")).alias("cost"))
+
+
+def slice_costs(sliced: DataFrame, costs: DataFrame, shards: int) -> DataFrame:
+    """slice, costs: for each slice the costs of its distinct grams, as (shard, 32-bit floats in the order of the grams'
+    hashes) for each shard.
+
+    Requests and costs meet by shard, packed. A shard has its part of the distinct grams, and of each slice's requests.
+    """
+
+    def cut(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        shard = (keys % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            yield k, order[bounds[k] : bounds[k + 1]]
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, packed in zip(batch.column("slice").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                keys = np.sort(_gram_keys(word_grams(_words_of(packed))[0]))
+                parts = [(k, name, keys[at].tobytes()) for k, at in cut(keys)]
+                columns = zip(*parts, strict=True) if parts else [[]] * 3
+                types = (pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "slice", "keys"])
+
+    def offer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _gram_keys(batch.column("gram").to_pylist())
+            values = batch.column("cost").to_numpy().astype(np.float32)
+            parts = [(k, keys[at].tobytes(), values[at].tobytes()) for k, at in cut(keys)]
+            columns = zip(*parts, strict=True) if parts else [[]] * 3
+            types = (pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "keys", "costs"])
+
+    def answer(asked: pa.Table, offered: pa.Table) -> pa.Table:
+        joined = lambda name, kind: np.frombuffer(b"".join(offered.column(name).to_pylist()), kind)
+        keys, values = joined("keys", np.uint64), joined("costs", np.float32)
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        found = [
+            {"shard": shard, "costs": values[np.searchsorted(keys, np.frombuffer(raw, np.uint64))].tobytes()}
+            for shard, raw in zip(asked.column("shard").to_pylist(), asked.column("keys").to_pylist(), strict=True)
+        ]
+        kind = pa.struct([("shard", pa.int64()), ("costs", pa.binary())])
+        return pa.table({"slice": asked.column("slice"), "answer": pa.array(found, kind)})
+
+    requests = sliced.select("slice", "words").mapInArrow(ask, "shard long, slice long, keys binary")
+    offers = costs.select("gram", "cost").mapInArrow(offer, "shard long, keys binary, costs binary")
+    answers = requests.groupBy("shard").cogroup(offers.groupBy("shard")).applyInArrow(
+        answer, "slice long, answer struct<shard: long, costs: binary>"
+    )
+    return answers.groupBy("slice").agg(F.collect_list("answer").alias("costs"))  # the distinct grams of a slice
 
 
 def document_costs(sliced: DataFrame, costs: DataFrame) -> DataFrame:
     """key, doc_id, lang, n_symbols and cost (summed) of every document of the slices."""
+    shards = max(1, sliced.count() // SHARD_SLICES)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,13 +316,11 @@ def document_costs(sliced: DataFrame, costs: DataFrame) -> DataFrame:
                 words = _words_of(row["words"].as_py())
                 grams, gram, first = word_grams(words)
                 own = _gram_keys(grams)
-                asked = row["costs"].values if row["costs"].is_valid else None
+                ranked = np.argsort(own)
+                shard = (own[ranked] % np.uint64(shards)).astype(np.int64)
                 cost = np.zeros(len(own))
-                if asked is not None and len(asked):
-                    keys = _gram_keys(asked.field("gram").to_pylist())
-                    order = np.argsort(keys)
-                    at = np.minimum(np.searchsorted(keys[order], own), len(keys) - 1)
-                    cost = asked.field("cost").to_numpy()[order][at]
+                for part in row["costs"].as_py() or ():
+                    cost[ranked[shard == part["shard"]]] = np.frombuffer(part["costs"], np.float32)
                 word_cost = np.add.reduceat(np.append(cost[gram], 0), first[:-1]) if len(words) else np.zeros(0)
                 word = np.cumsum(steps)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -254,13 +331,7 @@ def document_costs(sliced: DataFrame, costs: DataFrame) -> DataFrame:
                     ["key", "doc_id", "lang", "n_symbols", "cost"],
                 )
 
-    answers = (
-        sliced.select("slice", F.explode("grams").alias("gram"))
-        .join(costs, "gram")
-        .groupBy("slice")
-        .agg(F.collect_list(F.struct("gram", "cost")).alias("costs"))  # the distinct grams of a slice
-    )
-    found = sliced.drop("grams").join(answers, "slice", "left").drop("slice")
+    found = sliced.join(slice_costs(sliced, costs, shards), "slice", "left").drop("slice")
     return found.mapInArrow(rows, "key long, doc_id long, lang string, n_symbols long, cost double")
 
 
@@ -297,9 +368,8 @@ def quality_classifier(
             F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"),
             F.col("d.keys").alias("key"),
         )
-    model = settled(kneser_ney(counts), "model")
-    unseen = model.where("key = 'u'").first()["value"]
-    costs = settled(gram_costs(sliced.select(F.explode("grams").alias("gram")).distinct(), model, unseen), "gram-costs")
+    model, unseen = kneser_ney(counts)
+    costs = gram_costs(settled(asked_grams(sliced), "asked-grams"), model, unseen)
     scored = settled(document_costs(sliced, costs), "document-costs")
 
     known = scored.where("n_symbols > 0").join(trusted, "doc_id", "left_semi")
