@@ -16,7 +16,6 @@ TRIGGERS = {
 # Status window.
 STATUS_SAMPLING_MS = 30000
 STATUS_WINDOW_MS = 300000
-MAX_RING_SAMPLES = 384
 NO_DATA_PERCENTAGE = -1.0
 
 # Retries and timeouts.
@@ -120,3 +119,26 @@ ERROR_COUNTERS = (
     ("alter_assignments", "topic_alter_assignments_error_total", "topic", False, True),
     ("alter_configuration", "topic_alter_configuration_error_total", "topic", False, True),
 )
+
+# Texts of the metrics' help lines; wording is ours.
+METRIC_HELP = {
+    "records_produced_total": "Records produced",
+    "records_produced_failed_total": "Records that could not be produced",
+    "records_consumed_total": "Records consumed",
+    "records_produced_latency": "Milliseconds from creating a record to its acknowledgement",
+    "records_consumed_latency": "Milliseconds from creating a record to its receipt",
+    "connection_latency": "Milliseconds of connection checks, successful or not",
+    "connection_total": "Connection checks, successful or not",
+    "connection_error_total": "Connection checks that failed",
+    "consumer_error_total": "Errors while consuming",
+    "consumer_timeout_join_group_total": "Group joins that took too long",
+    "producer_refresh_metadata_error_total": "Errors while the producer refreshed metadata",
+    "consumer_refresh_metadata_error_total": "Errors while the consumer refreshed metadata",
+    "client_creation_error_total": "Errors while creating a client",
+    "expected_cluster_size_error_total": "Waits for the expected number of brokers",
+    "topic_creation_failed_total": "Errors while creating the topic",
+    "topic_describe_cluster_error_total": "Errors while describing the cluster",
+    "topic_describe_error_total": "Errors while describing the topic",
+    "topic_alter_assignments_error_total": "Errors while changing assignments",
+    "topic_alter_configuration_error_total": "Errors while changing the topic's configuration",
+}

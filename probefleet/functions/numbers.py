@@ -27,7 +27,7 @@ def sample_text(x: Column) -> Column:
     size = F.abs(x)
     digits = F.regexp_replace(F.split(x.cast("string"), "E")[0], r"[.\-]", "")
     digits = F.regexp_replace(F.regexp_replace(digits, "^0+", ""), "0+$", "")
-    rest = F.substring(digits, 2, 400)
+    rest = F.substr(digits, F.lit(2))
     mantissa = F.concat(F.substring(digits, 1, 1), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
     java = F.split(x.cast("string"), "E")
     whole = F.length(F.split(F.regexp_replace(java[0], "-", ""), r"\.")[0]) - 1

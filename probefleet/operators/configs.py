@@ -15,9 +15,15 @@ from probefleet.operators.chunks import last_before
 _DEFAULTS = {key: default for key, _, default in C.CONFIG_KEYS}
 
 
-def wide_config(config: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per client with a text column ``set_<key>`` per key; NULL where a client does not set it."""
-    named = config.where(F.col("key").isin(*keys)).withColumn("key", F.concat(F.lit("set_"), "key"))
+def wide_config(config: DataFrame, keys: Sequence[str], clients: DataFrame | None = None) -> DataFrame:
+    """One row per client with a text column ``set_<key>`` per key; NULL where a client does not set it.
+
+    A client without any known key has a row too. ``clients`` (client_id) adds those that set nothing at all.
+    """
+    named = config.select("client_id", F.concat(F.lit("set_"), "key").alias("key"), "value")
+    if clients is not None:
+        nothing = F.lit(None).cast("string")
+        named = named.unionByName(clients.select("client_id", nothing.alias("key"), nothing.alias("value")))
     return named.groupBy("client_id").pivot("key", [f"set_{key}" for key in keys]).agg(F.max("value"))
 
 
@@ -25,7 +31,9 @@ def _text(key: str) -> Column:
     return F.coalesce(F.col(f"set_{key}"), F.lit(_DEFAULTS[key]))
 
 
-def typed_config(config: DataFrame, spec: Sequence[tuple[str, str, str]] = C.CONFIG_KEYS) -> DataFrame:
+def typed_config(
+    config: DataFrame, spec: Sequence[tuple[str, str, str]] = C.CONFIG_KEYS, clients: DataFrame | None = None
+) -> DataFrame:
     """One row per client with a typed column for each key of ``spec`` (key, type, default).
 
     Columns have the keys' names in lower case; CLIENT_ID is ``own_client_id``, as ``client_id`` names the row.
@@ -47,7 +55,7 @@ def typed_config(config: DataFrame, spec: Sequence[tuple[str, str, str]] = C.CON
         return text
 
     names = {"CLIENT_ID": "own_client_id"}
-    wide = wide_config(config, [key for key, _, _ in spec])
+    wide = wide_config(config, [key for key, _, _ in spec], clients)
     return wide.select("client_id", *[typed(*entry).alias(names.get(entry[0], entry[0].lower())) for entry in spec])
 
 
@@ -73,16 +81,23 @@ def bound_rows(config: DataFrame) -> DataFrame:
     )
 
 
-def redact_config(config: DataFrame) -> DataFrame:
+def redact_config(config: DataFrame, clients: DataFrame | None = None) -> DataFrame:
     """The printed form of each client's configuration: (client_id, key, shown).
 
-    Certificates and keys become placeholders. User and password do so under PLAIN, else they are blank.
+    Numbers and switches are shown as they are understood: 0 for a text that is no number, false for anything but a word
+    for true. Other values are shown as given, or their defaults. Certificates and keys become placeholders. User and
+    password do so under PLAIN, else they are blank.
     """
     keys = [key for key, _, _ in C.CONFIG_KEYS]
+    kinds = {key: kind for key, kind, _ in C.CONFIG_KEYS}
     plain = _text("SASL_MECHANISM") == "PLAIN"
 
     def shown(key: str) -> Column:
         mark = C.SECRET_PLACEHOLDERS.get(key)
+        if mark is None and kinds[key] == "int":
+            return int_value(F.col(f"set_{key}"), int(_DEFAULTS[key])).cast("string")
+        if mark is None and kinds[key] == "bool":
+            return bool_value(F.col(f"set_{key}"), _DEFAULTS[key] in C.TRUE_WORDS).cast("string")
         if mark is None:
             return _text(key)
         visible = _text(key) != ""
@@ -93,7 +108,7 @@ def redact_config(config: DataFrame) -> DataFrame:
     rows = [
         F.struct(F.lit(key).alias("key"), shown(key).alias("shown")) for key in keys if key not in C.UNPRINTED_KEYS
     ]
-    return wide_config(config, keys).select("client_id", F.inline(F.array(*rows)))
+    return wide_config(config, keys, clients).select("client_id", F.inline(F.array(*rows)))
 
 
 def dynamic_config_text(log_enabled: Column, verbosity: Column) -> Column:
@@ -110,7 +125,7 @@ def dynamic_config_text(log_enabled: Column, verbosity: Column) -> Column:
     )
 
 
-def lint_config(config: DataFrame) -> DataFrame:
+def lint_config(config: DataFrame, clients: DataFrame | None = None) -> DataFrame:
     """Rules that each client's configuration must keep: (client_id, rule, ok)."""
     keys = [key for key, _, _ in C.CONFIG_KEYS]
     mechanism = _text("SASL_MECHANISM")
@@ -127,13 +142,13 @@ def lint_config(config: DataFrame) -> DataFrame:
         "connection_buckets": parse_bounds(_text("CONNECTION_CHECK_LATENCY_BUCKETS"))["is_valid"],
     }
     rows = [F.struct(F.lit(rule).alias("rule"), ok.alias("ok")) for rule, ok in rules.items()]
-    return wide_config(config, keys).select("client_id", F.inline(F.array(*rows)))
+    return wide_config(config, keys, clients).select("client_id", F.inline(F.array(*rows)))
 
 
 def merge_topic_config(topics: DataFrame) -> DataFrame:
-    """Configuration entries of topics: (topic, key, value).
+    """Configuration entries of topics: (cluster_id, topic, key, value).
 
-    ``topics`` has (topic, topic_config text, brokers, decision). On creation two entries are forced; an
+    ``topics`` has (cluster_id, topic, topic_config text, brokers, decision). On creation two entries are forced; an
     existing topic gets the user's entries only.
     """
     user = F.coalesce(pairs_map(F.col("topic_config")), F.create_map().cast("map<string,string>"))
@@ -145,7 +160,7 @@ def merge_topic_config(topics: DataFrame) -> DataFrame:
     )
     free = F.map_filter(user, lambda k, _: ~F.map_contains_key(forced, k))
     entries = F.when(F.col("decision") == "CREATE", F.map_concat(free, forced)).otherwise(user)
-    return topics.select("topic", F.explode(entries))
+    return topics.select("cluster_id", "topic", F.explode(entries))
 
 
 def config_changes(snapshots: DataFrame, width: int = 30000 * 4096, ties: Sequence[str] = ()) -> DataFrame:

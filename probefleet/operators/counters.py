@@ -63,7 +63,7 @@ def error_counters(errors: DataFrame, clients: DataFrame) -> DataFrame:
     ``clients`` (cluster_id, client_id, topic) says which series start at 0.
     """
     rules = {step: (metric, label, retried, zero) for step, metric, label, retried, zero in C.ERROR_COUNTERS}
-    counted = errors.where(F.col("step").isin(*rules) & (_chosen(rules, 2) <= F.col("will_retry").cast("int")))
+    counted = errors.where(F.col("step").isin(*rules) & (_chosen(rules, 2) <= F.coalesce("will_retry", F.lit(False)).cast("int")))
     ones = counted.select(*_labelled(rules, F.col("step")), F.lit(1).cast("bigint").alias("value"))
     started = [step for step, rule in rules.items() if rule[3]]
     zeros = clients.select(

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probefleet import constants as C
 from probefleet.operators.chunks import running_sums
 
 
-def parse_log_lines(lines: DataFrame, strict: bool = True) -> DataFrame:
+def parse_log_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     """Kind and duration of the lines that report a latency; the first matching pattern decides.
 
-    Strict keeps to broker ids of one digit, as the fixed pattern does.
+    Strict keeps to broker ids of one digit and so passes over the connections of the others.
     """
     line = F.col("value")
 
@@ -30,6 +30,11 @@ def parse_log_lines(lines: DataFrame, strict: bool = True) -> DataFrame:
     )
 
 
+def _div(a: Column, n: int) -> Column:
+    """Whole quotient of whole numbers, exact at any size."""
+    return F.call_function("div", a, F.lit(n).cast("bigint"))
+
+
 def latency_mean(latencies: DataFrame, keys: Sequence[str] = ("kind",), value: str = "duration_ms") -> DataFrame:
     total, n = F.sum(value), F.count(value)
     return latencies.groupBy(*keys).agg((total.cast("double") / n).alias("mean_ms"), n.alias("n"))
@@ -62,10 +67,10 @@ def latency_quantiles(
     def cut(i):
         """Cut point i mixes the sorted values at positions j and j + 1 (from 1) by weights of n."""
         if method == "exclusive":
-            j = F.greatest(F.lit(1), F.least(size - 1, F.floor((i * (size + 1)) / n)))
+            j = F.greatest(F.lit(1), F.least(size - 1, _div(i * (size + 1), n)))
             rest = i * (size + 1) - j * n
         else:
-            j = F.floor((i * (size - 1)) / n) + 1
+            j = _div(i * (size - 1), n) + 1
             rest = i * (size - 1) - (j - 1) * n
         return F.struct(i.alias("i"), j.alias("j"), rest.alias("rest"))
 

@@ -4,92 +4,121 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probefleet.functions.labels import series_id
-from probefleet.operators.chunks import CHUNK, HOME, last_before, with_border
+from probefleet.operators.chunks import last_before
 
 FIVE_MINUTES_MS = 300000
 
 
-def counter_total(samples: DataFrame) -> DataFrame:
-    """Newest value of each series, summed over the series of a metric."""
-    newest = (
-        samples.withColumn("_series", series_id(F.col("name"), F.col("labels")))
-        .groupBy("name", "_series")
-        .agg(F.max_by("value", "scrape_ms").alias("value"))
+def evaluation_times(at: Column, reach_ms: int, step_ms: int) -> Column:
+    """Times of the grid (multiples of step_ms) that see a sample: from its own on, for less than reach_ms."""
+    first = at + F.pmod(-at, F.lit(step_ms))
+    last = at + F.lit(reach_ms - 1) - F.pmod(at + F.lit(reach_ms - 1), F.lit(step_ms))
+    step = F.lit(step_ms).cast("bigint")
+    return F.when(first <= last, F.sequence(first, last, step)).otherwise(F.array().cast("array<bigint>"))
+
+
+def counter_total(samples: DataFrame, step_ms: int, lookback_ms: int = FIVE_MINUTES_MS) -> DataFrame:
+    """Sum over the series of a metric at each time of the grid: (name, at_ms, total).
+
+    A series counts with its newest value of the last lookback_ms; one that is not scraped any more is left out.
+    """
+    seen = samples.select(
+        "name",
+        series_id(F.col("name"), F.col("labels")).alias("_series"),
+        "scrape_ms",
+        "value",
+        F.explode(evaluation_times(F.col("scrape_ms"), lookback_ms, step_ms)).alias("at_ms"),
     )
-    return newest.groupBy("name").agg(F.sum("value").alias("total"))
+    newest = seen.groupBy("name", "_series", "at_ms").agg(F.max_by("value", "scrape_ms").alias("value"))
+    return newest.groupBy("name", "at_ms").agg(F.sum("value").alias("total"))
 
 
 def counter_increase(
-    samples: DataFrame, keys: Sequence[str], window_ms: int = FIVE_MINUTES_MS, chunk: int | None = None
+    samples: DataFrame, keys: Sequence[str], step_ms: int, window_ms: int = FIVE_MINUTES_MS, chunk: int | None = None
 ) -> DataFrame:
-    """Increase of each series over (t - window, t] at each scrape t; NULL with fewer than two scrapes.
+    """Increase of each series over (at - window, at] at each time of the grid: (keys, at_ms, increase, covered_ms).
 
-    A value below its predecessor means that the counter started again at 0. The steps between scrapes
-    are summed in the window, without the step that leads into it; nothing is extrapolated to its edges.
+    All series are evaluated at the same times, whenever they were scraped. covered_ms lies between the first and the
+    last scrape of the window; times at which a series has fewer than two scrapes have no row. A value below its
+    predecessor means that the counter started again at 0.
     """
     keys = list(keys)
-    series = W.partitionBy(*keys, CHUNK).orderBy("scrape_ms")
-    frame = series.rangeBetween(-(window_ms - 1), 0)
-    before = F.lag("value").over(series)
+    rows = samples.select(*keys, "scrape_ms", "value")
+    known = last_before(rows, keys, "scrape_ms", {"_before": "value"}, chunk or window_ms * 128)
+    before = F.col("_before")
     step = F.when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
-    steps = with_border(samples, "scrape_ms", chunk or window_ms * 128, back=window_ms - 1).withColumn(
-        "_step", F.coalesce(step, F.lit(0.0))
+    seen = known.select(
+        *keys,
+        "scrape_ms",
+        F.coalesce(step, F.lit(0.0)).alias("_step"),
+        F.explode(evaluation_times(F.col("scrape_ms"), window_ms, step_ms)).alias("at_ms"),
     )
-    increase = F.sum("_step").over(frame) - F.first("_step").over(frame)
-    return (
-        steps.withColumn("increase", F.when(F.count(F.lit(1)).over(frame) >= 2, increase))
-        .where(HOME)
-        .select(*keys, "scrape_ms", "increase")
+    # The step that leads to the first scrape of a window lies outside of it.
+    each = seen.groupBy(*keys, "at_ms").agg(
+        (F.sum("_step") - F.min_by("_step", "scrape_ms")).alias("increase"),
+        (F.max("scrape_ms") - F.min("scrape_ms")).alias("covered_ms"),
     )
+    return each.where("covered_ms > 0")
+
 
+def rate_per_minute(samples: DataFrame, step_ms: int, window_ms: int = FIVE_MINUTES_MS) -> DataFrame:
+    """Records per minute of each metric, all its series together: (name, at_ms, per_minute), to six decimals.
 
-def rate_per_minute(samples: DataFrame, window_ms: int = FIVE_MINUTES_MS) -> DataFrame:
-    """Records per minute of each metric, all its series together."""
+    Each series' increase is divided by the time between its scrapes.
+    """
     named = samples.select("name", series_id(F.col("name"), F.col("labels")).alias("series"), "scrape_ms", "value")
+    rate = F.col("increase") * F.lit(60000.0) / F.col("covered_ms")
     return (
-        counter_increase(named, ["name", "series"], window_ms)
-        .groupBy("name", "scrape_ms")
-        .agg((F.sum("increase") * F.lit(60000.0) / F.lit(float(window_ms))).alias("per_minute"))
+        counter_increase(named, ["name", "series"], step_ms, window_ms)
+        .groupBy("name", "at_ms")
+        .agg(F.round(F.sum(rate), 6).alias("per_minute"))
     )
 
 
-def _increase_ratio(samples, metrics, upper, lower, labels, window_ms):
-    """Increase of ``upper`` rows by that of ``lower`` rows of the same metric and labels."""
+def _increase_ratio(
+    samples: DataFrame, metric: Column, upper: Column, lower: Column, labels: Sequence[str], step_ms: int, window_ms: int
+) -> tuple[DataFrame, Column]:
+    """Increases of ``upper`` and ``lower`` series, each summed over the series with the same metric and labels.
+
+    Increases are those of single series with all their labels; only then labels are left out.
+    """
     part = F.when(upper, "u").when(lower, "l")
+    plain = F.map_filter("labels", lambda k, _: k != "le")
     rows = samples.select(
-        metrics.alias("metric"),
+        metric.alias("metric"),
         *[F.col("labels")[label].alias(label) for label in labels],
+        series_id(F.col("name"), plain).alias("_series"),
         part.alias("_part"),
         "scrape_ms",
         "value",
     ).where(F.col("metric").isNotNull() & F.col("_part").isNotNull())
-    increases = counter_increase(rows, ["metric", *labels, "_part"], window_ms)
-    sides = increases.groupBy("metric", *labels, "scrape_ms").agg(
-        F.max(F.when(F.col("_part") == "u", F.col("increase"))).alias("_u"),
-        F.max(F.when(F.col("_part") == "l", F.col("increase"))).alias("_l"),
+    increases = counter_increase(rows, ["metric", *labels, "_series", "_part"], step_ms, window_ms)
+    sides = increases.groupBy("metric", *labels, "at_ms").agg(
+        F.sum(F.when(F.col("_part") == "u", F.col("increase"))).alias("_u"),
+        F.sum(F.when(F.col("_part") == "l", F.col("increase"))).alias("_l"),
     )
     return sides, F.try_divide(F.col("_u"), F.col("_l"))
 
 
 def avg_latency(
-    samples: DataFrame, window_ms: int = FIVE_MINUTES_MS, labels: Sequence[str] = ("clientid", "partition")
+    samples: DataFrame, step_ms: int, window_ms: int = FIVE_MINUTES_MS, labels: Sequence[str] = ("clientid", "partition")
 ) -> DataFrame:
-    """Mean latency of each histogram over the window; NULL where nothing was observed."""
+    """Mean latency by labels over the window at each time of the grid; NULL where nothing was observed."""
     name = F.col("name")
     metric = F.nullif(F.regexp_extract(name, r"^(.*_latency)_(sum|count)$", 1), F.lit(""))
     sides, ratio = _increase_ratio(
-        samples, metric, name.endswith("_latency_sum"), name.endswith("_latency_count"), labels, window_ms
+        samples, metric, name.endswith("_latency_sum"), name.endswith("_latency_count"), labels, step_ms, window_ms
     )
-    return sides.select("metric", *labels, "scrape_ms", ratio.alias("mean_ms"))
+    return sides.select("metric", *labels, "at_ms", ratio.alias("mean_ms"))
 
 
 def share_under(
     samples: DataFrame,
+    step_ms: int,
     le: str = "400",
     window_ms: int = FIVE_MINUTES_MS,
     labels: Sequence[str] = ("clientid", "partition"),
@@ -97,8 +126,8 @@ def share_under(
     """Percentage of observations up to the bound ``le``."""
     bound = F.col("labels")["le"]
     metric = F.nullif(F.regexp_extract("name", r"^(.*_latency)_bucket$", 1), F.lit(""))
-    sides, ratio = _increase_ratio(samples, metric, bound == le, bound == "+Inf", labels, window_ms)
-    return sides.select("metric", *labels, "scrape_ms", (ratio * 100).alias("percentage"))
+    sides, ratio = _increase_ratio(samples, metric, bound == le, bound == "+Inf", labels, step_ms, window_ms)
+    return sides.select("metric", *labels, "at_ms", (ratio * 100).alias("percentage"))
 
 
 def scrape_growth(samples: DataFrame, width: int = FIVE_MINUTES_MS * 1024) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY = ("producer_id", "message_id", "timestamp")
+KEY = ("cluster_id", "producer_id", "message_id", "timestamp")
 
 
 def arrivals(decoded: DataFrame) -> DataFrame:
@@ -19,11 +19,13 @@ def arrivals(decoded: DataFrame) -> DataFrame:
 def reconcile(produced: DataFrame, decoded: DataFrame) -> DataFrame:
     """Every produced message with the copies received.
 
-    Message numbers restart with the producer process, so the creation time belongs to the key.
+    Message numbers restart with the producer process, so the creation time belongs to the key; equal client ids of
+    other clusters are other clients.
     """
     back = arrivals(decoded)
     on = (
-        (produced["client_id"] == back["producer_id"])
+        (produced["cluster_id"] == back["cluster_id"])
+        & (produced["client_id"] == back["producer_id"])
         & (produced["message_id"] == back["message_id"])
         & (produced["create_ms"] == back["timestamp"])
     )
@@ -39,7 +41,8 @@ def lost(produced: DataFrame, decoded: DataFrame) -> DataFrame:
     """Produced messages of which no copy came back."""
     back = decoded.select(*KEY).distinct()
     on = (
-        (produced["client_id"] == back["producer_id"])
+        (produced["cluster_id"] == back["cluster_id"])
+        & (produced["client_id"] == back["producer_id"])
         & (produced["message_id"] == back["message_id"])
         & (produced["create_ms"] == back["timestamp"])
     )

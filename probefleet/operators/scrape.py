@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probefleet import constants as C
+from probefleet.functions.keyvalue import parse_float
 from probefleet.functions.labels import label_block
 from probefleet.functions.numbers import sample_text
 
@@ -44,7 +46,7 @@ def parse_exposition(lines: DataFrame) -> DataFrame:
         F.col("_name").alias("name"),
         names.alias("names"),
         values.alias("values"),
-        F.get("_after", F.lit(0)).try_cast("double").alias("value"),
+        parse_float(F.get("_after", F.lit(0))).alias("value"),
         F.regexp_replace("_inside", rf"\G{_LABEL}\s*(?:,\s*|$)", "").alias("rest"),
     )
     checked = F.filter(
@@ -94,8 +96,16 @@ def to_exposition(samples: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def type_lines(samples: DataFrame, prefix: str = "") -> DataFrame:
-    """One ``# TYPE`` line per metric, to stand before its samples."""
+    """``# HELP`` (where a text is known) and ``# TYPE`` of each metric, to stand before its samples, in this order."""
     family = F.regexp_replace(F.col("name"), r"_latency_(bucket|sum|count)$", "_latency")
     kind = F.when(family.endswith("_total"), "counter").when(family.endswith("_latency"), "histogram")
-    names = samples.select(F.concat(F.lit(prefix), family).alias("name"), F.coalesce(kind, F.lit("untyped")).alias("kind"))
-    return names.distinct().select("name", F.concat_ws(" ", F.lit("# TYPE"), "name", "kind").alias("line"))
+    texts = F.create_map(*[F.lit(x) for pair in C.METRIC_HELP.items() for x in pair])
+    names = samples.select(
+        F.concat(F.lit(prefix), family).alias("name"), F.coalesce(kind, F.lit("untyped")).alias("kind"), texts[family].alias("text")
+    )
+    lines = F.array(
+        F.struct(F.lit(0).alias("rank"), F.concat_ws(" ", F.lit("# HELP"), "name", "text").alias("line")),
+        F.struct(F.lit(1).alias("rank"), F.concat_ws(" ", F.lit("# TYPE"), "name", "kind").alias("line")),
+    )
+    shown = F.when(F.col("text").isNull(), F.slice(lines, 2, 1)).otherwise(lines)
+    return names.distinct().select("name", F.inline(shown))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,26 +10,27 @@ from probefleet import constants as C
 from probefleet.functions.numbers import percentage_text, round_half_up
 from probefleet.operators.chunks import CHUNK, HOME, chunk_start, running_sums, with_border
 
+KEYS = ("cluster_id", "client_id")
 _TICKS_PER_CHUNK = 4096
 
 
 def tick_increments(produced: DataFrame, consumed: DataFrame, tick_ms: int) -> DataFrame:
     """Records produced and consumed per client and tick; a tick is named by its end, in epoch ms.
 
-    ``produced`` has (client_id, ack_ms), ``consumed`` (client_id, recv_ms).
+    ``produced`` has (cluster_id, client_id, ack_ms), ``consumed`` (cluster_id, client_id, recv_ms).
     """
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
 
     def tick(ms):
         return (chunk_start(F.col(ms), tick_ms) + tick_ms).alias("tick")
 
-    sent = produced.select("client_id", tick("ack_ms"), one.alias("produced"), zero.alias("consumed"))
-    received = consumed.select("client_id", tick("recv_ms"), zero.alias("produced"), one.alias("consumed"))
+    sent = produced.select(*KEYS, tick("ack_ms"), one.alias("produced"), zero.alias("consumed"))
+    received = consumed.select(*KEYS, tick("recv_ms"), zero.alias("produced"), one.alias("consumed"))
     return add_increments(sent.unionByName(received))
 
 
 def add_increments(increments: DataFrame) -> DataFrame:
-    return increments.groupBy("client_id", "tick").agg(
+    return increments.groupBy(*KEYS, "tick").agg(
         F.sum("produced").alias("produced"), F.sum("consumed").alias("consumed")
     )
 
@@ -41,8 +42,8 @@ def accumulate(increments: DataFrame, tick_ms: int) -> DataFrame:
     """
     width = tick_ms * _TICKS_PER_CHUNK
     known = running_sums(
-        increments.select("client_id", "tick", F.col("produced").alias("_p"), F.col("consumed").alias("_c")),
-        ["client_id"],
+        increments.select(*KEYS, "tick", F.col("produced").alias("_p"), F.col("consumed").alias("_c")),
+        KEYS,
         "tick",
         {"produced": "_p", "consumed": "_c"},
         width,
@@ -54,17 +55,17 @@ def accumulate(increments: DataFrame, tick_ms: int) -> DataFrame:
     pieces = F.sequence(chunk_start(tick, width), chunk_start(last, width), wide)
     inside = F.sequence(F.greatest(tick, F.col("_piece")), F.least(last, F.col("_piece") + width - tick_ms), step)
     return known.select("*", F.explode(pieces).alias("_piece")).select(
-        "client_id", F.explode(inside).alias("tick"), "produced", "consumed"
+        *KEYS, F.explode(inside).alias("tick"), "produced", "consumed"
     )
 
 
 def sample_counters(produced: DataFrame, consumed: DataFrame, tick_ms: int = C.STATUS_SAMPLING_MS) -> DataFrame:
-    """(client_id, tick, produced, consumed): the counters as each tick finds them."""
+    """(cluster_id, client_id, tick, produced, consumed): the counters as each tick finds them."""
     return accumulate(tick_increments(produced, consumed, tick_ms), tick_ms)
 
 
 def ring_size(window_ms: int, sampling_ms: int) -> int:
-    size = min(window_ms // sampling_ms, C.MAX_RING_SAMPLES)
+    size = window_ms // sampling_ms
     if size < 1:
         raise ValueError("the status window must span at least one sampling interval")
     return size
@@ -76,18 +77,25 @@ def status_ring(samples: DataFrame, window_ms: int, sampling_ms: int) -> DataFra
     Samples are one per client and tick, ``sampling_ms`` apart, as ``sample_counters`` gives them.
     """
     size = ring_size(window_ms, sampling_ms)
-    last_n = W.partitionBy("client_id", CHUNK).orderBy("tick").rowsBetween(-(size - 1), 0)
-    bordered = with_border(samples, "tick", sampling_ms * _TICKS_PER_CHUNK, back=(size - 1) * sampling_ms)
+    width = sampling_ms * max(_TICKS_PER_CHUNK, 4 * size)
+    bordered = with_border(samples, "tick", width, back=(size - 1) * sampling_ms)
+    ticks = W.partitionBy(*KEYS, CHUNK).orderBy("tick")
+    upto = ticks.rowsBetween(W.unboundedPreceding, 0)
+
+    def tail(column: str) -> Column:
+        # The sample N - 1 ticks ago; a chunk with fewer rows so far holds the client's first one.
+        return F.coalesce(F.lag(column, size - 1).over(ticks), F.first(column).over(upto))
+
     return (
         bordered.select(
-            "client_id",
+            *KEYS,
             "tick",
             HOME,
-            F.first("produced").over(last_n).alias("produced_tail"),
+            tail("produced").alias("produced_tail"),
             F.col("produced").alias("produced_head"),
-            F.first("consumed").over(last_n).alias("consumed_tail"),
+            tail("consumed").alias("consumed_tail"),
             F.col("consumed").alias("consumed_head"),
-            F.count(F.lit(1)).over(last_n).alias("count"),
+            F.least(F.row_number().over(ticks), F.lit(size)).cast("bigint").alias("count"),
         )
         .where(HOME)
         .drop(HOME)
@@ -106,8 +114,12 @@ def status_window(
     samples: DataFrame, window_ms: int = C.STATUS_WINDOW_MS, sampling_ms: int = C.STATUS_SAMPLING_MS
 ) -> DataFrame:
     """Covered window and consumed percentage at each tick."""
-    return consumed_percentage(status_ring(samples, window_ms, sampling_ms)).select(
-        "client_id",
+    return status_of_ring(status_ring(samples, window_ms, sampling_ms), sampling_ms)
+
+
+def status_of_ring(ring: DataFrame, sampling_ms: int) -> DataFrame:
+    return consumed_percentage(ring).select(
+        *KEYS,
         "tick",
         (F.col("produced_head") - F.col("produced_tail")).alias("produced_delta"),
         (F.col("consumed_head") - F.col("consumed_tail")).alias("consumed_delta"),
@@ -119,9 +131,9 @@ def status_window(
 
 def newest_status(status: DataFrame) -> DataFrame:
     """Each client's status at its last tick, as the status document reports it when asked."""
-    columns = [c for c in status.columns if c not in ("client_id", "tick")]
-    newest = status.groupBy("client_id").agg(F.max_by(F.struct("tick", *columns), "tick").alias("_newest"))
-    return newest.select("client_id", "_newest.*")
+    columns = [c for c in status.columns if c not in (*KEYS, "tick")]
+    newest = status.groupBy(*KEYS).agg(F.max_by(F.struct("tick", *columns), "tick").alias("_newest"))
+    return newest.select(*KEYS, "_newest.*")
 
 
 def to_status_json(status: DataFrame) -> DataFrame:
@@ -133,4 +145,4 @@ def to_status_json(status: DataFrame) -> DataFrame:
         percentage_text(F.col("percentage")),
         F.lit("}}"),
     )
-    return status.select("client_id", "tick", document.alias("json"))
+    return status.select(*KEYS, "tick", document.alias("json"))

@@ -13,8 +13,11 @@ from probefleet.functions.lookups import is_dynamic, min_in_sync, replication_fa
 from probefleet.functions.payload import encode_payload
 from probefleet.operators.chunks import chunk_start, rank_within, running_sums
 
+TOPIC = ("cluster_id", "topic")
 _IDS_PER_CHUNK = 65536
 _RANKS_PER_CHUNK = 4096
+# Broker ids are 32-bit numbers from 0.
+_ID_RANGE = 1 << 31
 _POSITIONS_PER_PIECE = 256
 
 
@@ -49,18 +52,16 @@ def replication_params(brokers: DataFrame) -> DataFrame:
 def _ordered(brokers: DataFrame) -> DataFrame:
     """Brokers with their position and the number of brokers in their cluster.
 
-    With ``k`` the rank of a broker in its rack, its position is the number of brokers of lower rank
-    anywhere in the cluster, plus the racks before its own that also have a k-th broker.
+    With ``k`` the rank of a broker in its rack, brokers stand by k, and among those of the same k by the smallest id
+    of their rack.
     """
     rack = F.coalesce("rack", F.lit(""))
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     known = brokers.select(
         "cluster_id", "broker_id", rack.alias("rack"), one.alias("_one"), F.when(rack != "", one).otherwise(none).alias("_known")
     )
-    counted = running_sums(
-        known, ["cluster_id"], "broker_id", {"_rank": "_one"}, _IDS_PER_CHUNK, totals={"brokers": "_one", "_racked": "_known"}
-    )
-    grouped = counted.select(
+    totals = known.groupBy("cluster_id").agg(F.sum("_one").alias("brokers"), F.sum("_known").alias("_racked"))
+    grouped = known.join(totals, "cluster_id").select(
         "cluster_id",
         "broker_id",
         "rack",
@@ -70,14 +71,10 @@ def _ordered(brokers: DataFrame) -> DataFrame:
     ranked = rank_within(
         grouped, ["cluster_id", "_rack"], "broker_id", "_k", _IDS_PER_CHUNK, firsts={"_first": "broker_id"}
     )
-    per_rank = ranked.groupBy("cluster_id", "_k").agg(F.count(F.lit(1)).alias("_racks"))
-    lower = running_sums(per_rank, ["cluster_id"], "_k", {"_upto": "_racks"}, _RANKS_PER_CHUNK).select(
-        "cluster_id", "_k", (F.col("_upto") - F.col("_racks")).alias("_lower")
-    )
-    turned = rank_within(ranked, ["cluster_id", "_k"], "_first", "_turn", _IDS_PER_CHUNK)
-    return turned.join(lower, ["cluster_id", "_k"]).select(
-        "cluster_id", "broker_id", "rack", "brokers", (F.col("_lower") + F.col("_turn") - 1).alias("position")
-    )
+    # No two brokers of a cluster have the same rank and the same first broker of their rack.
+    turn = F.col("_k") * _ID_RANGE + F.col("_first")
+    placed = rank_within(ranked.withColumn("_at", turn), ["cluster_id"], "_at", "_position", _RANKS_PER_CHUNK * _ID_RANGE)
+    return placed.select("cluster_id", "broker_id", "rack", "brokers", (F.col("_position") - 1).alias("position"))
 
 
 def broker_order(brokers: DataFrame) -> DataFrame:
@@ -101,17 +98,18 @@ def replica_ring(brokers: DataFrame) -> DataFrame:
             "cluster_id",
             "brokers",
             F.pmod(F.col("position") - r, n).alias("position"),
-            F.struct(r.alias("r"), F.col("broker_id").alias("broker_id")).alias("_replica"),
+            F.struct(r.alias("r"), F.col("broker_id").alias("broker_id"), F.col("rack").alias("rack")).alias("_replica"),
         )
     )
     replicas = F.array_sort(F.collect_list("_replica"))
     return served.groupBy("cluster_id", "brokers", "position").agg(
-        F.transform(replicas, lambda x: x["broker_id"]).alias("replicas")
+        F.transform(replicas, lambda x: x["broker_id"]).alias("replicas"),
+        F.transform(replicas, lambda x: x["rack"]).alias("racks"),
     )
 
 
 def planned_partitions(topics: DataFrame, brokers: DataFrame) -> DataFrame:
-    """Every planned partition with its replicas: (columns of topics, partition_id, brokers, replicas).
+    """Every planned partition: (columns of topics, partition_id, brokers, replicas, racks of the replicas).
 
     Topics meet the ring in pieces of a fixed number of positions and multiply only behind the join, so the
     join sees the true sizes of its sides. The outer join and explode let it broadcast the ring but not the
@@ -119,7 +117,7 @@ def planned_partitions(topics: DataFrame, brokers: DataFrame) -> DataFrame:
     """
     ring = replica_ring(brokers)
     pieces = ring.groupBy("cluster_id", "brokers", chunk_start(F.col("position"), _POSITIONS_PER_PIECE)).agg(
-        F.collect_list(F.struct("position", "replicas")).alias("_piece")
+        F.collect_list(F.struct("position", "replicas", "racks")).alias("_piece")
     )
     # A given number of partitions is not coalesced: the rows are few now, but not what becomes of them.
     spread = int(topics.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -134,6 +132,7 @@ def planned_partitions(topics: DataFrame, brokers: DataFrame) -> DataFrame:
             F.explode(F.sequence(position, wanted - 1, n)).alias("partition_id"),
             "brokers",
             F.col("_at.replicas").alias("replicas"),
+            F.col("_at.racks").alias("racks"),
         )
     )
 
@@ -224,34 +223,25 @@ def orphan_partitions(topics: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def plan_quality(plan: DataFrame, brokers: DataFrame) -> DataFrame:
+def plan_quality(planned: DataFrame) -> DataFrame:
     """Does a topic's plan repeat a broker or a rack in a partition, and how many partitions has its busiest leader?
 
-    A rack repeats only where it is known. Each replica is counted once by broker, by rack and, if it leads,
-    by leader; the counts of all three meet in one aggregation.
+    ``planned`` has a row for each partition with its replicas and their racks in arrays, as ``planned_partitions`` gives
+    them, so repeats show in the row and only leaders are counted across rows. A rack repeats only where it is known.
     """
-    none = F.lit(None).cast("bigint")
-    broker, partition = F.col("broker_id").cast("string"), F.col("partition_id").cast("bigint")
-
-    def mark(kind: str, partition: Column, value: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), partition.alias("partition_id"), value.alias("value"))
-
-    marks = F.array(
-        mark("broker", partition, broker),
-        mark("rack", partition, F.nullif(F.col("rack"), F.lit(""))),
-        mark("leader", none, F.when(F.col("replica_idx") == 0, broker)),
+    known = F.filter("racks", lambda rack: rack != "")
+    rows = planned.select(
+        "cluster_id",
+        "topic",
+        F.get("replicas", F.lit(0)).alias("_leader"),
+        (F.size("replicas") > F.size(F.array_distinct("replicas"))).alias("_broker"),
+        (F.size(known) > F.size(F.array_distinct(known))).alias("_rack"),
     )
-    counts = (
-        plan.join(brokers.select("cluster_id", "broker_id", "rack"), ["cluster_id", "broker_id"], "left")
-        .select("cluster_id", "topic", F.inline(F.filter(marks, lambda m: m["value"].isNotNull())))
-        .groupBy("cluster_id", "topic", "kind", "partition_id", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+    led = rows.groupBy("cluster_id", "topic", "_leader").agg(
+        F.max("_broker").alias("_broker"), F.max("_rack").alias("_rack"), F.count(F.lit(1)).alias("_led")
     )
-    kind, n = F.col("kind"), F.col("n")
-    return counts.groupBy("cluster_id", "topic").agg(
-        F.max((kind == "broker") & (n > 1)).alias("dup_broker"),
-        F.max((kind == "rack") & (n > 1)).alias("dup_rack"),
-        F.max(F.when(kind == "leader", n)).alias("max_leaders"),
+    return led.groupBy("cluster_id", "topic").agg(
+        F.max("_broker").alias("dup_broker"), F.max("_rack").alias("dup_rack"), F.max("_led").alias("max_leaders")
     )
 
 
@@ -262,36 +252,35 @@ def leader_mismatch(topic_leaders: DataFrame, client_leaders: DataFrame) -> Data
 
     def side(df, here, there):
         return df.select(
-            "topic", "partition_id", F.col("leader").cast("bigint").alias(here), nothing.alias(there),
+            *TOPIC, "partition_id", F.col("leader").cast("bigint").alias(here), nothing.alias(there),
             one.alias(f"_has_{here}"), zero.alias(f"_has_{there}"),
         )
 
     pairs = (
         side(topic_leaders, "a", "b")
         .unionByName(side(client_leaders, "b", "a"))
-        .groupBy("topic", "partition_id")
+        .groupBy(*TOPIC, "partition_id")
         .agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("_has_a").alias("ha"), F.max("_has_b").alias("hb"))
     )
     same = F.col("a").eqNullSafe(F.col("b")) & (F.col("ha") == F.col("hb"))
-    return pairs.groupBy("topic").agg(F.bool_or(~same).alias("mismatch"))
+    return pairs.groupBy(*TOPIC).agg(F.bool_or(~same).alias("mismatch"))
 
 
 def leader_election_needed(partitions: DataFrame, sizes: DataFrame) -> DataFrame:
     """With as many partitions as brokers, is any partition led by another broker than its own?
 
-    ``sizes`` has (topic, brokers).
+    ``sizes`` has (cluster_id, topic, brokers). Without a known size there is nothing to elect.
     """
-    led = partitions.groupBy("topic").agg(
+    led = partitions.groupBy(*TOPIC).agg(
         F.count(F.lit(1)).alias("_partitions"), F.bool_or(F.col("partition_id") != F.col("leader")).alias("_moved")
     )
-    return led.join(sizes, "topic").select(
-        "topic", ((F.col("_partitions") == F.col("brokers")) & F.col("_moved")).alias("elect_leader")
-    )
+    elect = (F.col("_partitions") == F.col("brokers")) & F.col("_moved")
+    return led.join(sizes, [*TOPIC], "left").select(*TOPIC, F.coalesce(elect, F.lit(False)).alias("elect_leader"))
 
 
 def reassignment_ongoing(status: DataFrame) -> DataFrame:
     """Is any partition of the topic still adding or removing replicas?"""
-    return status.groupBy("topic").agg(F.bool_or((F.size("adding") > 0) | (F.size("removing") > 0)).alias("ongoing"))
+    return status.groupBy(*TOPIC).agg(F.bool_or((F.size("adding") > 0) | (F.size("removing") > 0)).alias("ongoing"))
 
 
 def partition_coverage(expected: DataFrame, consumed: DataFrame) -> DataFrame:
@@ -301,40 +290,42 @@ def partition_coverage(expected: DataFrame, consumed: DataFrame) -> DataFrame:
     """
     yes, no = F.lit(True), F.lit(False)
     marks = (
-        expected.select("topic", F.col("partition_id").cast("bigint"), yes.alias("_expected"), no.alias("_seen"))
+        expected.select(*TOPIC, F.col("partition_id").cast("bigint"), yes.alias("_expected"), no.alias("_seen"))
         .unionByName(
-            consumed.select("topic", F.col("partition_id").cast("bigint"), no.alias("_expected"), yes.alias("_seen"))
+            consumed.select(*TOPIC, F.col("partition_id").cast("bigint"), no.alias("_expected"), yes.alias("_seen"))
         )
-        .groupBy("topic", "partition_id")
+        .groupBy(*TOPIC, "partition_id")
         .agg(F.max("_expected").alias("_expected"), F.max("_seen").alias("_seen"))
         .where("_expected")
     )
-    return marks.groupBy("topic").agg(
+    return marks.groupBy(*TOPIC).agg(
         F.count(F.lit(1)).alias("expected"), F.count_if("_seen").alias("seen"), F.bool_and("_seen").alias("covered")
     )
 
 
 def unconsumed_partitions(expected: DataFrame, consumed: DataFrame) -> DataFrame:
     """Expected partitions without any record."""
-    return expected.join(consumed.select("topic", "partition_id").distinct(), ["topic", "partition_id"], "left_anti")
+    on = [*TOPIC, "partition_id"]
+    return expected.join(consumed.select(*on).distinct(), on, "left_anti")
 
 
 def generate_round(plan_sizes: DataFrame, width: int = 1 << 32) -> DataFrame:
     """One message for each partition 0 .. partitions - 1 at each tick of a client.
 
-    ``plan_sizes`` has (client_id, tick, partitions), one row per round. Message numbers run on through a
-    client's rounds, starting at 1.
+    ``plan_sizes`` has (cluster_id, client_id, tick, partitions), one row per round, and may have started_ms, the start
+    of the client's process. Message numbers run on through the rounds of a process, starting at 1.
     """
-    upto = running_sums(plan_sizes, ["client_id"], "tick", {"_upto": "partitions"}, width)
+    client = [c for c in ("cluster_id", "client_id", "started_ms") if c in plan_sizes.columns]
+    upto = running_sums(plan_sizes, client, "tick", {"_upto": "partitions"}, width)
     messages = upto.where(F.col("partitions") > 0).select(
-        "client_id",
+        *client,
         "tick",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("partitions") - 1)).alias("partition"),
         (F.col("_upto") - F.col("partitions")).alias("_before"),
     )
     number = F.col("_before") + F.col("partition") + 1
     return messages.select(
-        "client_id",
+        *client,
         "tick",
         "partition",
         number.alias("message_id"),

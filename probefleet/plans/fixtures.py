@@ -18,6 +18,11 @@ DAY_MS = 24 * HOUR_MS
 SILENT_CLIENT = "client-9"
 EXPECTED_SIZE = 9
 ROSTER_SIZE = 6
+# In every so manieth hour the brokers cannot be asked for.
+FAILED_EVERY = 5
+SCRAPE_OFFSET_MS = 7000
+# 2024-01-20
+LAST_SCRAPE_MS = 1705708800000
 
 # Configuration strings of the fleet: customer k uses the entry k modulo the number of entries.
 CONFIG_CHOICES = {
@@ -67,17 +72,24 @@ def _name(prefix: str, number: Column) -> Column:
     return F.concat(F.lit(prefix), number.cast("string"))
 
 
+def epoch_ms(column: str) -> Column:
+    """Epoch milliseconds of a timestamp without a zone, read as UTC whatever the session's zone is."""
+    at = F.col(column)
+    millis = F.floor(F.extract(F.lit("SECOND"), at) * 1000).cast("bigint")
+    return F.unix_date(at.cast("date")).cast("bigint") * DAY_MS + F.hour(at) * HOUR_MS + F.minute(at) * 60000 + millis
+
+
 def probes(events: DataFrame) -> DataFrame:
-    """The events as probes: client, partition, time and latency."""
+    """The events as probes: cluster, client, partition, time and latency. Each client id occurs in both clusters."""
     client = F.pmod("user_id", F.lit(5))
     return events.select(
         "event_id",
         "user_id",
         "event_type",
-        _name("cluster-", F.pmod(client, F.lit(2))).alias("cluster_id"),
+        _name("cluster-", F.pmod("user_id", F.lit(2))).alias("cluster_id"),
         _name("client-", client).alias("client_id"),
         F.pmod("user_id", F.lit(3)).cast("int").alias("partition"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
+        epoch_ms("ts").alias("ms"),
         F.floor("value").alias("lat"),
     )
 
@@ -175,7 +187,7 @@ def error_events(probe: DataFrame) -> DataFrame:
         _choice(steps, F.col("user_id")).alias("step"),
         _choice(ERROR_CLASSES, F.col("event_id")).alias("error_class"),
         F.col("ms").alias("ts_ms"),
-        (F.pmod("event_id", F.lit(10)) != 0).alias("will_retry"),
+        F.when(F.pmod("event_id", F.lit(10)) < 8, F.pmod("event_id", F.lit(10)) != 0).alias("will_retry"),
     )
 
 
@@ -191,20 +203,26 @@ def fleet_clients(probe: DataFrame) -> DataFrame:
 def rounds(probe: DataFrame) -> DataFrame:
     """Hourly probe rounds of each client over the partitions seen up to the hour's highest."""
     hour = F.col("ms") - F.pmod("ms", F.lit(HOUR_MS))
-    return probe.groupBy("client_id", hour.alias("tick")).agg(
+    return probe.groupBy("cluster_id", "client_id", hour.alias("tick")).agg(
         (F.max("partition") + 1).cast("bigint").alias("partitions")
     )
 
 
 def metric_samples(probe: DataFrame) -> DataFrame:
-    """Hourly scrapes of each client's counters, which restart every ten days."""
+    """Hourly scrapes of each client's counters, which restart every ten days.
+
+    Each client is scraped at an own time within the hour, and not in hours without a probe; the last client is gone
+    after LAST_SCRAPE_MS.
+    """
     lat = F.col("lat")
     fine = F.col("event_type") != "error"
     back = fine & ~lat.between(40, 41)
-    hour = (F.col("ms") - F.pmod("ms", F.lit(HOUR_MS)) + HOUR_MS).alias("scrape_ms")
+    offset = F.pmod("user_id", F.lit(5)) * SCRAPE_OFFSET_MS
+    hour = (F.col("ms") - F.pmod("ms", F.lit(HOUR_MS)) + HOUR_MS + offset).alias("scrape_ms")
     life = F.col("scrape_ms") - F.pmod("scrape_ms", F.lit(10 * DAY_MS))
     one = F.count(F.lit(1))
-    hourly = probe.groupBy("client_id", "partition", hour).agg(
+    alive = (F.col("client_id") != "client-4") | (F.col("ms") < LAST_SCRAPE_MS)
+    hourly = probe.where(alive).groupBy("cluster_id", "client_id", "partition", hour).agg(
         one.alias("p_total"),
         F.count_if(fine).alias("p_n"),
         F.sum(F.when(fine, lat).otherwise(0)).alias("p_sum"),
@@ -213,12 +231,12 @@ def metric_samples(probe: DataFrame) -> DataFrame:
         F.sum(F.when(back, 2 * lat).otherwise(0)).alias("c_sum"),
         F.count_if(back & (2 * lat <= 400)).alias("c_400"),
     )
-    upto = W.partitionBy("client_id", "partition", "_life").orderBy("scrape_ms").rowsBetween(W.unboundedPreceding, 0)
+    upto = W.partitionBy("cluster_id", "client_id", "partition", "_life").orderBy("scrape_ms").rowsBetween(W.unboundedPreceding, 0)
     columns = ("p_total", "p_n", "p_sum", "p_400", "c_n", "c_sum", "c_400")
     running = hourly.withColumn("_life", life).select(
-        "client_id", "partition", "scrape_ms", *[F.sum(c).over(upto).cast("double").alias(c) for c in columns]
+        "cluster_id", "client_id", "partition", "scrape_ms", *[F.sum(c).over(upto).cast("double").alias(c) for c in columns]
     )
-    base = [F.lit("clientid"), F.col("client_id"), F.lit("partition"), F.col("partition").cast("string")]
+    base = [F.lit("cluster"), F.col("cluster_id"), F.lit("clientid"), F.col("client_id"), F.lit("partition"), F.col("partition").cast("string")]
 
     def sample(name, value, le=None):
         labels = F.create_map(*base, *([F.lit("le"), F.lit(le)] if le else []))
@@ -250,7 +268,7 @@ def config_snapshots(events: DataFrame) -> DataFrame:
     broken = (F.col("event_type") == "signup") & (k == 11)
     return events.select(
         _name("user-", F.col("user_id")).alias("path"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("poll_ms"),
+        epoch_ms("ts").alias("poll_ms"),
         "event_id",
         (F.col("event_type") != "error").alias("exists"),
         F.when(F.col("event_type") != "error", F.when(broken, F.substring(text, 1, 20)).otherwise(text)).alias(
@@ -273,20 +291,23 @@ def hourly_checks(probe: DataFrame) -> DataFrame:
     """Checks at each half hour with a probe; cluster-1 expects a fixed size."""
     at = F.col("ms") - F.pmod("ms", F.lit(HOUR_MS)) + HOUR_MS // 2
     size = F.when(F.col("cluster_id") == "cluster-1", ROSTER_SIZE).otherwise(C.DYNAMIC_SIZE)
-    return probe.select("cluster_id", at.alias("check_ms"), size.alias("expected_size")).distinct()
+    failed = F.pmod(F.floor(at / HOUR_MS), F.lit(FAILED_EVERY)) == 0
+    return probe.select(
+        "cluster_id", at.alias("check_ms"), size.alias("expected_size"), failed.alias("describe_failed")
+    ).distinct()
 
 
 def join_events(orders: DataFrame) -> DataFrame:
     """A start and a ready signal per order."""
     client = F.pmod("o_custkey", F.lit(5))
-    start = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    start = epoch_ms("o_orderdate")
     wait = F.pmod(F.floor("o_totalprice"), F.lit(60000))
     signals = F.array(
         F.struct(F.lit("start").alias("kind"), start.alias("ts_ms")),
         F.struct(F.lit("ready").alias("kind"), (start + wait).alias("ts_ms")),
     )
     return orders.select(
-        _name("cluster-", F.pmod(client, F.lit(2))).alias("cluster_id"),
+        _name("cluster-", F.pmod("o_custkey", F.lit(2))).alias("cluster_id"),
         _name("client-", client).alias("client_id"),
         F.col("o_orderkey").alias("attempt"),
         F.inline(signals),
@@ -314,7 +335,7 @@ def topics(part: DataFrame) -> DataFrame:
     config = F.coalesce(_choice(CONFIG_CHOICES["TOPIC_CONFIG"], key), F.lit(""))
     return part.select(
         _name("cluster-", F.floor(key / 200)).alias("cluster_id"),
-        _name("topic-", key).alias("topic"),
+        _name("topic-", F.pmod(key, F.lit(200))).alias("topic"),
         F.when(kind == 0, 0).otherwise(1 + F.pmod(size, F.lit(12))).alias("current_partitions"),
         F.when(F.pmod(size, F.lit(2)) == 0, C.DYNAMIC_SIZE).otherwise(EXPECTED_SIZE).alias("expected_size"),
         (F.pmod(key, F.lit(2)) == 0).alias("first_run"),
@@ -335,6 +356,12 @@ def current_replicas(topic: DataFrame) -> DataFrame:
     return partitions.withColumn("replicas", F.array(F.pmod(p, F.lit(10)), F.pmod(p + 1, F.lit(10))))
 
 
+def _order_topic(key: str) -> tuple[Column, Column]:
+    """Cluster and topic of an order; topic names repeat in all clusters."""
+    number = F.col(key)
+    return _name("cluster-", F.pmod(number, F.lit(3))).alias("cluster_id"), _name("topic-", F.floor(number / 3)).alias("topic")
+
+
 def topic_leaders(lineitem: DataFrame, least_quantity: float = 0.0) -> DataFrame:
     """Leader of each partition of a topic, as lines of at least a quantity tell it."""
     return (
@@ -342,7 +369,7 @@ def topic_leaders(lineitem: DataFrame, least_quantity: float = 0.0) -> DataFrame
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.min("l_suppkey").alias("_leader"))
         .select(
-            _name("topic-", F.col("l_orderkey")).alias("topic"),
+            *_order_topic("l_orderkey"),
             (F.col("l_linenumber") - 1).alias("partition_id"),
             F.pmod("_leader", F.lit(7)).alias("leader"),
         )
@@ -350,8 +377,9 @@ def topic_leaders(lineitem: DataFrame, least_quantity: float = 0.0) -> DataFrame
 
 
 def topic_sizes(orders: DataFrame) -> DataFrame:
-    return orders.select(
-        _name("topic-", F.col("o_orderkey")).alias("topic"), (F.pmod("o_custkey", F.lit(7)) + 1).alias("brokers")
+    """Known for all topics but those of customers divisible by eleven."""
+    return orders.where(F.pmod("o_custkey", F.lit(11)) != 0).select(
+        *_order_topic("o_orderkey"), (F.pmod("o_custkey", F.lit(7)) + 1).alias("brokers")
     )
 
 
@@ -362,7 +390,7 @@ def reassignments(lineitem: DataFrame) -> DataFrame:
         lineitem.groupBy("l_orderkey", "l_linenumber")
         .agg(F.min("l_returnflag").alias("_flag"), F.array(F.min("l_suppkey").cast("int")).alias("_broker"))
         .select(
-            _name("topic-", F.col("l_orderkey")).alias("topic"),
+            *_order_topic("l_orderkey"),
             (F.col("l_linenumber") - 1).alias("partition_id"),
             F.when(flag == "R", F.col("_broker")).otherwise(empty).alias("adding"),
             F.when(flag == "A", F.col("_broker")).otherwise(empty).alias("removing"),
@@ -371,8 +399,10 @@ def reassignments(lineitem: DataFrame) -> DataFrame:
 
 
 def consumed_partitions(lineitem: DataFrame) -> DataFrame:
+    """Partitions of the topics of parts; lines of even order keys speak of the next cluster."""
+    key = F.col("l_partkey") + F.when(F.pmod("l_orderkey", F.lit(2)) == 0, 200).otherwise(0)
     return lineitem.select(
-        _name("topic-", F.col("l_partkey")).alias("topic"), (F.col("l_linenumber") - 1).alias("partition_id")
+        _name("cluster-", F.floor(key / 200)).alias("cluster_id"), _name("topic-", F.pmod(key, F.lit(200))).alias("topic"), (F.col("l_linenumber") - 1).alias("partition_id")
     )
 
 

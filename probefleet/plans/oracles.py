@@ -29,7 +29,7 @@ PAYLOAD = (
 TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "probes": (
         (),
-        """SELECT event_id, user_id, event_type, 'cluster-' || ((user_id % 5) % 2) AS cluster_id,
+        """SELECT event_id, user_id, event_type, 'cluster-' || (user_id % 2) AS cluster_id,
         'client-' || (user_id % 5) AS client_id, user_id % 3 AS partition, epoch_us(ts) // 1000 AS ms,
         CAST(floor(value) AS BIGINT) AS lat FROM events""",
     ),
@@ -86,7 +86,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         + """', 1) AS p, regexp_extract(value, '"""
         + C.LOG_PATTERNS[1][2]
         + """', 1) AS e, regexp_extract(value, '"""
-        + C.LOG_PATTERNS[2][2]
+        + C.LOG_PATTERNS[2][3]
         + """', 1) AS c FROM lines)) WHERE kind IS NOT NULL""",
     ),
     "sorted_rows": (
@@ -98,7 +98,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         ("probes",),
         f"""SELECT cluster_id, client_id, 'topic-' || cluster_id AS topic, ms AS ts_ms,
         {_pick([r[0] for r in C.ERROR_COUNTERS], 'user_id')} AS step,
-        {_pick(fx.ERROR_CLASSES, 'event_id')} AS error_class, event_id % 10 <> 0 AS will_retry
+        {_pick(fx.ERROR_CLASSES, 'event_id')} AS error_class, CASE WHEN event_id % 10 < 8 THEN event_id % 10 <> 0 END AS will_retry
         FROM probes WHERE event_type = 'error'""",
     ),
     "clients": (
@@ -108,27 +108,28 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "ticks": (
         ("attempts", "records"),
-        f"""SELECT client_id, tick, sum(p) AS p, sum(c) AS c FROM (
-        SELECT client_id, ack_ms - ack_ms % {HOUR} + {HOUR} AS tick, 1 AS p, 0 AS c FROM attempts
-        UNION ALL SELECT client_id, recv_ms - recv_ms % {HOUR} + {HOUR}, 0, 1 FROM records) GROUP BY ALL""",
+        f"""SELECT cluster_id, client_id, tick, sum(p) AS p, sum(c) AS c FROM (
+        SELECT cluster_id, client_id, ack_ms - ack_ms % {HOUR} + {HOUR} AS tick, 1 AS p, 0 AS c FROM attempts
+        UNION ALL SELECT cluster_id, client_id, recv_ms - recv_ms % {HOUR} + {HOUR}, 0, 1 FROM records) GROUP BY ALL""",
     ),
     "samples": (
         ("ticks",),
-        f"""SELECT g.client_id, g.tick,
+        f"""SELECT g.cluster_id, g.client_id, g.tick,
         CAST(sum(coalesce(p, 0)) OVER w AS BIGINT) AS produced, CAST(sum(coalesce(c, 0)) OVER w AS BIGINT) AS consumed
-        FROM (SELECT client_id, unnest(range(min(tick), max(tick) + 1, {HOUR})) AS tick FROM ticks GROUP BY client_id) g
-        LEFT JOIN ticks t ON g.client_id = t.client_id AND g.tick = t.tick
-        WINDOW w AS (PARTITION BY g.client_id ORDER BY g.tick ROWS UNBOUNDED PRECEDING)""",
+        FROM (SELECT cluster_id, client_id, unnest(range(min(tick), max(tick) + 1, {HOUR})) AS tick FROM ticks
+              GROUP BY cluster_id, client_id) g
+        LEFT JOIN ticks t ON g.cluster_id = t.cluster_id AND g.client_id = t.client_id AND g.tick = t.tick
+        WINDOW w AS (PARTITION BY g.cluster_id, g.client_id ORDER BY g.tick ROWS UNBOUNDED PRECEDING)""",
     ),
     "ring": (
         ("samples",),
-        """SELECT client_id, tick, first_value(produced) OVER w AS produced_tail, produced AS produced_head,
+        """SELECT cluster_id, client_id, tick, first_value(produced) OVER w AS produced_tail, produced AS produced_head,
         first_value(consumed) OVER w AS consumed_tail, consumed AS consumed_head, count(*) OVER w AS count
-        FROM samples WINDOW w AS (PARTITION BY client_id ORDER BY tick ROWS 9 PRECEDING)""",
+        FROM samples WINDOW w AS (PARTITION BY cluster_id, client_id ORDER BY tick ROWS 9 PRECEDING)""",
     ),
     "status": (
         ("ring",),
-        f"""SELECT client_id, tick, produced_head - produced_tail AS produced_delta,
+        f"""SELECT cluster_id, client_id, tick, produced_head - produced_tail AS produced_delta,
         consumed_head - consumed_tail AS consumed_delta, count, count * {HOUR} AS time_window,
         CASE WHEN produced_head = produced_tail THEN -1.0 ELSE
         floor(CAST((consumed_head - consumed_tail) * 100 AS DOUBLE) / CAST(produced_head - produced_tail AS DOUBLE)
@@ -160,7 +161,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "topics": (
         (),
-        f"""SELECT 'cluster-' || (p_partkey // 200) AS cluster_id, 'topic-' || p_partkey AS topic,
+        f"""SELECT 'cluster-' || (p_partkey // 200) AS cluster_id, 'topic-' || (p_partkey % 200) AS topic,
         CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 1 + p_size % 12 END AS current_partitions,
         CASE WHEN p_size % 2 = 0 THEN -1 ELSE {fx.EXPECTED_SIZE} END AS expected_size,
         p_partkey % 2 = 0 AS first_run,
@@ -187,34 +188,41 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "leaders": (
         (),
-        """SELECT 'topic-' || l_orderkey AS topic, l_linenumber - 1 AS partition_id, min(l_suppkey) % 7 AS leader,
+        """SELECT 'cluster-' || (l_orderkey % 3) AS cluster_id, 'topic-' || (l_orderkey // 3) AS topic,
+        l_linenumber - 1 AS partition_id, min(l_suppkey) % 7 AS leader,
         min(l_suppkey) FILTER (l_quantity >= 5) % 7 AS known, min(l_returnflag) AS flag
         FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     ),
+    "seen_partitions": (
+        (),
+        """SELECT DISTINCT 'cluster-' || (k // 200) AS cluster_id, 'topic-' || (k % 200) AS topic, p AS partition_id FROM (
+        SELECT l_partkey + CASE WHEN l_orderkey % 2 = 0 THEN 200 ELSE 0 END AS k, l_linenumber - 1 AS p FROM lineitem)""",
+    ),
     "hourly": (
         ("probes",),
-        f"""SELECT client_id, partition, ms - ms % {HOUR} + {HOUR} AS scrape_ms, count(*) AS p_total,
+        f"""SELECT cluster_id, client_id, partition, ms - ms % {HOUR} + {HOUR} + (user_id % 5) * {fx.SCRAPE_OFFSET_MS} AS scrape_ms,
+        count(*) AS p_total,
         count(*) FILTER (event_type <> 'error') AS p_n,
         coalesce(sum(lat) FILTER (event_type <> 'error'), 0) AS p_sum,
         count(*) FILTER (event_type <> 'error' AND lat <= 400) AS p_400,
         count(*) FILTER (event_type <> 'error' AND lat NOT BETWEEN 40 AND 41) AS c_n,
         coalesce(sum(2 * lat) FILTER (event_type <> 'error' AND lat NOT BETWEEN 40 AND 41), 0) AS c_sum,
         count(*) FILTER (event_type <> 'error' AND lat NOT BETWEEN 40 AND 41 AND 2 * lat <= 400) AS c_400
-        FROM probes GROUP BY ALL""",
+        FROM probes WHERE client_id <> 'client-4' OR ms < {fx.LAST_SCRAPE_MS} GROUP BY ALL""",
     ),
     "running": (
         ("hourly",),
-        "SELECT client_id, partition, scrape_ms, "
+        "SELECT cluster_id, client_id, partition, scrape_ms, "
         + ", ".join(
             f"CAST(sum({c}) OVER w AS DOUBLE) AS {c}" for c in ("p_total", "p_n", "p_sum", "p_400", "c_n", "c_sum", "c_400")
         )
-        + f""" FROM hourly WINDOW w AS (PARTITION BY client_id, partition, scrape_ms // {10 * DAY}
+        + f""" FROM hourly WINDOW w AS (PARTITION BY cluster_id, client_id, partition, scrape_ms // {10 * DAY}
         ORDER BY scrape_ms ROWS UNBOUNDED PRECEDING)""",
     ),
     "metrics": (
         ("running",),
         " UNION ALL ".join(
-            f"""SELECT '{name}' AS name, client_id AS clientid, CAST(partition AS VARCHAR) AS partition,
+            f"""SELECT '{name}' AS name, cluster_id AS cluster, client_id AS clientid, CAST(partition AS VARCHAR) AS partition,
             {le} AS le, scrape_ms, {column} AS value FROM running"""
             for name, le, column in (
                 ("records_produced_total", "NULL", "p_total"),
@@ -230,18 +238,25 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
             )
         ),
     ),
+    # A series' counter without its restarts.
     "adjusted": (
         ("metrics",),
-        """SELECT *, sum(step) OVER (PARTITION BY name, clientid, partition, le ORDER BY scrape_ms) AS adj FROM (
+        """SELECT *, sum(step) OVER (PARTITION BY name, cluster, clientid, partition, le ORDER BY scrape_ms) AS adj FROM (
         SELECT *, CASE WHEN value < lag(value) OVER w THEN value ELSE coalesce(value - lag(value) OVER w, 0) END AS step
-        FROM metrics WINDOW w AS (PARTITION BY name, clientid, partition, le ORDER BY scrape_ms))""",
+        FROM metrics WINDOW w AS (PARTITION BY name, cluster, clientid, partition, le ORDER BY scrape_ms))""",
+    ),
+    # All times at which dashboards are evaluated, by the hour.
+    "grid": (
+        ("metrics",),
+        f"""SELECT unnest(range(min(scrape_ms) - min(scrape_ms) % {HOUR}, max(scrape_ms) + {7 * HOUR}, {HOUR})) AS at_ms
+        FROM metrics""",
     ),
+    # At each time, from the scrapes of the window that ends there.
     "increases": (
-        ("adjusted",),
-        f"""SELECT name, clientid, partition, le, scrape_ms,
-        CASE WHEN count(*) OVER w >= 2 THEN adj - first_value(adj) OVER w END AS increase FROM adjusted
-        WINDOW w AS (PARTITION BY name, clientid, partition, le ORDER BY scrape_ms
-        RANGE BETWEEN {6 * HOUR - 1} PRECEDING AND CURRENT ROW)""",
+        ("adjusted", "grid"),
+        f"""SELECT name, cluster, clientid, partition, le, at_ms, max(adj) - min(adj) AS increase,
+        max(scrape_ms) - min(scrape_ms) AS covered FROM grid
+        JOIN adjusted ON scrape_ms <= at_ms AND scrape_ms > at_ms - {6 * HOUR} GROUP BY ALL HAVING count(*) >= 2""",
     ),
     "configs": (
         (),
@@ -364,12 +379,17 @@ def _lint() -> str:
 
 def _redacted() -> str:
     shown = []
-    for key, _, default in C.CONFIG_KEYS:
+    for key, kind, default in C.CONFIG_KEYS:
         if key in C.UNPRINTED_KEYS:
             continue
         column = "OWN_CLIENT_ID" if key == "CLIENT_ID" else key
         mark = C.SECRET_PLACEHOLDERS.get(key)
         text = f"coalesce({column}, {_text(default)})"
+        if kind == "int" and not mark:
+            text = f"CAST({_INT.format(column, default)} AS VARCHAR)"
+        if kind == "bool" and not mark:
+            words = ", ".join(_text(w) for w in C.TRUE_WORDS)
+            text = f"CASE WHEN coalesce({column}, {_text(default)}) IN ({words}) THEN 'true' ELSE 'false' END"
         if mark:
             plain = " AND SASL_MECHANISM = 'PLAIN'" if key.startswith("SASL_") else ""
             text = f"CASE WHEN coalesce({column}, '') <> ''{plain} THEN '{mark}' ELSE '' END"
@@ -379,16 +399,16 @@ def _redacted() -> str:
 
 _INT = """CASE WHEN {0} IS NULL THEN {1} WHEN NOT regexp_matches({0}, '^[+-]?[0-9]+$') THEN 0 ELSE
     CAST(greatest(least(CAST({0} AS HUGEINT), 9223372036854775807), -9223372036854775808) AS BIGINT) END"""
-_SERIES = """name || '{clientid="' || clientid || '",partition="' || partition || '"'
+_SERIES = """name || '{clientid="' || clientid || '",cluster="' || cluster || '",partition="' || partition || '"'
     || coalesce(',le="' || le || '"', '') || '}'"""
 
 
 def _ratio(upper: str, lower: str, factor: str, out: str) -> str:
     """Increase of one kind of series by that of another, by metric and labels."""
-    return f"""SELECT metric, clientid, partition, scrape_ms,
+    return f"""SELECT metric, clientid, partition, at_ms,
     CASE WHEN l <> 0 THEN u / l {factor} END AS {out} FROM (
-    SELECT regexp_extract(name, '^(.*_latency)_', 1) AS metric, clientid, partition, scrape_ms,
-    max(increase) FILTER ({upper}) AS u, max(increase) FILTER ({lower}) AS l FROM increases
+    SELECT regexp_extract(name, '^(.*_latency)_', 1) AS metric, clientid, partition, at_ms,
+    sum(increase) FILTER ({upper}) AS u, sum(increase) FILTER ({lower}) AS l FROM increases
     WHERE {upper} OR {lower} GROUP BY ALL)"""
 
 
@@ -455,7 +475,7 @@ def oracles() -> dict[str, str]:
         "status_percentage": _sql("status", "SELECT * FROM status"),
         "status_json": _sql(
             "status",
-            """SELECT client_id, tick, '{"Consuming":{"TimeWindow":' || time_window || ',"Percentage":'
+            """SELECT cluster_id, client_id, tick, '{"Consuming":{"TimeWindow":' || time_window || ',"Percentage":'
             || regexp_replace(printf('%.2f', percentage), '\\.?0+$', '') || '}}' AS json FROM status""",
         ),
         "broker_order": _sql("ordered", "SELECT cluster_id, broker_id, rack, position FROM ordered"),
@@ -473,7 +493,7 @@ def oracles() -> dict[str, str]:
             "plan",
             """SELECT cluster_id, topic, max(dup_broker) AS dup_broker, max(dup_rack) AS dup_rack,
             max(leads) AS max_leaders FROM (
-            SELECT *, count(*) OVER (PARTITION BY topic, leader) AS leads FROM (
+            SELECT *, count(*) OVER (PARTITION BY cluster_id, topic, leader) AS leads FROM (
             SELECT cluster_id, topic, partition_id, count(*) <> count(DISTINCT broker_id) AS dup_broker,
             count(nullif(rack, '')) <> count(DISTINCT nullif(rack, '')) AS dup_rack,
             max(broker_id) FILTER (replica_idx = 0) AS leader FROM plan GROUP BY ALL)) GROUP BY cluster_id, topic""",
@@ -490,7 +510,7 @@ def oracles() -> dict[str, str]:
             CASE WHEN decision = 'CREATE' THEN 'create_topic' WHEN partition_id < current_partitions THEN 'reassign'
             ELSE 'create_partitions' END AS action, partition_id,
             string_agg(CAST(broker_id AS VARCHAR), ',' ORDER BY replica_idx) AS replicas
-            FROM decided d JOIN plan p ON d.topic = p.topic WHERE decision IN ('CREATE', 'REASSIGN') GROUP BY ALL
+            FROM decided d JOIN plan p ON d.cluster_id = p.cluster_id AND d.topic = p.topic WHERE decision IN ('CREATE', 'REASSIGN') GROUP BY ALL
             UNION ALL SELECT cluster_id, topic, 0, 'keep', p, (p % 10) || ',' || ((p + 1) % 10) FROM (
             SELECT *, unnest(range(current_partitions)) AS p FROM decided WHERE decision = 'KEEP')""",
         ),
@@ -501,83 +521,91 @@ def oracles() -> dict[str, str]:
         ),
         "topic_config_merge": _sql(
             "decided",
-            f"""SELECT topic, key, max(v) AS value FROM (
-            SELECT topic, key, last(v ORDER BY i) AS v FROM (
-            SELECT topic, string_split(item, '=')[1] AS key, string_split(item, '=')[2] AS v, i, decision FROM (
-            SELECT topic, decision, unnest(items) AS item, unnest(range(len(items))) AS i FROM (
-            SELECT topic, decision, {_ITEMS} AS items FROM (SELECT *, topic_config AS value FROM decided)
+            f"""SELECT cluster_id, topic, key, max(v) AS value FROM (
+            SELECT cluster_id, topic, key, last(v ORDER BY i) AS v FROM (
+            SELECT cluster_id, topic, string_split(item, '=')[1] AS key, string_split(item, '=')[2] AS v, i, decision FROM (
+            SELECT cluster_id, topic, decision, unnest(items) AS item, unnest(range(len(items))) AS i FROM (
+            SELECT cluster_id, topic, decision, {_ITEMS} AS items FROM (SELECT *, topic_config AS value FROM decided)
             WHERE (decision = 'CREATE' OR alter_config) AND {_PAIRS_OK} AND value <> '')))
-            WHERE decision <> 'CREATE' OR key NOT IN ('cleanup.policy', 'min.insync.replicas') GROUP BY topic, key
-            UNION ALL SELECT topic, 'cleanup.policy', 'delete' FROM decided WHERE decision = 'CREATE'
-            UNION ALL SELECT topic, 'min.insync.replicas', CAST(greatest(1, least(brokers, 3) - 1) AS VARCHAR)
-            FROM decided WHERE decision = 'CREATE') GROUP BY topic, key""",
+            WHERE decision <> 'CREATE' OR key NOT IN ('cleanup.policy', 'min.insync.replicas') GROUP BY cluster_id, topic, key
+            UNION ALL SELECT cluster_id, topic, 'cleanup.policy', 'delete' FROM decided WHERE decision = 'CREATE'
+            UNION ALL SELECT cluster_id, topic, 'min.insync.replicas', CAST(greatest(1, least(brokers, 3) - 1) AS VARCHAR)
+            FROM decided WHERE decision = 'CREATE') GROUP BY cluster_id, topic, key""",
         ),
         "leader_mismatch": _sql(
-            "leaders", "SELECT topic, bool_or(known IS DISTINCT FROM leader) AS mismatch FROM leaders GROUP BY topic"
+            "leaders",
+            """SELECT cluster_id, topic, bool_or(known IS DISTINCT FROM leader) AS mismatch FROM leaders
+            GROUP BY cluster_id, topic""",
         ),
         "leader_election_needed": _sql(
             "leaders",
-            """SELECT topic, n = 1 + any_value(o_custkey) % 7 AND moved AS elect_leader FROM (
-            SELECT topic, count(*) AS n, bool_or(partition_id <> leader) AS moved FROM leaders GROUP BY topic)
-            JOIN orders ON topic = 'topic-' || o_orderkey GROUP BY topic, n, moved""",
+            """SELECT l.cluster_id, l.topic, coalesce(n = o.brokers AND moved, false) AS elect_leader FROM (
+            SELECT cluster_id, topic, count(*) AS n, bool_or(partition_id <> leader) AS moved FROM leaders
+            GROUP BY cluster_id, topic) l
+            LEFT JOIN (SELECT 'cluster-' || (o_orderkey % 3) AS cluster_id, 'topic-' || (o_orderkey // 3) AS topic,
+            1 + o_custkey % 7 AS brokers FROM orders WHERE o_custkey % 11 <> 0) o
+            ON l.cluster_id = o.cluster_id AND l.topic = o.topic""",
         ),
         "reassignment_ongoing": _sql(
-            "leaders", "SELECT topic, bool_or(flag IN ('R', 'A')) AS ongoing FROM leaders GROUP BY topic"
+            "leaders",
+            "SELECT cluster_id, topic, bool_or(flag IN ('R', 'A')) AS ongoing FROM leaders GROUP BY cluster_id, topic",
         ),
         "partition_coverage": _sql(
-            "topics",
-            """SELECT topic, count(*) AS expected, count(l) AS seen, count(*) = count(l) AS covered FROM (
-            SELECT topic, unnest(range(current_partitions)) AS partition_id FROM topics) t
-            LEFT JOIN (SELECT DISTINCT 'topic-' || l_partkey AS l, l_linenumber - 1 AS p FROM lineitem)
-            ON topic = l AND partition_id = p GROUP BY topic""",
+            "topics seen_partitions",
+            """SELECT t.cluster_id, t.topic, count(*) AS expected, count(s.topic) AS seen, count(*) = count(s.topic) AS covered
+            FROM (SELECT cluster_id, topic, unnest(range(current_partitions)) AS partition_id FROM topics) t
+            LEFT JOIN seen_partitions s ON t.cluster_id = s.cluster_id AND t.topic = s.topic
+            AND t.partition_id = s.partition_id GROUP BY t.cluster_id, t.topic""",
         ),
         "partitions_unconsumed": _sql(
-            "topics",
-            """SELECT topic, unnest(range(current_partitions)) AS partition_id FROM topics
-            EXCEPT SELECT 'topic-' || l_partkey, l_linenumber - 1 FROM lineitem""",
+            "topics seen_partitions",
+            """SELECT cluster_id, topic, unnest(range(current_partitions)) AS partition_id FROM topics
+            EXCEPT SELECT * FROM seen_partitions""",
         ),
         "probe_round": _sql(
             "probes",
-            f"""SELECT client_id, tick, partition, message_id, '{{"producerId":"' || client_id || '","messageId":'
+            f"""SELECT cluster_id, client_id, tick, partition, message_id, '{{"producerId":"' || client_id || '","messageId":'
             || message_id || ',"timestamp":' || tick || '}}' AS payload FROM (
-            SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY tick, partition) AS message_id FROM (
-            SELECT client_id, tick, unnest(range(n)) AS partition FROM (
-            SELECT client_id, ms - ms % {HOUR} AS tick, max(partition) + 1 AS n FROM probes GROUP BY ALL)))""",
+            SELECT *, row_number() OVER (PARTITION BY cluster_id, client_id ORDER BY tick, partition) AS message_id FROM (
+            SELECT cluster_id, client_id, tick, unnest(range(n)) AS partition FROM (
+            SELECT cluster_id, client_id, ms - ms % {HOUR} AS tick, max(partition) + 1 AS n FROM probes GROUP BY ALL)))""",
         ),
         "probe_reconcile": _sql(
             "attempts decoded",
-            """SELECT a.client_id, a.partition, a.message_id, count(d.recv_ms) > 0 AS received,
+            """SELECT a.cluster_id, a.client_id, a.partition, a.message_id, count(d.recv_ms) > 0 AS received,
             count(d.recv_ms) AS copies, min(d.recv_ms) AS first_recv_ms FROM attempts a
-            LEFT JOIN decoded d ON a.client_id = d.producer_id AND a.message_id = d.message_id AND a.create_ms = d.sent_ms
-            GROUP BY a.client_id, a.partition, a.message_id, a.create_ms""",
+            LEFT JOIN decoded d ON a.cluster_id = d.cluster_id AND a.client_id = d.producer_id
+            AND a.message_id = d.message_id AND a.create_ms = d.sent_ms
+            GROUP BY a.cluster_id, a.client_id, a.partition, a.message_id, a.create_ms""",
         ),
         "probe_lost": _sql(
             "attempts decoded",
-            """SELECT client_id, partition, message_id, create_ms, error FROM attempts a WHERE NOT EXISTS (
-            SELECT 1 FROM decoded d WHERE a.client_id = d.producer_id AND a.message_id = d.message_id
+            """SELECT cluster_id, client_id, partition, message_id, create_ms, error FROM attempts a WHERE NOT EXISTS (
+            SELECT 1 FROM decoded d WHERE a.cluster_id = d.cluster_id AND a.client_id = d.producer_id AND a.message_id = d.message_id
             AND a.create_ms = d.sent_ms)""",
         ),
-        "join_timeouts": """SELECT 'cluster-' || ((o_custkey % 5) % 2) AS cluster_id,
+        "join_timeouts": """SELECT 'cluster-' || (o_custkey % 2) AS cluster_id,
             'client-' || (o_custkey % 5) AS client_id, count(*) AS attempts,
             count(*) FILTER (CAST(floor(o_totalprice) AS BIGINT) % 60000 > 30000) AS timeouts
             FROM orders GROUP BY ALL""",
         "roster_asof": _sql(
             "probes",
             f"""SELECT DISTINCT cluster_id, check_ms, broker_id FROM (
-            SELECT c.*, CASE WHEN expected_size > 0 AND check_ms >= min(CASE WHEN size = expected_size THEN check_ms END)
-                 OVER (PARTITION BY cluster_id)
-            THEN first_value(snapshot_ms) OVER (PARTITION BY cluster_id ORDER BY size = expected_size DESC, check_ms)
-            ELSE snapshot_ms END AS used FROM (
-            SELECT c.*, s.snapshot_ms, s.size FROM (
+            SELECT c.*, CASE WHEN expected_size > 0 AND check_ms >= min(CASE WHEN fits THEN check_ms END) OVER w
+                 THEN first_value(snapshot_ms) OVER (w ORDER BY fits DESC, check_ms)
+                 WHEN NOT failed THEN snapshot_ms END AS used FROM (
+            SELECT c.*, s.snapshot_ms, s.size = expected_size AND NOT failed AS fits FROM (
+            SELECT *, check_ms // {HOUR} % {fx.FAILED_EVERY} = 0 AS failed FROM (
             SELECT DISTINCT cluster_id, ms - ms % {HOUR} + {HOUR // 2} AS check_ms,
-            CASE WHEN cluster_id = 'cluster-1' THEN {fx.ROSTER_SIZE} ELSE -1 END AS expected_size FROM probes) c
+            CASE WHEN cluster_id = 'cluster-1' THEN {fx.ROSTER_SIZE} ELSE -1 END AS expected_size FROM probes)) c
             ASOF JOIN (SELECT cluster_id, ms - ms % {4 * HOUR} AS snapshot_ms, count(DISTINCT user_id % 12) AS size
             FROM probes WHERE event_type = 'view' GROUP BY ALL) s
-            ON c.cluster_id = s.cluster_id AND c.check_ms >= s.snapshot_ms) c) u
+            ON c.cluster_id = s.cluster_id AND c.check_ms >= s.snapshot_ms) c
+            WINDOW w AS (PARTITION BY cluster_id, expected_size)) u
             JOIN (SELECT DISTINCT cluster_id, ms - ms % {4 * HOUR} AS at, user_id % 12 AS broker_id FROM probes
             WHERE event_type = 'view') m USING (cluster_id) WHERE m.at = u.used""",
         ),
-        "scrape_parse": _sql("metrics", "SELECT name, clientid, partition, le, value FROM metrics"),
+        "scrape_parse": _sql("metrics", "SELECT name, cluster, clientid, partition, le, value FROM metrics"),
         "exposition_lines": _sql(
             "checks",
             f"""SELECT 'probe_connection_latency' || suffix || '{{brokerid="' || broker_id || '",cluster="' || cluster_id
@@ -595,16 +623,18 @@ def oracles() -> dict[str, str]:
         "scrape_growth": _sql(
             "metrics",
             f"""SELECT {_SERIES} AS series, scrape_ms, coalesce(value > lag(value) OVER (
-            PARTITION BY name, clientid, partition, le ORDER BY scrape_ms), false) AS grew FROM metrics""",
+            PARTITION BY name, cluster, clientid, partition, le ORDER BY scrape_ms), false) AS grew FROM metrics""",
         ),
         "dashboard_totals": _sql(
-            "metrics",
-            """SELECT name, sum(v) AS total FROM (SELECT name, clientid, partition, max_by(value, scrape_ms) AS v
-            FROM metrics WHERE ends_with(name, '_total') GROUP BY ALL) GROUP BY name""",
+            "metrics grid",
+            f"""SELECT name, at_ms, sum(v) AS total FROM (
+            SELECT name, cluster, clientid, partition, at_ms, max_by(value, scrape_ms) AS v FROM metrics
+            JOIN grid ON scrape_ms <= at_ms AND scrape_ms > at_ms - {6 * HOUR} AND at_ms % {DAY} = 0
+            WHERE ends_with(name, '_total') GROUP BY ALL) GROUP BY name, at_ms""",
         ),
         "dashboard_rates": _sql(
             "increases",
-            f"""SELECT name, scrape_ms, sum(increase) * 60000.0 / CAST({6 * HOUR} AS DOUBLE) AS per_minute
+            """SELECT name, at_ms, round(sum(increase * 60000.0::DOUBLE / covered), 6) AS per_minute
             FROM increases WHERE ends_with(name, '_total') GROUP BY ALL""",
         ),
         "dashboard_avg_latency": _sql(
@@ -669,19 +699,20 @@ def oracles() -> dict[str, str]:
             AS last_outcome FROM d QUALIFY fits""",
         "probe_overview": _sql(
             "decoded status",
-            f"""SELECT * FROM ({_histogram('decoded', 'latency_ms', 'client_id', C.END_TO_END_BOUNDS)})
-            JOIN (SELECT client_id, max(tick) AS tick, max_by(percentage, tick) AS percentage FROM status
-            GROUP BY client_id) USING (client_id)""",
+            f"""SELECT * FROM ({_histogram('decoded', 'latency_ms', 'cluster_id, client_id', C.END_TO_END_BOUNDS)})
+            JOIN (SELECT cluster_id, client_id, max(tick) AS tick, max_by(percentage, tick) AS percentage FROM status
+            GROUP BY cluster_id, client_id) USING (cluster_id, client_id)""",
         ),
     }
-    found["status_current"] = f"""SELECT client_id, max(tick) AS tick, max_by(json, tick) AS json
-        FROM ({found['status_json']}) GROUP BY client_id"""
+    found["status_current"] = f"""SELECT cluster_id, client_id, max(tick) AS tick, max_by(json, tick) AS json
+        FROM ({found['status_json']}) GROUP BY cluster_id, client_id"""
     found["stream_records_consumed"] = found["records_consumed"]
     found["stream_latency_hist"] = _sql(
         "decoded",
-        _histogram(f"(SELECT *, recv_ms - recv_ms % {DAY} AS window_ms FROM decoded)", "latency_ms", "client_id, window_ms", C.END_TO_END_BOUNDS),
+        _histogram(f"(SELECT *, recv_ms - recv_ms % {DAY} AS window_ms FROM decoded)", "latency_ms", "cluster_id, client_id, window_ms", C.END_TO_END_BOUNDS),
     )
     found["stream_status"] = found["status_percentage"]
+    found["stream_status_current"] = found["status_current"]
     found["stream_reconcile"] = found["probe_reconcile"]
     found["stream_join_timeouts"] = found["join_timeouts"]
     return found

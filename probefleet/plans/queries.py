@@ -221,7 +221,7 @@ def replica_plan(t: Tables) -> DataFrame:
 
 
 def plan_quality(t: Tables) -> DataFrame:
-    return topology.plan_quality(topology.plan_replicas(t.topics, t.brokers), t.brokers)
+    return topology.plan_quality(topology.planned_partitions(t.topics, t.brokers))
 
 
 def reconcile_decision(t: Tables) -> DataFrame:
@@ -237,7 +237,7 @@ def orphan_partitions(t: Tables) -> DataFrame:
 
 
 def topic_config_merge(t: Tables) -> DataFrame:
-    return topology_configs(t).select("topic", "key", "value")
+    return topology_configs(t).select("cluster_id", "topic", "key", "value")
 
 
 def topology_configs(t: Tables) -> DataFrame:
@@ -259,12 +259,12 @@ def reassignment_ongoing(t: Tables) -> DataFrame:
 
 
 def partition_coverage(t: Tables) -> DataFrame:
-    expected = fx.current_replicas(t.topics).select("topic", "partition_id")
+    expected = fx.current_replicas(t.topics).select("cluster_id", "topic", "partition_id")
     return topology.partition_coverage(expected, fx.consumed_partitions(t.raw("lineitem")))
 
 
 def partitions_unconsumed(t: Tables) -> DataFrame:
-    expected = fx.current_replicas(t.topics).select("topic", "partition_id")
+    expected = fx.current_replicas(t.topics).select("cluster_id", "topic", "partition_id")
     return topology.unconsumed_partitions(expected, fx.consumed_partitions(t.raw("lineitem")))
 
 
@@ -274,12 +274,14 @@ def probe_round(t: Tables) -> DataFrame:
 
 def probe_reconcile(t: Tables) -> DataFrame:
     return reconcile.reconcile(t.attempts, t.decoded).select(
-        "client_id", "partition", "message_id", "received", "copies", "first_recv_ms"
+        "cluster_id", "client_id", "partition", "message_id", "received", "copies", "first_recv_ms"
     )
 
 
 def probe_lost(t: Tables) -> DataFrame:
-    return reconcile.lost(t.attempts, t.decoded).select("client_id", "partition", "message_id", "create_ms", "error")
+    return reconcile.lost(t.attempts, t.decoded).select(
+        "cluster_id", "client_id", "partition", "message_id", "create_ms", "error"
+    )
 
 
 def join_timeouts(t: Tables) -> DataFrame:
@@ -297,6 +299,7 @@ def scrape_parse(t: Tables) -> DataFrame:
     label = F.col("labels")
     return scrape.parse_exposition(text.unionByName(comments)).select(
         "name",
+        label["cluster"].alias("cluster"),
         label["clientid"].alias("clientid"),
         label["partition"].alias("partition"),
         label["le"].alias("le"),
@@ -328,19 +331,19 @@ def scrape_growth(t: Tables) -> DataFrame:
 
 
 def dashboard_totals(t: Tables) -> DataFrame:
-    return rates.counter_total(t.metrics.where(F.col("name").endswith("_total")))
+    return rates.counter_total(t.metrics.where(F.col("name").endswith("_total")), fx.DAY_MS, RATE_MS)
 
 
 def dashboard_rates(t: Tables) -> DataFrame:
-    return rates.rate_per_minute(t.metrics.where(F.col("name").endswith("_total")), RATE_MS)
+    return rates.rate_per_minute(t.metrics.where(F.col("name").endswith("_total")), TICK_MS, RATE_MS)
 
 
 def dashboard_avg_latency(t: Tables) -> DataFrame:
-    return rates.avg_latency(t.metrics, RATE_MS)
+    return rates.avg_latency(t.metrics, TICK_MS, RATE_MS)
 
 
 def dashboard_perf_index(t: Tables) -> DataFrame:
-    return rates.share_under(t.metrics, str(C.LATENCY_TARGET_MS), RATE_MS)
+    return rates.share_under(t.metrics, TICK_MS, str(C.LATENCY_TARGET_MS), RATE_MS)
 
 
 def config_typed(t: Tables) -> DataFrame:
@@ -388,9 +391,10 @@ def retry_schedule(t: Tables) -> DataFrame:
 def probe_overview(t: Tables) -> DataFrame:
     """Flagship: per client the end-to-end latency histogram beside its newest status."""
     rows = latency.with_e2e_latency(t.decoded)
-    hist = histograms.latency_histogram(rows, "latency_ms", ["client_id"], C.END_TO_END_BOUNDS)
+    client = ["cluster_id", "client_id"]
+    hist = histograms.latency_histogram(rows, "latency_ms", client, C.END_TO_END_BOUNDS)
     newest = status.newest_status(status.status_window(t.samples, STATUS_MS, TICK_MS))
-    return hist.join(newest.select("client_id", "tick", "percentage"), "client_id")
+    return hist.join(newest.select(*client, "tick", "percentage"), client)
 
 
 BATCH = (
@@ -464,8 +468,6 @@ def portable(df: DataFrame) -> DataFrame:
 def registry() -> dict[str, Query]:
     def over_tables(build):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            # The probe clock is UTC whatever zone the session was started in.
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return portable(build(Tables(spark, sf_dir)))
 
         query.__name__ = build.__name__

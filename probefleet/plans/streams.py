@@ -2,144 +2,126 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probefleet import constants as C
-from probefleet.operators import latency
+from probefleet.operators import latency, reconcile, roster, status
 from probefleet.plans import fixtures as fx
-from probefleet.session import ROCKSDB, shared_folder
+from probefleet.session import shared_folder
 from probefleet.streaming import batches
 from probefleet.streaming import operators as ops
 
 COUNT_KEYS = ("cluster_id", "client_id", "partition")
+CLIENT = ["cluster_id", "client_id"]
 WINDOW_MS = fx.DAY_MS
 TICK_MS = fx.HOUR_MS
 STATUS_MS = 10 * fx.HOUR_MS
-# 9999-12-31: a row of this time closes both sides of a join, as nothing can follow it.
-END_MS = 253402214400000
-MARKER = "end of stream"
+#: A micro-batch takes this many files at most; later ones wait for the next.
+FILES_PER_BATCH = 64
 
 
 def stream_table(t, name: str) -> DataFrame:
     """A table's files as a stream. The pattern admits a single file as well as a folder of files."""
     path = f"{t.sf_dir}/{name}.parque[t]"
-    return t.spark.readStream.schema(t.raw(name).schema).parquet(path)
+    return t.spark.readStream.schema(t.raw(name).schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
 
 
 def _probes(t) -> DataFrame:
     return fx.probes(stream_table(t, "events"))
 
 
-def _drained(t, folder: str, name: str, stream: DataFrame, prepare=None, mode: str = "append") -> DataFrame:
-    table = f"{folder}/{name}"
-    batches.run(batches.write_batches(stream, table, f"{folder}/{name}-checkpoint", prepare, mode))
+def _drained(t, purpose: str, stream: DataFrame, prepare=None) -> DataFrame:
+    """All batches of a stream, landed as they came."""
+    folder = shared_folder(t.spark, purpose)
+    table = f"{folder}/rows"
+    batches.run(batches.write_batches(stream, table, f"{folder}/checkpoint", prepare))
     return t.spark.read.option("basePath", table).parquet(f"{table}/batch_id=*")
 
 
+def _merged(t, purpose: str, stream: DataFrame, prepare, merge, publish=None) -> DataFrame:
+    """The current table after the last batch of a stream."""
+    folder = shared_folder(t.spark, purpose)
+    table = f"{folder}/current"
+    last = batches.run(batches.merge_batches(stream, table, f"{folder}/checkpoint", prepare, merge, publish))
+    return t.spark.read.parquet(f"{table}/batch_id={last}")
+
+
 def stream_records_consumed(t) -> DataFrame:
-    """Consume counters as a running aggregation."""
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    counted = ops.stream_counts(fx.consume_records(_probes(t)), COUNT_KEYS)
-    folder = shared_folder(t.spark, "records-consumed")
-    updates = _drained(t, folder, "counts", counted, mode="update")
-    return ops.newest_counts(updates, COUNT_KEYS).withColumnRenamed("value", "consumed_total")
+    """Consume counters as a current table that each batch adds to."""
+    current = _merged(
+        t,
+        "records-consumed",
+        fx.consume_records(_probes(t)),
+        lambda batch: ops.partial_counts(batch, COUNT_KEYS),
+        lambda parts: ops.merge_counts(parts, COUNT_KEYS),
+    )
+    return current.withColumnRenamed("value", "consumed_total")
 
 
 def stream_latency_hist(t) -> DataFrame:
     """Daily end-to-end histograms from the parts of each batch."""
     rows = latency.with_e2e_latency(latency.decode_records(fx.consume_records(_probes(t))))
-    folder = shared_folder(t.spark, "latency-hist")
 
     def prepare(batch: DataFrame) -> DataFrame:
-        return ops.partial_histogram(batch, "latency_ms", "recv_ms", ["client_id"], C.END_TO_END_BOUNDS, WINDOW_MS)
+        return ops.partial_histogram(batch, "latency_ms", "recv_ms", CLIENT, C.END_TO_END_BOUNDS, WINDOW_MS)
 
-    parts = _drained(t, folder, "parts", rows, prepare)
-    return ops.merge_histograms(parts, ["client_id"], C.END_TO_END_BOUNDS)
+    return ops.merge_histograms(_drained(t, "latency-hist", rows, prepare), CLIENT, C.END_TO_END_BOUNDS)
 
 
-def stream_status(t) -> DataFrame:
-    """Status at each tick from the parts of each batch."""
-    produced = fx.produce_attempts(_probes(t)).select("client_id", F.col("ack_ms"), F.lit(None).cast("bigint").alias("recv_ms"))
-    consumed = fx.consume_records(_probes(t)).select("client_id", F.lit(None).cast("bigint").alias("ack_ms"), "recv_ms")
-    folder = shared_folder(t.spark, "status")
+def _tick_stream(t) -> DataFrame:
+    none = F.lit(None).cast("bigint")
+    produced = fx.produce_attempts(_probes(t)).select(*CLIENT, F.col("ack_ms"), none.alias("recv_ms"))
+    consumed = fx.consume_records(_probes(t)).select(*CLIENT, none.alias("ack_ms"), "recv_ms")
+    return produced.unionByName(consumed)
 
-    def prepare(batch: DataFrame) -> DataFrame:
-        sent, back = batch.where(F.col("ack_ms").isNotNull()), batch.where(F.col("recv_ms").isNotNull())
-        return ops.partial_ticks(sent, back, TICK_MS)
 
-    ticks = _drained(t, folder, "ticks", produced.unionByName(consumed), prepare)
-    return ops.status_from_ticks(ticks, STATUS_MS, TICK_MS)
+def _ticks(batch: DataFrame) -> DataFrame:
+    sent, back = batch.where(F.col("ack_ms").isNotNull()), batch.where(F.col("recv_ms").isNotNull())
+    return ops.partial_ticks(sent, back, TICK_MS)
 
 
-def _closing(t, folder: str, schema_of: DataFrame, marker: dict) -> tuple[DataFrame, callable]:
-    """A stream that stays empty until the returned function writes one closing row of time ``END_MS``."""
-    path = f"{folder}/marker"
-    empty = t.spark.createDataFrame([], schema_of.schema)
-    empty.write.parquet(path)
+def stream_status(t) -> DataFrame:
+    """Status at each tick from the parts of each batch."""
+    return ops.status_from_ticks(_drained(t, "status", _tick_stream(t), _ticks), STATUS_MS, TICK_MS)
 
-    def close() -> None:
-        row = t.spark.range(1).select(
-            *[F.lit(marker.get(f.name)).cast(f.dataType).alias(f.name) for f in schema_of.schema]
-        )
-        row.write.mode("append").parquet(path)
 
-    return t.spark.readStream.schema(schema_of.schema).parquet(path), close
+def stream_status_current(t) -> DataFrame:
+    """The newest status document of each client, kept current by each batch from a table of recent ticks."""
+    folder = shared_folder(t.spark, "status-documents")
 
+    def publish(current: DataFrame, batch_id: int) -> None:
+        documents = status.to_status_json(ops.current_status(current, STATUS_MS, TICK_MS))
+        documents.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
-def _joined(t, purpose: str, left: DataFrame, right: DataFrame, join, left_end: dict, right_end: dict) -> DataFrame:
-    """Drain a stream join, then close it, so that rows still waiting for a partner come out."""
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    folder = shared_folder(t.spark, purpose)
-    left_more, close_left = _closing(t, f"{folder}/left", left, left_end)
-    right_more, close_right = _closing(t, f"{folder}/right", right, right_end)
-    joined = join(left.unionByName(left_more), right.unionByName(right_more))
-    _drained(t, folder, "rows", joined)
-    close_left()
-    close_right()
-    return _drained(t, folder, "rows", joined)
+    merge = lambda parts: ops.recent_ticks(parts, STATUS_MS, TICK_MS)
+    _merged(t, "status-current", _tick_stream(t), _ticks, merge, publish)
+    written = t.spark.read.option("basePath", folder).parquet(f"{folder}/batch_id=*")
+    return status.newest_status(written.drop("batch_id"))
 
 
 def stream_reconcile(t) -> DataFrame:
-    """Produced messages and their copies as a stream join."""
-    keys = ["client_id", "partition", "message_id", "create_ms"]
-    produced = fx.produce_attempts(_probes(t)).select(*keys)
-    decoded = latency.decode_records(fx.consume_records(_probes(t))).select(
-        "producer_id", "message_id", "timestamp", "recv_ms"
-    )
-    matches = _joined(
-        t,
-        "reconcile",
-        produced,
-        decoded,
-        ops.match_streams,
-        {"client_id": MARKER, "partition": 0, "message_id": 0, "create_ms": END_MS},
-        {"producer_id": MARKER, "message_id": 1, "timestamp": END_MS, "recv_ms": END_MS},
-    )
-    return ops.merge_matches(matches.where(F.col("client_id") != MARKER), keys).drop("create_ms")
+    """Produced messages and their copies: both sides land as they come and meet over all that landed.
+
+    Malformed records match nothing and stay behind.
+    """
+    keys = [*CLIENT, "partition", "message_id", "create_ms"]
+    produced = _drained(t, "sent", fx.produce_attempts(_probes(t)).select(*keys))
+    decoded = latency.decode_records(fx.consume_records(_probes(t))).where(~F.col("is_malformed"))
+    back = _drained(t, "received", decoded.select("cluster_id", "producer_id", "message_id", "timestamp", "recv_ms"))
+    return reconcile.reconcile(produced.select(*keys), back).drop("create_ms")
 
 
 def stream_join_timeouts(t) -> DataFrame:
-    """Group join timeouts as a stream join."""
-    events = fx.join_events(stream_table(t, "orders"))
-    columns = ["cluster_id", "client_id", "attempt", "ts_ms"]
-    end = {"cluster_id": MARKER, "client_id": MARKER, "ts_ms": END_MS}
-    attempts = _joined(
-        t,
-        "join-timeouts",
-        events.where(F.col("kind") == "start").select(*columns),
-        events.where(F.col("kind") == "ready").select(*columns),
-        ops.join_attempt_streams,
-        {**end, "attempt": 0},
-        {**end, "attempt": 1},
-    )
-    return ops.merge_attempts(attempts.where(F.col("client_id") != MARKER))
+    """Group join timeouts over the signals that landed."""
+    return roster.join_timeouts(_drained(t, "join-timeouts", fx.join_events(stream_table(t, "orders"))).drop("batch_id"))
 
 
 STREAMS = (
     stream_records_consumed,
     stream_latency_hist,
     stream_status,
+    stream_status_current,
     stream_reconcile,
     stream_join_timeouts,
 )

@@ -14,7 +14,7 @@ TOPIC_PARTITION = (
     "cluster_id STRING, topic STRING, topic_error STRING, partition_id INT, leader INT, replicas ARRAY<INT>, "
     "isr ARRAY<INT>, offline ARRAY<INT>"
 )
-REASSIGNMENT = "topic STRING, partition_id INT, adding ARRAY<INT>, removing ARRAY<INT>"
+REASSIGNMENT = "cluster_id STRING, topic STRING, partition_id INT, adding ARRAY<INT>, removing ARRAY<INT>"
 METRIC_SAMPLE = "scrape_ms BIGINT, name STRING, labels MAP<STRING, STRING>, value DOUBLE"
 LOG_LINE = "path STRING, value STRING"
 CONFIG = "client_id STRING, key STRING, value STRING"
@@ -24,7 +24,7 @@ ERROR_EVENT = (
     "cluster_id STRING, client_id STRING, topic STRING, step STRING, error_class STRING, ts_ms BIGINT, "
     "will_retry BOOLEAN"
 )
-STATUS_SAMPLE = "client_id STRING, tick BIGINT, produced BIGINT, consumed BIGINT"
+STATUS_SAMPLE = "cluster_id STRING, client_id STRING, tick BIGINT, produced BIGINT, consumed BIGINT"
 KAFKA_RECORD = (
     "key BINARY, value BINARY, topic STRING, partition INT, offset BIGINT, timestamp TIMESTAMP, timestampType INT"
 )

@@ -19,15 +19,26 @@ def read_probe_stream(spark: SparkSession, servers: str, topic: str, **options:
     )
 
 
+#: The record's timestamp is the broker's, set on arrival.
+LOG_APPEND_TIME = 1
+
+
 def consume_records(kafka: DataFrame, cluster_id: str, client_id: str) -> DataFrame:
-    """Records in the form of the consume table. The broker's clock stands for the time of receipt."""
+    """Records in the form of the consume table; recv_ms is the time at which the record is received.
+
+    By default a topic keeps the time at which the producer made a record, which says nothing about its receipt. So
+    only a time that the broker set on arrival is taken; of other records the receipt is the time of the query's
+    micro-batch (of a batch job: its start).
+    """
+    arrived = F.when(F.col("timestampType") == LOG_APPEND_TIME, F.col("timestamp")).otherwise(F.current_timestamp())
     return kafka.select(
         F.lit(cluster_id).alias("cluster_id"),
         F.lit(client_id).alias("client_id"),
         "partition",
         "offset",
         F.col("value").cast("string").alias("value"),
-        F.unix_millis("timestamp").alias("recv_ms"),
+        F.unix_millis(arrived).alias("recv_ms"),
+        (F.col("timestampType") == LOG_APPEND_TIME).alias("recv_by_broker"),
     )
 
 

@@ -9,15 +9,18 @@ from probefleet.operators.scrape import to_exposition, type_lines
 
 
 def write_exposition(samples: DataFrame, path: str, prefix: str = "") -> None:
-    """Text files in which a metric's lines stand together, its type first."""
-    lines = type_lines(samples, prefix).withColumn("_rank", F.lit(0)).unionByName(
+    """Text files in which a metric's lines stand together, its help and type first.
+
+    Ranges are cut by the lines themselves, so a metric with many series spreads over several files in their order.
+    """
+    lines = type_lines(samples, prefix).withColumnRenamed("rank", "_rank").unionByName(
         to_exposition(samples, prefix).select(
             F.regexp_replace("name", r"_latency_(bucket|sum|count)$", "_latency").alias("name"),
             "line",
-            F.lit(1).alias("_rank"),
+            F.lit(2).alias("_rank"),
         )
     )
-    ordered = lines.repartitionByRange("name", "_rank").sortWithinPartitions("name", "_rank")
+    ordered = lines.repartitionByRange("name", "_rank", "line").sortWithinPartitions("name", "_rank", "line")
     ordered.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 

@@ -1,8 +1,8 @@
 """Streaming forms of the operators.
 
-Counters, histograms and tick counts are sums, so a micro-batch only contributes its own partial result;
-the table of partial results adds up to the batch result, whatever order records arrive in. Matching a
-message with its return needs state and joins two streams within watermarks.
+Counters, histograms and tick counts are sums, so a micro-batch only contributes its own partial result, whatever order
+records arrive in; parts add up to the batch result. Messages and group joins are matched over what has landed, so no
+copy and no signal is too late to count.
 """
 
 from __future__ import annotations
@@ -10,22 +10,32 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from probefleet import constants as C
 from probefleet.operators.chunks import chunk_start
 from probefleet.operators.histograms import bucket_counts, check_bounds, long_buckets
-from probefleet.operators.status import accumulate, add_increments, status_window, tick_increments
+from probefleet.operators.status import (
+    KEYS,
+    accumulate,
+    add_increments,
+    ring_size,
+    status_of_ring,
+    status_window,
+    tick_increments,
+)
 
+#: A tick row before all others: what a client counted before the ticks that are kept.
+BEFORE = -(2**62)
 
-def stream_counts(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Running counters; for output mode ``update`` or ``complete``. State is one row per series."""
-    return stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("value"))
 
+def partial_counts(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One batch's part of a counter."""
+    return batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("value"))
 
-def newest_counts(batches: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The counters from a table of updates."""
-    return batches.groupBy(*keys).agg(F.max_by("value", "batch_id").alias("value"))
+
+def merge_counts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return parts.groupBy(*keys).agg(F.sum("value").alias("value"))
 
 
 def partial_histogram(
@@ -48,27 +58,6 @@ def merge_histograms(partials: DataFrame, keys: Sequence[str], bounds: Sequence[
     return long_buckets(wide, [*keys, "window_ms"], bounds)
 
 
-def windowed_histogram(
-    stream: DataFrame,
-    value: str,
-    event_time: str,
-    keys: Sequence[str],
-    bounds: Sequence[float],
-    window: str = "5 minutes",
-    delay: str = "10 minutes",
-) -> DataFrame:
-    """Histograms by event-time window, each given out once it is closed. Records past the delay are not counted."""
-    bounds = check_bounds(bounds)
-    wide = (
-        stream.withWatermark(event_time, delay)
-        .where(F.col(value).isNotNull())
-        .groupBy(F.window(event_time, window), *keys)
-        .agg(*bucket_counts(F.col(value), bounds))
-        .withColumn("window_ms", F.unix_millis(F.col("window.start")))
-    )
-    return long_buckets(wide, [*keys, "window_ms"], bounds)
-
-
 def partial_ticks(produced: DataFrame, consumed: DataFrame, tick_ms: int) -> DataFrame:
     """One batch's part of the records per client and tick."""
     return tick_increments(produced, consumed, tick_ms)
@@ -76,73 +65,47 @@ def partial_ticks(produced: DataFrame, consumed: DataFrame, tick_ms: int) -> Dat
 
 def status_from_ticks(partials: DataFrame, window_ms: int, tick_ms: int) -> DataFrame:
     """Status at every tick from all parts."""
-    increments = add_increments(partials.select("client_id", "tick", "produced", "consumed"))
+    increments = add_increments(partials.select(*KEYS, "tick", "produced", "consumed"))
     return status_window(accumulate(increments, tick_ms), window_ms, tick_ms)
 
 
-def match_streams(
-    produced: DataFrame, decoded: DataFrame, delay: str = "10 minutes", bound: str = "1 hour"
-) -> DataFrame:
-    """Each produced message with each copy that came back, or with none once it can no longer come.
+def recent_ticks(parts: DataFrame, window_ms: int, tick_ms: int) -> DataFrame:
+    """The ticks that a client's next status needs, and one row (tick BEFORE) for all that came earlier.
 
-    A copy must arrive within ``bound`` of the creation; clocks may differ by as much.
+    A record that arrives late adds to its tick, or to the earlier ones.
     """
-    sent = produced.withColumn("sent_at", F.timestamp_millis("create_ms")).withWatermark("sent_at", delay)
-    back = decoded.select(
-        "producer_id",
-        F.col("message_id").alias("back_id"),
-        F.col("timestamp").alias("back_create_ms"),
-        "recv_ms",
-        F.timestamp_millis("recv_ms").alias("back_at"),
-    ).withWatermark("back_at", delay)
-    span = F.expr(f"INTERVAL {bound}")
-    on = (
-        (F.col("client_id") == F.col("producer_id"))
-        & (F.col("message_id") == F.col("back_id"))
-        & (F.col("create_ms") == F.col("back_create_ms"))
-        & (F.col("back_at") >= F.col("sent_at") - span)
-        & (F.col("back_at") <= F.col("sent_at") + span)
-    )
-    return sent.join(back, on, "leftOuter").select(*produced.columns, "recv_ms")
-
-
-def merge_matches(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Copies received of each message."""
-    copies = F.count("recv_ms")
-    return matches.groupBy(*keys).agg(
-        (copies > 0).alias("received"), copies.alias("copies"), F.min("recv_ms").alias("first_recv_ms")
-    )
+    sums = add_increments(parts)
+    reach = ring_size(window_ms, tick_ms) * tick_ms
+    last = F.max("tick").over(W.partitionBy(*KEYS))
+    kept = F.when(F.col("tick") > last - reach, F.col("tick")).otherwise(F.lit(BEFORE))
+    return add_increments(sums.withColumn("tick", kept))
 
 
-def join_attempt_streams(
-    starts: DataFrame, readies: DataFrame, timeout_ms: int = C.JOIN_TIMEOUT_MS, delay: str = "1 minute"
-) -> DataFrame:
-    """Each start of a group join with its ready signals, or with none once the timeout has passed."""
-    keys = ("cluster_id", "client_id", "attempt")
-    begun = starts.select(
-        *keys, F.col("ts_ms").alias("start_ms"), F.timestamp_millis("ts_ms").alias("start_at")
-    ).withWatermark("start_at", delay)
-    ready = readies.select(
-        *[F.col(k).alias(f"ready_{k}") for k in keys],
-        F.col("ts_ms").alias("ready_ms"),
-        F.timestamp_millis("ts_ms").alias("ready_at"),
-    ).withWatermark("ready_at", delay)
-    wait = F.expr(f"INTERVAL {timeout_ms} MILLISECOND")
-    on = (
-        (F.col("cluster_id") == F.col("ready_cluster_id"))
-        & (F.col("client_id") == F.col("ready_client_id"))
-        & (F.col("attempt") == F.col("ready_attempt"))
-        & (F.col("ready_at") >= F.col("start_at"))
-        & (F.col("ready_at") <= F.col("start_at") + wait)
-    )
-    return begun.join(ready, on, "leftOuter").select(*keys, "start_ms", "ready_ms")
+def current_status(ticks: DataFrame, window_ms: int, tick_ms: int) -> DataFrame:
+    """Each client's status at its newest tick, from the rows of ``recent_ticks``.
 
-
-def merge_attempts(attempts: DataFrame) -> DataFrame:
-    """Attempts and timeouts of each client."""
-    each = attempts.groupBy("cluster_id", "client_id", "attempt", "start_ms").agg(
-        F.count("ready_ms").alias("_ready")
+    The oldest sample of the window has counted its own tick and all before it, so the change since then is the sum of
+    the later ticks of the window.
+    """
+    size = ring_size(window_ms, tick_ms)
+    own = W.partitionBy(*KEYS)
+    newest = F.max("tick").over(own)
+    first = F.min(F.when(F.col("tick") != BEFORE, F.col("tick"))).over(own)
+    more = F.max(F.col("tick") == BEFORE).over(own)
+    held = ticks.select(
+        *KEYS,
+        "tick",
+        "produced",
+        "consumed",
+        newest.alias("_newest"),
+        F.when(more, F.lit(size)).otherwise(F.least((newest - first) / tick_ms + 1, F.lit(size))).cast("bigint").alias("count"),
     )
-    return each.groupBy("cluster_id", "client_id").agg(
-        F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("_ready") == 0).alias("timeouts")
+    later = F.col("tick") > F.col("_newest") - (F.col("count") - 1) * tick_ms
+    none = F.lit(0).cast("bigint")
+    ring = held.groupBy(*KEYS, F.col("_newest").alias("tick"), "count").agg(
+        none.alias("produced_tail"),
+        F.sum(F.when(later, F.col("produced")).otherwise(none)).alias("produced_head"),
+        none.alias("consumed_tail"),
+        F.sum(F.when(later, F.col("consumed")).otherwise(none)).alias("consumed_head"),
     )
+    return status_of_ring(ring, tick_ms)

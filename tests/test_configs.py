@@ -44,6 +44,22 @@ def test_typed_defaults_and_custom_values(rows):
     assert custom.sarama_log_enabled is True and custom.own_client_id == "my-client-id"
 
 
+def test_clients_that_set_nothing_known(rows):
+    df = rows(CONFIG, ("other", "SOMETHING", "x"))
+    clients = rows("client_id STRING", ("silent",), ("other",))
+    typed = configs.typed_config(df, clients=clients).collect()
+    assert sorted(r.client_id for r in typed) == ["other", "silent"] and {r.topic for r in typed} == {"__probe"}
+    assert {r.client_id for r in configs.redact_config(df, clients).collect()} == {"other", "silent"}
+    assert {r.client_id for r in configs.lint_config(df).collect()} == {"other"}
+
+
+def test_printed_values_are_the_understood_ones(rows):
+    df = rows(CONFIG, ("c", "EXPECTED_CLUSTER_SIZE", "three"), ("c", "TLS_ENABLED", "T"), ("c", "VERBOSITY_LOG_LEVEL", "+7"), ("c", "SARAMA_LOG_ENABLED", "on"))
+    got = {r.key: r.shown for r in configs.redact_config(df).collect()}
+    assert (got["EXPECTED_CLUSTER_SIZE"], got["TLS_ENABLED"], got["VERBOSITY_LOG_LEVEL"]) == ("0", "true", "7")
+    assert (got["SARAMA_LOG_ENABLED"], got["RECONCILE_INTERVAL_MS"], got["TOPIC"]) == ("false", "30000", "__probe")
+
+
 def test_secrets_are_not_shown(rows):
     scram = {**CUSTOM, "SASL_MECHANISM": "SCRAM-SHA-256"}
     df = rows(CONFIG, *[("plain", k, v) for k, v in CUSTOM.items()], *[("scram", k, v) for k, v in scram.items()])
@@ -81,16 +97,16 @@ def test_dynamic_config_text(rows):
 def test_topic_config_merge(rows):
     text = "cleanup.policy=compact;retention.ms=5"
     df = rows(
-        "topic STRING, topic_config STRING, brokers BIGINT, decision STRING",
-        ("new", text, 5, "CREATE"), ("plain", "", 1, "CREATE"), ("old", text, 5, "REASSIGN"), ("none", "", 5, "KEEP"),
+        "cluster_id STRING, topic STRING, topic_config STRING, brokers BIGINT, decision STRING",
+        ("c", "new", text, 5, "CREATE"), ("d", "new", "", 1, "CREATE"), ("c", "old", text, 5, "REASSIGN"), ("c", "none", "", 5, "KEEP"),
     )
     found = {}
     for r in configs.merge_topic_config(df).collect():
-        found.setdefault(r.topic, {})[r.key] = r.value
+        found.setdefault((r.cluster_id, r.topic), {})[r.key] = r.value
     assert found == {
-        "new": {"retention.ms": "5", "min.insync.replicas": "2", "cleanup.policy": "delete"},
-        "plain": {"min.insync.replicas": "1", "cleanup.policy": "delete"},
-        "old": {"cleanup.policy": "compact", "retention.ms": "5"},
+        ("c", "new"): {"retention.ms": "5", "min.insync.replicas": "2", "cleanup.policy": "delete"},
+        ("d", "new"): {"min.insync.replicas": "1", "cleanup.policy": "delete"},
+        ("c", "old"): {"cleanup.policy": "compact", "retention.ms": "5"},
     }
 
 

@@ -24,14 +24,14 @@ LINES = {
 
 def test_log_lines(spark, tmp_path):
     (tmp_path / "a.log").write_text("\n".join(LINES))
-    got = logs.parse_log_lines(read_log_lines(spark, [str(tmp_path / "a.log")]))
+    got = logs.parse_log_lines(read_log_lines(spark, [str(tmp_path / "a.log")]), strict=True)
     assert sorted((r.kind, r.duration_ms) for r in got.collect()) == sorted(x for x in LINES.values() if x)
     assert got.columns == ["path", "kind", "duration_ms"]
 
 
 def test_log_lines_with_long_broker_ids(rows):
     df = rows("value STRING", *[(line,) for line in LINES])
-    found = logs.parse_log_lines(df, strict=False)
+    found = logs.parse_log_lines(df)
     assert sorted(r.duration_ms for r in found.where("kind = 'connection'").collect()) == [5, 8, 23]
 
 
@@ -126,6 +126,8 @@ def test_error_counters(rows):
         ("c", "x", "t", "expected_size", False),
         ("c", "x", "t", "describe_topic", False),
         ("c", "x", "t", "something else", True),
+        ("c", "y", "t", "producer_refresh", None),
+        ("c", "y", "t", "client_creation", None),
     )
     clients = rows("cluster_id STRING, client_id STRING, topic STRING", ("c", "x", "t"), ("c", "y", "t"))
     got = {(r.metric, r.client_id, r.topic): r.value for r in counters.error_counters(errors, clients).collect()}
@@ -133,7 +135,7 @@ def test_error_counters(rows):
         ("consumer_error_total", "x", ""): 1,
         ("consumer_error_total", "y", ""): 0,
         ("producer_refresh_metadata_error_total", "x", ""): 0,
-        ("producer_refresh_metadata_error_total", "y", ""): 0,
+        ("producer_refresh_metadata_error_total", "y", ""): 1,
         ("consumer_refresh_metadata_error_total", "x", ""): 0,
         ("consumer_refresh_metadata_error_total", "y", ""): 0,
         ("client_creation_error_total", "", ""): 1,

@@ -7,10 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from probefleet.plans.oracles import oracles
+from probefleet.plans.queries import registry
 
 DATA = os.environ.get("PROBEFLEET_TEST_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry(), oracles()
 TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
@@ -28,6 +30,7 @@ def normal(value):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -65,5 +68,5 @@ def test_scans_read_only_what_they_need(spark):
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["client_id", "le", "bucket_count", "sum", "count", "tick", "percentage"]
+    assert df.columns == ["cluster_id", "client_id", "le", "bucket_count", "sum", "count", "tick", "percentage"]
     assert df.count() > 0

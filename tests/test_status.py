@@ -18,49 +18,52 @@ class Ring:
 
 
 def test_ring_literal(rows):
-    samples = rows("client_id STRING, tick BIGINT, produced BIGINT, consumed BIGINT", *[("c", i * 2000, i, i) for i in range(1, 7)])
+    samples = rows("cluster_id STRING, client_id STRING, tick BIGINT, produced BIGINT, consumed BIGINT", *[("k", "c", i * 2000, i, i) for i in range(1, 7)])
     got = {r.tick // 2000: (r.produced_tail, r.produced_head, r["count"]) for r in status.status_ring(samples, 10000, 2000).collect()}
     assert got == {1: (1, 1, 1), 2: (1, 2, 2), 3: (1, 3, 3), 4: (1, 4, 4), 5: (1, 5, 5), 6: (2, 6, 5)}
 
 
-@pytest.mark.parametrize("size", [1, 2, 5, 10, 384])
+@pytest.mark.parametrize("size", [1, 2, 5, 10, 384, 1200, 5000])
 def test_ring_equals_model(spark, size):
     rnd = random.Random(size)
     data, want = [], {}
-    for client in ("x", "y"):
+    for cluster, client in (("k", "x"), ("l", "x"), ("k", "y")):
         ring, produced, consumed = Ring(size), 0, 0
-        for tick in range(-3, 6000 if client == "x" else 9):
+        for tick in range(-3, 6000 if (cluster, client) == ("k", "x") else 9):
             produced, consumed = produced + rnd.choice([0, 0, 3]), consumed + rnd.randint(0, 4)
             ring.put((produced, consumed))
-            data.append((client, tick * 1000, produced, consumed))
+            data.append((cluster, client, tick * 1000, produced, consumed))
             (p0, c0), (p1, c1) = ring.values[0], ring.values[-1]
             share = -1.0 if p1 == p0 else int((c1 - c0) * 100 / (p1 - p0) * 100 + 0.5) / 100
-            want[client, tick * 1000] = (len(ring.values), len(ring.values) * 1000, share)
-    samples = spark.createDataFrame(data, "client_id STRING, tick BIGINT, produced BIGINT, consumed BIGINT")
+            want[cluster, client, tick * 1000] = (len(ring.values), len(ring.values) * 1000, share)
+    samples = spark.createDataFrame(data, "cluster_id STRING, client_id STRING, tick BIGINT, produced BIGINT, consumed BIGINT")
     got = status.status_window(samples, size * 1000, 1000).collect()
-    assert {(r.client_id, r.tick): (r["count"], r.time_window, r.percentage) for r in got} == want
+    assert {(r.cluster_id, r.client_id, r.tick): (r["count"], r.time_window, r.percentage) for r in got} == want
 
 
 def test_ring_size():
     assert status.ring_size(300000, 30000) == 10
-    assert status.ring_size(10**9, 1000) == 384
+    assert status.ring_size(10 * 3600 * 1000, 30000) == 1200
     with pytest.raises(ValueError):
         status.ring_size(1000, 2000)
 
 
 def test_counters_are_sampled_at_every_tick(rows):
-    produced = rows("client_id STRING, ack_ms BIGINT", ("x", 5), ("x", 999), ("x", 1000), ("x", 5_000_500), ("y", 7))
-    consumed = rows("client_id STRING, recv_ms BIGINT", ("x", 1001), ("x", 5_000_999))
-    got = {(r.client_id, r.tick): (r.produced, r.consumed) for r in status.sample_counters(produced, consumed, 1000).collect()}
-    assert len([k for k in got if k[0] == "x"]) == 5001 and got["y", 1000] == (1, 0)
-    assert got["x", 1000] == (2, 0) and got["x", 2000] == (3, 1) and got["x", 5_000_000] == (3, 1)
-    assert got["x", 5_001_000] == (4, 2)
+    produced = rows(
+        "cluster_id STRING, client_id STRING, ack_ms BIGINT",
+        ("k", "x", 5), ("k", "x", 999), ("k", "x", 1000), ("k", "x", 5_000_500), ("l", "x", 7),
+    )
+    consumed = rows("cluster_id STRING, client_id STRING, recv_ms BIGINT", ("k", "x", 1001), ("k", "x", 5_000_999))
+    got = {(r.cluster_id, r.tick): (r.produced, r.consumed) for r in status.sample_counters(produced, consumed, 1000).collect()}
+    assert len([k for k in got if k[0] == "k"]) == 5001 and got["l", 1000] == (1, 0)
+    assert got["k", 1000] == (2, 0) and got["k", 2000] == (3, 1) and got["k", 5_000_000] == (3, 1)
+    assert got["k", 5_001_000] == (4, 2)
 
 
 def test_status_document(rows):
     df = rows(
-        "client_id STRING, tick BIGINT, time_window BIGINT, percentage DOUBLE",
-        ("x", 1, 150000, 100.0), ("x", 2, 30000, -1.0), ("x", 3, 300000, 66.67),
+        "cluster_id STRING, client_id STRING, tick BIGINT, time_window BIGINT, percentage DOUBLE",
+        ("k", "x", 1, 150000, 100.0), ("k", "x", 2, 30000, -1.0), ("k", "x", 3, 300000, 66.67),
     )
     assert [r.json for r in status.to_status_json(df).orderBy("tick").collect()] == [
         '{"Consuming":{"TimeWindow":150000,"Percentage":100}}',
@@ -70,5 +73,5 @@ def test_status_document(rows):
 
 
 def test_newest_status(rows):
-    df = rows("client_id STRING, tick BIGINT, time_window BIGINT, percentage DOUBLE", ("x", 1, 5, 1.0), ("x", 3, 7, -1.0), ("y", 2, 9, 50.0))
-    assert sorted(tuple(r) for r in status.newest_status(df).collect()) == [("x", 3, 7, -1.0), ("y", 2, 9, 50.0)]
+    df = rows("cluster_id STRING, client_id STRING, tick BIGINT, time_window BIGINT, percentage DOUBLE", ("k", "x", 1, 5, 1.0), ("k", "x", 3, 7, -1.0), ("l", "x", 2, 9, 50.0))
+    assert sorted(tuple(r) for r in status.newest_status(df).collect()) == [("k", "x", 3, 7, -1.0), ("l", "x", 2, 9, 50.0)]

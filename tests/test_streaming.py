@@ -30,7 +30,7 @@ def landed(spark, tmp_path_factory):
         "partition",
         "offset",
         F.timestamp_millis(F.col("sent") + F.col("lat")).alias("timestamp"),
-        F.lit(0).alias("timestampType"),
+        F.lit(1).alias("timestampType"),
     )
     for part in range(4):
         df.where(F.col("offset") % 4 == part).coalesce(1).write.mode("append").parquet(folder)
@@ -59,9 +59,16 @@ def same(a, b):
 
 
 def test_counts(spark, landed):
-    updates = drained(spark, ops.stream_counts(records(source(spark, landed)), ["client_id", "partition"]), mode="update")
-    want = records(spark.read.parquet(landed)).groupBy("client_id", "partition").agg(F.count(F.lit(1)).alias("value"))
-    same(ops.newest_counts(updates, ["client_id", "partition"]), want)
+    keys = ["client_id", "partition"]
+    folder = shared_folder(spark, "counts")
+    query = batches.merge_batches(
+        records(source(spark, landed)), f"{folder}/out", f"{folder}/checkpoint",
+        lambda batch: ops.partial_counts(batch, keys), lambda parts: ops.merge_counts(parts, keys),
+    )
+    last = batches.run(query)
+    assert last == 3
+    want = records(spark.read.parquet(landed)).groupBy(*keys).agg(F.count(F.lit(1)).alias("value"))
+    same(spark.read.parquet(f"{folder}/out/batch_id={last}"), want)
 
 
 def e2e(df):
@@ -80,24 +87,11 @@ def test_histograms_of_late_records(spark, landed):
     same(ops.merge_histograms(parts, ["partition"], BOUNDS), histograms.latency_histogram(rows, "latency_ms", ["partition", "window_ms"], BOUNDS))
 
 
-def test_watermarked_histograms_close(spark, landed):
-    rows = e2e(spark.readStream.schema(schemas.KAFKA_RECORD).parquet(landed)).withColumn("at", F.timestamp_millis("recv_ms"))
-    closed = ops.windowed_histogram(rows, "latency_ms", "at", ["partition"], BOUNDS, "1 minute", "10 minutes")
-    folder = shared_folder(spark, "closed")
-    batches.run(batches.write_batches(closed, f"{folder}/out", f"{folder}/checkpoint"))
-    got = spark.read.parquet(f"{folder}/out").drop("batch_id")
-    batch = e2e(spark.read.parquet(landed)).withColumn("window_ms", F.col("recv_ms") - F.col("recv_ms") % 60000)
-    want = histograms.latency_histogram(batch, "latency_ms", ["partition", "window_ms"], BOUNDS)
-    last = got.agg(F.max("window_ms")).first()[0]
-    assert last > 2 * 3600 * 1000
-    same(got, want.where(F.col("window_ms") <= last))
-
-
 def test_status(spark, landed):
     def split(df):
         seen = latency.decode_records(records(df))
-        sent = seen.select("client_id", F.col("timestamp").alias("ack_ms"), F.lit(None).cast("bigint").alias("recv_ms"))
-        return sent.unionByName(seen.select("client_id", F.lit(None).cast("bigint").alias("ack_ms"), "recv_ms"))
+        sent = seen.select("cluster_id", "client_id", F.col("timestamp").alias("ack_ms"), F.lit(None).cast("bigint").alias("recv_ms"))
+        return sent.unionByName(seen.select("cluster_id", "client_id", F.lit(None).cast("bigint").alias("ack_ms"), "recv_ms"))
 
     def prepare(batch):
         return ops.partial_ticks(batch.where("ack_ms IS NOT NULL"), batch.where("recv_ms IS NOT NULL"), 30000)
@@ -105,7 +99,21 @@ def test_status(spark, landed):
     ticks = drained(spark, split(source(spark, landed)), prepare)
     whole = split(spark.read.parquet(landed))
     samples = status.sample_counters(whole.where("ack_ms IS NOT NULL"), whole.where("recv_ms IS NOT NULL"), 30000)
-    same(ops.status_from_ticks(ticks, 300000, 30000), status.status_window(samples, 300000, 30000))
+    want = status.status_window(samples, 300000, 30000)
+    same(ops.status_from_ticks(ticks, 300000, 30000), want)
+
+    # The current status after each batch equals that of all records up to it, whatever order they came in.
+    folder, parts = shared_folder(spark, "current"), {}
+
+    def publish(current, batch_id):
+        parts[batch_id] = sorted(map(tuple, ops.current_status(current, 300000, 30000).collect()))
+
+    query = batches.merge_batches(
+        split(source(spark, landed)), f"{folder}/out", f"{folder}/checkpoint", prepare,
+        lambda p: ops.recent_ticks(p, 300000, 30000), publish,
+    )
+    last = batches.run(query)
+    assert last > 1 and parts[last] == sorted(map(tuple, status.newest_status(want).collect()))
 
 
 def test_a_batch_that_runs_again_counts_once(spark, landed):
@@ -140,6 +148,18 @@ def test_stream_of_log_lines(spark, tmp_path):
     assert [(r.kind, r.duration_ms) for r in spark.read.parquet(f"{folder}/out").collect()] == [("producer", 15)]
 
 
+def test_time_of_receipt(spark):
+    made = "cast(null as binary) key, cast('x' as binary) value, 'p' topic, 0 partition, 5L offset"
+    kafka = spark.sql(f"select {made}, timestamp_millis(1000) timestamp, kind timestampType from values (0), (1) as t(kind)")
+    now = spark.sql("select unix_millis(current_timestamp())").first()[0]
+    got = {r.recv_by_broker: r.recv_ms for r in probe_topic.consume_records(kafka, "c", "x").collect()}
+    assert got[True] == 1000 and got[False] >= now
+
+
+def test_triggers():
+    assert batches.trigger("status") == {"processingTime": "30 seconds"} and batches.trigger() == {"availableNow": True}
+
+
 def test_messages_name_topic_and_partition(rows):
     df = rows("client_id STRING, partition BIGINT, payload STRING", ("x", 2, "{}"))
     got = probe_topic.probe_messages(df, "probe")
@@ -177,7 +197,7 @@ def test_actions_and_status_tables(spark, rows, tmp_path):
     sinks.write_actions(actions, str(tmp_path / "actions"))
     assert [r.action for r in spark.read.parquet(str(tmp_path / "actions")).where("step = 2").collect()] == ["create_partitions"]
     for tick in (1, 2):
-        sinks.write_status(rows("client_id STRING, tick BIGINT, json STRING", ("x", tick, "{}")), str(tmp_path / "status"))
+        sinks.write_status(rows("cluster_id STRING, client_id STRING, tick BIGINT, json STRING", ("c", "x", tick, "{}")), str(tmp_path / "status"))
     assert spark.read.parquet(str(tmp_path / "status")).count() == 2
 
 

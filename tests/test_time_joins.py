@@ -9,15 +9,23 @@ from probefleet.sources import sinks, tables
 
 def test_reconcile_and_lost(rows):
     produced = rows(
-        "client_id STRING, partition INT, message_id BIGINT, create_ms BIGINT",
-        ("x", 0, 1, 100), ("x", 0, 2, 200), ("x", 0, 1, 900), ("x", 1, 3, 300),
+        "cluster_id STRING, client_id STRING, partition INT, message_id BIGINT, create_ms BIGINT",
+        ("c", "x", 0, 1, 100), ("c", "x", 0, 2, 200), ("c", "x", 0, 1, 900), ("c", "x", 1, 3, 300), ("d", "x", 0, 1, 100),
     )
     text = '{{"producerId":"x","messageId":{},"timestamp":{}}}'
-    records = rows("value STRING, recv_ms BIGINT", (text.format(1, 100), 130), (text.format(1, 100), 120), (text.format(3, 300), 310), ("bad", 1), ("bad", 2))
+    records = rows(
+        "cluster_id STRING, value STRING, recv_ms BIGINT",
+        ("c", text.format(1, 100), 130), ("c", text.format(1, 100), 120), ("c", text.format(3, 300), 310), ("c", "bad", 1), ("d", "bad", 2),
+    )
     decoded = latency.decode_records(records)
-    got = {(r.message_id, r.create_ms): (r.received, r.copies, r.first_recv_ms) for r in reconcile.reconcile(produced, decoded).collect()}
-    assert got == {(1, 100): (True, 2, 120), (2, 200): (False, 0, None), (1, 900): (False, 0, None), (3, 300): (True, 1, 310)}
-    assert sorted((r.message_id, r.create_ms) for r in reconcile.lost(produced, decoded).collect()) == [(1, 900), (2, 200)]
+    got = {(r.cluster_id, r.message_id, r.create_ms): (r.received, r.copies, r.first_recv_ms) for r in reconcile.reconcile(produced, decoded).collect()}
+    # The other cluster's client has the same name and sent the same message, which did not come back.
+    assert got == {
+        ("c", 1, 100): (True, 2, 120), ("c", 2, 200): (False, 0, None), ("c", 1, 900): (False, 0, None), ("c", 3, 300): (True, 1, 310),
+        ("d", 1, 100): (False, 0, None),
+    }
+    lost = sorted((r.cluster_id, r.message_id, r.create_ms) for r in reconcile.lost(produced, decoded).collect())
+    assert lost == [("c", 1, 900), ("c", 2, 200), ("d", 1, 100)]
 
 
 def test_roster_asof(rows):
@@ -45,6 +53,22 @@ def test_expected_size_never_seen_uses_the_newest(rows):
     assert sorted(tuple(r)[1:] for r in roster.roster_asof(checks, snapshots).collect()) == [(15, 1), (25, 2)]
 
 
+def test_failed_describe_and_changed_size(rows):
+    snapshots = rows(
+        "cluster_id STRING, snapshot_ms BIGINT, broker_id INT",
+        ("s", 10, 1), *[("s", 20, b) for b in (1, 2)], *[("s", 30, b) for b in (1, 2, 3)], ("s", 40, 3),
+    )
+    checks = rows(
+        "cluster_id STRING, check_ms BIGINT, expected_size INT, describe_failed BOOLEAN",
+        ("s", 15, 2, True), ("s", 16, 2, None), ("s", 22, 2, True), ("s", 25, 2, False), ("s", 26, 2, True),
+        ("s", 35, 3, False), ("s", 45, 3, True), ("s", 46, 2, False),
+    )
+    found = {}
+    for r in roster.roster_asof(checks, snapshots).collect():
+        found.setdefault(r.check_ms, set()).add(r.broker_id)
+    assert found == {16: {1}, 25: {1, 2}, 26: {1, 2}, 35: {1, 2, 3}, 45: {1, 2, 3}, 46: {1, 2}}
+
+
 def test_join_timeouts(rows):
     events = rows(
         "cluster_id STRING, client_id STRING, attempt BIGINT, kind STRING, ts_ms BIGINT",
@@ -62,35 +86,58 @@ SAMPLES = "scrape_ms BIGINT, name STRING, labels MAP<STRING,STRING>, value DOUBL
 def test_increase_handles_a_restart(rows):
     values = [(0, 1.0), (10, 4.0), (20, 9.0), (30, 2.0), (40, 3.0), (200, 8.0)]
     df = rows("series STRING, scrape_ms BIGINT, value DOUBLE", *[("s", at, v) for at, v in values])
-    want = {0: None, 10: 3.0, 20: 8.0, 30: 7.0, 40: 3.0, 200: None}
+    want = {10: (3.0, 10), 20: (8.0, 20), 30: (7.0, 20), 40: (3.0, 20), 50: (1.0, 10)}
     for chunk in (31, 64, 100000):
-        got = rates.counter_increase(df, ["series"], 30, chunk)
-        assert {r.scrape_ms: r.increase for r in got.collect()} == want
+        got = rates.counter_increase(df, ["series"], 10, 30, chunk)
+        assert {r.at_ms: (r.increase, r.covered_ms) for r in got.collect()} == want
 
 
-def test_rate_total_average_and_share(rows):
+def test_evaluation_times(rows):
+    df = rows("at BIGINT", (0,), (1,), (10,), (-5,))
+    got = {r.at: r.times for r in df.select("at", rates.evaluation_times(F.col("at"), 25, 10).alias("times")).collect()}
+    assert got == {0: [0, 10, 20], 1: [10, 20], 10: [10, 20, 30], -5: [0, 10]}
+    none = df.select(rates.evaluation_times(F.col("at") * 0 + 1, 5, 10).alias("times")).first()
+    assert none.times == []
+
+
+def test_targets_scraped_at_own_times(rows):
+    # Two targets that count 60 a minute, 7 s apart, one with a gap, and one that has stopped long ago.
+    data = []
+    for target, offset in (("0", 0), ("1", 7000)):
+        base = {"clientid": "c", "partition": "0", "cluster": target}
+        for k in range(40):
+            at = offset + 30000 * k
+            if target == "1" and k in (20, 21):
+                continue
+            data += [(at, "records_consumed_total", base, 30.0 * k)]
+            data += [(at, "records_consumed_latency_sum", base, 300.0 * k), (at, "records_consumed_latency_count", base, 30.0 * k)]
+    data += [(0, "records_consumed_total", {"clientid": "gone"}, 5.0), (30000, "records_consumed_total", {"clientid": "gone"}, 500.0)]
+    df = rows(SAMPLES, *data)
+    counted = df.where("name = 'records_consumed_total'")
+    per_minute = {r.at_ms: r.per_minute for r in rates.rate_per_minute(counted, 60000, 300000).collect()}
+    assert all(per_minute[60000 * m] == 120.0 for m in range(6, 20))
+    # The clusters' series of one client do not mix: 10 ms each.
+    mean = {r.at_ms: r.mean_ms for r in rates.avg_latency(df, 60000, 300000).collect()}
+    assert set(mean.values()) == {10.0}
+    totals = {r.at_ms: r.total for r in rates.counter_total(counted, 60000, 300000).collect()}
+    assert totals[0] == 5.0 and totals[300000] == 500.0 + 300.0 + 270.0 and totals[360000] == 360.0 + 330.0
+
+
+def test_share_and_nothing_observed(rows):
     base = {"clientid": "c", "partition": "0"}
     data = []
     for at, n, total, fast in ((0, 10.0, 100.0, 8.0), (60000, 30.0, 500.0, 18.0), (120000, 30.0, 500.0, 18.0)):
         data += [
-            (at, "records_consumed_total", base, n),
-            (at, "records_consumed_total", {**base, "partition": "1"}, n),
             (at, "records_consumed_latency_sum", base, total),
             (at, "records_consumed_latency_count", base, n),
             (at, "records_consumed_latency_bucket", {**base, "le": "400"}, fast),
             (at, "records_consumed_latency_bucket", {**base, "le": "+Inf"}, n),
         ]
     df = rows(SAMPLES, *data)
-    counted = df.where("name = 'records_consumed_total'")
-    assert {r.name: r.total for r in rates.counter_total(counted).collect()} == {"records_consumed_total": 60.0}
-    per_minute = rates.rate_per_minute(counted, 60001).collect()
-    assert {r.scrape_ms: r.per_minute for r in per_minute} == {0: None, 60000: 40 * 60000.0 / 60001.0, 120000: 0.0}
-    mean = rates.avg_latency(df, 60001).collect()
-    assert {(r.metric, r.scrape_ms): r.mean_ms for r in mean} == {
-        ("records_consumed_latency", 0): None, ("records_consumed_latency", 60000): 20.0, ("records_consumed_latency", 120000): None
-    }
-    share = rates.share_under(df, "400", 60001).collect()
-    assert {r.scrape_ms: r.percentage for r in share} == {0: None, 60000: 50.0, 120000: None}
+    mean = {(r.metric, r.at_ms): r.mean_ms for r in rates.avg_latency(df, 60000, 60001).collect()}
+    assert mean == {("records_consumed_latency", 60000): 20.0, ("records_consumed_latency", 120000): None}
+    share = {r.at_ms: r.percentage for r in rates.share_under(df, 60000, "400", 60001).collect()}
+    assert share == {60000: 50.0, 120000: None}
 
 
 def test_growth_between_scrapes(rows):
@@ -119,10 +166,16 @@ def test_growth_between_scrapes(rows):
         ("a five", None),
         ("a 5 6 7", None),
         ("1a 5", None),
+        ("a 1d", None),
+        ("a 5.0f", None),
+        ("a NaN", "nan"),
     ],
 )
 def test_exposition_line(rows, line, want):
     got = [(r.name, r.labels, r.value) for r in scrape.parse_exposition(rows("value STRING", (line,))).collect()]
+    if want == "nan":
+        assert len(got) == 1 and got[0][2] != got[0][2]
+        return
     assert got == ([want] if want else [])
 
 
@@ -137,8 +190,10 @@ def test_exposition_file_round_trip(spark, rows, tmp_path):
     sinks.write_exposition(samples, str(tmp_path / "out" / "scrape_ms=77"), "probe_")
     lines = [r.value for r in spark.read.text(str(tmp_path / "out" / "scrape_ms=77")).collect()]
     assert sorted(lines) == sorted([
+        "# HELP probe_client_creation_error_total Errors while creating a client",
         "# TYPE probe_client_creation_error_total counter",
         "probe_client_creation_error_total 4",
+        "# HELP probe_connection_latency Milliseconds of connection checks, successful or not",
         "# TYPE probe_connection_latency histogram",
         'probe_connection_latency_bucket{brokerid="0",le="100"} 1',
         'probe_connection_latency_bucket{brokerid="0",le="+Inf"} 2',

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from probefleet.operators import topology
 
@@ -58,6 +59,7 @@ def test_plans(rows, partitions, brokers, racks, min_isr, busy):
     df = rows(BROKERS, *[("c", i, f"rack{n % racks}" if racks else "") for n, i in enumerate(ids)])
     topics = rows(TOPICS, ("c", "t", partitions))
     plan = topology.plan_replicas(topics, df)
+    planned = topology.planned_partitions(topics, df)
     found = {}
     for r in plan.collect():
         found.setdefault(r.partition_id, {})[r.replica_idx] = r.broker_id
@@ -69,20 +71,20 @@ def test_plans(rows, partitions, brokers, racks, min_isr, busy):
     assert {b for b, n in leads.items() if n > 1} == busy
     params = topology.replication_params(df).first()
     assert (params.brokers, params.rf, params.min_isr) == (brokers, min(brokers, 3), min_isr)
-    quality = topology.plan_quality(plan, df).first()
+    quality = topology.plan_quality(planned).first()
     assert (quality.dup_broker, quality.dup_rack, quality.max_leaders) == (False, False, 2 if busy else 1)
 
 
 def test_bad_plans_are_seen(rows):
-    plan = rows(
-        "cluster_id STRING, topic STRING, partition_id BIGINT, replica_idx INT, broker_id INT",
-        ("c", "same broker", 0, 0, 1), ("c", "same broker", 0, 1, 1), ("c", "same rack", 0, 0, 1), ("c", "same rack", 0, 1, 2),
-        ("c", "one leader", 0, 0, 1), ("c", "one leader", 1, 0, 1), ("c", "no rack", 0, 0, 3), ("c", "no rack", 0, 1, 4),
+    planned = rows(
+        "cluster_id STRING, topic STRING, replicas ARRAY<INT>, racks ARRAY<STRING>",
+        ("c", "same broker", [1, 1], ["a", "a"]), ("c", "same rack", [1, 2], ["a", "a"]), ("d", "same rack", [1, 2], ["a", "b"]),
+        ("c", "one leader", [1], ["a"]), ("c", "one leader", [1], ["a"]), ("c", "no rack", [3, 4], ["", ""]),
     )
-    df = rows(BROKERS, ("c", 1, "a"), ("c", 2, "a"), ("c", 3, ""), ("c", 4, ""))
-    got = {r.topic: (r.dup_broker, r.dup_rack, r.max_leaders) for r in topology.plan_quality(plan, df).collect()}
+    got = {(r.cluster_id, r.topic): (r.dup_broker, r.dup_rack, r.max_leaders) for r in topology.plan_quality(planned).collect()}
     assert got == {
-        "same broker": (True, True, 1), "same rack": (False, True, 1), "one leader": (False, False, 2), "no rack": (False, False, 1)
+        ("c", "same broker"): (True, True, 1), ("c", "same rack"): (False, True, 1), ("d", "same rack"): (False, False, 1),
+        ("c", "one leader"): (False, False, 2), ("c", "no rack"): (False, False, 1),
     }
 
 
@@ -158,40 +160,82 @@ def test_orphans(rows):
     assert got == [("t", 0, False), ("t", 1, False), ("t", 2, True), ("u", 0, True)]
 
 
-LEADERS = "topic STRING, partition_id INT, leader INT"
+LEADERS = "cluster_id STRING, topic STRING, partition_id INT, leader INT"
+
+
+def by_topic(df, *columns):
+    return {(r.cluster_id, r.topic): tuple(r[c] for c in columns) if len(columns) > 1 else r[columns[0]] for r in df.collect()}
 
 
 def test_leader_mismatch(rows):
-    a = rows(LEADERS, ("t", 0, 0), ("t", 1, 1), ("t", 2, 2), ("same", 0, 4), ("less", 0, 1), ("less", 1, 1))
-    b = rows(LEADERS, ("t", 0, 0), ("t", 1, 1), ("t", 2, 1), ("same", 0, 4), ("less", 0, 1), ("more", 0, 1))
-    got = {r.topic: r.mismatch for r in topology.leader_mismatch(a, b).collect()}
-    assert got == {"t": True, "same": False, "less": True, "more": True}
+    a = rows(
+        LEADERS, ("c", "t", 0, 0), ("c", "t", 1, 1), ("c", "t", 2, 2), ("c", "same", 0, 4), ("c", "less", 0, 1), ("c", "less", 1, 1),
+        ("d", "t", 0, 5), ("e", "t", 0, 6),
+    )
+    b = rows(
+        LEADERS, ("c", "t", 0, 0), ("c", "t", 1, 1), ("c", "t", 2, 1), ("c", "same", 0, 4), ("c", "less", 0, 1), ("c", "more", 0, 1),
+        ("d", "t", 0, 6), ("e", "t", 0, 6),
+    )
+    assert by_topic(topology.leader_mismatch(a, b), "mismatch") == {
+        ("c", "t"): True, ("c", "same"): False, ("c", "less"): True, ("c", "more"): True, ("d", "t"): True, ("e", "t"): False,
+    }
 
 
 def test_leader_election(rows):
-    parts = rows(LEADERS, ("ok", 0, 0), ("ok", 1, 1), ("moved", 0, 1), ("moved", 1, 0), ("other size", 0, 1))
-    sizes = rows("topic STRING, brokers BIGINT", ("ok", 2), ("moved", 2), ("other size", 2))
-    got = {r.topic: r.elect_leader for r in topology.leader_election_needed(parts, sizes).collect()}
-    assert got == {"ok": False, "moved": True, "other size": False}
+    parts = rows(
+        LEADERS, ("c", "ok", 0, 0), ("c", "ok", 1, 1), ("c", "moved", 0, 1), ("c", "moved", 1, 0), ("c", "other size", 0, 1),
+        ("d", "ok", 0, 1), ("d", "ok", 1, 0), ("d", "unknown", 0, 1),
+    )
+    sizes = rows(
+        "cluster_id STRING, topic STRING, brokers BIGINT", ("c", "ok", 2), ("c", "moved", 2), ("c", "other size", 2), ("d", "ok", 2)
+    )
+    assert by_topic(topology.leader_election_needed(parts, sizes), "elect_leader") == {
+        ("c", "ok"): False, ("c", "moved"): True, ("c", "other size"): False, ("d", "ok"): True, ("d", "unknown"): False,
+    }
 
 
 def test_reassignment(rows):
-    df = rows("topic STRING, partition_id INT, adding ARRAY<INT>, removing ARRAY<INT>", ("a", 0, [], []), ("b", 0, [], []), ("b", 1, [], [3]))
-    assert {r.topic: r.ongoing for r in topology.reassignment_ongoing(df).collect()} == {"a": False, "b": True}
+    df = rows(
+        "cluster_id STRING, topic STRING, partition_id INT, adding ARRAY<INT>, removing ARRAY<INT>",
+        ("c", "a", 0, [], []), ("c", "b", 0, [], []), ("c", "b", 1, [], [3]), ("d", "b", 0, [], []),
+    )
+    assert by_topic(topology.reassignment_ongoing(df), "ongoing") == {("c", "a"): False, ("c", "b"): True, ("d", "b"): False}
 
 
 def test_coverage(rows):
-    expected = rows("topic STRING, partition_id INT", ("t", 0), ("t", 1), ("u", 0))
-    consumed = rows("topic STRING, partition_id INT", ("t", 0), ("t", 0), ("t", 9), ("u", 0), ("x", 0))
-    got = {r.topic: (r.expected, r.seen, r.covered) for r in topology.partition_coverage(expected, consumed).collect()}
-    assert got == {"t": (2, 1, False), "u": (1, 1, True)}
-    assert [tuple(r) for r in topology.unconsumed_partitions(expected, consumed).collect()] == [("t", 1)]
+    names = "cluster_id STRING, topic STRING, partition_id INT"
+    expected = rows(names, ("c", "t", 0), ("c", "t", 1), ("c", "u", 0), ("d", "u", 0))
+    consumed = rows(names, ("c", "t", 0), ("c", "t", 0), ("c", "t", 9), ("c", "u", 0), ("c", "x", 0))
+    assert by_topic(topology.partition_coverage(expected, consumed), "expected", "seen", "covered") == {
+        ("c", "t"): (2, 1, False), ("c", "u"): (1, 1, True), ("d", "u"): (1, 0, False),
+    }
+    assert sorted(tuple(r) for r in topology.unconsumed_partitions(expected, consumed).collect()) == [("c", "t", 1), ("d", "u", 0)]
 
 
 def test_round_numbers_run_on(rows):
-    sizes = rows("client_id STRING, tick BIGINT, partitions BIGINT", ("x", 10, 2), ("x", 20, 0), ("x", 30, 3), ("y", 10, 1))
-    got = topology.generate_round(sizes, width=7).orderBy("client_id", "message_id").collect()
-    assert [(r.client_id, r.tick, r.partition, r.message_id) for r in got] == [
-        ("x", 10, 0, 1), ("x", 10, 1, 2), ("x", 30, 0, 3), ("x", 30, 1, 4), ("x", 30, 2, 5), ("y", 10, 0, 1)
+    sizes = rows(
+        "cluster_id STRING, client_id STRING, tick BIGINT, partitions BIGINT",
+        ("c", "x", 10, 2), ("c", "x", 20, 0), ("c", "x", 30, 3), ("d", "x", 10, 1),
+    )
+    got = topology.generate_round(sizes, width=7).orderBy("cluster_id", "message_id").collect()
+    assert [(r.cluster_id, r.tick, r.partition, r.message_id) for r in got] == [
+        ("c", 10, 0, 1), ("c", 10, 1, 2), ("c", 30, 0, 3), ("c", 30, 1, 4), ("c", 30, 2, 5), ("d", 10, 0, 1)
     ]
     assert got[0].payload == '{"producerId":"x","messageId":1,"timestamp":10}'
+    # A process that starts anew counts from 1 again.
+    started = sizes.withColumn("started_ms", F.when(F.col("tick") < 30, 1).otherwise(25).cast("bigint"))
+    again = topology.generate_round(started).where("tick = 30").collect()
+    assert sorted(r.message_id for r in again) == [1, 2, 3]
+
+
+def test_planning_shuffles(spark):
+    """The chain from brokers to plans stays short."""
+    from probefleet.plans.queries import registry
+
+    most = {"broker_order": 14, "replica_plan": 18, "plan_quality": 19, "topology_actions": 20}
+    for name, limit in most.items():
+        plan = registry()[name](spark, "/root/testdata/sf0.001")
+        plan.collect()
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        text = text[: text.find("Initial Plan")] if "Initial Plan" in text else text
+        assert text.count("ShuffleQueryStage") <= limit, (name, text.count("ShuffleQueryStage"))
