@@ -10,6 +10,7 @@ from probefleet.llm.decontaminate import decontamination
 from probefleet.llm.jaccard_join import similarity_components
 from probefleet.llm.language import language_id
 from probefleet.llm.main_text import main_text
+from probefleet.llm.oracles import ORACLES
 from probefleet.llm.packing import pack_documents
 from probefleet.llm.perplexity import quality_classifier
 from probefleet.llm.quality_rules import quality_rules
@@ -85,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
