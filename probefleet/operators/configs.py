@@ -125,6 +125,15 @@ def dynamic_config_text(log_enabled: Column, verbosity: Column) -> Column:
     )
 
 
+def dynamic_texts(snapshots: DataFrame) -> DataFrame:
+    """Adds ``shown``, the display text of each file that parses, to rows (path, poll_ms, exists, content)."""
+    fields = f"{C.DYNAMIC_FIELDS}, _bad STRING"
+    parsed = F.from_json("content", fields, {"columnNameOfCorruptRecord": "_bad"})
+    read = snapshots.where("exists").withColumn("_read", parsed).where("_read IS NOT NULL AND _read._bad IS NULL")
+    text = dynamic_config_text(F.col("_read.saramaLogEnabled"), F.col("_read.verbosityLogLevel"))
+    return read.withColumn("shown", text).drop("_read")
+
+
 def lint_config(config: DataFrame, clients: DataFrame | None = None) -> DataFrame:
     """Rules that each client's configuration must keep: (client_id, rule, ok)."""
     keys = [key for key, _, _ in C.CONFIG_KEYS]

@@ -29,6 +29,21 @@ def tick_increments(produced: DataFrame, consumed: DataFrame, tick_ms: int) -> D
     return add_increments(sent.unionByName(received))
 
 
+def plausible_times(rows: DataFrame, ms: str, since_ms: int, until_ms: int) -> DataFrame:
+    """Rows whose time can be right: [since, until). One wrong clock would fill years of quiet ticks."""
+    return rows.where((F.col(ms) >= since_ms) & (F.col(ms) < until_ms))
+
+
+def implausible_times(rows: DataFrame, ms: str, since_ms: int, until_ms: int) -> DataFrame:
+    """The rows that ``plausible_times`` leaves out, counted by client: too early, too late or without a time."""
+    at = F.col(ms)
+    early, late = F.coalesce(at < since_ms, F.lit(False)), F.coalesce(at >= until_ms, F.lit(False))
+    flagged = rows.where(early | late | at.isNull())
+    return flagged.groupBy(*KEYS).agg(
+        F.count_if(early).alias("too_early"), F.count_if(late).alias("too_late"), F.count_if(at.isNull()).alias("no_time")
+    )
+
+
 def add_increments(increments: DataFrame) -> DataFrame:
     return increments.groupBy(*KEYS, "tick").agg(
         F.sum("produced").alias("produced"), F.sum("consumed").alias("consumed")

@@ -144,6 +144,12 @@ def plan_replicas(topics: DataFrame, brokers: DataFrame) -> DataFrame:
     )
 
 
+def in_partition_order(rows: DataFrame) -> DataFrame:
+    """Rows by cluster, topic and partition, and within a partition by replica where there are several."""
+    columns = [c for c in ("cluster_id", "topic", "partition_id", "replica_idx") if c in rows.columns]
+    return rows.orderBy(*columns)
+
+
 def decide(topics: DataFrame, sizes: DataFrame) -> DataFrame:
     """What a reconcile does with each topic.
 

@@ -23,6 +23,8 @@ FAILED_EVERY = 5
 SCRAPE_OFFSET_MS = 7000
 # 2024-01-20
 LAST_SCRAPE_MS = 1705708800000
+# 2024-01-01
+FIRST_MS = 1704067200000
 
 # Configuration strings of the fleet: customer k uses the entry k modulo the number of entries.
 CONFIG_CHOICES = {
@@ -345,6 +347,20 @@ def topics(part: DataFrame) -> DataFrame:
     )
 
 
+def topic_partitions(topic: DataFrame) -> DataFrame:
+    """Snapshot rows of the existing partitions; the first replica leads and all are in sync."""
+    return current_replicas(topic).select(
+        "cluster_id",
+        "topic",
+        F.lit(None).cast("string").alias("topic_error"),
+        "partition_id",
+        F.col("replicas")[0].cast("int").alias("leader"),
+        F.col("replicas").cast("array<int>").alias("replicas"),
+        F.col("replicas").cast("array<int>").alias("isr"),
+        F.array().cast("array<int>").alias("offline"),
+    )
+
+
 def current_replicas(topic: DataFrame) -> DataFrame:
     """Replicas of each existing partition, on two neighbours of ten brokers."""
     p = F.col("partition_id")

@@ -706,6 +706,24 @@ def oracles() -> dict[str, str]:
     }
     found["status_current"] = f"""SELECT cluster_id, client_id, max(tick) AS tick, max_by(json, tick) AS json
         FROM ({found['status_json']}) GROUP BY cluster_id, client_id"""
+    found["log_files_mean"] = found["log_latency_mean"]
+    found["broker_files_racks"] = found["rack_completeness"]
+    found["topic_files_replicas"] = _sql(
+        "topics",
+        """SELECT cluster_id, topic, partition_id, CAST(unnest([0, 1]) AS BIGINT) AS replica_idx,
+        unnest([partition_id % 10, (partition_id + 1) % 10]) AS broker_id FROM (
+        SELECT cluster_id, topic, unnest(range(current_partitions)) AS partition_id FROM topics)""",
+    )
+    found["config_dynamic_text"] = """SELECT 'user-' || user_id AS path, epoch_us(ts) // 1000 AS poll_ms, event_id,
+        '{VerbosityLogLevel:' || (CAST(json_extract(props, '$.k') AS BIGINT) % 3) || '}' AS shown FROM events
+        WHERE event_type <> 'error' AND NOT (event_type = 'signup' AND CAST(json_extract(props, '$.k') AS BIGINT) = 11)"""
+    found["status_implausible"] = _sql(
+        "records",
+        f"""SELECT cluster_id, client_id, count(*) FILTER (recv_ms < {fx.FIRST_MS}) AS too_early,
+        count(*) FILTER (recv_ms >= {fx.LAST_SCRAPE_MS}) AS too_late, count(*) FILTER (recv_ms IS NULL) AS no_time
+        FROM records WHERE recv_ms < {fx.FIRST_MS} OR recv_ms >= {fx.LAST_SCRAPE_MS} OR recv_ms IS NULL
+        GROUP BY cluster_id, client_id""",
+    )
     found["stream_records_consumed"] = found["records_consumed"]
     found["stream_latency_hist"] = _sql(
         "decoded",

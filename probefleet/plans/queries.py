@@ -29,6 +29,8 @@ from probefleet.operators import (
 )
 from probefleet.plans import fixtures as fx
 from probefleet.plans import streams
+from probefleet.session import shared_folder
+from probefleet.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,6 +107,13 @@ def log_latency_rows(t: Tables) -> DataFrame:
     return t.log_rows
 
 
+def log_files_mean(t: Tables) -> DataFrame:
+    """Mean latencies of log lines that lie in text files."""
+    path = shared_folder(t.spark, "logs")
+    fx.log_lines(t.probes).select("value").write.text(path)
+    return logs.latency_mean(logs.parse_log_lines(tables.read_log_lines(t.spark, path)))
+
+
 def log_latency_mean(t: Tables) -> DataFrame:
     return logs.latency_mean(t.log_rows)
 
@@ -183,6 +192,11 @@ def payload_roundtrip(t: Tables) -> DataFrame:
     return rows.withColumn("_p", decode_payload(F.col("payload"))).select("event_id", "payload", "_p.*")
 
 
+def status_implausible(t: Tables) -> DataFrame:
+    """Received records whose time lies outside the month of the probes, by client."""
+    return status.implausible_times(t.records, "recv_ms", fx.FIRST_MS, fx.LAST_SCRAPE_MS)
+
+
 def status_samples(t: Tables) -> DataFrame:
     return t.samples
 
@@ -208,6 +222,20 @@ def broker_order(t: Tables) -> DataFrame:
     return topology.broker_order(t.brokers)
 
 
+def broker_files_racks(t: Tables) -> DataFrame:
+    """Rack completeness of landed broker snapshots."""
+    path = shared_folder(t.spark, "brokers")
+    fx.broker_snapshots(t.raw("supplier")).write.parquet(path)
+    return topology.rack_completeness(topology.latest_roster(tables.read_broker_snapshots(t.spark, path)))
+
+
+def topic_files_replicas(t: Tables) -> DataFrame:
+    """Replicas of landed topic snapshots in long form, in the order of topics and partitions."""
+    path = shared_folder(t.spark, "topics")
+    fx.topic_partitions(t.topics).write.parquet(path)
+    return topology.in_partition_order(tables.replica_rows(tables.read_topic_snapshots(t.spark, path)))
+
+
 def rack_completeness(t: Tables) -> DataFrame:
     return topology.rack_completeness(t.brokers)
 
@@ -376,6 +404,12 @@ def config_redacted(t: Tables) -> DataFrame:
     return configs.redact_config(t.configs)
 
 
+def config_dynamic_text(t: Tables) -> DataFrame:
+    """What a probe prints of each readable configuration file."""
+    polls = fx.config_snapshots(t.raw("events"))
+    return configs.dynamic_texts(polls).select("path", "poll_ms", "event_id", "shown")
+
+
 def config_lint(t: Tables) -> DataFrame:
     return configs.lint_config(t.configs)
 
@@ -400,6 +434,7 @@ def probe_overview(t: Tables) -> DataFrame:
 BATCH = (
     log_latency_rows,
     log_latency_mean,
+    log_files_mean,
     log_quantiles_exclusive,
     log_quantiles_inclusive,
     records_produced,
@@ -414,6 +449,7 @@ BATCH = (
     topic_errors,
     disconnections,
     payload_roundtrip,
+    status_implausible,
     status_samples,
     status_ring,
     status_percentage,
@@ -421,6 +457,8 @@ BATCH = (
     status_current,
     broker_order,
     rack_completeness,
+    broker_files_racks,
+    topic_files_replicas,
     replication_params,
     replica_plan,
     plan_quality,
@@ -450,6 +488,7 @@ BATCH = (
     config_kv,
     config_buckets,
     config_redacted,
+    config_dynamic_text,
     config_lint,
     config_changes,
     retry_schedule,

@@ -75,3 +75,10 @@ def test_status_document(rows):
 def test_newest_status(rows):
     df = rows("cluster_id STRING, client_id STRING, tick BIGINT, time_window BIGINT, percentage DOUBLE", ("k", "x", 1, 5, 1.0), ("k", "x", 3, 7, -1.0), ("l", "x", 2, 9, 50.0))
     assert sorted(tuple(r) for r in status.newest_status(df).collect()) == [("k", "x", 3, 7, -1.0), ("l", "x", 2, 9, 50.0)]
+
+
+def test_implausible_times_are_counted(rows):
+    df = rows("cluster_id STRING, client_id STRING, ms BIGINT", ("k", "x", 0), ("k", "x", 100), ("k", "x", 200), ("l", "x", None))
+    assert [r.ms for r in status.plausible_times(df, "ms", 50, 200).collect()] == [100]
+    got = {r.cluster_id: (r.too_early, r.too_late, r.no_time) for r in status.implausible_times(df, "ms", 50, 200).collect()}
+    assert got == {"k": (1, 1, 0), "l": (0, 0, 1)}
