@@ -35,7 +35,7 @@ ISLANDS, POPULATION, EPOCHS, CROSSOVERS = 2, 4, 2, 6
 #: Sequences filled less are pooled over the blocks.
 WELL_FILLED = 0.99
 #: Text bytes that are tokenised together, and segments whose ids a worker remembers.
-SLICE_BYTES, REMEMBERED = 8 << 20, 400_000
+SLICE_BYTES, REMEMBERED = 4 << 20, 600_000
 
 
 class SegmentTokenizer:
@@ -55,9 +55,46 @@ class SegmentTokenizer:
             name = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(name)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Bytes of each token: a byte-level vocabulary writes each byte as one character.
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(token) for token in vocabulary]
         #: First bytes of characters that are no white space under any definition: visible ASCII and U+00C0 to U+07FF.
         self.visible = T.byte_class(bytes([*range(0x21, 0x7F), *range(0xC3, 0xE0)]))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Segments by number; the ids of number n are flat[begins[n]:begins[n + 1]]."""
+        self.numbers: dict[bytes, int] = {}
+        self.flat, self.begins = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode(self, parts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The ids of new segments one after another, in pieces, and their numbers.
+
+        Segments that begin with a blank and a visible character are encoded together, as one text; the tokens' bytes tell
+        where each ends. Others begin a text and are encoded alone.
+        """
+        out: list[np.ndarray] = []
+        sizes = np.zeros(len(parts), np.int64)
+        at = 0
+        while at < len(parts):
+            upto, length = at, 0
+            while upto < len(parts) and length < 1 << 16 and (upto == at or self._begins_freely(parts[upto])):
+                length += len(parts[upto])
+                upto += 1
+            ids = np.array(self.tokenizer.encode(b"".join(parts[at:upto]).decode(), add_special_tokens=False).ids, np.uint32)
+            ends = np.cumsum(self.bytes_of[ids])
+            wanted = np.cumsum([len(x) for x in parts[at:upto]])
+            last = np.searchsorted(ends, wanted, "right")
+            if wanted[-1] and (last[0] == 0 or (ends[last - 1] != wanted).any()):
+                raise ValueError("the tokenizer's tokens do not follow the bytes of the text")
+            sizes[at:upto] = np.diff(last, prepend=0)
+            out.append(ids)
+            at = upto
+        return out, sizes
+
+    def _begins_freely(self, part: bytes) -> bool:
+        return len(part) > 1 and part[0] == 0x20 and self.visible[part[1]]
 
     def ids(self, t: T.Texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's begin."""
@@ -71,24 +108,20 @@ class SegmentTokenizer:
             pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
         ).dictionary_encode()
         distinct = parts.dictionary.to_pylist()
-        known = self.known
-        new = [x for x in distinct if x not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = distinct
-        for encoding, part in zip(
-            self.tokenizer.encode_batch([x.decode() for x in new], add_special_tokens=False), new, strict=True
-        ):
-            known[part] = np.array(encoding.ids, np.uint32)
-        each = [known[x] for x in distinct]
-        sizes = np.array([len(x) for x in each], np.int64)
-        flat = np.concatenate(each) if each else np.zeros(0, np.uint32)
-        begins = np.cumsum(sizes) - sizes
-        part = parts.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        counts = sizes[part]
+        if len(self.numbers) > REMEMBERED:
+            self._forget()
+        numbers = self.numbers
+        new = [x for x in distinct if x not in numbers]
+        pieces, new_sizes = self._encode(new)
+        numbers.update(zip(new, range(len(numbers), len(numbers) + len(new)), strict=True))
+        self.flat = np.concatenate([self.flat, *pieces])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(new_sizes)])
+        number = np.array([numbers[x] for x in distinct], np.int64)
+        part = number[parts.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64)
+        begins, counts = self.begins[part], self.begins[part + 1] - self.begins[part]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        at = np.arange(ends[-1]) + np.repeat(begins[part] - ends[:-1], counts)
-        return flat[at], ends[np.searchsorted(bounds, t.offsets)]
+        at = np.arange(ends[-1]) + np.repeat(begins - ends[:-1], counts)
+        return self.flat[at], ends[np.searchsorted(bounds, t.offsets)]
 
 
 def piece_bounds(length: int, capacity: int) -> list[tuple[int, int]]:
