@@ -143,18 +143,22 @@ def token_pieces(documents: DataFrame, tokenizer: str = TOKENIZER, capacity: int
             docs = batch.column("doc_id").to_pylist()
             ids, first = tokens.ids(T.texts(batch.column("text")))
             out: list[list] = [[] for _ in range(6)]
-            kept = []
+            kept: list[np.ndarray] = []
             for doc, a, b in zip(docs, first[:-1].tolist(), first[1:].tolist(), strict=True):
                 own = np.append(ids[a:b], np.uint32(END_ID)).astype("<u4")
                 for k, (lo, hi) in enumerate(piece_bounds(len(own), capacity)):
                     row = (uid, doc, k, lo, hi - lo, zlib.crc32(own[lo:hi].tobytes()))
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-                    if with_ids:
-                        kept.append(own[lo:hi].astype(np.int32))
                     uid += 1
+                if with_ids:
+                    kept.append(own)
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            lists = pa.array(kept if with_ids else [None] * len(out[0]), pa.list_(pa.int32()))
+            lists = pa.nulls(len(out[0]), pa.list_(pa.int32()))
+            if with_ids:
+                # The pieces of all documents follow each other without gaps.
+                offsets = np.concatenate([[0], np.cumsum(out[4])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(offsets, np.concatenate(kept).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(c, t) for c, t in zip(out, types, strict=True)), lists], [x.split()[0] for x in _PIECE.split(", ")]
             )
