@@ -9,8 +9,11 @@ from probefleet.llm.workspace import settled
 
 
 def _lowest(pairs: DataFrame) -> DataFrame:
-    """Each node `a` with the lowest of itself and its neighbours `b`."""
-    return pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    """Each node `a` with the lowest of itself and its neighbours `b`.
+
+    Written, so that the join back is between plain shuffles, where Spark can split a hub's edges.
+    """
+    return settled(pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "lowest")
 
 
 def components(edges: DataFrame) -> DataFrame:
