@@ -45,8 +45,8 @@ JOB_SHINGLES = 2_000_000
 SLACK_EVERY = 8
 #: Prefix entries that a task gathers before it sends them, and entries for each bucket.
 GATHERED, BUCKET_ENTRIES = 1 << 20, 1 << 18
-#: A shingle is frequent if a slice of texts has it this often; at most FREQUENT_KEPT of them change the order.
-FREQUENT_SHARE, FREQUENT_KEPT = 0.005, 1 << 16
+#: A shingle is frequent if it is in this share of a slice of texts, and in one FREQUENT_KEPT-th of all set members.
+FREQUENT_SHARE, FREQUENT_KEPT = 0.005, 1 << 17
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -109,13 +109,17 @@ def profiles(documents: DataFrame) -> DataFrame:
     )
 
 
-def frequent_shingles(documents: DataFrame) -> np.ndarray:
-    """Sorted hashes of the most frequent shingles, at most FREQUENT_KEPT. They change the order, never the result."""
+def frequent_shingles(documents: DataFrame, total: int) -> np.ndarray:
+    """Sorted hashes of shingles that are in many texts. They change the order, never the result.
+
+    total is the sum of the sizes of all sets, so at most FREQUENT_KEPT shingles are in total / FREQUENT_KEPT texts or more.
+    """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, int] = {}
         for batch in T.text_slices(batches, "text"):
-            found, counts = np.unique(shingle_hashes(batch.column("text"))[0], return_counts=True)
+            sets = shingle_sets(batch.column("text"))
+            found, counts = np.unique(np.concatenate(sets), return_counts=True)
             often = counts >= max(4, FREQUENT_SHARE * batch.num_rows)
             for h, n in zip(found[often].view(np.int64).tolist(), counts[often].tolist(), strict=True):
                 sums[h] = sums.get(h, 0) + n
@@ -123,17 +127,9 @@ def frequent_shingles(documents: DataFrame) -> np.ndarray:
             [pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], ["h", "n"]
         )
 
-    top = (
-        documents.select("text")
-        .mapInArrow(rows, "h long, n long")
-        .groupBy("h")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "h")
-        .limit(FREQUENT_KEPT)
-        .select("h")
-        .toPandas()["h"]
-    )
-    return np.sort(top.to_numpy(np.int64).view(np.uint64))
+    counted = documents.select("text").mapInArrow(rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    often = counted.where(F.col("n") >= max(4, total / FREQUENT_KEPT)).select("h").toPandas()["h"]
+    return np.sort(often.to_numpy(np.int64).view(np.uint64))
 
 
 def slack(n: int) -> int:
@@ -355,7 +351,7 @@ def _components_of(documents: DataFrame, job_shingles: int, bucket_entries: int)
         rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("key").alias("key"), F.max("n_shingles").alias("n_shingles")),
         "nodes",
     )
-    entries = settled(shared_entries(documents, frequent_shingles(documents), buckets), "entries")
+    entries = settled(shared_entries(documents, frequent_shingles(documents, total), buckets), "entries")
     edges = candidate_edges(entries, nodes)
     clusters = settled(components(edges).join(nodes.select("node", "key", "n_shingles"), "node"), "clusters")
     jobs = _jobs(clusters, job_shingles).join(clusters.select("node", "key"), "node")
