@@ -374,7 +374,9 @@ def quality_classifier(
 
     known = scored.where("n_symbols > 0").join(trusted, "doc_id", "left_semi")
     mean = (F.sum("cost") / F.sum("n_symbols")).alias("mean")
+    # Tables by language are written: their joins are broadcasts where the size allows it, as one language may hold most rows.
     each = known.groupBy("lang").agg(mean, F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TRUSTED).select("lang", "mean")
+    each = settled(each, "language-means")
     overall = known.agg(mean).first()["mean"] or 0.0
 
     def mixed(frame: DataFrame, means: DataFrame) -> DataFrame:
@@ -385,7 +387,7 @@ def quality_classifier(
     level = F.percentile_approx("level", F.lit(quantile), F.lit(10_000)).alias("level_at")
     held = mixed(known, each)
     at_all = held.agg(level).first()["level_at"]
-    by_lang = each.join(held.where("known").groupBy("lang").agg(level), "lang")
+    by_lang = settled(each.join(held.where("known").groupBy("lang").agg(level), "lang"), "language-levels")
     slack = math.log(margin)
     judged = mixed(scored, by_lang).withColumn("limit", F.coalesce("level_at", F.lit(at_all).cast("double")) + slack)
     has_words = F.col("n_symbols") > 0
