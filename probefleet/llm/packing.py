@@ -35,7 +35,7 @@ ISLANDS, POPULATION, EPOCHS, CROSSOVERS = 2, 4, 2, 6
 #: Sequences filled less are pooled over the blocks.
 WELL_FILLED = 0.99
 #: Text bytes that are tokenised together, and segments whose ids a worker remembers.
-SLICE_BYTES, REMEMBERED = 4 << 20, 600_000
+SLICE_BYTES, REMEMBERED = 4 << 20, 450_000
 
 
 class SegmentTokenizer:

@@ -6,6 +6,7 @@ larger slice. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -156,8 +157,17 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
         return mix64(total)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and what one task frees another process may need."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in order, cut into batches of at most limit text bytes (or one row)."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -168,6 +178,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLI
             upto = min(max(upto, at + 1), batch.num_rows)
             yield batch.slice(at, upto - at)
             at = upto
+    give_back()
 
 
 def covered(length: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
