@@ -7,7 +7,6 @@ bounded number of words, so an automaton fits a task however many items there ar
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
