@@ -123,7 +123,9 @@ def slices(documents: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
             rank = np.empty(len(words), np.int64)
             rank[order.to_numpy()] = np.arange(len(words))
             ids = rank[strings.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+            del inside, offsets, strings, rank, order
             pairs, counts = np.unique(w.owner * max(1, len(words)) + ids, return_counts=True)
+            del w, ids
             doc, word = pairs // max(1, len(words)), pairs % max(1, len(words))
             sizes = np.bincount(doc, minlength=len(t))
             steps = np.diff(word, prepend=0)
