@@ -131,11 +131,11 @@ def piece_bounds(length: int, capacity: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-_PIECE = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
+_PIECE = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
 def token_pieces(documents: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
-    """The pieces of all documents under a uid each; ids null if not asked for."""
+    """The pieces of all documents under a uid each; ids are little-endian unsigned 32-bit numbers, null if not asked for."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, uid = SegmentTokenizer(tokenizer), TaskContext.get().partitionId() << 40
@@ -143,22 +143,18 @@ def token_pieces(documents: DataFrame, tokenizer: str = TOKENIZER, capacity: int
             docs = batch.column("doc_id").to_pylist()
             ids, first = tokens.ids(T.texts(batch.column("text")))
             out: list[list] = [[] for _ in range(6)]
-            kept: list[np.ndarray] = []
+            kept: list[bytes | None] = []
             for doc, a, b in zip(docs, first[:-1].tolist(), first[1:].tolist(), strict=True):
                 own = np.append(ids[a:b], np.uint32(END_ID)).astype("<u4")
                 for k, (lo, hi) in enumerate(piece_bounds(len(own), capacity)):
-                    row = (uid, doc, k, lo, hi - lo, zlib.crc32(own[lo:hi].tobytes()))
+                    raw = own[lo:hi].tobytes()
+                    row = (uid, doc, k, lo, hi - lo, zlib.crc32(raw))
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
+                    kept.append(raw if with_ids else None)
                     uid += 1
-                if with_ids:
-                    kept.append(own)
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            lists = pa.nulls(len(out[0]), pa.list_(pa.int32()))
-            if with_ids:
-                # The pieces of all documents follow each other without gaps.
-                offsets = np.concatenate([[0], np.cumsum(out[4])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(offsets, np.concatenate(kept).astype(np.int32))
+            lists = pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(c, t) for c, t in zip(out, types, strict=True)), lists], [x.split()[0] for x in _PIECE.split(", ")]
             )
@@ -377,7 +373,7 @@ def pack_documents(
     documents: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, with_ids: bool = True, **options: float
 ) -> DataFrame:
     """A row for each piece of every row of documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and
-    ids (its tokens) if asked for.
+    ids (its tokens, little-endian unsigned 32-bit numbers) if asked for.
 
     A null or empty text is a piece of one token, the end of a document; rows with the same doc_id are packed each by
     itself, and a null doc_id stays null. Columns other than doc_id and text are not read. sequence_id is negative for

@@ -46,7 +46,7 @@ def check(rows, documents, tokenizer, capacity, with_ids):
         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
             raw = np.array(ids[a:b], "<u4").tobytes()
             want.append((str(doc), k, a, b - a, zlib.crc32(raw), *([ids[a:b]] if with_ids else [])))
-    got = [(str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32, *([r.ids] if with_ids else [])) for r in rows]
+    got = [(str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32, *([np.frombuffer(r.ids, "<u4").tolist()] if with_ids else [])) for r in rows]
     assert sorted(got) == sorted(want)
     sequences = defaultdict(list)
     for r in rows:
