@@ -6,12 +6,14 @@ them. Documents are taken in slices of bounded size: a slice asks each shard of
 once and scores its documents with what comes back. So a frequent n-gram costs an entry for each slice, not one for each
 occurrence.
 
-Quantiles of the trusted documents' perplexities, for each language, give the thresholds.
+Thresholds are quantiles of the trusted documents' scores for each language. A document that the model was trained on
+scores lower than others, and the less so the more text there is; so for the thresholds each half of the trusted documents
+is scored by a model of the other half. Beside a document's mean, its peaks count: the mean cube of its words' costs of a
+symbol, which a few words unlike the trusted ones raise.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,10 +34,13 @@ SLICE_BYTES = 8 << 20
 SHARD_SLICES = 16
 #: Longer words are cut into pieces of about so many bytes, each predicted by itself.
 WORD_BYTES = 64
-#: A document goes if its perplexity is above MARGIN times this quantile of the trusted documents of its language.
-QUANTILE, MARGIN = 0.99, 1.5
-#: Symbols of the trusted mean that a document's own are mixed with, as short texts vary by chance.
-PRIOR_SYMBOLS = 60
+#: A document goes if its perplexity or its peaks are above this quantile of the trusted documents of its language.
+QUANTILE = 0.99
+#: Symbols of the trusted mean, and words of the trusted peaks, that a document's own are mixed with, as short texts vary
+#: by chance.
+PRIOR_SYMBOLS, PRIOR_WORDS = 60, 20
+#: Words of fewer symbols make no peak: a symbol of a short word is dear anywhere.
+PEAK_SYMBOLS = 5
 #: Languages with fewer trusted documents take the threshold of all languages.
 LEAST_TRUSTED = 30
 
@@ -151,33 +156,100 @@ def _words_of(packed: bytes | None) -> list[str]:
     return zstandard.ZstdDecompressor().decompress(packed).decode().split("\n") if packed else []
 
 
-def trusted_counts(sliced: DataFrame, trusted: DataFrame) -> DataFrame:
-    """gram, n: the ORDER-grams of all documents whose doc_id is in trusted, with their counts."""
+def half(doc_id: Column) -> Column:
+    """0 or 1: the half of the trusted documents that a doc_id is in."""
+    return F.pmod(F.xxhash64(doc_id.cast("long"), F.lit("half")), F.lit(2)).cast("int")
+
+
+def _joined_slices(parts: list[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]) -> tuple[bytes, bytes | None]:
+    """docs and words of one slice from parts of several: their words, and the documents' sizes, words and counts."""
+    words = sorted(set().union(*(own for own, *_ in parts)))
+    rank = {word: i for i, word in enumerate(words)}
+    ids = [np.array([rank[x] for x in own], np.int64)[word] for own, _, word, _ in parts]
+    steps = np.diff(np.concatenate(ids), prepend=0)
+    docs = _pack(np.concatenate([x for _, x, _, _ in parts]), steps, np.concatenate([x for *_, x in parts]))
+    return docs, zstandard.ZstdCompressor(level=3).compress("\n".join(words).encode()) if words else None
+
+
+def trusted_slices(sliced: DataFrame, trusted: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Slices of all documents whose doc_id is in trusted, and their half. Those of a task are joined to the usual size."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for docs, packed, at in zip(*(batch.column(c).to_pylist() for c in ("docs", "words", "at")), strict=True):
-                sizes, steps, counts = _unpack(docs)
-                words = _words_of(packed)
-                chosen = np.zeros(len(sizes), bool)
-                chosen[at] = True
-                chosen = np.repeat(chosen, sizes)
-                total = np.bincount(np.cumsum(steps)[chosen], counts[chosen], len(words)).astype(np.int64)
-                grams, gram, first = word_grams(words)
-                n = np.bincount(gram, np.repeat(total, np.diff(first)), len(grams)).astype(np.int64)
-                seen = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([grams[i] for i in seen.tolist()], pa.string()), pa.array(n[seen])], ["gram", "n"]
-                )
+        number = TaskContext.get().partitionId() << 32
+        parts: list[list] = [[], []]
+        rest: list[list[list]] = [[[], [], []], [[], [], []]]
+        held = [0, 0]
+
+        def joined(which: int) -> pa.RecordBatch:
+            nonlocal number
+            docs, words = _joined_slices(parts[which])
+            keys, doc_ids, langs = rest[which]
+            parts[which], rest[which], held[which] = [], [[], [], []], 0
+            number += 1
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([number]),
+                    pa.array([keys], pa.list_(pa.int64())),
+                    pa.array([doc_ids], pa.list_(pa.int64())),
+                    pa.array([langs], pa.list_(pa.string())),
+                    pa.array([docs], pa.binary()),
+                    pa.array([words], pa.binary()),
+                    pa.array([which], pa.int32()),
+                ],
+                ["slice", "keys", "doc_ids", "langs", "docs", "words", "half"],
+            )
 
-    at = (
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                sizes, steps, counts = _unpack(row["docs"])
+                words, word = _words_of(row["words"]), np.cumsum(steps)
+                lengths = np.array([len(x.encode()) + 1 for x in words], np.int64)
+                for which in (0, 1):
+                    at = np.sort(np.array(row[f"at{which}"], np.int64))
+                    if not len(at):
+                        continue
+                    chosen = np.zeros(len(sizes), bool)
+                    chosen[at] = True
+                    pairs = np.repeat(chosen, sizes)
+                    seen, own = np.unique(word[pairs], return_inverse=True)
+                    length = int((lengths[word[pairs]] * counts[pairs]).sum())
+                    if held[which] and held[which] + length > slice_bytes:
+                        yield joined(which)
+                    parts[which].append(([words[k] for k in seen.tolist()], sizes[at], own, counts[pairs]))
+                    for kept, name in zip(rest[which], ("keys", "doc_ids", "langs"), strict=True):
+                        kept.extend(row[name][k] for k in at.tolist())
+                    held[which] += length
+        for which in (0, 1):
+            if parts[which]:
+                yield joined(which)
+
+    places = (
         sliced.select("slice", F.posexplode("doc_ids").alias("at", "doc_id"))
         .join(trusted.select("doc_id").distinct(), "doc_id")
         .groupBy("slice")
-        .agg(F.collect_list("at").alias("at"))  # at most the documents of a slice
+        # At most the documents of a slice.
+        .agg(*(F.collect_list(F.when(half(F.col("doc_id")) == k, F.col("at"))).alias(f"at{k}") for k in (0, 1)))
     )
-    found = sliced.select("slice", "docs", "words").join(at, "slice").select("docs", "words", "at")
-    return found.mapInArrow(rows, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return sliced.join(places, "slice").drop("slice").mapInArrow(rows, f"{_SLICE}, half int")
+
+
+def trusted_counts(picked: DataFrame) -> DataFrame:
+    """gram, n0, n1: the ORDER-grams of the trusted documents, with their counts in each half."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, packed, which in zip(*(batch.column(c).to_pylist() for c in ("docs", "words", "half")), strict=True):
+                _, steps, counts = _unpack(docs)
+                words = _words_of(packed)
+                total = np.bincount(np.cumsum(steps), counts, len(words)).astype(np.int64)
+                grams, gram, first = word_grams(words)
+                n = np.bincount(gram, np.repeat(total, np.diff(first)), len(grams)).astype(np.int64)
+                halves = [n, np.zeros_like(n)][:: -1 if which else 1]
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *map(pa.array, halves)], ["gram", "n0", "n1"])
+
+    found = picked.select("docs", "words", "half").mapInArrow(rows, "gram string, n0 long, n1 long")
+    return found.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -306,8 +378,14 @@ def slice_costs(sliced: DataFrame, costs: DataFrame, shards: int) -> DataFrame:
     return answers.groupBy("slice").agg(F.collect_list("answer").alias("costs"))  # the distinct grams of a slice
 
 
+_SCORED = "key long, doc_id long, lang string, n_symbols long, n_words long, cost double, peaks double"
+
+
 def document_costs(sliced: DataFrame, costs: DataFrame) -> DataFrame:
-    """key, doc_id, lang, n_symbols and cost (summed) of every document of the slices."""
+    """key, doc_id, lang, n_symbols, n_words, cost (summed) and peaks of every document of the slices.
+
+    peaks sums the cubes of the costs of a symbol of the words that have PEAK_SYMBOLS.
+    """
     shards = max(1, sliced.count() // SHARD_SLICES)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,15 +404,18 @@ def document_costs(sliced: DataFrame, costs: DataFrame) -> DataFrame:
                 word_cost = np.add.reduceat(np.append(cost[gram], 0), first[:-1]) if len(words) else np.zeros(0)
                 word = np.cumsum(steps)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
+                peak = np.where(np.diff(first) < PEAK_SYMBOLS, 0, word_cost / np.diff(first)) ** 3
                 n_symbols = np.bincount(doc, counts * np.diff(first)[word], len(sizes)).astype(np.int64)
+                n_words = np.bincount(doc, counts, len(sizes)).astype(np.int64)
                 total = np.bincount(doc, counts * word_cost[word], len(sizes)).astype(np.float64)
+                peaks = np.bincount(doc, counts * peak[word], len(sizes)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
-                    [*(row[c].values for c in ("keys", "doc_ids", "langs")), pa.array(n_symbols), pa.array(total)],
-                    ["key", "doc_id", "lang", "n_symbols", "cost"],
+                    [*(row[c].values for c in ("keys", "doc_ids", "langs")), *map(pa.array, (n_symbols, n_words, total, peaks))],
+                    ["key", "doc_id", "lang", "n_symbols", "n_words", "cost", "peaks"],
                 )
 
     found = sliced.join(slice_costs(sliced, costs, shards), "slice", "left").drop("slice")
-    return found.mapInArrow(rows, "key long, doc_id long, lang string, n_symbols long, cost double")
+    return found.mapInArrow(rows, _SCORED)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -349,19 +430,35 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     )
 
 
-def quality_classifier(
-    documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, slice_bytes: int = SLICE_BYTES
-) -> DataFrame:
+def scored_by(sliced: DataFrame, counts: DataFrame) -> DataFrame:
+    """document_costs of the slices under the model of some counts (gram, n)."""
+    model, unseen = kneser_ney(counts)
+    costs = gram_costs(settled(asked_grams(sliced), "asked-grams"), model, unseen)
+    return settled(document_costs(sliced, costs), "document-costs")
+
+
+def unseen_scores(picked: DataFrame, counts: DataFrame) -> DataFrame:
+    """document_costs of the trusted documents, each half under the model of the other half; none without two halves."""
+    halves = [counts.select("gram", F.col(f"n{k}").alias("n")).where("n > 0") for k in (0, 1)]
+    if any(x.isEmpty() for x in halves):
+        return picked.sparkSession.createDataFrame([], _SCORED)
+    one, other = (scored_by(picked.where(F.col("half") == k).drop("half"), halves[1 - k]) for k in (0, 1))
+    return one.unionAll(other)
+
+
+def quality_classifier(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, lang (`und` for null), n_symbols, perplexity, threshold, kept and key of every row of documents.
 
     perplexity is that of a symbol (null without words); kept is false where it, mixed with PRIOR_SYMBOLS of the
-    trusted mean of its language, exceeds the threshold. Texts without words are kept: nothing speaks against them here.
-    Without trusted text, or without a threshold, everything is kept. Equal rows get equal verdicts; a null doc_id is
-    never trusted. Columns other than doc_id, lang and text are not read.
+    trusted mean of its language, exceeds the threshold, or where the mean of its words' peaks, mixed likewise, exceeds
+    theirs. Both limits come from trusted documents under a model that did not see them. Texts without words are kept:
+    nothing speaks against them here. Without trusted text, or without a threshold, everything is kept. Equal rows get
+    equal verdicts; a null doc_id is never trusted. Columns other than doc_id, lang and text are not read.
     """
     sliced = settled(slices(documents, slice_bytes), "slices")
     trusted = settled(trusted_ids(labels), "trusted")
-    counts = settled(trusted_counts(sliced, trusted), "gram-counts")
+    picked = settled(trusted_slices(sliced, trusted, slice_bytes), "trusted-slices")
+    counts = settled(trusted_counts(picked), "gram-counts")
     plain = "doc_id", "lang", "n_symbols"
     if counts.isEmpty():
         every = sliced.select(F.explode(F.arrays_zip("keys", "doc_ids", "langs")).alias("d"))
@@ -370,34 +467,36 @@ def quality_classifier(
             F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"),
             F.col("d.keys").alias("key"),
         )
-    model, unseen = kneser_ney(counts)
-    costs = gram_costs(settled(asked_grams(sliced), "asked-grams"), model, unseen)
-    scored = settled(document_costs(sliced, costs), "document-costs")
+    scored = scored_by(sliced, counts.select("gram", (F.col("n0") + F.col("n1")).alias("n")))
+    known = unseen_scores(picked, counts).where("n_symbols > 0")
 
-    known = scored.where("n_symbols > 0").join(trusted, "doc_id", "left_semi")
-    mean = (F.sum("cost") / F.sum("n_symbols")).alias("mean")
+    means = (F.sum("cost") / F.sum("n_symbols")).alias("mean"), (F.sum("peaks") / F.sum("n_words")).alias("mean_peak")
     # Tables by language are written: their joins are broadcasts where the size allows it, as one language may hold most rows.
-    each = known.groupBy("lang").agg(mean, F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TRUSTED).select("lang", "mean")
+    each = known.groupBy("lang").agg(*means, F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TRUSTED).drop("n")
     each = settled(each, "language-means")
-    overall = known.agg(mean).first()["mean"] or 0.0
+    overall = known.agg(*means).first()
 
     def mixed(frame: DataFrame, means: DataFrame) -> DataFrame:
         own = frame.join(means, "lang", "left").withColumn("known", F.col("mean").isNotNull())
-        prior = F.coalesce("mean", F.lit(overall))
-        return own.withColumn("level", (F.col("cost") + PRIOR_SYMBOLS * prior) / (F.col("n_symbols") + PRIOR_SYMBOLS))
+        prior, peak = (F.coalesce(c, F.lit(overall[c]).cast("double")) for c in ("mean", "mean_peak"))
+        return own.withColumns({
+            "level": (F.col("cost") + PRIOR_SYMBOLS * prior) / (F.col("n_symbols") + PRIOR_SYMBOLS),
+            "peak": (F.col("peaks") + PRIOR_WORDS * peak) / (F.col("n_words") + PRIOR_WORDS),
+        })
 
-    level = F.percentile_approx("level", F.lit(quantile), F.lit(10_000)).alias("level_at")
+    limits = [F.percentile_approx(c, F.lit(quantile), F.lit(10_000)).alias(f"{c}_at") for c in ("level", "peak")]
     held = mixed(known, each)
-    at_all = held.agg(level).first()["level_at"]
-    by_lang = settled(each.join(held.where("known").groupBy("lang").agg(level), "lang"), "language-levels")
-    slack = math.log(margin)
-    judged = mixed(scored, by_lang).withColumn("limit", F.coalesce("level_at", F.lit(at_all).cast("double")) + slack)
+    at_all = held.agg(*limits).first()
+    by_lang = settled(each.join(held.where("known").groupBy("lang").agg(*limits), "lang"), "language-levels")
+    limit, peak_limit = (F.coalesce(c, F.lit(at_all[c]).cast("double")) for c in ("level_at", "peak_at"))
+    judged = mixed(scored, by_lang).withColumns({"limit": limit, "peak_limit": peak_limit})
     has_words = F.col("n_symbols") > 0
+    fits = (F.col("level") <= F.col("limit")) & (F.col("peak") <= F.col("peak_limit"))
     return judged.select(
         *plain,
         F.when(has_words, F.exp(F.col("cost") / F.col("n_symbols"))).alias("perplexity"),
         F.exp("limit").alias("threshold"),
-        F.coalesce(~has_words | (F.col("level") <= F.col("limit")), F.lit(True)).alias("kept"),
+        F.coalesce(~has_words | fits, F.lit(True)).alias("kept"),
         "key",
     )
 

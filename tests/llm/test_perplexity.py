@@ -133,3 +133,30 @@ def test_words_are_cut_between_characters():
 def test_discounts_stay_in_range():
     for n in [(0, 0, 0, 0), (1, 0, 0, 0), (5, 100, 2, 9), (0, 3, 3, 3), (100, 50, 20, 10)]:
         assert all(0 < d < k for k, d in enumerate(P.discounts(*n), 1))
+
+
+def test_limits_come_from_unseen_documents(spark, corpus):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1 and toxic = 0")
+    sliced = P.slices(corpus, 100_000)
+    picked = P.trusted_slices(sliced, labels, 100_000)
+    got = P.unseen_scores(picked, P.trusted_counts(picked)).collect()
+    rows = corpus.join(labels.select("doc_id"), "doc_id").withColumn("half", P.half(corpus.doc_id)).collect()
+    models = [brute_model([r.text for r in rows if r.half != k])[0] for k in (0, 1)]
+    assert {r.half for r in rows} == {0, 1} and len(got) == len(rows)
+    mine = {r.doc_id: r for r in got}
+    for r in rows[:20]:
+        grams = list(symbols(r.text))
+        assert mine[r.doc_id].n_symbols == len(grams)
+        assert mine[r.doc_id].cost == pytest.approx(sum(-math.log(models[r.half](g)) for g in grams), rel=1e-5)
+
+
+def test_hidden_labels(spark):
+    """Half of the labels are hidden from the classifier, which meets these documents for the first time."""
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en' and doc_id % 2 = 0")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = P.quality_classifier(documents, labels.where("doc_id % 4 = 0")).join(labels.where("doc_id % 4 = 2"), "doc_id").toPandas()
+    clean = got[(got.quality == 1) & (got.toxic == 0)]
+    assert len(clean) > 300 and clean.kept.mean() > 0.96
+    # A few toxic words weigh although the mean is that of clean text.
+    assert got[(got.quality == 1) & (got.toxic == 1)].kept.mean() < 0.2
+    assert got[got.quality == 0].kept.mean() < 0.3
