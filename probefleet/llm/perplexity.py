@@ -41,7 +41,7 @@ QUANTILE = 0.99
 PRIOR_SYMBOLS, PRIOR_WORDS = 60, 20
 #: Words of fewer symbols make no peak: a symbol of a short word is dear anywhere.
 PEAK_SYMBOLS = 5
-#: Languages with fewer trusted documents take the threshold of all languages.
+#: Languages with fewer trusted documents have no threshold: the model hardly saw them.
 LEAST_TRUSTED = 30
 
 #: Signs before the first character of a word and after its last; words hold no such control characters but as signs.
@@ -452,8 +452,9 @@ def quality_classifier(documents: DataFrame, labels: DataFrame, quantile: float
     perplexity is that of a symbol (null without words); kept is false where it, mixed with PRIOR_SYMBOLS of the
     trusted mean of its language, exceeds the threshold, or where the mean of its words' peaks, mixed likewise, exceeds
     theirs. Both limits come from trusted documents under a model that did not see them. Texts without words are kept:
-    nothing speaks against them here. Without trusted text, or without a threshold, everything is kept. Equal rows get
-    equal verdicts; a null doc_id is never trusted. Columns other than doc_id, lang and text are not read.
+    nothing speaks against them here. So are all texts of a language (null is one of its own) with fewer than
+    LEAST_TRUSTED trusted documents with words: it has no threshold, as the model does not know it. Equal rows get equal
+    verdicts; a null doc_id is never trusted. Columns other than doc_id, lang and text are not read.
     """
     sliced = settled(slices(documents, slice_bytes), "slices")
     trusted = settled(trusted_ids(labels), "trusted")
@@ -472,30 +473,25 @@ def quality_classifier(documents: DataFrame, labels: DataFrame, quantile: float
 
     means = (F.sum("cost") / F.sum("n_symbols")).alias("mean"), (F.sum("peaks") / F.sum("n_words")).alias("mean_peak")
     # Tables by language are written: their joins are broadcasts where the size allows it, as one language may hold most rows.
-    each = known.groupBy("lang").agg(*means, F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TRUSTED).drop("n")
-    each = settled(each, "language-means")
-    overall = known.agg(*means).first()
-
-    def mixed(frame: DataFrame, means: DataFrame) -> DataFrame:
-        own = frame.join(means, "lang", "left").withColumn("known", F.col("mean").isNotNull())
-        prior, peak = (F.coalesce(c, F.lit(overall[c]).cast("double")) for c in ("mean", "mean_peak"))
-        return own.withColumns({
-            "level": (F.col("cost") + PRIOR_SYMBOLS * prior) / (F.col("n_symbols") + PRIOR_SYMBOLS),
-            "peak": (F.col("peaks") + PRIOR_WORDS * peak) / (F.col("n_words") + PRIOR_WORDS),
+    enough = (F.col("n") >= LEAST_TRUSTED) & (F.col("n_halves") == 2)
+    counted = F.count_distinct("doc_id").alias("n"), F.count_distinct(half(F.col("doc_id"))).alias("n_halves")
+    each = settled(known.groupBy("lang").agg(*means, *counted).where(enough).drop("n", "n_halves"), "language-means")
+
+    def mixed(frame: DataFrame, means: DataFrame, how: str) -> DataFrame:
+        return frame.join(means, "lang", how).withColumns({
+            "level": (F.col("cost") + PRIOR_SYMBOLS * F.col("mean")) / (F.col("n_symbols") + PRIOR_SYMBOLS),
+            "peak": (F.col("peaks") + PRIOR_WORDS * F.col("mean_peak")) / (F.col("n_words") + PRIOR_WORDS),
         })
 
-    limits = [F.percentile_approx(c, F.lit(quantile), F.lit(10_000)).alias(f"{c}_at") for c in ("level", "peak")]
-    held = mixed(known, each)
-    at_all = held.agg(*limits).first()
-    by_lang = settled(each.join(held.where("known").groupBy("lang").agg(*limits), "lang"), "language-levels")
-    limit, peak_limit = (F.coalesce(c, F.lit(at_all[c]).cast("double")) for c in ("level_at", "peak_at"))
-    judged = mixed(scored, by_lang).withColumns({"limit": limit, "peak_limit": peak_limit})
+    limits = [F.percentile_approx(c, F.lit(quantile), F.lit(10_000)).alias(f"{c}_limit") for c in ("level", "peak")]
+    by_lang = settled(each.join(mixed(known, each, "inner").groupBy("lang").agg(*limits), "lang"), "language-levels")
+    judged = mixed(scored, by_lang, "left")
     has_words = F.col("n_symbols") > 0
-    fits = (F.col("level") <= F.col("limit")) & (F.col("peak") <= F.col("peak_limit"))
+    fits = (F.col("level") <= F.col("level_limit")) & (F.col("peak") <= F.col("peak_limit"))
     return judged.select(
         *plain,
         F.when(has_words, F.exp(F.col("cost") / F.col("n_symbols"))).alias("perplexity"),
-        F.exp("limit").alias("threshold"),
+        F.exp("level_limit").alias("threshold"),
         F.coalesce(~has_words | fits, F.lit(True)).alias("kept"),
         "key",
     )

@@ -160,3 +160,15 @@ def test_hidden_labels(spark):
     # A few toxic words weigh although the mean is that of clean text.
     assert got[(got.quality == 1) & (got.toxic == 1)].kept.mean() < 0.2
     assert got[got.quality == 0].kept.mean() < 0.3
+
+
+def test_languages_that_labels_do_not_cover(spark, corpus):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    greek = [(10**6 + i, f"Το κείμενο {i} είναι καθαρό και μιλάει για τη θάλασσα, τα βουνά και τον ουρανό.", "el") for i in range(20)]
+    greek.append((10**6 + 20, "Καθαρό κείμενο χωρίς γλώσσα, με αρκετές λέξεις για να το κρίνει κανείς.", None))
+    documents = corpus.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(greek, "doc_id long, text string, lang string"))
+    got = P.quality_classifier(documents, labels).toPandas()
+    new = got[got.doc_id >= 10**6]
+    assert len(new) == 21 and new.kept.all() and new.threshold.isna().all() and new.perplexity.notna().all()
+    # Languages with enough trusted text are still judged.
+    assert not got[got.lang == "en"].kept.all() and got[got.lang == "en"].threshold.notna().all()
