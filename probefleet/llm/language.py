@@ -42,8 +42,13 @@ def gram_counts(t: T.Texts) -> Iterator[tuple[int, np.ndarray]]:
     """(first text, counts as float32 [texts, BUCKETS]) of blocks of texts.
 
     Grams are two and three bytes long, ASCII letters lower-cased, other ASCII as one blank; grams within blanks do
-    not count.
+    not count. A text of a single byte stands between blanks, as it has no grams else.
     """
+    single = np.diff(t.offsets) == 1
+    if single.any():
+        alone = t.offsets[:-1][single]
+        data = np.insert(t.data, np.concatenate([alone, alone + 1]), 0x20)
+        t = T.Texts(data, t.offsets + np.concatenate([[0], np.cumsum(2 * single)]))
     low = _LOWER[t.data]
     owner = np.repeat(np.arange(len(t)), np.diff(t.offsets))
     a = low.astype(np.uint32)

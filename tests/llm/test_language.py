@@ -62,3 +62,21 @@ def test_gram_counts_stay_within_a_text():
     both = np.concatenate([c for _, c in L.gram_counts(T.texts(pa.array(["ab cd", None, "Xy"])))])
     alone = [next(L.gram_counts(T.texts(pa.array([x]))))[1][0] for x in ("ab cd", "", "xY")]
     assert (both == np.stack(alone)).all()
+
+
+def test_a_single_letter(spark):
+    texts = ["a", "Z", "7", "a", " ", "é", "ab", "a.", None]
+    documents = [(i, x, "en") for i, x in enumerate(texts)] + [(100 + i, "an alpha and a beta are letters", "en") for i in range(9)]
+    rows = {r.doc_id: r for r in L.language_id(spark.createDataFrame(documents, "doc_id long, text string, lang string")).collect()}
+    assert len(rows) == len(documents)
+    for i, x in enumerate(texts):
+        want = ("en", ["en"]) if x and any(map(str.isalpha, x)) else ("und", [])
+        assert (rows[i].lang_pred, rows[i].languages) == want and rows[i].score == float(want[0] == "en")
+
+
+def test_gram_counts_of_single_letters():
+    import pyarrow as pa
+
+    both = np.concatenate([c for _, c in L.gram_counts(T.texts(pa.array(["a", "xyz", None, "B", "q"])))])
+    alone = [next(L.gram_counts(T.texts(pa.array([x]))))[1][0] for x in (" a ", "xyz", "", " b ", " q ")]
+    assert (both == np.stack(alone)).all() and both.sum(axis=1).tolist() == [3, 3, 0, 3, 3]
