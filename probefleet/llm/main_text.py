@@ -2,7 +2,8 @@
 
 Each page's containers are scored by the text they hold. Pages vote for the generalised path (tags and classes, digits
 as one sign) of their best container; Spark counts the votes of each host. Then every page is extracted again from its
-host's winning path, or from its own best container where it has nothing at that path.
+host's winning path, or from its own best container where it has nothing at that path. A container that is part of an
+article stands for the whole article: the element around all containers at the path is extracted.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from probefleet.llm.workspace import settled
 
 #: The consensus container must score at least this share of the page's best one.
 LEAST_SHARE = 0.25
-#: Containers of a page that get votes.
+#: Paths of a page that get votes.
 VOTES = 3
 #: Length of a path; elements further out do not tell containers apart.
 PATH_STEPS = 16
@@ -44,7 +45,8 @@ _INLINE = set(
     " strike strong sub sup time tt u var wbr".split()
 )
 _SKIPPED = set("nav header footer aside form head menu dialog".split())
-_CONTAINERS = set("article main section div td body blockquote center".split())
+_CONTAINERS = set("article main section div td body center".split())
+_OUTERMOST = {"body", "html", "#root"}
 #: Elements that an opening tag closes: the same kind, inside the nearest of the stops.
 _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
            "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
@@ -75,6 +77,8 @@ class Node:
     last: int = -1
     text: int = 0
     linked: int = 0
+    #: Unlinked text that is in no container inside.
+    own: float = 0.0
     score: float = 0.0
 
 
@@ -208,6 +212,7 @@ def score(page: Page) -> list[Node]:
             continue
         at = node if node.tag in _CONTAINERS or node.parent < 0 else nodes[node.around]
         weight = 1.0
+        at.own += gain
         # Beyond fifty levels the weight is below the precision of the sum.
         while weight > 2**-50:
             at.score += gain * weight
@@ -218,32 +223,79 @@ def score(page: Page) -> list[Node]:
     return sorted((n for n in nodes if n.score > 0), key=lambda n: -n.score)
 
 
+def whole(page: Page, node: Node) -> Node:
+    """What a container is a part of: the article around it, or the container of a table's cell that has text of its own;
+    then the innermost container around all that share its path.
+
+    Directly in the body, and for cells of a table, others count only if they hold LEAST_SHARE of its score, and then the
+    page from the first to the last of them is taken.
+    """
+    nodes = page.nodes
+    above = node
+    while above.tag not in _OUTERMOST and above.tag != "article" and above.around >= 0:
+        above = nodes[above.around]
+    if above.tag == "article":
+        node = above
+    elif node.tag == "td":
+        above = nodes[node.around]
+        while above.tag == "td":
+            above = nodes[above.around]
+        if above.own > 0 and above.tag not in _OUTERMOST:
+            node = above
+    if node.tag in _OUTERMOST:
+        return node
+    path = page.path(node)
+    # Paths of limited length are also shared by nested elements.
+    apart = (n for n in nodes if n.score > 0 and n.step == node.step and (n.first >= node.last or n.last <= node.first))
+    alike = [n for n in apart if page.path(n) == path]
+    strong = [node, *(n for n in alike if n.score >= LEAST_SHARE * node.score)]
+    alike = strong if node.tag == "td" else [node, *alike]
+    if len(alike) == 1:
+        return node
+    around = node
+    first, last = min(n.first for n in alike), max(n.last for n in alike)
+    while around.around >= 0 and not (around.first <= first and last <= around.last):
+        around = nodes[around.around]
+    if around.tag not in _OUTERMOST:
+        return around
+    return Node("#span", "", -1, False, min(n.first for n in strong), last=max(n.last for n in strong))
+
+
 def chosen(page: Page, path: str | None) -> Node | None:
-    """The best container at a path if it holds enough, else the page's best, else the body."""
+    """The whole of the best container at a path if it holds enough, else of the page's best, else the body."""
     ranked = score(page)
     if ranked:
         last = path.rpartition("/")[2] if path else None
         at_path = next((n for n in ranked if n.step == last and page.path(n) == path), None)
-        return at_path if at_path and at_path.score >= LEAST_SHARE * ranked[0].score else ranked[0]
+        return whole(page, at_path if at_path and at_path.score >= LEAST_SHARE * ranked[0].score else ranked[0])
     return next((n for n in page.nodes if n.tag == "body"), page.nodes[0])
 
 
+def votes_of(page: Page) -> dict[str, int]:
+    """The VOTES best paths of a page, with the shares of their best containers in the sum."""
+    best: dict[str, float] = {}
+    for n in score(page):
+        if len(best) == VOTES:
+            break
+        if n.parent >= 0:
+            best.setdefault(page.path(n), n.score)
+    total = sum(best.values())
+    return {path: round(1e6 * x / total) for path, x in best.items()}
+
+
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[^/?#]*?://([^/?#]*)", 1)), F.lit(""))
 
 
 def page_votes(pages: DataFrame) -> DataFrame:
-    """host, path, vote: a page's best containers with their shares of the summed scores."""
+    """host, path, vote: a page's best paths, each once, with their shares of the summed scores."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.text_slices(batches, "html"):
             hosts, paths, votes = [], [], []
             for at, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                page = parse(source or "")
-                best = [n for n in score(page)[:VOTES] if n.parent >= 0]
-                total = sum(n.score for n in best)
-                for n in best:
-                    hosts.append(at), paths.append(page.path(n)), votes.append(round(1e6 * n.score / total))
+                for path, vote in votes_of(parse(source or "")).items():
+                    hosts.append(at), paths.append(path), votes.append(vote)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes, pa.int64())],
                 ["host", "path", "vote"],

@@ -78,3 +78,49 @@ def test_classes_are_generalised(spark):
     assert dict(M.winning_paths(votes).collect()) == {"h": "/a", "g": "/c"}
     page = M.parse("<div class='post-17 B a'><p>text</p></div>")
     assert page.path(page.nodes[1]) == "/div.a.b.post-#"
+
+
+def parts(n, part="<section><h2>Part {}</h2><p>{}</p></section>"):
+    return "".join(part.format(k, PROSE * (1 + k % 3)) for k in range(n))
+
+
+def plain(source):
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", source)).split())
+
+
+@pytest.mark.parametrize("n", [2, 3, 8, 30])
+@pytest.mark.parametrize("outer", ["<article><h1>Title</h1>{}</article>", "<div class='post'><h1>Title</h1>{}</div>", "<article><h1>Title</h1><div class='wrap'>{}</div></article>"])
+@pytest.mark.parametrize("part", ["<section><h2>Part {}</h2><p>{}</p></section>", "<div class='c'><h2>Part {}</h2><p>{}</p></div>"])
+def test_articles_of_several_parts(n, outer, part):
+    article = outer.format(parts(n, part))
+    source = f"<html><body><nav>Menu</nav><div class='more'>{PROSE}</div>{article}</body></html>"
+    paths = M.votes_of(M.parse(source))
+    for path in [None, *paths]:
+        if path is None or not path.endswith(("body", "more")):
+            assert one(source, path) == plain(article)
+
+
+def test_several_parts_in_the_body():
+    source = f"<body><div>{PROSE}</div><h2>Between</h2><div>{PROSE}</div><div class='x'>Short</div></body>"
+    assert one(source) in (plain(source), f"{PROSE}Between {PROSE}".strip())
+
+
+@pytest.mark.parametrize("outer", ["article", "div"])
+def test_long_quotes_and_cells(outer):
+    for inside in ("<blockquote><p>{}</p></blockquote>", "<table><tr><td>{}</td><td>1</td></tr></table>"):
+        source = f"<body><{outer}><h1>Title</h1><p>{PROSE}</p>{inside.format(PROSE * 5)}<p>The end.</p></{outer}></body>"
+        assert one(source) == plain(source)
+    layout = f"<body><div><table><tr><td>Side words</td><td><p>{PROSE * 5}</p></td></tr></table></div></body>"
+    assert one(layout) == (PROSE * 5).strip()
+
+
+def test_hosts_of_sectioned_articles(spark):
+    page = "<html><body><div class='top'>Words</div><article><h1>Title</h1>{}</article></body></html>"
+    rows = [(n, f"http://h.example/{n}", page.format(parts(n))) for n in (1, 2, 3, 3, 8)]
+    for r in M.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == plain(f"<h1>Title</h1>{parts(r.page_id)}")
+
+
+def test_a_page_votes_once_for_a_path():
+    votes = M.votes_of(M.parse(f"<body><article>{parts(3, '<section>{1}</section>')}</article></body>"))
+    assert max(votes, key=votes.get) == "/body/article" and len(votes) == len(set(votes)) == 3
