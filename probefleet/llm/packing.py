@@ -4,7 +4,8 @@ Documents become pieces of at most `capacity` tokens. Full pieces are sequences
 blocks of bounded size by a hash; on each block several islands evolve packings: crossover injects whole well-filled
 sequences of one parent into another, drops the sequences that hold the same pieces, and places the displaced pieces by
 best fit, longest first. Between epochs each island's best packing migrates to the next island. The poorly filled
-sequences that remain in all blocks are pooled and packed again in fewer blocks.
+sequences that remain in all blocks are pooled and packed again in fewer blocks, as long as that fills enough of them. No
+block is larger than others for it.
 
 Every random choice is seeded by block, island and epoch, so a task that runs again gives the same result.
 """
@@ -34,6 +35,8 @@ BLOCK_PIECES = 4096
 ISLANDS, POPULATION, EPOCHS, CROSSOVERS = 2, 4, 2, 6
 #: Sequences filled less are pooled over the blocks.
 WELL_FILLED = 0.99
+#: Pooling ends with a level that fills the sequences of a smaller share of its items. So 2**42 items have some 90 levels.
+LEAST_PROGRESS = 0.2
 #: Text bytes that are tokenised together, and segments whose ids a worker remembers.
 SLICE_BYTES, REMEMBERED = 4 << 20, 450_000
 
@@ -309,13 +312,23 @@ def pack_items(
 ) -> DataFrame:
     """uid, sequence_id, offset for items (uid, size; 0 < size <= capacity): sequences of at most capacity, gapless.
 
-    The number of blocks follows the number of items. Levels of pooling end with a single block, or when pooling leaves
-    as many items as before.
+    The number of blocks follows the number of items. Items that leave no room for the smallest one are sequences of their
+    own, with a sequence_id of -1 - uid. Levels of pooling end with a single block, or with blocks of which less than
+    LEAST_PROGRESS was filled well: then these blocks' sequences stay as they are.
     """
     left = settled(items, "items")
     done: list[DataFrame] = []
-    count, level = left.count(), 0
-    while count:
+    level = 0
+    while True:
+        count, smallest = left.agg(F.count(F.lit(1)), F.min("size")).first()
+        if not count:
+            break
+        alone = F.col("size") > capacity - smallest
+        done.append(left.where(alone).selectExpr("uid", "-1 - uid sequence_id", "0L offset"))
+        left = left.where(~alone)
+        count = left.count()
+        if not count:
+            break
         blocks = -(-count // block_pieces)
         start = _blocks(left, blocks, level).withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
         # An island is a unit of work: spread them over the tasks.
@@ -326,14 +339,12 @@ def pack_items(
                 state = _migrated(state, islands)
             state = settled(_epoch(state, epoch, capacity, crossovers), "islands")
         found = settled(_best_of_islands(state, level, capacity, well_filled if blocks > 1 else 0.0), "packed")
-        done.append(found.where("final").drop("final", "size"))
         pooled = found.where("not final").select("uid", "size")
-        if blocks == 1:
+        last = blocks == 1 or pooled.count() > (1 - LEAST_PROGRESS) * count
+        done.append((found if last else found.where("final")).drop("final", "size"))
+        if last:
             break
-        before, count, level = count, pooled.count(), level + 1
-        left = pooled
-        if count >= before:
-            block_pieces = max(block_pieces * 2, count // 2 + 1)
+        left, level = pooled, level + 1
     out = done[0] if done else left.selectExpr("uid", "uid sequence_id", "uid offset")
     for more in done[1:]:
         out = out.unionAll(more)
@@ -377,7 +388,7 @@ def pack_documents(
 
     A null or empty text is a piece of one token, the end of a document; rows with the same doc_id are packed each by
     itself, and a null doc_id stays null. Columns other than doc_id and text are not read. sequence_id is negative for
-    sequences of one full piece.
+    sequences of one full piece, or of one that leaves no room for any other.
     """
     pieces = settled(token_pieces(documents, tokenizer, capacity, with_ids), "pieces")
     rest = pieces.where(F.col("length") < capacity)

@@ -80,6 +80,30 @@ def test_items_that_leave_no_room(spark):
     assert len({r.sequence_id for r in got}) == 50 and {r.offset for r in got} == {0}
 
 
+@pytest.mark.parametrize("small", [0, 40])
+def test_blocks_stay_bounded(spark, monkeypatch, small):
+    """Large pieces that fill no sequence, alone or with some tiny ones, are not gathered in a larger block."""
+    items = spark.createDataFrame([(i, 5 if i < small else 1500 if i % 3 else 1100 + i % 400) for i in range(600)], "uid long, size long")
+    seen, blocks = [], K._blocks
+
+    def watched(left, n, level):
+        out = blocks(left, n, level)
+        seen.append(max((len(r.uids) for r in out.collect()), default=0))
+        return out
+
+    monkeypatch.setattr(K, "_blocks", watched)
+    rows = K.pack_items(items, 2048, block_pieces=50).collect()
+    assert len(rows) == len({r.uid for r in rows}) == 600 and len({r.sequence_id for r in rows}) <= 600 - small * 0.9
+    assert all(n < 100 for n in seen) and len(seen) <= 3 and bool(seen) == bool(small)
+    sizes = {r.uid: r["size"] for r in items.collect()}
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, sizes[r.uid]))
+    for parts in sequences.values():
+        parts.sort()
+        assert [p[0] for p in parts] == np.cumsum([0, *(p[1] for p in parts)])[:-1].tolist() and sum(p[1] for p in parts) <= 2048
+
+
 def test_same_result_again(spark):
     items = spark.range(3000).selectExpr("id uid", "1 + pmod(id * 7919, 700) size")
     a, b = (sorted(K.pack_items(items.repartition(n), 1000, block_pieces=700).collect()) for n in (3, 7))
