@@ -54,8 +54,31 @@ JACCARD_JOIN = f"""WITH RECURSIVE d AS (SELECT doc_id, {_words(_LOWER, _WORD)} A
     SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN sizes USING (doc_id)
     JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) USING (doc_id)"""
 
+COLLOCATIONS = r"""WITH texts AS (SELECT coalesce(lang, 'und') AS lang,
+        unnest(regexp_split_to_array(LOWER_TEXT, '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+    pieces AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM texts),
+    totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+    grams AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS a FROM
+        (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS size))
+        GROUP BY ALL HAVING count(*) >= 100),
+    cuts AS (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM grams WHERE size > 1),
+    parts AS (SELECT lang, phrase, size, a, k, array_to_string(w[1:k], ' ') AS l, array_to_string(w[k + 1:], ' ') AS r FROM cuts),
+    scores AS (SELECT p.lang, p.phrase, p.size, p.a, k, x.a AS l, y.a AS r, n,
+        (1000 * CAST(p.a AS HUGEINT) * n) // (CAST(x.a AS HUGEINT) * y.a) AS score
+        FROM parts p JOIN grams x ON x.lang = p.lang AND x.phrase = p.l JOIN grams y ON y.lang = p.lang AND y.phrase = p.r
+        JOIN totals t ON t.lang = p.lang),
+    best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inner_parts AS (SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, a FROM
+        (SELECT *, unnest(range(1, size - m + 2)) AS i FROM
+        (SELECT lang, string_split(phrase, ' ') AS w, size, a, unnest(range(2, size)) AS m FROM grams WHERE size > 2))),
+    kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_parts i
+        WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.a >= 100 * b.a))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r,
+    CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM kept QUALIFY rank <= 2000""".replace("LOWER_TEXT", f"coalesce({_LOWER}, '')")
+
 ORACLES = {
     "op4_substrings": SUBSTRINGS,
     "op8_decontamination": DECONTAMINATION,
     "op9_jaccard_join": JACCARD_JOIN,
+    "op11_collocations": COLLOCATIONS,
 }

@@ -13,6 +13,7 @@ from probefleet.llm.main_text import main_text
 from probefleet.llm.oracles import ORACLES
 from probefleet.llm.packing import pack_documents
 from probefleet.llm.perplexity import quality_classifier
+from probefleet.llm.phrases import mine_phrases
 from probefleet.llm.quality_rules import quality_rules
 from probefleet.llm.substrings import substring_digest
 from probefleet.llm.url_filter import judge_urls
@@ -70,6 +71,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_jaccard_join,
         op10_warc,
+        op11_collocations,
     )
 }
 
