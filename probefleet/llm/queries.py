@@ -15,6 +15,7 @@ from probefleet.llm.packing import pack_documents
 from probefleet.llm.perplexity import quality_classifier
 from probefleet.llm.phrases import mine_phrases
 from probefleet.llm.quality_rules import quality_rules
+from probefleet.llm.secret_scan import secret_digest
 from probefleet.llm.substrings import substring_digest
 from probefleet.llm.url_filter import judge_urls
 from probefleet.llm.warc import archive_pages
@@ -76,6 +77,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(table(spark, sf_dir, "documents"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_jaccard_join,
         op10_warc,
         op11_collocations,
+        op12_secrets,
     )
 }
 
