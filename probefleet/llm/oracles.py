@@ -76,9 +76,25 @@ COLLOCATIONS = r"""WITH texts AS (SELECT coalesce(lang, 'und') AS lang,
     SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r,
     CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM kept QUALIFY rank <= 2000""".replace("LOWER_TEXT", f"coalesce({_LOWER}, '')")
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RANKED_SEARCH = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words(_LOWER, _TERM)} AS w FROM documents),
+    total AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+    tfs AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+    weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * max(total.n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight
+        FROM tfs, total GROUP BY term),
+    items AS (SELECT row_number() OVER () AS i, item_id, {_words(_LOWER, _TERM)} AS w FROM benchmark),
+    asked AS (SELECT i, term, count(*) AS repeats FROM (SELECT i, unnest(w) AS term FROM items) GROUP BY ALL),
+    norms AS (SELECT r, doc_id, 100 - 75 + (75 * len(w) * n) // l AS m FROM d, total WHERE len(w) > 0),
+    scores AS (SELECT i, r, CAST(sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+        FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN norms USING (r) GROUP BY i, r),
+    ranked AS (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank
+        FROM scores JOIN norms USING (r) WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN items USING (i) WHERE rank <= 10"""
+
 ORACLES = {
     "op4_substrings": SUBSTRINGS,
     "op8_decontamination": DECONTAMINATION,
     "op9_jaccard_join": JACCARD_JOIN,
     "op11_collocations": COLLOCATIONS,
+    "op13_ranked_search": RANKED_SEARCH,
 }

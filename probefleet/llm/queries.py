@@ -15,6 +15,7 @@ from probefleet.llm.packing import pack_documents
 from probefleet.llm.perplexity import quality_classifier
 from probefleet.llm.phrases import mine_phrases
 from probefleet.llm.quality_rules import quality_rules
+from probefleet.llm.ranked_search import ranked_search
 from probefleet.llm.secret_scan import secret_digest
 from probefleet.llm.substrings import substring_digest
 from probefleet.llm.url_filter import judge_urls
@@ -81,6 +82,11 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_warc,
         op11_collocations,
         op12_secrets,
+        op13_ranked_search,
     )
 }
 
