@@ -29,6 +29,8 @@ LONGEST = 5
 TOP = 2000
 #: Texts of this many bytes are hashed together; only one piece without a separator can make a larger stretch.
 STRETCH_BYTES = 2 << 20
+#: The n-grams of this much text meet in one step of a task.
+BUCKET_BYTES = 8 << 20
 #: A task adds up this many fingerprints before it hands them on.
 PENDING = 1_500_000
 #: Ranks are found in this many parts of a language first.
@@ -138,24 +140,58 @@ class Sums:
             values = np.concatenate([getattr(p, name) for p in parts])[order]
             return operation.reduceat(values, first) if len(first) else values
 
-        return Sums(
-            fp[first], over("n", np.add), over("key", np.minimum), over("low", np.minimum), over("high", np.maximum)
-        )
+        return Sums(fp[first], over("n", np.add), over("key", np.minimum), over("low", np.minimum), over("high", np.maximum))
 
-    def batch(self) -> pa.RecordBatch:
+    def frequent(self, least: int) -> pa.RecordBatch:
+        keep = self.n >= least
         columns = [self.fp.view(np.int64), self.n, self.key, self.low, self.high]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "n", "key", "low", "high"])
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["fp", "n", "key", "low", "high"])
+
+    def packed(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The entries by bucket, a range of fingerprints, as byte planes: sorted values differ in few of them."""
+        # Where checks differ, both stand, and the number of occurrences with the first.
+        extra = np.flatnonzero(self.low != self.high)
+        at = np.append(np.arange(len(self.fp)), extra)
+        order = np.argsort(at, kind="stable")
+        second = np.append(np.zeros(len(self.fp), bool), np.ones(len(extra), bool))[order]
+        at = at[order]
+        check, n = np.where(second, self.high[at], self.low[at]), np.where(second, 0, self.n[at])
+        bucket = ((self.fp[at] >> _U(30)) & _U(0xFFFFFFFF)) * _U(buckets) >> _U(32)
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(at) else np.zeros(0, np.int64)
+        ends = np.append(cuts[1:], len(at))[: len(cuts)]
+        planes = [
+            [_planes(values[a:b]) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
+            for values in (self.fp[at], n.astype(np.int64), self.key[at], check)
+        ]
+        columns = [pa.array(bucket[cuts].astype(np.int64)), *(pa.array(x, pa.binary()) for x in planes)]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "fp", "n", "key", "check"])
+
+    @staticmethod
+    def unpacked(batch: pa.RecordBatch, row: int) -> Sums:
+        fp, n, key, check = (
+            _values(batch.column(c)[row].as_buffer(), kind) for c, kind in (("fp", _U), ("n", np.int64), ("key", np.int32), ("check", np.int32))
+        )
+        return Sums(fp, n, key, check, check)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _values(planes: pa.Buffer, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
 def counted(
-    texts: DataFrame, sizes: tuple[int, ...], known: Broadcast[Members] | None, known_size: int, bits: int, pending: int = PENDING
+    texts: DataFrame, sizes: tuple[int, ...], known: Broadcast[Members] | None, known_size: int, bits: int, least: int, buckets: int
 ) -> DataFrame:
-    """fp, n, key, low and high of all n-grams of the sizes whose parts of known_size words are known."""
+    """fp, n, key, low and high of all n-grams of the sizes that occur least times and whose parts of known_size words are known."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[Sums] = []
         for grams, batch in stretches(batches):
-            keys = _longs(batch.column("key"))
+            keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int32)
             if known is not None:
                 parts = grams.starts(known_size)
                 good = np.zeros(len(grams.words) + 1, bool)
@@ -168,18 +204,28 @@ def counted(
                 check = grams.checks(start, size)
                 ones = np.ones(len(start), np.int64)
                 waiting.append(Sums.of([Sums(grams.fingerprints(start, size, bits), ones, keys[grams.owner[start]], check, check)]))
-            if sum(len(s.fp) for s in waiting) > pending:
+            if sum(len(s.fp) for s in waiting) > PENDING:
                 waiting = [Sums.of(waiting)]
-                if len(waiting[0].fp) > pending // 2:
-                    yield waiting.pop().batch()
+                if len(waiting[0].fp) > PENDING // 2:
+                    yield from waiting.pop().packed(buckets)
         if waiting:
-            yield Sums.of(waiting).batch()
+            yield from Sums.of(waiting).packed(buckets)
 
-    partial = texts.mapInArrow(rows, "fp long, n long, key long, low int, high int")
-    # The tasks have added up already, so the sums are taken after the exchange alone.
-    return partial.repartition("fp").groupBy("fp").agg(
-        F.sum("n").alias("n"), F.min("key").alias("key"), F.min("low").alias("low"), F.max("high").alias("high")
-    )
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One bucket after the other, as the rows are sorted."""
+        waiting, at = [], None
+        for batch in batches:
+            for row, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if bucket != at and waiting:
+                    yield Sums.of(waiting).frequent(least)
+                    waiting = []
+                at = bucket
+                waiting.append(Sums.unpacked(batch, row))
+        if waiting:
+            yield Sums.of(waiting).frequent(least)
+
+    packed = texts.mapInArrow(rows, "bucket long, fp binary, n binary, key binary, check binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sums, "fp long, n long, key int, low int, high int")
 
 
 _PHRASE_TYPES = [pa.int64(), pa.string(), pa.int32(), pa.string()]
@@ -246,15 +292,15 @@ def frequent_phrases(
     bits mean more phrases to tell apart by text, and the same rows.
     """
     lang = F.coalesce("lang", F.lit(UNKNOWN))
-    texts = documents.select(
-        F.xxhash64(F.col("doc_id").cast("string"), lang, "text").alias("key"), lang.alias("lang"), F.xxhash64(lang).alias("lang_key"), "text"
-    )
+    # A pointer names few documents rather than one; the phrase is found in one of them by its fingerprint.
+    key = F.shiftright(F.xxhash64(F.col("doc_id").cast("string"), lang, "text"), 32).cast("int")
+    texts = documents.select(key.alias("key"), lang.alias("lang"), F.xxhash64(lang).alias("lang_key"), "text")
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Words alone, then pairs of frequent words, then all that consists of frequent pairs.
     known, known_size, frequent = None, 0, None
     for sizes in ((0, 1), (2,), tuple(range(3, longest + 1))):
         if sizes and sizes[0] <= longest:
-            found = counted(texts, sizes, known, known_size, bits).where(F.col("n") >= least)
-            found = settled(found, "phrase-counts")
+            found = settled(counted(texts, sizes, known, known_size, bits, least, 1 + len(sizes) * size // BUCKET_BYTES), "phrase-counts")
             known, known_size = members(found.select("fp")), sizes[-1]
             frequent = found if frequent is None else frequent.unionByName(found)
     mixed = F.col("low") != F.col("high")
@@ -262,18 +308,19 @@ def frequent_phrases(
 
     # One copy of each document that an occurrence points to, with the fingerprints wanted from it.
     wanted = settled(plain.groupBy("key").agg(F.collect_list("fp").alias("fps")), "phrase-places")
-    pointed = members(wanted.select("key"))
+    pointed = members(wanted.select(F.xxhash64("key").alias("place")))
 
     def pointed_to(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            batch = batch.filter(pa.array(pointed.value.has(_longs(batch.column("key")))))
+            batch = batch.filter(pa.array(pointed.value.has(_longs(batch.column("place")))))
             packed = [packer.compress((x or "").encode()) for x in batch.column("text").to_pylist()]
-            columns = [*(batch.column(c) for c in ("key", "lang", "lang_key")), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "lang", "lang_key", "packed"])
+            columns = [*(batch.column(c) for c in ("key", "place", "lang", "lang_key")), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "place", "lang", "lang_key", "packed"])
 
-    copies = texts.mapInArrow(pointed_to, "key long, lang string, lang_key long, packed binary")
-    copies = copies.groupBy("key").agg(*(F.first(c).alias(c) for c in ("lang", "lang_key", "packed")))
+    places = texts.select("key", F.xxhash64("key").alias("place"), "lang", "lang_key", "text")
+    copies = places.mapInArrow(pointed_to, "key int, place long, lang string, lang_key long, packed binary")
+    copies = copies.groupBy("key", F.xxhash64("lang", "packed").alias("copy")).agg(*(F.first(c).alias(c) for c in ("lang", "lang_key", "packed")))
     sizes = range(longest + 1)
     spelled = _spelled(copies.join(wanted, "key"), sizes, bits).dropDuplicates(["fp"])
     phrases = spelled.join(plain.select("fp", F.col("n").alias("a")), "fp").select("lang", "size", "phrase", "a")
@@ -290,7 +337,9 @@ def scored(phrases: DataFrame) -> DataFrame:
     one more word around it, null without one.
     """
     counts = phrases.where(F.col("size") > 0).select("lang", "phrase", "a")
-    totals = phrases.where(F.col("size") == 0).select("lang", F.col("a").alias("n"))
+    # A language may have most of the phrases, so its number of words stands by in copies.
+    copy = F.explode(F.sequence(F.lit(0), F.lit(RANK_PARTS - 1))).alias("copy")
+    totals = phrases.where(F.col("size") == 0).select("lang", F.col("a").alias("n"), copy)
     words = F.split("phrase", " ")
     cuts = (
         phrases.where(F.col("size") > 1)
@@ -311,7 +360,8 @@ def scored(phrases: DataFrame) -> DataFrame:
     best = (
         cuts.join(counts.select("lang", F.col("phrase").alias("left"), F.col("a").alias("l")), ["lang", "left"])
         .join(counts.select("lang", F.col("phrase").alias("right"), F.col("a").alias("r")), ["lang", "right"])
-        .join(totals, "lang")
+        .withColumn("copy", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)).cast("int"))
+        .join(totals, ["lang", "copy"])
         .select("lang", "phrase", "a", F.struct(score.alias("score"), "k", "l", "r", "n").alias("cut"))
         .groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.min("cut").alias("cut"))
     )
