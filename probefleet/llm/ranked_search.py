@@ -158,7 +158,9 @@ def build_index(documents: DataFrame, terms: DataFrame | None = None, block_post
         row = Block.of(key[0].as_py(), rows.sort_by([("doc_id", "ascending"), ("part", "ascending")])).row()
         return pa.Table.from_arrays(row, ["m", "most", *Block._ARRAYS])
 
-    blocks = found.select("m", "block", "part", "doc_id", "n", "n_terms", "terms", "tf").groupBy("m", "block").applyInArrow(stratum, _BLOCK_SCHEMA)
+    # Dealt by block explicitly: rows that come dealt by m alone would keep a large stratum in one task.
+    dealt = found.select("m", "block", "part", "doc_id", "n", "n_terms", "terms", "tf").repartition("m", "block")
+    blocks = dealt.groupBy("m", "block").applyInArrow(stratum, _BLOCK_SCHEMA)
     blocks = settled(blocks, "search-index")
 
     def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
