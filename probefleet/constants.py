@@ -22,6 +22,7 @@ NO_DATA_PERCENTAGE = -1.0
 BACKOFF_SCALE_MS = 200
 BACKOFF_MAX_MS = 300000
 JOIN_TIMEOUT_MS = 30000
+JOIN_RETRIES = 3
 LATENCY_TARGET_MS = 400
 
 # Topology.

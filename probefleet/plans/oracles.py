@@ -733,4 +733,24 @@ def oracles() -> dict[str, str]:
     found["stream_status_current"] = found["status_current"]
     found["stream_reconcile"] = found["probe_reconcile"]
     found["stream_join_timeouts"] = found["join_timeouts"]
+    # All clients are sampled until three ticks after the last record of any.
+    live = {"samples": "live_samples", "ring": "live_ring", "status": "live_status"}
+    last = f"(SELECT max(tick) FROM ticks) + 3 * {HOUR}"
+    parts = [TABLES["samples"][1].replace("max(tick)", last), TABLES["ring"][1].replace("FROM samples", "FROM live_samples")]
+    parts.append(TABLES["status"][1].replace("FROM ring", "FROM live_ring"))
+    extra = ", ".join(f"{name} AS ({part})" for name, part in zip(live.values(), parts, strict=True))
+    found["stream_status_ticks"] = _sql("ticks", "").rstrip() + f", {extra} " + found["status_json"][
+        found["status_json"].index("SELECT cluster_id, client_id, tick, '{\"Consuming") :
+    ].replace("FROM status", "FROM live_status")
+    found["stream_join_outcomes"] = f"""WITH starts AS (SELECT 'cluster-' || (o_custkey % 2) AS cluster_id,
+            'client-' || (o_custkey % 5) AS client_id, o_orderkey AS attempt, epoch_us(o_orderdate) // 1000 AS ts_ms,
+            CAST(floor(o_totalprice) AS BIGINT) % 60000 AS wait FROM orders),
+        joins AS (SELECT *, wait > {C.JOIN_TIMEOUT_MS} AS timed_out FROM starts),
+        runs AS (SELECT *, count(*) FILTER (NOT timed_out) OVER (PARTITION BY cluster_id, client_id ORDER BY ts_ms, attempt
+            ROWS UNBOUNDED PRECEDING) AS run FROM joins),
+        numbered AS (SELECT *, CASE WHEN timed_out THEN (count(*) FILTER (timed_out) OVER (PARTITION BY cluster_id, client_id, run
+            ORDER BY ts_ms, attempt ROWS UNBOUNDED PRECEDING) - 1) % {C.JOIN_RETRIES + 1} + 1 ELSE 0 END AS retry FROM runs)
+        SELECT cluster_id, client_id, attempt, ts_ms, 'attempt' AS kind, timed_out, retry, retry > {C.JOIN_RETRIES} AS fatal
+        FROM numbered
+        UNION ALL SELECT cluster_id, client_id, attempt, ts_ms + wait, 'late_ready', NULL, NULL, NULL FROM joins WHERE timed_out"""
     return found

@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probefleet import constants as C
-from probefleet.operators import latency, reconcile, roster, status
+from probefleet.operators import latency, status
 from probefleet.plans import fixtures as fx
 from probefleet.session import shared_folder
-from probefleet.streaming import batches
+from probefleet.streaming import batches, clock, stateful
 from probefleet.streaming import operators as ops
+from probefleet.streaming.levels import Levels, merge_levels
+from probefleet.streaming.matching import Matching
 
 COUNT_KEYS = ("cluster_id", "client_id", "partition")
 CLIENT = ["cluster_id", "client_id"]
 WINDOW_MS = fx.DAY_MS
 TICK_MS = fx.HOUR_MS
 STATUS_MS = 10 * fx.HOUR_MS
+#: How far out of order records may arrive at the stateful operators.
+DELAY_MS, DELAY = 6 * fx.HOUR_MS, "6 hours"
+SILENT_TICKS = 3
 #: A micro-batch takes this many files at most; later ones wait for the next.
 FILES_PER_BATCH = 64
 
@@ -31,28 +36,20 @@ def _probes(t) -> DataFrame:
     return fx.probes(stream_table(t, "events"))
 
 
-def _drained(t, purpose: str, stream: DataFrame, prepare=None) -> DataFrame:
-    """All batches of a stream, landed as they came."""
+def _current(t, purpose: str, stream: DataFrame, keys, prepare, merge) -> DataFrame:
+    """The current table after the last batch of a stream, kept as sorted runs."""
     folder = shared_folder(t.spark, purpose)
-    table = f"{folder}/rows"
-    batches.run(batches.write_batches(stream, table, f"{folder}/checkpoint", prepare))
-    return t.spark.read.option("basePath", table).parquet(f"{table}/batch_id=*")
-
-
-def _merged(t, purpose: str, stream: DataFrame, prepare, merge, publish=None) -> DataFrame:
-    """The current table after the last batch of a stream."""
-    folder = shared_folder(t.spark, purpose)
-    table = f"{folder}/current"
-    last = batches.run(batches.merge_batches(stream, table, f"{folder}/checkpoint", prepare, merge, publish))
-    return t.spark.read.parquet(f"{table}/batch_id={last}")
+    table = Levels(f"{folder}/table", tuple(keys), merge(prepare(stream)).schema, merge)
+    return table.current(t.spark, batches.run(merge_levels(stream, table, f"{folder}/checkpoint", prepare)))
 
 
 def stream_records_consumed(t) -> DataFrame:
     """Consume counters as a current table that each batch adds to."""
-    current = _merged(
+    current = _current(
         t,
         "records-consumed",
         fx.consume_records(_probes(t)),
+        COUNT_KEYS,
         lambda batch: ops.partial_counts(batch, COUNT_KEYS),
         lambda parts: ops.merge_counts(parts, COUNT_KEYS),
     )
@@ -60,13 +57,18 @@ def stream_records_consumed(t) -> DataFrame:
 
 
 def stream_latency_hist(t) -> DataFrame:
-    """Daily end-to-end histograms from the parts of each batch."""
+    """Daily end-to-end histograms as a current table of their parts."""
     rows = latency.with_e2e_latency(latency.decode_records(fx.consume_records(_probes(t))))
-
-    def prepare(batch: DataFrame) -> DataFrame:
-        return ops.partial_histogram(batch, "latency_ms", "recv_ms", CLIENT, C.END_TO_END_BOUNDS, WINDOW_MS)
-
-    return ops.merge_histograms(_drained(t, "latency-hist", rows, prepare), CLIENT, C.END_TO_END_BOUNDS)
+    keys = [*CLIENT, "window_ms"]
+    parts = _current(
+        t,
+        "latency-hist",
+        rows,
+        keys,
+        lambda batch: ops.partial_histogram(batch, "latency_ms", "recv_ms", CLIENT, C.END_TO_END_BOUNDS, WINDOW_MS),
+        lambda parts: ops.add_histograms(parts, keys, C.END_TO_END_BOUNDS),
+    )
+    return ops.merge_histograms(parts, CLIENT, C.END_TO_END_BOUNDS)
 
 
 def _tick_stream(t) -> DataFrame:
@@ -76,52 +78,104 @@ def _tick_stream(t) -> DataFrame:
     return produced.unionByName(consumed)
 
 
-def _ticks(batch: DataFrame) -> DataFrame:
-    sent, back = batch.where(F.col("ack_ms").isNotNull()), batch.where(F.col("recv_ms").isNotNull())
-    return ops.partial_ticks(sent, back, TICK_MS)
+def _status_rows(t, silent: int = 0, sink=None) -> DataFrame:
+    """Status rows of all ticks up to the last one of any client, and of ``silent`` ticks more, from keyed state.
+
+    Heartbeats end the stream: the first lies before all records, the last closes the ticks that are still open.
+    """
+    folder = shared_folder(t.spark, "status")
+    beats, rows = f"{folder}/beats", f"{folder}/rows"
+    probes = fx.probes(t.raw("events"))
+    ends = fx.produce_attempts(probes).select(F.col("ack_ms").alias("ms")).unionByName(
+        fx.consume_records(probes).select(F.col("recv_ms").alias("ms"))
+    )
+    last = ends.agg(F.max("ms")).first()[0] or 0
+    end = last - last % TICK_MS + (1 + silent) * TICK_MS
+    for at in (0, end + DELAY_MS + 1):
+        clock.beat(t.spark, beats, at)
+        stream = stateful.watch_status(_tick_stream(t), STATUS_MS, TICK_MS, DELAY, clock.landed_beats(t.spark, beats))
+        if sink:
+            batches.run(merge_levels(stream, sink(stream, folder), f"{folder}/checkpoint", lambda batch: batch))
+        else:
+            batches.run(batches.write_batches(stream, rows, f"{folder}/checkpoint"))
+    if sink:
+        table = sink(stream, folder)
+        return table.current(t.spark, table.last(t.spark))
+    return t.spark.read.schema(stream.schema).parquet(f"{rows}/batch_id=*")
 
 
 def stream_status(t) -> DataFrame:
-    """Status at each tick from the parts of each batch."""
-    return ops.status_from_ticks(_drained(t, "status", _tick_stream(t), _ticks), STATUS_MS, TICK_MS)
+    """Status at each tick from a client's first to its last with records, kept by keyed state."""
+    rows = _status_rows(t)
+    active = rows.where(~F.col("quiet")).groupBy(*CLIENT).agg(F.max("tick").alias("_last"))
+    return rows.join(active, CLIENT).where(F.col("tick") <= F.col("_last")).drop("_last", "quiet")
+
+
+def stream_status_ticks(t) -> DataFrame:
+    """Status documents of all ticks, three silent ones at the end included."""
+    return status.to_status_json(_status_rows(t, SILENT_TICKS))
 
 
 def stream_status_current(t) -> DataFrame:
-    """The newest status document of each client, kept current by each batch from a table of recent ticks."""
-    folder = shared_folder(t.spark, "status-documents")
+    """The newest status document of each client from a tick with records, as a current table."""
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return status.newest_status(rows.where(~F.col("quiet")))
 
-    def publish(current: DataFrame, batch_id: int) -> None:
-        documents = status.to_status_json(ops.current_status(current, STATUS_MS, TICK_MS))
-        documents.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+    def sink(stream: DataFrame, folder: str) -> Levels:
+        return Levels(f"{folder}/current", tuple(CLIENT), stream.schema, newest)
 
-    merge = lambda parts: ops.recent_ticks(parts, STATUS_MS, TICK_MS)
-    _merged(t, "status-current", _tick_stream(t), _ticks, merge, publish)
-    written = t.spark.read.option("basePath", folder).parquet(f"{folder}/batch_id=*")
-    return status.newest_status(written.drop("batch_id"))
+    return status.to_status_json(_status_rows(t, sink=sink))
 
 
 def stream_reconcile(t) -> DataFrame:
-    """Produced messages and their copies: both sides land as they come and meet over all that landed.
+    """Produced messages and their copies, joined as streams; hours with late rows are matched again.
 
     Malformed records match nothing and stay behind.
     """
-    keys = [*CLIENT, "partition", "message_id", "create_ms"]
-    produced = _drained(t, "sent", fx.produce_attempts(_probes(t)).select(*keys))
+    folder = shared_folder(t.spark, "reconcile")
+    beats = f"{folder}/beats"
+    match = Matching(folder, DELAY, within=DELAY, early="1 minute")
+    last = fx.probes(t.raw("events")).agg(F.max("ms")).first()[0] or 0
+    produced = fx.produce_attempts(_probes(t))
     decoded = latency.decode_records(fx.consume_records(_probes(t))).where(~F.col("is_malformed"))
-    back = _drained(t, "received", decoded.select("cluster_id", "producer_id", "message_id", "timestamp", "recv_ms"))
-    return reconcile.reconcile(produced.select(*keys), back).drop("create_ms")
+    match.land(produced, decoded)
+    for at in (0, last + 4 * DELAY_MS):
+        clock.beat(t.spark, beats, at)
+        match.join(produced, decoded, clock.landed_beats(t.spark, beats))
+    return match.result(t.spark).drop("create_ms")
+
+
+def _join_outcomes(t) -> DataFrame:
+    folder = shared_folder(t.spark, "join-outcomes")
+    beats, rows = f"{folder}/beats", f"{folder}/rows"
+    last = fx.join_events(t.raw("orders")).agg(F.max("ts_ms")).first()[0] or 0
+    for at in (0, last + DELAY_MS + 3 * C.JOIN_TIMEOUT_MS):
+        clock.beat(t.spark, beats, at)
+        events = fx.join_events(stream_table(t, "orders"))
+        stream = stateful.watch_joins(events, DELAY, clock.landed_beats(t.spark, beats))
+        batches.run(batches.write_batches(stream, rows, f"{folder}/checkpoint"))
+    return t.spark.read.schema(stream.schema).parquet(f"{rows}/batch_id=*")
+
+
+def stream_join_outcomes(t) -> DataFrame:
+    """Each group join with its outcome, and ready signals that came too late."""
+    return _join_outcomes(t)
 
 
 def stream_join_timeouts(t) -> DataFrame:
-    """Group join timeouts over the signals that landed."""
-    return roster.join_timeouts(_drained(t, "join-timeouts", fx.join_events(stream_table(t, "orders"))).drop("batch_id"))
+    """Group joins and timeouts of each client, from the outcomes."""
+    joins = _join_outcomes(t).where("kind = 'attempt'")
+    return joins.groupBy(*CLIENT).agg(F.count(F.lit(1)).alias("attempts"), F.count_if("timed_out").alias("timeouts"))
 
 
 STREAMS = (
     stream_records_consumed,
     stream_latency_hist,
     stream_status,
+    stream_status_ticks,
     stream_status_current,
     stream_reconcile,
+    stream_join_outcomes,
     stream_join_timeouts,
 )

@@ -32,7 +32,7 @@ def write_batches(
         rows = prepare(batch) if prepare else batch
         rows.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
-    return _start(stream, checkpoint, write, mode, trigger)
+    return start(stream, checkpoint, write, mode, trigger)
 
 
 def merge_batches(
@@ -60,10 +60,10 @@ def merge_batches(
         if publish:
             publish(batch.sparkSession.read.parquet(f"{table}/batch_id={batch_id}"), batch_id)
 
-    return _start(stream, checkpoint, write, "append", trigger)
+    return start(stream, checkpoint, write, "append", trigger)
 
 
-def _start(stream: DataFrame, checkpoint: str, write, mode: str, when: dict | None) -> StreamingQuery:
+def start(stream: DataFrame, checkpoint: str, write, mode: str, when: dict | None) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(write)
         .outputMode(mode)

@@ -50,6 +50,12 @@ def partial_histogram(
     )
 
 
+def add_histograms(partials: DataFrame, keys: Sequence[str], bounds: Sequence[float]) -> DataFrame:
+    """Parts of equal keys and windows added up; the result is a part again."""
+    columns = [f"_le_{i}" for i in range(len(check_bounds(bounds)))] + ["sum", "count"]
+    return partials.groupBy(*keys).agg(*[F.sum(c).cast(partials.schema[c].dataType).alias(c) for c in columns])
+
+
 def merge_histograms(partials: DataFrame, keys: Sequence[str], bounds: Sequence[float]) -> DataFrame:
     """Histograms by window from all parts."""
     bounds = check_bounds(bounds)
