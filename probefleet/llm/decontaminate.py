@@ -14,8 +14,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from probefleet.llm import text as T
+from probefleet.llm.workspace import keeping_columns
 
 WINDOW = 10
 #: Words of the items in one automaton.
@@ -207,7 +209,7 @@ _FOUND = "n_words long, spans array<struct<start: int, stop: int>>, items array<
 def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Every row of documents with n_words, spans (leaked word ranges, merged) and items (names, sorted as strings).
 
-    documents must have no columns of these names. One block of items: a single scan without a shuffle. More blocks:
+    documents must have no columns of these names; `without_leaks` takes any. One block of items: a single scan without a shuffle. More blocks:
     each passes the spans found so far along with the row, so a document never leaves its partition either.
     """
 
@@ -238,7 +240,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
         return rows
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields] + [_FOUND])
+    schema = StructType(documents.schema.fields + StructType.fromDDL(_FOUND).fields)
     out = documents.selectExpr(
         *(f"`{c}`" for c in documents.columns),
         "cast(null as long) n_words",
@@ -265,6 +267,7 @@ def decontamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+@keeping_columns
 def without_leaks(documents: DataFrame, benchmark: DataFrame, max_share: float = 0.5) -> DataFrame:
     """documents with leaked words cut out of their texts; those leaked by more than max_share go.
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from probefleet.llm import text as T
 from probefleet.llm.components import components
-from probefleet.llm.workspace import NO_ID, keyed, packed_texts, settled, unpacked_texts
+from probefleet.llm.workspace import NO_ID, keeping_columns, keyed, packed_texts, settled, unpacked_texts
 
 SHINGLE = 5
 #: Linked: SCALE * |intersection| >= PERCENT * |union|.
@@ -391,6 +391,7 @@ def similarity_components(
     return rows.join(named, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
+@keeping_columns
 def without_near_copies(
     documents: DataFrame, job_shingles: int = JOB_SHINGLES, bucket_entries: int = BUCKET_ENTRIES
 ) -> DataFrame:

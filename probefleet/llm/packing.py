@@ -13,6 +13,7 @@ Every random choice is seeded by block, island and epoch, so a task that runs ag
 from __future__ import annotations
 
 import os
+import time
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -37,8 +38,33 @@ ISLANDS, POPULATION, EPOCHS, CROSSOVERS = 2, 4, 2, 6
 WELL_FILLED = 0.99
 #: Pooling ends with a level that fills the sequences of a smaller share of its items. So 2**42 items have some 90 levels.
 LEAST_PROGRESS = 0.2
-#: Text bytes that are tokenised together, and segments whose ids a worker remembers.
-SLICE_BYTES, REMEMBERED = 4 << 20, 450_000
+#: Text bytes that are tokenised together.
+SLICE_BYTES = 4 << 20
+#: A worker remembers the ids of two generations of segments, each of so many segments and bytes at most.
+REMEMBERED, REMEMBERED_BYTES = 200_000, 8 << 20
+
+
+class Generation:
+    """Segments by number; the ids of number n are flat[begins[n]:begins[n + 1]]."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = {}
+        self.flat, self.begins, self.bytes = np.zeros(0, np.uint32), np.zeros(1, np.int64), 0
+
+    def add(self, segments: list[bytes], ids: list[np.ndarray], sizes: np.ndarray) -> None:
+        self.numbers.update(zip(segments, range(len(self.numbers), len(self.numbers) + len(segments)), strict=True))
+        self.flat = np.concatenate([self.flat, *ids])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
+        self.bytes += sum(map(len, segments))
+
+    def ids(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some segments one after another, and where each one's end."""
+        begins, counts = self.begins[number], self.begins[number + 1] - self.begins[number]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return self.flat[np.arange(ends[-1]) + np.repeat(begins - ends[:-1], counts)], ends
+
+    def is_full(self) -> bool:
+        return len(self.numbers) > REMEMBERED or self.bytes > REMEMBERED_BYTES
 
 
 class SegmentTokenizer:
@@ -64,12 +90,7 @@ class SegmentTokenizer:
         self.bytes_of[list(vocabulary.values())] = [len(token) for token in vocabulary]
         #: First bytes of characters that are no white space under any definition: visible ASCII and U+00C0 to U+07FF.
         self.visible = T.byte_class(bytes([*range(0x21, 0x7F), *range(0xC3, 0xE0)]))
-        self._forget()
-
-    def _forget(self) -> None:
-        """Segments by number; the ids of number n are flat[begins[n]:begins[n + 1]]."""
-        self.numbers: dict[bytes, int] = {}
-        self.flat, self.begins = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.young, self.old = Generation(), Generation()
 
     def _encode(self, parts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
         """The ids of new segments one after another, in pieces, and their numbers.
@@ -111,20 +132,40 @@ class SegmentTokenizer:
             pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
         ).dictionary_encode()
         distinct = parts.dictionary.to_pylist()
-        if len(self.numbers) > REMEMBERED:
-            self._forget()
-        numbers = self.numbers
-        new = [x for x in distinct if x not in numbers]
-        pieces, new_sizes = self._encode(new)
-        numbers.update(zip(new, range(len(numbers), len(numbers) + len(new)), strict=True))
-        self.flat = np.concatenate([self.flat, *pieces])
-        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(new_sizes)])
-        number = np.array([numbers[x] for x in distinct], np.int64)
-        part = number[parts.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64)
-        begins, counts = self.begins[part], self.begins[part + 1] - self.begins[part]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        at = np.arange(ends[-1]) + np.repeat(begins - ends[:-1], counts)
-        return self.flat[at], ends[np.searchsorted(bounds, t.offsets)]
+        if self.young.is_full():
+            self.young, self.old = Generation(), self.young
+        young, old = self.young, self.old
+        unseen = [x for x in distinct if x not in young.numbers]
+        again = [x for x in unseen if x in old.numbers]
+        if again:
+            ids, ends = old.ids(np.array([old.numbers[x] for x in again], np.int64))
+            young.add(again, [ids], np.diff(ends))
+            unseen = [x for x in unseen if x not in old.numbers]
+        young.add(unseen, *self._encode(unseen))
+        number = np.array([young.numbers[x] for x in distinct], np.int64)
+        ids, ends = young.ids(number[parts.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64))
+        return ids, ends[np.searchsorted(bounds, t.offsets)]
+
+
+#: The tokenizers of this worker process and when a task last took each: it finds what tasks before it have parsed and remembered.
+_tokenizers: dict[str, tuple[SegmentTokenizer, float]] = {}
+#: A worker that has gone on to other work for so long forgets them.
+IDLE_SECONDS = 20
+
+
+def worker_tokenizer(name: str) -> SegmentTokenizer:
+    tokenizer = _tokenizers[name][0] if name in _tokenizers else SegmentTokenizer(name)
+    _tokenizers[name] = tokenizer, time.monotonic()
+    return tokenizer
+
+
+def _forget_idle() -> None:
+    for name, (_, used) in list(_tokenizers.items()):
+        if time.monotonic() - used > IDLE_SECONDS:
+            del _tokenizers[name]
+
+
+T.releases.append(_forget_idle)
 
 
 def piece_bounds(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -141,8 +182,9 @@ def token_pieces(documents: DataFrame, tokenizer: str = TOKENIZER, capacity: int
     """The pieces of all documents under a uid each; ids are little-endian unsigned 32-bit numbers, null if not asked for."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, uid = SegmentTokenizer(tokenizer), TaskContext.get().partitionId() << 40
+        uid = TaskContext.get().partitionId() << 40
         for batch in T.text_slices(batches, "text", SLICE_BYTES):
+            tokens = worker_tokenizer(tokenizer)
             docs = batch.column("doc_id").to_pylist()
             ids, first = tokens.ids(T.texts(batch.column("text")))
             out: list[list] = [[] for _ in range(6)]

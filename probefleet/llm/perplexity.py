@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probefleet.llm import text as T
-from probefleet.llm.workspace import settled
+from probefleet.llm.workspace import keeping_columns, settled
 
 ORDER = 5
 #: Text bytes of a slice.
@@ -53,9 +53,13 @@ def _cut_words(t: T.Texts, w: T.Words) -> T.Words:
     long = np.flatnonzero(w.end - w.start > WORD_BYTES)
     if not len(long):
         return w
-    cuts = np.concatenate([np.arange(w.start[i] + WORD_BYTES, w.end[i], WORD_BYTES) for i in long])
+    places = [np.arange(w.start[i] + WORD_BYTES, w.end[i], WORD_BYTES) for i in long]
+    cuts, ends = np.concatenate(places), np.repeat(w.end[long], [len(x) for x in places])
+    # On to the next character; a cut inside a word's last character is none.
     for _ in range(3):
-        cuts += (t.data[cuts] & 0xC0) == 0x80
+        inside = cuts < ends
+        cuts[inside] += (t.data[cuts[inside]] & 0xC0) == 0x80
+    cuts = cuts[cuts < ends]
     start = np.union1d(w.start, cuts)
     end = np.union1d(w.end, cuts)
     return T.Words(start, end, np.searchsorted(start, t.offsets))
@@ -497,6 +501,7 @@ def quality_classifier(documents: DataFrame, labels: DataFrame, quantile: float
     )
 
 
+@keeping_columns
 def without_low_quality(documents: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
     """The rows of documents that the classifier keeps, unchanged."""
     judged = quality_classifier(documents, labels, **options)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probefleet.llm import text as T
-from probefleet.llm.workspace import NO_ID, keyed, packed_texts, settled, unpacked_texts
+from probefleet.llm.workspace import NO_ID, keeping_columns, keyed, packed_texts, settled, unpacked_texts
 
 WINDOW = 50
 #: Words of an anchor.
@@ -378,6 +378,7 @@ def substring_digest(documents: DataFrame, **limits: int) -> DataFrame:
     return joined.mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+@keeping_columns
 def without_repeats(documents: DataFrame, **limits: int) -> DataFrame:
     """documents with repeated words cut out of their texts, together with the white space after them.
 

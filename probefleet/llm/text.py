@@ -7,7 +7,7 @@ larger slice. Nulls count as empty texts.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -157,8 +157,14 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
         return mix64(total)
 
 
+#: What modules keep from task to task and may let go; each decides for itself whether its time has come.
+releases: list[Callable[[], None]] = []
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers are reused, and what one task frees another process may need."""
+    for release in releases:
+        release()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

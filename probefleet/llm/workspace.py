@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -42,6 +43,24 @@ def settled(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What stages read or write of documents.
+_STAGE_COLUMNS = ("doc_id", "text", "lang", "n_chars")
+
+
+def keeping_columns(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage over documents of any columns: those that stages do not know travel as one struct, whatever their names."""
+
+    @functools.wraps(stage)
+    def run(documents: DataFrame, *args, **options) -> DataFrame:
+        names = documents.columns
+        others = [c for c in names if c not in _STAGE_COLUMNS]
+        rest = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("_others")] if others else []
+        out = stage(documents.select(*(c for c in names if c in _STAGE_COLUMNS), *rest), *args, **options)
+        return out.select(*(F.col("_others")[c].alias(c) if c in others else F.col(c) for c in names))
+
+    return run
+
+
 def keyed(documents: DataFrame) -> DataFrame:
     """id (doc_id, or NO_ID), key (a hash of id and text) and text."""
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))

@@ -142,3 +142,25 @@ def test_crossover_keeps_injected_bins_whole():
 def test_piece_bounds():
     assert K.piece_bounds(1, 4) == [(0, 1)] and K.piece_bounds(4, 4) == [(0, 4)]
     assert K.piece_bounds(9, 4) == [(0, 1), (1, 5), (5, 9)] and K.piece_bounds(8, 4) == [(0, 4), (4, 8)]
+
+
+def test_remembered_segments_keep_their_ids(monkeypatch):
+    """Two small generations: segments are dropped, come back, and always get the tokenizer's own ids."""
+    monkeypatch.setattr(K, "REMEMBERED", 50)
+    tokens = K.SegmentTokenizer(K.TOKENIZER)
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for k in range(30):
+        texts = [" ".join(f"word{(k * 7 + i * i) % 90}é" for i in range(40)), "", f"  x{k}\n y"]
+        ids, first = tokens.ids(T.texts(pa.array(texts)))
+        for i, text in enumerate(texts):
+            assert ids[first[i] : first[i + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(tokens.young.numbers) < 200 and len(tokens.old.numbers) < 200
+
+
+def test_a_worker_keeps_one_tokenizer_while_it_is_used(monkeypatch):
+    first = K.worker_tokenizer(K.TOKENIZER)
+    K._forget_idle()
+    assert K.worker_tokenizer(K.TOKENIZER) is first
+    monkeypatch.setattr(K, "IDLE_SECONDS", -1)
+    K._forget_idle()
+    assert not K._tokenizers

@@ -172,3 +172,19 @@ def test_languages_that_labels_do_not_cover(spark, corpus):
     assert len(new) == 21 and new.kept.all() and new.threshold.isna().all() and new.perplexity.notna().all()
     # Languages with enough trusted text are still judged.
     assert not got[got.lang == "en"].kept.all() and got[got.lang == "en"].threshold.notna().all()
+
+
+@pytest.mark.parametrize("character", ["é", "語", "😀"])
+@pytest.mark.parametrize("after", ["", " x", "\n"])
+def test_words_of_all_lengths_are_cut_between_characters(character, after):
+    for size in range(1, 401):
+        for head in range(min(4, size)):
+            word = "a" * head + character * ((size - head) // len(character.encode()))
+            if not word:
+                continue
+            t = T.texts(pa.array(["first " + word + after, word]))
+            w = P._cut_words(t, T.words(t))
+            assert len(w.start) == len(w.end) and (w.end > w.start).all()
+            pieces = [t.data[a:b].tobytes().decode() for a, b in zip(w.start, w.end, strict=True)]
+            assert "".join(pieces) == "first" + word + after.strip() + word
+            assert max(len(p.encode()) for p in pieces) < P.WORD_BYTES + 4

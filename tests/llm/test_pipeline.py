@@ -91,9 +91,13 @@ def test_run_gives_the_last_stage(spark, outputs):
 
 
 def test_odd_rows_pass_all_stages(spark, odd_documents, tmp_path):
-    plain = odd_documents.select("doc_id", "text", "lang", "source", "n_chars")
+    # Languages without blanks, with words of more bytes than a piece, and columns named as the stages name their own.
+    more = [(20, "日本語のテキストは空白を含まない" * 30, "ja"), (21, "ภาษาไทยไม่มีช่องว่าง" * 20, "th"), (22, "字" * 22, "zh"), (23, "x" * 63 + "é", "en")]
+    clashing = odd_documents.unionByName(
+        spark.createDataFrame(more, "doc_id long, text string, lang string"), allowMissingColumns=True
+    ).selectExpr("*", "array(1) as spans", "'i' as items", "2 as _key", "struct(3 as `a b`) as _spans", "4 as packed", "5 as `slice`", "6 as id")
     for name, df in (
-        ("documents", plain),
+        ("documents", clashing),
         ("labels", spark.createDataFrame([(5, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")),
         ("benchmark", spark.createDataFrame([(1, None), (2, "no id here but a few words to read")], "item_id long, text string")),
     ):
@@ -101,9 +105,13 @@ def test_odd_rows_pass_all_stages(spark, odd_documents, tmp_path):
     docs = table(spark, str(tmp_path), "documents")
     for name, stage in C.STAGES[:-1]:
         docs = settled(stage(spark, docs, str(tmp_path)), name)
+    assert docs.columns == clashing.columns
+    assert {tuple(map(str, (r["spans"], r["items"], r["_key"], r["_spans"]["a b"], r["packed"]))) for r in docs.collect()} == {
+        ("[1]", "i", "2", "3", "4")
+    }
     ids = [r.doc_id for r in docs.collect()]
     # The repeated row is one of a group; the row without an id is mostly leaked.
-    assert len(ids) == len(set(ids)) and None not in ids and {1, 2, 3, 5, 6} <= set(ids)
+    assert len(ids) == len(set(ids)) and None not in ids and {1, 2, 3, 5, 6, 20, 21, 22, 23} <= set(ids)
     assert C.run(spark, str(tmp_path)).where("doc_id is not null").count() >= len(ids)
 
 
