@@ -322,8 +322,12 @@ def roster_asof(t: Tables) -> DataFrame:
 
 def scrape_parse(t: Tables) -> DataFrame:
     """Metric samples written as text and read back, type comments included."""
-    text = scrape.to_exposition(t.metrics).select(F.col("line").alias("value"))
-    comments = scrape.type_lines(t.metrics).select(F.col("line").alias("value"))
+    # The samples are looked at twice, so they are worked out once.
+    path = shared_folder(t.spark, "samples")
+    t.metrics.select("name", "labels", "value").write.parquet(path)
+    samples = t.spark.read.schema(t.metrics.select("name", "labels", "value").schema).parquet(path)
+    text = scrape.to_exposition(samples).select(F.col("line").alias("value"))
+    comments = scrape.type_lines(samples).select(F.col("line").alias("value"))
     label = F.col("labels")
     return scrape.parse_exposition(text.unionByName(comments)).select(
         "name",
