@@ -41,7 +41,7 @@ LEAST_PROGRESS = 0.2
 #: Text bytes that are tokenised together.
 SLICE_BYTES = 4 << 20
 #: A worker remembers the ids of two generations of segments, each of so many segments and bytes at most.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 8 << 20
+REMEMBERED, REMEMBERED_BYTES = 300_000, 12 << 20
 
 
 class Generation:
@@ -89,7 +89,8 @@ class SegmentTokenizer:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(token) for token in vocabulary]
         #: First bytes of characters that are no white space under any definition: visible ASCII and U+00C0 to U+07FF.
-        self.visible = T.byte_class(bytes([*range(0x21, 0x7F), *range(0xC3, 0xE0)]))
+        self.visible_bytes = frozenset([*range(0x21, 0x7F), *range(0xC3, 0xE0)])
+        self.visible = T.byte_class(bytes(self.visible_bytes))
         self.young, self.old = Generation(), Generation()
 
     def _encode(self, parts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -99,27 +100,26 @@ class SegmentTokenizer:
         where each ends. Others begin a text and are encoded alone.
         """
         out: list[np.ndarray] = []
-        sizes = np.zeros(len(parts), np.int64)
-        at = 0
+        lengths = np.array(list(map(len, parts)), np.int64)
+        ends = np.cumsum(lengths)
+        free = np.array([len(x) > 1 and x[0] == 0x20 and x[1] in self.visible_bytes for x in parts], bool)
+        sizes, at = np.zeros(len(parts), np.int64), 0
+        others = np.append(np.flatnonzero(~free), len(parts))
         while at < len(parts):
-            upto, length = at, 0
-            while upto < len(parts) and length < 1 << 16 and (upto == at or self._begins_freely(parts[upto])):
-                length += len(parts[upto])
-                upto += 1
-            ids = np.array(self.tokenizer.encode(b"".join(parts[at:upto]).decode(), add_special_tokens=False).ids, np.uint32)
-            ends = np.cumsum(self.bytes_of[ids])
-            wanted = np.cumsum([len(x) for x in parts[at:upto]])
-            last = np.searchsorted(ends, wanted, "right")
-            if wanted[-1] and (last[0] == 0 or (ends[last - 1] != wanted).any()):
+            # Up to the next segment that begins a text, and to about 64 kB.
+            upto = int(others[np.searchsorted(others, at, "right")])
+            upto = min(upto, max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 16)))))
+            text = b"".join(parts[at:upto]).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            token_ends, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum(lengths[at:upto])
+            last = np.searchsorted(token_ends, wanted, "right")
+            if wanted[-1] and (last[0] == 0 or (token_ends[last - 1] != wanted).any()):
                 raise ValueError("the tokenizer's tokens do not follow the bytes of the text")
             sizes[at:upto] = np.diff(last, prepend=0)
             out.append(ids)
             at = upto
         return out, sizes
 
-    def _begins_freely(self, part: bytes) -> bool:
-        return len(part) > 1 and part[0] == 0x20 and self.visible[part[1]]
-
     def ids(self, t: T.Texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's begin."""
         data = t.data
