@@ -50,28 +50,77 @@ def add_increments(increments: DataFrame) -> DataFrame:
     )
 
 
-def accumulate(increments: DataFrame, tick_ms: int) -> DataFrame:
-    """Cumulative counters at every tick from a client's first to its last, quiet ticks included.
+def sample_runs(increments: DataFrame, tick_ms: int) -> DataFrame:
+    """The sampled counters as runs: from ``tick`` on, for ``length`` ticks, the client's counters are produced and consumed.
 
-    The sums run over the ticks with records; each then holds until the next of them.
+    A silent client's last run ends with its last tick with records; a silence of any length in between is one row.
     """
-    width = tick_ms * _TICKS_PER_CHUNK
     known = running_sums(
         increments.select(*KEYS, "tick", F.col("produced").alias("_p"), F.col("consumed").alias("_c")),
         KEYS,
         "tick",
         {"produced": "_p", "consumed": "_c"},
-        width,
+        tick_ms * _TICKS_PER_CHUNK,
         following="_next",
     )
-    tick, last = F.col("tick"), F.coalesce(F.col("_next") - tick_ms, F.col("tick"))
+    length = F.coalesce((F.col("_next") - F.col("tick")) / tick_ms, F.lit(1)).cast("bigint").alias("length")
+    return known.select(*KEYS, "tick", length, "produced", "consumed")
+
+
+def every_tick(runs: DataFrame, tick_ms: int) -> DataFrame:
+    """A row for each tick of the runs, for those who ask for all."""
+    tick, last = F.col("tick"), F.col("tick") + (F.col("length") - 1) * tick_ms
+    width = tick_ms * _TICKS_PER_CHUNK
     step, wide = F.lit(tick_ms).cast("bigint"), F.lit(width).cast("bigint")
     # A long silence is filled piece by piece.
     pieces = F.sequence(chunk_start(tick, width), chunk_start(last, width), wide)
     inside = F.sequence(F.greatest(tick, F.col("_piece")), F.least(last, F.col("_piece") + width - tick_ms), step)
-    return known.select("*", F.explode(pieces).alias("_piece")).select(
-        *KEYS, F.explode(inside).alias("tick"), "produced", "consumed"
-    )
+    others = [c for c in runs.columns if c not in (*KEYS, "tick", "length")]
+    filled = runs.select("*", F.explode(pieces).alias("_piece"))
+    return filled.select(*KEYS, F.explode(inside).alias("tick"), *others)
+
+
+def accumulate(increments: DataFrame, tick_ms: int) -> DataFrame:
+    """Cumulative counters at every tick from a client's first to its last, quiet ticks included."""
+    return every_tick(sample_runs(increments, tick_ms), tick_ms)
+
+
+def ring_runs(increments: DataFrame, window_ms: int, tick_ms: int) -> DataFrame:
+    """Oldest and newest sample of the last N as runs: what ``status_ring`` gives at each of ``length`` ticks from ``tick`` on.
+
+    The newest sample changes at a tick with records, the oldest N - 1 ticks later, so there are at most two rows for each such
+    tick. Beside them stands the client's first tick, from which the number of samples follows (``ring_count``).
+    """
+    size = ring_size(window_ms, tick_ms)
+    ends = increments.groupBy(*KEYS).agg(F.min("tick").alias("first"), F.max("tick").alias("last"))
+    known = increments.join(ends, list(KEYS))
+    none = F.lit(0).cast("bigint")
+    # Until N samples are there, the first one is the oldest.
+    falls = F.when(F.col("tick") == F.col("first"), F.col("tick")).otherwise(F.col("tick") + (size - 1) * tick_ms)
+    heads = known.select(*KEYS, "tick", "first", "last", F.col("produced").alias("_ph"), F.col("consumed").alias("_ch"), none.alias("_pt"), none.alias("_ct"))
+    tails = known.select(*KEYS, falls.alias("tick"), "first", "last", none.alias("_ph"), none.alias("_ch"), F.col("produced").alias("_pt"), F.col("consumed").alias("_ct"))
+    changes = (
+        heads.unionByName(tails).where(F.col("tick") <= F.col("last")).groupBy(*KEYS, "tick", "first", "last")
+        .agg(*[F.sum(c).alias(c) for c in ("_ph", "_ch", "_pt", "_ct")])
+    )
+    sums = {"produced_tail": "_pt", "produced_head": "_ph", "consumed_tail": "_ct", "consumed_head": "_ch"}
+    runs = running_sums(changes, KEYS, "tick", sums, tick_ms * _TICKS_PER_CHUNK, following="_next")
+    length = ((F.coalesce("_next", F.col("last") + tick_ms) - F.col("tick")) / tick_ms).cast("bigint")
+    return runs.select(*KEYS, "tick", length.alias("length"), "first", *sums)
+
+
+def ring_count(runs: DataFrame, window_ms: int, tick_ms: int) -> DataFrame:
+    """Add the number of samples in the ring at ``tick``."""
+    held = F.least((F.col("tick") - F.col("first")) / tick_ms + 1, F.lit(ring_size(window_ms, tick_ms)))
+    return runs.withColumn("count", held.cast("bigint")).drop("first")
+
+
+def current_ring(increments: DataFrame, window_ms: int, tick_ms: int) -> DataFrame:
+    """The ring of each client at its last tick with records, without a row for any other tick."""
+    runs = ring_runs(increments, window_ms, tick_ms)
+    columns = [c for c in runs.columns if c not in KEYS]
+    last = runs.groupBy(*KEYS).agg(F.max_by(F.struct(*columns), "tick").alias("_run")).select(*KEYS, "_run.*")
+    return ring_count(last.withColumn("tick", F.col("tick") + (F.col("length") - 1) * tick_ms).drop("length"), window_ms, tick_ms)
 
 
 def sample_counters(produced: DataFrame, consumed: DataFrame, tick_ms: int = C.STATUS_SAMPLING_MS) -> DataFrame:

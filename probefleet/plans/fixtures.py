@@ -25,6 +25,8 @@ SCRAPE_OFFSET_MS = 7000
 LAST_SCRAPE_MS = 1705708800000
 # 2024-01-01
 FIRST_MS = 1704067200000
+# Times outside of these come from wrong clocks: a day before the first probe, two months after it.
+CLOCK_FROM_MS, CLOCK_UNTIL_MS = FIRST_MS - 86400000, FIRST_MS + 60 * 86400000
 
 # Configuration strings of the fleet: customer k uses the entry k modulo the number of entries.
 CONFIG_CHOICES = {
@@ -210,6 +212,15 @@ def rounds(probe: DataFrame) -> DataFrame:
     )
 
 
+def planned_rounds(probe: DataFrame, plan: DataFrame) -> DataFrame:
+    """Hourly probe rounds of each client over all planned partitions of its topic; client k probes topic k."""
+    hour = F.col("ms") - F.pmod("ms", F.lit(HOUR_MS))
+    topic = F.regexp_replace("client_id", "^client-", "topic-")
+    ticks = probe.groupBy("cluster_id", "client_id", topic.alias("topic"), hour.alias("tick")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = plan.groupBy("cluster_id", "topic").agg(F.count(F.lit(1)).alias("partitions"))
+    return ticks.join(sizes, ["cluster_id", "topic"]).select("cluster_id", "client_id", "tick", "partitions")
+
+
 def metric_samples(probe: DataFrame) -> DataFrame:
     """Hourly scrapes of each client's counters, which restart every ten days.
 

@@ -377,6 +377,31 @@ def _lint() -> str:
     return " UNION ALL ".join(f"SELECT client_id, '{rule}' AS rule, {ok} AS ok FROM wide" for rule, ok in rules.items())
 
 
+def _typed(key: str, kind: str, default: str) -> str:
+    name, column = ("own_client_id", "OWN_CLIENT_ID") if key == "CLIENT_ID" else (key.lower(), key)
+    text = f"coalesce({column}, {_text(default)})"
+    if kind == "int":
+        return f"{_INT.format(column, int(default))} AS {name}"
+    if kind == "bool":
+        words = ", ".join(f"'{word}'" for word in C.TRUE_WORDS)
+        return f"coalesce({column} IN ({words}), {str(default in C.TRUE_WORDS).lower()}) AS {name}"
+    if kind == "list":
+        return f"replace({text}, ',', '|') AS {name}"
+    if kind == "buckets":
+        fits, items = _rule(_BOUNDS_OK, key), f"string_split({text}, ',')"
+        return (
+            f"CASE WHEN {fits} THEN len({items}) ELSE 0 END AS {name}_n, "
+            f"CASE WHEN {fits} THEN list_sum(list_transform({items}, lambda x: TRY_CAST(x AS DOUBLE))) ELSE 0.0 END AS {name}_sum"
+        )
+    if kind == "map":
+        items = _ITEMS.replace("value", text)
+        return (
+            f"CASE WHEN {_rule(_PAIRS_OK, key)} AND {text} <> '' "
+            f"THEN len(list_distinct(list_transform({items}, lambda x: string_split(x, '=')[1]))) ELSE 0 END AS {name}_n"
+        )
+    return f"{text} AS {name}"
+
+
 def _redacted() -> str:
     shown = []
     for key, kind, default in C.CONFIG_KEYS:
@@ -724,7 +749,30 @@ def oracles() -> dict[str, str]:
         FROM records WHERE recv_ms < {fx.FIRST_MS} OR recv_ms >= {fx.LAST_SCRAPE_MS} OR recv_ms IS NULL
         GROUP BY cluster_id, client_id""",
     )
-    found["stream_records_consumed"] = found["records_consumed"]
+    found["stream_records_consumed"] = found["stream_records_periodic"] = found["records_consumed"]
+    found["status_runs"] = _sql(
+        "ring",
+        """SELECT cluster_id, client_id, min(tick) AS tick, count(*) AS length, produced_tail, produced_head, consumed_tail,
+        consumed_head FROM ring GROUP BY cluster_id, client_id, produced_tail, produced_head, consumed_tail, consumed_head""",
+    )
+    found["probe_round_planned"] = _sql(
+        "probes topics sizes",
+        f"""SELECT cluster_id, client_id, tick, partition, message_id, '{{"producerId":"' || client_id || '","messageId":'
+            || message_id || ',"timestamp":' || tick || '}}' AS payload FROM (
+            SELECT *, row_number() OVER (PARTITION BY cluster_id, client_id ORDER BY tick, partition) AS message_id FROM (
+            SELECT r.cluster_id, client_id, tick, unnest(range(greatest(current_partitions, brokers))) AS partition FROM (
+            SELECT DISTINCT cluster_id, client_id, ms - ms % {HOUR} AS tick FROM probes) r
+            JOIN topics t ON t.cluster_id = r.cluster_id AND t.topic = replace(client_id, 'client-', 'topic-')
+            JOIN sizes s ON s.cluster_id = r.cluster_id))""",
+    )
+    held = found["topology_actions"]
+    number = "CAST(regexp_extract(topic, '([0-9]+)$', 1) AS BIGINT) % 3"
+    columns = "cluster_id, topic, partition_id, step, action, replicas"
+    found["actions_outbox"] = f"""WITH held AS ({held})
+        SELECT 0 AS run, 'issue' AS change, 1 AS version, {columns} FROM held WHERE {number} <> 0
+        UNION ALL SELECT 1, 'issue', 1, {columns} FROM held WHERE {number} = 0
+        UNION ALL SELECT 1, 'withdraw', 2, {columns} FROM held WHERE {number} = 1"""
+    found["config_all"] = _sql("wide", f"SELECT client_id, {', '.join(_typed(*entry) for entry in C.CONFIG_KEYS)} FROM wide")
     found["stream_latency_hist"] = _sql(
         "decoded",
         _histogram(f"(SELECT *, recv_ms - recv_ms % {DAY} AS window_ms FROM decoded)", "latency_ms", "cluster_id, client_id, window_ms", C.END_TO_END_BOUNDS),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probefleet import constants as C
@@ -30,7 +30,7 @@ from probefleet.operators import (
 from probefleet.plans import fixtures as fx
 from probefleet.plans import streams
 from probefleet.session import shared_folder
-from probefleet.sources import tables
+from probefleet.sources import outbox, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,9 +74,16 @@ class Tables:
     def log_rows(self) -> DataFrame:
         return logs.parse_log_lines(fx.log_lines(self.probes))
 
+    @cached_property
+    def increments(self) -> DataFrame:
+        """Records by tick, those of wrong clocks left out; status_implausible counts such."""
+        sent = status.plausible_times(self.attempts, "ack_ms", fx.CLOCK_FROM_MS, fx.CLOCK_UNTIL_MS)
+        back = status.plausible_times(self.records, "recv_ms", fx.CLOCK_FROM_MS, fx.CLOCK_UNTIL_MS)
+        return status.tick_increments(sent, back, TICK_MS)
+
     @cached_property
     def samples(self) -> DataFrame:
-        return status.sample_counters(self.attempts, self.records, TICK_MS)
+        return status.accumulate(self.increments, TICK_MS)
 
     @cached_property
     def metrics(self) -> DataFrame:
@@ -215,7 +222,13 @@ def status_json(t: Tables) -> DataFrame:
 
 def status_current(t: Tables) -> DataFrame:
     """What each client's status endpoint would answer now."""
-    return status.to_status_json(status.newest_status(status.status_window(t.samples, STATUS_MS, TICK_MS)))
+    ring = status.current_ring(t.increments, STATUS_MS, TICK_MS)
+    return status.to_status_json(status.status_of_ring(ring, TICK_MS))
+
+
+def status_runs(t: Tables) -> DataFrame:
+    """The ring of the last samples as runs of ticks between which nothing changes."""
+    return status.ring_runs(t.increments, STATUS_MS, TICK_MS).drop("first")
 
 
 def broker_order(t: Tables) -> DataFrame:
@@ -300,6 +313,24 @@ def probe_round(t: Tables) -> DataFrame:
     return topology.generate_round(fx.rounds(t.probes))
 
 
+def probe_round_planned(t: Tables) -> DataFrame:
+    """Probe rounds over every partition of the plan."""
+    plan = topology.planned_partitions(t.topics, t.brokers)
+    return topology.generate_round(fx.planned_rounds(t.probes, plan))
+
+
+def actions_outbox(t: Tables) -> DataFrame:
+    """What three runs publish: topics go and come between the first two, the third is as the second."""
+    folder = shared_folder(t.spark, "outbox")
+    actions = topology_actions(t)
+    number = F.pmod(F.regexp_extract("topic", r"(\d+)$", 1).cast("bigint"), F.lit(3))
+    out = None
+    for run, absent in enumerate((0, 1, 1)):
+        rows = outbox.publish_actions(actions.where(number != absent), folder, run).withColumn("run", F.lit(run))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def probe_reconcile(t: Tables) -> DataFrame:
     return reconcile.reconcile(t.attempts, t.decoded).select(
         "cluster_id", "client_id", "partition", "message_id", "received", "copies", "first_recv_ms"
@@ -395,6 +426,24 @@ def config_typed(t: Tables) -> DataFrame:
     )
 
 
+def config_all(t: Tables) -> DataFrame:
+    """Every key: lists as text, bounds by number and sum, maps by number of pairs, all others as they are."""
+    typed = configs.typed_config(t.configs)
+
+    def shown(key: str, kind: str) -> list[Column]:
+        name = "own_client_id" if key == "CLIENT_ID" else key.lower()
+        if kind == "list":
+            return [F.array_join(name, "|").alias(name)]
+        if kind == "buckets":
+            total = F.aggregate(F.coalesce(name, F.array().cast("array<double>")), F.lit(0.0), lambda a, b: a + b)
+            return [F.greatest(F.size(name), F.lit(0)).alias(f"{name}_n"), total.alias(f"{name}_sum")]
+        if kind == "map":
+            return [F.greatest(F.size(name), F.lit(0)).alias(f"{name}_n")]
+        return [F.col(name)]
+
+    return typed.select("client_id", *[c for key, kind, _ in C.CONFIG_KEYS for c in shown(key, kind)])
+
+
 def config_kv(t: Tables) -> DataFrame:
     chosen = F.col("key").isin("TOPIC_CONFIG", "PROMETHEUS_CONSTANT_LABELS")
     return configs.pair_rows(t.configs.where(chosen))
@@ -459,6 +508,7 @@ BATCH = (
     status_percentage,
     status_json,
     status_current,
+    status_runs,
     broker_order,
     rack_completeness,
     broker_files_racks,
@@ -468,6 +518,7 @@ BATCH = (
     plan_quality,
     reconcile_decision,
     topology_actions,
+    actions_outbox,
     orphan_partitions,
     topic_config_merge,
     leader_mismatch,
@@ -476,6 +527,7 @@ BATCH = (
     partition_coverage,
     partitions_unconsumed,
     probe_round,
+    probe_round_planned,
     probe_reconcile,
     probe_lost,
     join_timeouts,
@@ -489,6 +541,7 @@ BATCH = (
     dashboard_avg_latency,
     dashboard_perf_index,
     config_typed,
+    config_all,
     config_kv,
     config_buckets,
     config_redacted,

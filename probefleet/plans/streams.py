@@ -56,6 +56,20 @@ def stream_records_consumed(t) -> DataFrame:
     return current.withColumnRenamed("value", "consumed_total")
 
 
+def stream_records_periodic(t) -> DataFrame:
+    """Consume counters of a query that runs on the timer of the status job, stopped once it has caught up."""
+    folder = shared_folder(t.spark, "records-periodic")
+    stream = fx.consume_records(_probes(t))
+    prepare, merge = lambda batch: ops.partial_counts(batch, COUNT_KEYS), lambda parts: ops.merge_counts(parts, COUNT_KEYS)
+    table = Levels(f"{folder}/table", COUNT_KEYS, prepare(stream).schema, merge)
+    query = merge_levels(stream, table, f"{folder}/checkpoint", prepare, batches.trigger("status"))
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return table.current(t.spark, table.last(t.spark)).withColumnRenamed("value", "consumed_total")
+
+
 def stream_latency_hist(t) -> DataFrame:
     """Daily end-to-end histograms as a current table of their parts."""
     rows = latency.with_e2e_latency(latency.decode_records(fx.consume_records(_probes(t))))
@@ -171,6 +185,7 @@ def stream_join_timeouts(t) -> DataFrame:
 
 STREAMS = (
     stream_records_consumed,
+    stream_records_periodic,
     stream_latency_hist,
     stream_status,
     stream_status_ticks,
