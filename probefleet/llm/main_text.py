@@ -51,15 +51,21 @@ _OUTERMOST = {"body", "html", "#root"}
 _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
            "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
            "option": ({"option"}, {"select"})}
-#: Words in class, id or role that mark what is not the article.
-_BOILERPLATE = re.compile(
-    r"(?<![a-z])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promotion|banner|nav(?:bar|igation)?"
-    r"|menu|breadcrumbs?|pagination|pager|sidebar|side-?bar|widgets?|footer|header|masthead|comments?|replies|respond|disqus"
-    r"|cookies?|consent|gdpr|notices?|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|share|sharing"
-    r"|social|related|recommended|recommendations|complementary|contentinfo|search|skip-?link|toolbar|tags?list)(?![a-z])",
-    re.I,
+#: Words that mark, as a whole class, id or role or joined with each other and with a place, what is not the article.
+_BOILERPLATE = set(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion banner nav"
+    " navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar side-bar widget widgets footer header masthead comment"
+    " comments replies respond disqus cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login popup"
+    " modal overlay share sharing social related recommended recommendations complementary contentinfo search skip-link skiplink"
+    " toolbar taglist tagslist tag-list tags-list".split()
 )
-_NEGATED = re.compile(r"(?:has|with|no|without|is)-", re.I)
+_PLACES = set("site page main user users top bottom left right primary secondary global mobile box bar area list links wrapper container section".split())
+#: Marks of what is never taken for the article, however much of a page it holds.
+_NEVER = re.compile(r"ads?|advert\w*|sponsor\w*|promos?|comments?|replies|respond|disqus|cookies?|consent|gdpr|notices?|newsletter|subscri\w+|popup|modal|overlay", re.I)
+_NEVER_TAGS = set("head menu dialog nav".split())
+_COMMENTS = re.compile(r"(?<![a-z])(?:comments?|replies|reply)(?![a-z])", re.I)
+#: What ends a nav without an end tag: any of the first, or a block after its list.
+_AFTER_NAV = set("main article section h1 h2 h3 h4 h5 h6 p table header footer aside form".split())
 _KEPT_WITH_MARK = {"body", "html", "main", "article"}
 
 
@@ -80,6 +86,15 @@ class Node:
     #: Unlinked text that is in no container inside.
     own: float = 0.0
     score: float = 0.0
+    #: Of a skipped element: the outermost skipped one around it; of that: the unlinked text inside, whether an article or a
+    #: main is inside, and whether it is none whatever it holds.
+    root: int = -1
+    hidden: int = 0
+    holds: bool = False
+    never: bool = False
+    #: Whether an end tag closed it, and whether a list inside has ended.
+    ended: bool = False
+    listed: bool = False
 
 
 @dataclass
@@ -101,10 +116,18 @@ class Page:
         return " ".join("".join(self.pieces[node.first : node.last]).split())
 
 
+def _words(values: Iterable[str]) -> list[list[str]]:
+    return [re.split(r"[-_]+", name) for value in values for name in value.lower().split()]
+
+
 def _marked(values: Iterable[str]) -> bool:
-    """Whether a class, id or role names a part that is not the article; `has-sidebar` does not."""
-    words = (word for value in values for word in value.replace("_", "-").split())
-    return any(_BOILERPLATE.search(word) and not _NEGATED.match(word) for word in words)
+    """Whether a class, id or role names a part that is not the article; `has-sidebar` and `market-share` do not."""
+    for words in _words(values):
+        if "-".join(words) in _BOILERPLATE:
+            return True
+        if all(w in _BOILERPLATE or w in _PLACES for w in words) and any(w in _BOILERPLATE for w in words):
+            return True
+    return False
 
 
 def _step(tag: str, names: dict[str, str]) -> str:
@@ -113,7 +136,33 @@ def _step(tag: str, names: dict[str, str]) -> str:
 
 
 def parse(source: str) -> Page:
-    """Elements and text of a page; text of skipped parts leaves no piece. Unclosed and stray tags are tolerated."""
+    """Elements and text of a page; text of skipped parts leaves no piece. Unclosed and stray tags are tolerated.
+
+    A page that has no article or main outside of its skipped parts may have it in one of them: that part is kept which holds
+    an article or main, or most of the page's unlinked text, whatever its name. Adverts, notices and comments never are.
+    """
+    page = _parse(source, frozenset(), frozenset())
+    kept, unclosed = frozenset(), frozenset(i for i, n in enumerate(page.nodes) if n.tag == "nav" and not n.ended)
+    if unclosed:
+        page = _parse(source, kept, unclosed)
+    while more := _wrongly_skipped(page) - kept:
+        kept |= more
+        page = _parse(source, kept, unclosed)
+    return page
+
+
+def _wrongly_skipped(page: Page) -> frozenset[int]:
+    nodes = page.nodes
+    if any(n.tag in ("article", "main") and n.last > n.first and page.text(n) for n in nodes if not n.skipped):
+        return frozenset()
+    roots = [i for i, n in enumerate(nodes) if n.root == i and not n.never]
+    all_text = sum(nodes[i].hidden for i in roots) + sum(n.text - n.linked for n in nodes if not n.skipped)
+    holding = frozenset(i for i in roots if nodes[i].holds)
+    return holding or frozenset(i for i in roots if 2 * nodes[i].hidden > all_text)
+
+
+def _parse(source: str, kept: frozenset[int], unclosed: frozenset[int]) -> Page:
+    """The page with the elements of these numbers not skipped, and these navs ended where their block ends."""
     page = Page()
     nodes, pieces = page.nodes, page.pieces
     root = Node("#root", "", -1, False, 0)
@@ -127,9 +176,13 @@ def parse(source: str) -> Page:
             node = nodes[stack.pop()]
             node.last = len(pieces)
             opened[node.tag] -= 1
+            if node.tag in ("ul", "ol") and stack:
+                nodes[stack[-1]].listed = True
 
     def add_text(raw: str) -> None:
         node = nodes[stack[-1]]
+        if raw and node.skipped and not opened["a"]:
+            nodes[node.root].hidden += len(raw) - raw.count(" ") if raw.strip() else 0
         if raw and not node.skipped:
             value = entities.unescape(raw) if "&" in raw else raw
             pieces.append(value)
@@ -154,6 +207,7 @@ def parse(source: str) -> Page:
         if closing:
             for k in () if not opened[tag] else range(len(stack) - 1, 0, -1):
                 if nodes[stack[k]].tag == tag:
+                    nodes[stack[k]].ended = True
                     close(k)
                     break
                 if tag in _INLINE and nodes[stack[k]].tag not in _INLINE:
@@ -176,6 +230,8 @@ def parse(source: str) -> Page:
                     break
                 if nodes[stack[k]].tag not in _INLINE:
                     break
+        if stack[-1] in unclosed and block and (tag in _AFTER_NAV or nodes[stack[-1]].listed):
+            close(len(stack) - 1)
         if tag == "body":
             close(1 + (len(stack) > 1 and nodes[stack[1]].tag == "html"))
         names = {}
@@ -183,15 +239,26 @@ def parse(source: str) -> Page:
             for x in _NAMES.finditer(rest):
                 names.setdefault(x[1].lower(), x[2] or x[3] or x[4] or "")
         inside = nodes[stack[-1]]
+        number = len(nodes)
         skipped = inside.skipped or tag in _SKIPPED
         if names and not skipped and tag not in _KEPT_WITH_MARK:
             skipped = _marked(names.values())
         elif names and not skipped and tag == "article":
-            skipped = bool(re.search(r"(?<![a-z])(?:comments?|replies|reply)(?![a-z])", " ".join(names.values()), re.I))
+            skipped = bool(_COMMENTS.search(" ".join(names.values())))
+        if number in kept:
+            skipped = inside.skipped
         parent = inside.parent if inside.tag in _INLINE else stack[-1]
         above = nodes[parent]
         around = parent if above.tag in _CONTAINERS or above.parent < 0 else above.around
-        nodes.append(Node(tag, "" if skipped else _step(tag, names), parent, skipped, len(pieces), around))
+        node = Node(tag, "" if skipped else _step(tag, names), parent, skipped, len(pieces), around)
+        nodes.append(node)
+        if skipped:
+            node.root = inside.root if inside.skipped else number
+            comment = any(_NEVER.fullmatch(word) for words in _words(names.values()) for word in words)
+            if node.root == number:
+                node.never = tag in _NEVER_TAGS or comment
+            elif tag == "main" or tag == "article" and not comment:
+                nodes[node.root].holds = True
         stack.append(len(nodes) - 1)
         opened[tag] += 1
     add_text(source[at:])

@@ -124,3 +124,51 @@ def test_hosts_of_sectioned_articles(spark):
 def test_a_page_votes_once_for_a_path():
     votes = M.votes_of(M.parse(f"<body><article>{parts(3, '<section>{1}</section>')}</article></body>"))
     assert max(votes, key=votes.get) == "/body/article" and len(votes) == len(set(votes)) == 3
+
+
+ARTICLE = f"<h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p>"
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<body><div class='market-share'>{}</div></body>",
+        "<body><section class='promotion-of-trade'>{}</section></body>",
+        "<body><div id='page' class='has-sidebar search'>{}</div></body>",
+        "<body><form action='/'>{}<input></form></body>",
+        "<body><form><nav>Menu</nav><div class='c'>{}</div><footer>Foot</footer></form></body>",
+        "<body><nav><ul><li><a href='/'>Home</a><li>About</ul><div class='c'>{}</div></body>",
+        "<body><nav><a href='/'>Home</a> <a href='/x'>More</a><main>{}</main></body>",
+        "<body><div class='social'><article>{}</article></div><div class='cookie-notice'>We use cookies. " + PROSE * 9 + "</div></body>",
+        "<body><div class='search'>{}</div><div class='comments'><p>" + PROSE * 9 + "</p></div></body>",
+        "<body><article class='search'>{}</article><aside>" + PROSE * 9 + "</aside></body>",
+    ],
+)
+def test_articles_in_parts_with_other_names(source):
+    assert one(source.format(ARTICLE)) == plain(ARTICLE)
+
+
+def test_the_title_in_an_article_header():
+    source = f"<body><article><div class='article-header'><h1>Title</h1></div><p>{PROSE}</p></article></body>"
+    assert one(source) == plain(f"<h1>Title</h1> {PROSE}")
+
+
+@pytest.mark.parametrize("mark", ["share", "cookie-notice", "site-footer", "user-comments", "sidebar left", "main_menu", "related-links"])
+def test_marked_parts_beside_an_article_go_whatever_they_hold(mark):
+    source = f"<body><article>{ARTICLE}</article><div class='{mark}'><p>{PROSE * 20}</p></div></body>"
+    assert one(source) == plain(ARTICLE)
+
+
+def test_votes_equal_counting_them(spark):
+    """Votes of hosts against adding up each page's shares in Python."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("url", "html")
+    counted = {}
+    for r in pages.collect():
+        at = re.match(r"[^/?#]*?://([^/?#]*)", r.url or "")
+        for path, vote in M.votes_of(M.parse(r.html or "")).items():
+            key = ((at[1] if at else "").lower(), path)
+            counted[key] = counted.get(key, 0) + vote
+    best = {}
+    for (host, path), votes in counted.items():
+        best[host] = min(best.get(host, (0, "")), (-votes, path))
+    assert {r.host: r.path for r in M.winning_paths(M.page_votes(pages)).collect()} == {h: path for h, (_, path) in best.items()}
