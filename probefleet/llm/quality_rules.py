@@ -135,7 +135,7 @@ def base_failed(values: dict[str, np.ndarray]) -> np.ndarray:
 def fit_rules(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> trees.Trees | None:
     """Trees for P(quality = 0), from at most sample_rows labelled documents; None unless both labels occur.
 
-    Rows without doc_id or quality are ignored; a doc_id labelled more than once counts as its lowest quality.
+    Rows without doc_id or quality are ignored, of rows with one doc_id one counts; a doc_id labelled more than once counts as its lowest quality.
     The sample is sent to all tasks: it has at most sample_rows rows of two numbers.
     """
     sample = (
@@ -161,6 +161,9 @@ def fit_rules(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
         .join(F.broadcast(sample), "doc_id")
         .select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
         .mapInArrow(rows, "doc_id long, quality int, x array<double>")
+        # A doc_id may stand in any number of rows; one of them, the same in every run, goes to the driver.
+        .groupBy("doc_id")
+        .agg(F.min("quality").alias("quality"), F.min("x").alias("x"))
         .toPandas()
         .sort_values("doc_id", kind="stable")
     )

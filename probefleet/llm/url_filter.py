@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: About this many labelled URLs, by a hash of the URL, fit the trees.
 SAMPLE_ROWS = 50_000
 TREES, DEPTH, BINS = 8, 3, 32
+#: Hosts are in one of so many folds; a labelled URL's suffix rate comes from the other folds' labels.
+FOLDS = 5
 #: Weight of the overall share of blocked URLs in the share of a suffix.
 PRIOR_ROWS = 20
 
@@ -102,19 +104,33 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 
 def with_suffix_statistics(rows: DataFrame) -> DataFrame:
-    """Adds the share of all URLs and the smoothed share of blocked labelled URLs of each suffix."""
-    blocked, labelled = F.sum((F.col("label") == 1).cast("long")), F.count("label")
+    """Adds the share of all URLs and the smoothed share of blocked labelled URLs of each suffix.
+
+    For a labelled URL the labels of its own fold of hosts do not count, so its own label is no feature of it.
+    """
+    fold = F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
+    blocked, labelled = F.col("label") == 1, F.col("label").isNotNull()
     counts = rows.groupBy("suffix").agg(
-        F.count(F.lit(1)).alias("_n"), F.coalesce(blocked, F.lit(0)).alias("_blocked"), labelled.alias("_labelled")
+        F.count(F.lit(1)).alias("_n"),
+        *[F.count_if(blocked & (fold != k)).alias(f"_blocked_{k}") for k in range(FOLDS)],
+        *[F.count_if(labelled & (fold != k)).alias(f"_labelled_{k}") for k in range(FOLDS)],
+        F.count_if(blocked).alias("_blocked"),
+        F.count_if(labelled).alias("_labelled"),
     )
     total = counts.agg(F.sum("_n").alias("n"), F.sum("_blocked").alias("blocked"), F.sum("_labelled").alias("labelled")).first()
     prior = (total["blocked"] or 0) / max(total["labelled"] or 0, 1)
+
+    def rate(part: str) -> Column:
+        return (F.col(f"_blocked{part}") + PRIOR_ROWS * prior) / (F.col(f"_labelled{part}") + PRIOR_ROWS)
+
     statistics = counts.select(
         "suffix",
         (F.col("_n") / F.lit(max(total["n"] or 0, 1))).alias("suffix_share"),
-        ((F.col("_blocked") + PRIOR_ROWS * prior) / (F.col("_labelled") + PRIOR_ROWS)).alias("suffix_block_rate"),
+        F.array(*(rate(f"_{k}") for k in range(FOLDS))).alias("_others"),
+        rate("").alias("_all"),
     )
-    return rows.join(statistics, "suffix")
+    found = rows.join(statistics, "suffix")
+    return found.withColumn("suffix_block_rate", F.when(labelled, F.get("_others", fold)).otherwise(F.col("_all"))).drop("_others", "_all")
 
 
 def judge_urls(

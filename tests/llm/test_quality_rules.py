@@ -75,3 +75,14 @@ def test_monotonic_and_flat_scoring():
             grid = np.tile(probe, (200, 1))
             grid[:, f] = line
             assert (np.diff(model.score(grid)) * sign >= -1e-12).all()
+
+
+def test_repeated_doc_ids_count_once(spark, monkeypatch):
+    """However many rows have a doc_id, one of them goes to the driver."""
+    rows = [(1, "good words of a text " * 20)] * 3000 + [(2, "### ### bad")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(Q.trees, "fit", lambda x, y, monotonic: seen.append(x.shape))
+    Q.fit_rules(documents, labels, sample_rows=2)
+    assert [shape[0] for shape in seen] == [2]

@@ -74,3 +74,29 @@ def test_learns_from_lexical_features(spark):
     rules = (U.Rule("block", "net", "/"), U.Rule("allow", "org", "/"))
     got = U.judge_urls(labelled.unionByName(free), rules).where("rule is null").collect()
     assert all(r.verdict == ("block" if r.page_id % 2 == 0 else "allow") for r in got)
+
+
+def test_a_label_is_no_feature_of_its_own_url(spark):
+    """Two hosts of one suffix with unlike labels: each one's rate comes from the other alone."""
+    hosts = [f"h{i}.site" for i in range(40)]
+    rows = [(h, "site", i % 2) for i, h in enumerate(hosts) for _ in range(3)]
+    df = spark.createDataFrame(rows, "host string, suffix string, label int").withColumn("url", F.col("host"))
+    got = U.with_suffix_statistics(df)
+    fold = F.pmod(F.xxhash64("host"), F.lit(U.FOLDS))
+    for r in got.withColumn("fold", fold).collect():
+        others = [x for x in got.withColumn("fold", fold).select("fold", "label").collect() if x.fold != r.fold]
+        want = (sum(x.label for x in others) + U.PRIOR_ROWS * 0.5) / (len(others) + U.PRIOR_ROWS)
+        assert abs(r.suffix_block_rate - want) < 1e-9
+        break
+
+
+def test_unlike_lexical_features_split_one_suffix(spark):
+    """Long digit-ridden URLs are blocked, short ones allowed, all of one suffix: what no rule covers follows its kind."""
+    rules = (U.Rule("block", "bad.one", "/"), U.Rule("allow", "good.one", "/"))
+    long = "http://{}.one/{}?a=1&b=2&c=3"
+    rows = [(i, long.format(f"s{i}.bad", f"x{i * 7919}/9{i}/{i * i}")) for i in range(150)]
+    rows += [(1000 + i, f"https://s{i}.good.one/about") for i in range(150)]
+    rows += [(2000 + i, long.format(f"new{i}", f"y{i * 6007}/8{i}/{i * i}")) for i in range(10)]
+    rows += [(3000 + i, f"https://fresh{i}.one/about") for i in range(10)]
+    got = {r.page_id: r.verdict for r in U.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert {got[2000 + i] for i in range(10)} == {"block"} and {got[3000 + i] for i in range(10)} == {"allow"}
