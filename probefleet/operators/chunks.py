@@ -2,7 +2,8 @@
 
 A plain window puts all rows of a key into one task. Here a key is cut into chunks of its integral order
 column. What a chunk needs of the others travels as one extra row per chunk (running sums, last values) or
-as copies of the rows near its border (sliding frames).
+as copies of the rows near its border (sliding frames). The extra rows of a key with very many chunks are cut
+in turn (``levels``), so that none of their windows holds more than a block of them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 CHUNK = "_chunk"
 HOME = "_home"
 ROW = "_row"
+#: Chunks of a block.
+BLOCK = 1024
+_FIRST = "_first_row"
+_INNER = "_inner_chunk"
 
 
 def chunk_start(order: Column, width: int) -> Column:
@@ -37,11 +42,13 @@ def running_sums(
     totals: Mapping[str, str] | None = None,
     firsts: Mapping[str, str] | None = None,
     following: str | None = None,
+    levels: int = 1,
 ) -> DataFrame:
     """Add running sums (out -> value column) by keys along ``order``, which is unique within a key.
 
     ``totals`` and ``firsts`` (out -> column) add a key's whole sum and its least value on the way, and
-    ``following`` names a column for the order value of the key's next row.
+    ``following`` names a column for the order value of the key's next row. ``levels`` above 1 is for keys of
+    very many chunks.
     """
     keys, totals, firsts = list(keys), dict(totals or {}), dict(firsts or {})
     ahead = [following] if following else []
@@ -49,21 +56,39 @@ def running_sums(
     chunked = df.withColumn(CHUNK, chunk_start(F.col(order), width))
     whole = W.partitionBy(*keys)
     earlier = whole.orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    headers = (
-        chunked.groupBy(*part)
-        .agg(
-            *[F.sum(c).alias(f"_sum_{out}") for out, c in {**sums, **totals}.items()],
-            *[F.min(c).alias(f"_min_{out}") for out, c in firsts.items()],
-            *[F.min(order).alias(f"_min_{out}") for out in ahead],
+    headers = chunked.groupBy(*part).agg(
+        *[F.sum(c).alias(f"_sum_{out}") for out, c in {**sums, **totals}.items()],
+        *[F.min(c).alias(f"_min_{out}") for out, c in firsts.items()],
+        F.min(order).alias(_FIRST),
+    )
+    if levels > 1:
+        inner = running_sums(
+            headers.withColumnRenamed(CHUNK, _INNER),
+            keys,
+            _FIRST,
+            {f"_add_{out}": f"_sum_{out}" for out in sums},
+            width * BLOCK,
+            totals={f"_key_{out}": f"_sum_{out}" for out in totals},
+            firsts={f"_key_{out}": f"_min_{out}" for out in firsts},
+            following=f"_key_{following}" if following else None,
+            levels=levels - 1,
         )
-        .select(
+        # The inner sums hold the chunk itself.
+        own = {out: F.coalesce(f"_add_{out}", F.lit(0)) - F.coalesce(f"_sum_{out}", F.lit(0)) for out in sums}
+        headers = inner.select(
+            *keys,
+            F.col(_INNER).alias(CHUNK),
+            *[c.alias(f"_add_{out}") for out, c in own.items()],
+            *[f"_key_{out}" for out in [*totals, *firsts, *ahead]],
+        )
+    else:
+        headers = headers.select(
             *part,
             *[F.coalesce(F.sum(f"_sum_{out}").over(earlier), F.lit(0)).alias(f"_add_{out}") for out in sums],
             *[F.sum(f"_sum_{out}").over(whole).alias(f"_key_{out}") for out in totals],
             *[F.min(f"_min_{out}").over(whole).alias(f"_key_{out}") for out in firsts],
-            *[F.lead(f"_min_{out}").over(whole.orderBy(CHUNK)).alias(f"_key_{out}") for out in ahead],
+            *[F.lead(_FIRST).over(whole.orderBy(CHUNK)).alias(f"_key_{out}") for out in ahead],
         )
-    )
     rows = chunked.select("*", *[F.col(c).alias(f"_add_{out}") for out, c in sums.items()])
     near = W.partitionBy(*part).orderBy(ROW, order)
     inside = near.rowsBetween(W.unboundedPreceding, 0)
@@ -104,6 +129,7 @@ def last_before(
     columns: Mapping[str, str],
     width: int,
     ties: Sequence[str] = (),
+    levels: int = 1,
 ) -> DataFrame:
     """Add the last non-NULL value (out -> column) of the rows before each row of a key.
 
@@ -116,11 +142,16 @@ def last_before(
     earlier = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     # A plain order column keeps the aggregation hash-based.
     position = F.struct(order, *ties) if ties else F.col(order)
-    headers = (
-        chunked.groupBy(*part)
-        .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_end_{out}") for out, c in columns.items()])
-        .select(*part, *[F.last(f"_end_{out}", True).over(earlier).alias(f"_past_{out}") for out in columns])
+    headers = chunked.groupBy(*part).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_end_{out}") for out, c in columns.items()],
+        *([F.min(order).alias(_FIRST)] if levels > 1 else []),
     )
+    if levels > 1:
+        ends = {f"_past_{out}": f"_end_{out}" for out in columns}
+        inner = last_before(headers.withColumnRenamed(CHUNK, _INNER), keys, _FIRST, ends, width * BLOCK, levels=levels - 1)
+        headers = inner.select(*keys, F.col(_INNER).alias(CHUNK), *ends)
+    else:
+        headers = headers.select(*part, *[F.last(f"_end_{out}", True).over(earlier).alias(f"_past_{out}") for out in columns])
     rows = chunked.select("*", *[F.col(c).alias(f"_past_{out}") for out, c in columns.items()])
     inside = W.partitionBy(*part).orderBy(ROW, order, *ties).rowsBetween(W.unboundedPreceding, -1)
     return (

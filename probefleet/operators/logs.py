@@ -61,7 +61,7 @@ def latency_quantiles(
     counts = latencies.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     if n == 1:
         return counts.select(*keys, F.lit(0).cast("bigint").alias("i"), F.lit(0.0).alias("q")).where(F.lit(False))
-    placed = running_sums(counts, keys, value, {"_to": "_n"}, width, totals={"_size": "_n"})
+    placed = running_sums(counts, keys, value, {"_to": "_n"}, width, totals={"_size": "_n"}, levels=2)
     size = F.col("_size")
 
     def cut(i):

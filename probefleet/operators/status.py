@@ -62,6 +62,7 @@ def sample_runs(increments: DataFrame, tick_ms: int) -> DataFrame:
         {"produced": "_p", "consumed": "_c"},
         tick_ms * _TICKS_PER_CHUNK,
         following="_next",
+        levels=2,
     )
     length = F.coalesce((F.col("_next") - F.col("tick")) / tick_ms, F.lit(1)).cast("bigint").alias("length")
     return known.select(*KEYS, "tick", length, "produced", "consumed")
@@ -104,7 +105,7 @@ def ring_runs(increments: DataFrame, window_ms: int, tick_ms: int) -> DataFrame:
         .agg(*[F.sum(c).alias(c) for c in ("_ph", "_ch", "_pt", "_ct")])
     )
     sums = {"produced_tail": "_pt", "produced_head": "_ph", "consumed_tail": "_ct", "consumed_head": "_ch"}
-    runs = running_sums(changes, KEYS, "tick", sums, tick_ms * _TICKS_PER_CHUNK, following="_next")
+    runs = running_sums(changes, KEYS, "tick", sums, tick_ms * _TICKS_PER_CHUNK, following="_next", levels=2)
     length = ((F.coalesce("_next", F.col("last") + tick_ms) - F.col("tick")) / tick_ms).cast("bigint")
     return runs.select(*KEYS, "tick", length.alias("length"), "first", *sums)
 

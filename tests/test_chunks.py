@@ -80,3 +80,24 @@ def test_following(skewed, width):
     got = chunks.running_sums(skewed, ["k"], "at", {"run": "v"}, width, following="next")
     want = skewed.withColumn("next", F.lead("at").over(W.partitionBy("k").orderBy("at")))
     assert as_set(got, "k", "at", "next") == as_set(want, "k", "at", "next")
+
+
+@pytest.mark.parametrize("levels", [2, 3])
+@pytest.mark.parametrize("width", [1, 7])
+def test_blocks_of_chunks(skewed, monkeypatch, levels, width):
+    monkeypatch.setattr(chunks, "BLOCK", 4)
+    plain = W.partitionBy("k").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    whole = W.partitionBy("k")
+    got = chunks.running_sums(
+        skewed, ["k"], "at", {"run": "v"}, width, totals={"total": "v"}, firsts={"first": "at"}, following="next", levels=levels
+    )
+    want = skewed.select(
+        "*", F.sum("v").over(plain).alias("run"), F.sum("v").over(whole).alias("total"), F.min("at").over(whole).alias("first"),
+        F.lead("at").over(whole.orderBy("at")).alias("next"),
+    )
+    columns = ("k", "at", "v", "s", "run", "total", "first", "next")
+    assert as_set(got, *columns) == as_set(want, *columns)
+    before = chunks.last_before(skewed, ["k"], "at", {"before": "s"}, width, levels=levels)
+    earlier = W.partitionBy("k").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    wanted = skewed.withColumn("before", F.last("s", True).over(earlier))
+    assert as_set(before, "k", "at", "v", "before") == as_set(wanted, "k", "at", "v", "before")
