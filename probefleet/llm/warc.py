@@ -43,9 +43,13 @@ def _uri(page_id: int | None) -> str:
     return f"<urn:page:{'null' if page_id is None else page_id}>"
 
 
-def _page_id(uri: str) -> int | None:
-    name = uri.removeprefix("<urn:page:").removesuffix(">")
-    return None if name == "null" else int(name)
+_OWN_ID = re.compile(r"<urn:page:(-?\d+)>")
+
+
+def _page_id(uri: str | None) -> int | None:
+    """The page's id in a record id of this writer; null in any other."""
+    own = _OWN_ID.fullmatch(uri or "")
+    return int(own[1]) if own else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
@@ -70,15 +74,26 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 @dataclass(frozen=True)
 class Record:
+    record_id: str
     page_id: int | None
     url: str
     record_type: str
     refers_to: int | None
     payload_bytes: int
-    payload_digest: str
+    payload_digest: str | None
     payload: bytes | None
 
 
+def _differs(stated: str | None, data: bytes) -> bool:
+    """Whether a stated digest is another one than the data's; digests of unknown kinds cannot be checked."""
+    kind, _, value = (stated or "").partition(":")
+    if kind.lower() == "sha1" and len(value) == 32:
+        return digest(data) != value.upper()
+    if kind.lower() in ("sha1", "sha256", "md5") and re.fullmatch("[0-9a-fA-F]+", value):
+        return hashlib.new(kind.lower(), data).hexdigest() != value.lower()
+    return False
+
+
 class Broken(ValueError):
     """Bytes that are not a valid record."""
 
@@ -98,11 +113,7 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
             raise Broken("bad header line")
         headers[name.strip().lower()] = value.strip().decode("utf-8", "replace")
     try:
-        size = int(headers[b"content-length"])
-        kind, page_id = headers[b"warc-type"], _page_id(headers[b"warc-record-id"])
-        refers_to = _page_id(headers[b"warc-refers-to"]) if b"warc-refers-to" in headers else None
-        payload_digest = headers[b"warc-payload-digest"].removeprefix("sha1:")
-        block_digest = headers[b"warc-block-digest"].removeprefix("sha1:")
+        size, kind = int(headers[b"content-length"]), headers[b"warc-type"]
     except (KeyError, ValueError) as e:
         raise Broken(f"bad or missing header: {e}") from None
     start = head_end + 4
@@ -110,19 +121,41 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     if size < 0 or data[end : end + 4] != b"\r\n\r\n":
         raise Broken("wrong length")
     block = data[start:end]
-    if digest(block) != block_digest:
+    if _differs(headers.get(b"warc-block-digest"), block):
         raise Broken("block digest differs")
-    http, blank, payload = block.partition(b"\r\n\r\n")
-    length = re.search(rb"(?im)^content-length: (\d+)\r?$", http)
-    if not blank or not length:
-        raise Broken("bad HTTP header")
-    if kind == "response" and (len(payload) != int(length[1]) or digest(payload) != payload_digest):
+    payload, length = block, size
+    if headers.get(b"content-type", "").lower().startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        stated = re.search(rb"(?im)^content-length: *(\d+)\r?$", http)
+        # A revisit leaves the payload out and states its length only here.
+        length = int(stated[1]) if stated else len(payload)
+        if kind != "revisit" and stated and length != len(payload):
+            raise Broken("payload has another length")
+    payload_digest = headers.get(b"warc-payload-digest")
+    if kind != "revisit" and _differs(payload_digest, payload):
         raise Broken("payload digest differs")
-    if kind not in ("response", "revisit"):
-        raise Broken("unknown record type")
-    body = payload if kind == "response" else None
-    url = headers.get(b"warc-target-uri", "")
-    return Record(page_id, url, kind, refers_to, int(length[1]), payload_digest, body), end + 4
+    record_id, refers_to = headers.get(b"warc-record-id", ""), headers.get(b"warc-refers-to")
+    found = Record(
+        record_id, _page_id(record_id), headers.get(b"warc-target-uri", ""), kind, _page_id(refers_to), length,
+        payload_digest.removeprefix("sha1:") if payload_digest else None, None if kind == "revisit" else payload,
+    )
+    return found, end + 4
+
+
+def _records_in(content: bytes) -> tuple[list[Record], str]:
+    """The valid records of a member, and why bytes of it hold none, if so."""
+    found: list[Record] = []
+    at, reason = 0, ""
+    while at < len(content):
+        try:
+            record_, at = _parse(content, at)
+            found.append(record_)
+        except Broken as e:
+            reason = reason or str(e)
+            at = _next_version(content, at + 1)
+            if at < 0:
+                break
+    return found, reason
 
 
 def _member(data: memoryview, at: int) -> tuple[bytes, int]:
@@ -142,19 +175,21 @@ def _member(data: memoryview, at: int) -> tuple[bytes, int]:
 def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
     """Valid records of an archive, gzipped or not, in order; (from, to, reason) for the bytes that hold none.
 
-    A gap ends where the next valid record starts. An empty archive holds nothing.
+    A gap ends where the next valid record starts. Of a member that holds several records the valid ones are given, and the
+    member is a gap too if it holds more than these. An empty archive holds nothing.
     """
     view, at, gap, reason = memoryview(data), 0, None, ""
     while at < len(data):
-        found = None
+        found, inner = [], ""
         try:
             if data[at : at + 3] == _MEMBER:
                 content, end = _member(view, at)
-                found, used = _parse(content, 0)
-                if used != len(content):
-                    raise Broken("more than a record in a member")
+                found, inner = _records_in(content)
+                if inner and not found:
+                    raise Broken(inner)
             else:
-                found, end = _parse(data, at)
+                record_, end = _parse(data, at)
+                found = [record_]
         except Broken as e:
             if gap is None:
                 gap, reason = at, str(e)
@@ -164,7 +199,9 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
         if gap is not None:
             yield gap, at, reason
             gap = None
-        yield found
+        yield from found
+        if inner:
+            yield at, end, inner
         at = end
     if gap is not None:
         yield gap, len(data), reason
@@ -194,6 +231,14 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
     return own.join(firsts, "sha", "left").select("page_id", "url", "html", refers_to.alias("refers_to"))
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, Spark's default one where none is named."""
+    if "://" in folder:
+        return folder
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return f"file://{folder}" if default.startswith("file:") else f"{default.rstrip('/')}{folder}"
+
+
 def write_archives(
     pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, date: str = "1970-01-01T00:00:00Z"
 ) -> DataFrame:
@@ -203,8 +248,10 @@ def write_archives(
     skips.
     """
 
+    target = qualified(pages.sparkSession, folder)
+
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        place, root = fs.FileSystem.from_uri(target)
         place.create_dir(root, recursive=True)
         context = TaskContext.get()
         stem = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
@@ -230,7 +277,7 @@ def write_archives(
 
 
 _READ = (
-    "name string, page_id long, url string, record_type string, refers_to long, payload_bytes long,"
+    "name string, record_id string, page_id long, url string, record_type string, refers_to long, payload_bytes long,"
     " payload_digest string, payload string, gap_from long, gap_to long, reason string"
 )
 
@@ -238,14 +285,15 @@ _READ = (
 def read_archives(spark: SparkSession, folder: str, written: DataFrame | None = None, payloads: bool = True) -> DataFrame:
     """A row for each record and for each quarantined gap (gap_from, gap_to, reason; record columns null).
 
-    written restricts the archives to the names in it. Payloads that are not UTF-8 come with replacement characters.
+    written restricts the archives to the names in it. Records of any writer are read: their ids are texts, and page_id and
+    refers_to are null unless they are ids of `write_archives`; digests are checked where stated. Payloads that are not UTF-8 come with replacement characters.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     if written is not None:
         files = files.join(written.select("name"), "name", "left_semi")
     fields = [x.split()[0] for x in _READ.split(",")]
-    types = {"name": pa.string(), "url": pa.string(), "record_type": pa.string(), "payload_digest": pa.string(), "payload": pa.string(), "reason": pa.string()}
+    types = {"name": pa.string(), "record_id": pa.string(), "url": pa.string(), "record_type": pa.string(), "payload_digest": pa.string(), "payload": pa.string(), "reason": pa.string()}
 
     def batch_of(found: list[dict]) -> pa.RecordBatch:
         arrays = [pa.array([r.get(c) for r in found], types.get(c, pa.int64())) for c in fields]
@@ -259,7 +307,7 @@ def read_archives(spark: SparkSession, folder: str, written: DataFrame | None =
                     if isinstance(x, tuple):
                         found.append({"name": name, "gap_from": x[0], "gap_to": x[1], "reason": x[2]})
                     else:
-                        row = {"name": name} | {k: getattr(x, k) for k in fields[1:8] if k != "payload"}
+                        row = {"name": name} | {k: getattr(x, k) for k in fields[1:9] if k != "payload"}
                         if payloads and x.payload is not None:
                             row["payload"] = x.payload.decode("utf-8", "replace")
                             size += len(x.payload)

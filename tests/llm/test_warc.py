@@ -116,3 +116,53 @@ def test_damaged_archive_in_a_folder(spark, tmp_path):
     assert sorted(r.page_id for r in found if r.gap_from is None) == [0, 2]
     (gap,) = (r for r in found if r.gap_from is not None)
     assert (gap.name, gap.gap_from, gap.gap_to) == ("a.warc.gz", len(parts[0]), len(parts[0]) + len(parts[1])) and gap.reason
+
+
+def foreign(kind, block, record_id="urn:uuid:4f1c", **headers):
+    lines = {"WARC-Type": kind, "WARC-Record-ID": f"<{record_id}>", "WARC-Date": "2020-01-01T00:00:00Z", **headers}
+    head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in lines.items())
+    return f"WARC/1.0\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def foreign_archive():
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>no length</p>"
+    sha = hashlib.sha1(http).hexdigest()
+    return [
+        foreign("warcinfo", b"software: some crawler\r\n", Content_Type="application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", "urn:uuid:2", Content_Type="application/http; msgtype=request"),
+        foreign("response", http, "urn:uuid:3", Content_Type="application/http;msgtype=response", WARC_Block_Digest=f"sha1:{sha}"),
+        foreign("metadata", b"outlink: http://h/x", "urn:uuid:4", WARC_Block_Digest="blake3:unknown"),
+        foreign("conversion", "ü text".encode(), "urn:uuid:5", WARC_Payload_Digest=f"sha1:{W.digest('ü text'.encode())}"),
+    ]
+
+
+KINDS = ["warcinfo", "request", "response", "metadata", "conversion"]
+
+
+@pytest.mark.parametrize("pack", [lambda rs: b"".join(map(gzip.compress, rs)), lambda rs: gzip.compress(b"".join(rs)), b"".join])
+def test_archives_of_other_writers(pack):
+    """A member for each record, all in one member, or not compressed at all."""
+    found = list(W.salvage(pack(foreign_archive())))
+    assert [r.record_type for r in found] == KINDS and not gaps(found)
+    assert [r.page_id for r in found] == [None] * 5 and found[2].record_id == "<urn:uuid:3>"
+    assert found[2].payload == b"<p>no length</p>" and found[4].payload.decode() == "ü text"
+
+
+def test_damage_inside_a_member_of_several_records():
+    parts = foreign_archive()
+    parts[2] = parts[2].replace(b"no length", b"no lengtx")
+    data = gzip.compress(b"".join(parts))
+    found = list(W.salvage(data))
+    assert [r.record_type for r in found if isinstance(r, W.Record)] == [k for k in KINDS if k != "response"]
+    assert gaps(found) == [(0, len(data))]
+
+
+def test_folders_have_a_file_system(spark):
+    assert W.qualified(spark, "/shared/x") == "file:///shared/x" and W.qualified(spark, "s3a://b/x") == "s3a://b/x"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "hdfs://name:8020")
+        assert W.qualified(spark, "/shared/x") == "hdfs://name:8020/shared/x"
+    finally:
+        conf.set("fs.defaultFS", before)
