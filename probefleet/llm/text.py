@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
