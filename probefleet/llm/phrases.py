@@ -28,11 +28,13 @@ LEAST_COUNT = 100
 LONGEST = 5
 TOP = 2000
 #: Texts of this many bytes are hashed together; only one piece without a separator can make a larger stretch.
-STRETCH_BYTES = 2 << 20
+STRETCH_BYTES = 1 << 20
 #: The n-grams of this much text meet in one step of a task.
 BUCKET_BYTES = 8 << 20
+#: Buckets of a task on average.
+TASK_BUCKETS = 2
 #: A task adds up this many fingerprints before it hands them on.
-PENDING = 1_500_000
+PENDING = 800_000
 #: Ranks are found in this many parts of a language first.
 RANK_PARTS = 32
 UNKNOWN = "und"
@@ -225,7 +227,9 @@ def counted(
             yield Sums.of(waiting).frequent(least)
 
     packed = texts.mapInArrow(rows, "bucket long, fp binary, n binary, key binary, check binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sums, "fp long, n long, key int, low int, high int")
+    # Few buckets for a task at any size, as their rows are large.
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // TASK_BUCKETS)
+    return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(sums, "fp long, n long, key int, low int, high int")
 
 
 _PHRASE_TYPES = [pa.int64(), pa.string(), pa.int32(), pa.string()]
