@@ -769,7 +769,7 @@ def oracles() -> dict[str, str]:
     number = "CAST(regexp_extract(topic, '([0-9]+)$', 1) AS BIGINT) % 3"
     columns = "cluster_id, topic, partition_id, step, action, replicas"
     found["actions_outbox"] = f"""WITH held AS ({held})
-        SELECT 0 AS run, 'issue' AS change, 1 AS version, {columns} FROM held WHERE {number} <> 0
+        SELECT CAST(0 AS BIGINT) AS run, 'issue' AS change, CAST(1 AS BIGINT) AS version, {columns} FROM held WHERE {number} <> 0
         UNION ALL SELECT 1, 'issue', 1, {columns} FROM held WHERE {number} = 0
         UNION ALL SELECT 1, 'withdraw', 2, {columns} FROM held WHERE {number} = 1"""
     found["config_all"] = _sql("wide", f"SELECT client_id, {', '.join(_typed(*entry) for entry in C.CONFIG_KEYS)} FROM wide")
