@@ -22,7 +22,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the trusted ones' language model is too high go."""
     # Workers of a long pipeline hold more memory than those of one query, so slices are smaller here.
-    return without_low_quality(docs, table(ready(spark), sf_dir, "labels"), slice_bytes=2 << 20)
+    return without_low_quality(docs, table(ready(spark), sf_dir, "labels"), slice_bytes=1 << 20)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
