@@ -20,11 +20,16 @@ def wide_config(config: DataFrame, keys: Sequence[str], clients: DataFrame | Non
 
     A client without any known key has a row too. ``clients`` (client_id) adds those that set nothing at all.
     """
-    named = config.select("client_id", F.concat(F.lit("set_"), "key").alias("key"), "value")
+    number = F.array_position(F.array(*map(F.lit, keys)), F.col("key")).cast("int")
+    named = config.select("client_id", number.alias("_number"), "value")
     if clients is not None:
-        nothing = F.lit(None).cast("string")
-        named = named.unionByName(clients.select("client_id", nothing.alias("key"), nothing.alias("value")))
-    return named.groupBy("client_id").pivot("key", [f"set_{key}" for key in keys]).agg(F.max("value"))
+        named = named.unionByName(clients.select("client_id", F.lit(0).alias("_number"), F.lit(None).cast("string").alias("value")))
+    # Rows travel to their client as they are. The greatest text is found by sorting, and before they travel, that would sort
+    # all rows of a file in the task that reads it.
+    dealt = named.repartition("client_id")
+    return dealt.groupBy("client_id").agg(
+        *[F.max(F.when(F.col("_number") == i, F.col("value"))).alias(f"set_{key}") for i, key in enumerate(keys, 1)]
+    )
 
 
 def _text(key: str) -> Column:

@@ -53,6 +53,17 @@ def test_clients_that_set_nothing_known(rows):
     assert {r.client_id for r in configs.lint_config(df).collect()} == {"other"}
 
 
+def test_rows_are_not_sorted_in_the_task_that_reads_them(rows):
+    df = rows(CONFIG, *[(f"c{i % 7}", k, f"{v}{i}") for i in range(40) for k, v in CUSTOM.items()], ("n", None, "x"), (None, "TOPIC", "t"))
+    wide = configs.wide_config(df, ["TOPIC", "SASL_USER"])
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    reading = plan[plan.rindex("Exchange hashpartitioning(") :]
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Sort" not in reading and "Aggregate" not in reading
+    got = {r.client_id: (r.set_TOPIC, r.set_SASL_USER) for r in wide.collect()}
+    greatest = {f"c{k}": tuple(max(f"{CUSTOM[x]}{i}" for i in range(k, 40, 7)) for x in ("TOPIC", "SASL_USER")) for k in range(7)}
+    assert got == greatest | {"n": (None, None), None: ("t", None)}
+
+
 def test_printed_values_are_the_understood_ones(rows):
     df = rows(CONFIG, ("c", "EXPECTED_CLUSTER_SIZE", "three"), ("c", "TLS_ENABLED", "T"), ("c", "VERBOSITY_LOG_LEVEL", "+7"), ("c", "SARAMA_LOG_ENABLED", "on"))
     got = {r.key: r.shown for r in configs.redact_config(df).collect()}
