@@ -5,7 +5,7 @@ Brokers are rows (cluster_id, broker_id, rack), topics rows (cluster_id, topic,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probefleet import constants as C
@@ -289,30 +289,52 @@ def reassignment_ongoing(status: DataFrame) -> DataFrame:
     return status.groupBy(*TOPIC).agg(F.bool_or((F.size("adding") > 0) | (F.size("removing") > 0)).alias("ongoing"))
 
 
-def partition_coverage(expected: DataFrame, consumed: DataFrame) -> DataFrame:
-    """Expected partitions of a topic and how many of them had a record.
+#: Partitions of a topic that share one row, one bit each, and their number as a power of two.
+ROW_BITS, ROW_POWER = 64, 6
+
+
+def _partition_bit() -> tuple[Column, Column]:
+    """The row of bits that a partition_id is in, and its bit there. A null is the only partition of a row of its own."""
+    number = F.col("partition_id").cast("bigint")
+    place = F.coalesce(F.pmod(number, F.lit(ROW_BITS)), F.lit(0)).cast("int")
+    return F.shiftright(number, ROW_POWER).alias("_row"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
 
-    Consumed rows are reduced to partitions before they travel; records of other partitions do not count.
+
+def _partition_bits(expected: DataFrame, consumed: DataFrame) -> DataFrame:
+    """Expected and seen partitions as bits: (cluster_id, topic, _row, _expected, _seen).
+
+    Consumed rows are reduced before they travel, to a row of bits for each ROW_BITS partitions of a topic.
     """
-    yes, no = F.lit(True), F.lit(False)
-    marks = (
-        expected.select(*TOPIC, F.col("partition_id").cast("bigint"), yes.alias("_expected"), no.alias("_seen"))
-        .unionByName(
-            consumed.select(*TOPIC, F.col("partition_id").cast("bigint"), no.alias("_expected"), yes.alias("_seen"))
-        )
-        .groupBy(*TOPIC, "partition_id")
-        .agg(F.max("_expected").alias("_expected"), F.max("_seen").alias("_seen"))
-        .where("_expected")
+    row, bit = _partition_bit()
+    none = F.lit(0).cast("bigint")
+    marks = expected.select(*TOPIC, row, bit.alias("_expected"), none.alias("_seen")).unionByName(
+        consumed.select(*TOPIC, row, none.alias("_expected"), bit.alias("_seen"))
     )
-    return marks.groupBy(*TOPIC).agg(
-        F.count(F.lit(1)).alias("expected"), F.count_if("_seen").alias("seen"), F.bool_and("_seen").alias("covered")
+    return marks.groupBy(*TOPIC, "_row").agg(F.bit_or("_expected").alias("_expected"), F.bit_or("_seen").alias("_seen"))
+
+
+def partition_coverage(expected: DataFrame, consumed: DataFrame) -> DataFrame:
+    """Expected partitions of a topic and how many of them had a record; records of other partitions do not count."""
+    wanted, seen = F.col("_expected"), F.col("_expected").bitwiseAND(F.col("_seen"))
+    return (
+        _partition_bits(expected, consumed)
+        .where(wanted != 0)
+        .groupBy(*TOPIC)
+        .agg(
+            F.sum(F.bit_count(wanted).cast("bigint")).alias("expected"),
+            F.sum(F.bit_count(seen).cast("bigint")).alias("seen"),
+            F.bool_and(wanted == seen).alias("covered"),
+        )
     )
 
 
 def unconsumed_partitions(expected: DataFrame, consumed: DataFrame) -> DataFrame:
     """Expected partitions without any record."""
-    on = [*TOPIC, "partition_id"]
-    return expected.join(consumed.select(*on).distinct(), on, "left_anti")
+    row, bit = _partition_bit()
+    seen = consumed.where(F.col("partition_id").isNotNull()).groupBy(*TOPIC, row).agg(F.bit_or(bit).alias("_seen"))
+    wanted = expected.select("*", row, bit.alias("_bit")).join(seen, [*TOPIC, "_row"], "left")
+    missed = F.coalesce(F.col("_seen"), F.lit(0)).bitwiseAND(F.col("_bit")) == 0
+    return wanted.where(missed).select(*expected.columns)
 
 
 def generate_round(plan_sizes: DataFrame, width: int = 1 << 32) -> DataFrame:

@@ -212,6 +212,24 @@ def test_coverage(rows):
     assert sorted(tuple(r) for r in topology.unconsumed_partitions(expected, consumed).collect()) == [("c", "t", 1), ("d", "u", 0)]
 
 
+def test_coverage_in_rows_of_bits(rows):
+    """Many, negative and null partitions; a topic's partitions are reduced to a row for each 64 of them."""
+    names = "cluster_id STRING, topic STRING, partition_id BIGINT"
+    wide = [("c", "t", p) for p in [*range(-70, 200), 2**62, None]]
+    expected = rows(names, *wide, *wide[:3], ("c", "none", None), (None, "t", 1))
+    consumed = rows(names, *wide[1:-1], ("c", "none", 0), (None, "t", 1), ("c", "t", 700))
+    assert by_topic(topology.partition_coverage(expected, consumed), "expected", "seen", "covered") == {
+        ("c", "t"): (272, 270, False), ("c", "none"): (1, 0, False), (None, "t"): (1, 1, True),
+    }
+    seen = topology.partition_coverage(expected, consumed.unionByName(rows(names, wide[0], wide[-1])))
+    assert by_topic(seen, "seen", "covered")["c", "t"] == (272, True)
+    missing = [("c", "t", -70)] * 2 + [("c", "t", None), ("c", "none", None), (None, "t", 1)]
+    got = [tuple(r) for r in topology.unconsumed_partitions(expected, consumed).collect()]
+    assert Counter(got) == Counter(missing)
+    bits = topology._partition_bits(expected, consumed).where("topic = 't' AND cluster_id = 'c'")
+    assert bits.count() == 9
+
+
 def test_round_numbers_run_on(rows):
     sizes = rows(
         "cluster_id STRING, client_id STRING, tick BIGINT, partitions BIGINT",
