@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,90 @@ def test_a_timeout_is_known_without_its_ready_signal(spark):
     assert listed(got.where("client_id = 'y'"), ["attempt", "kind", "timed_out"]) == ["(2, 'attempt', True)"]
 
 
+class Held:
+    """State of one client in memory, as the operator sees it; counts the bytes of the greatest value."""
+
+    def __init__(self):
+        self.values, self.most = {}, 0
+
+    def getValueState(self, name, schema):
+        return Value(self, name)
+
+    def getMapState(self, name, key_schema, schema):
+        return Value(self, name)
+
+    def registerTimer(self, at_ms):
+        self.due = at_ms
+
+    def deleteTimer(self, at_ms):
+        self.due = None
+
+
+class Value:
+    def __init__(self, held, name):
+        self.held, self.name = held, name
+
+    def exists(self):
+        return self.name in self.held.values
+
+    def get(self):
+        return self.held.values[self.name]
+
+    def update(self, value):
+        self.held.values[self.name] = value
+        self.held.most = max([self.held.most, *(len(x) for x in value if isinstance(x, str | bytes))])
+
+    def clear(self):
+        self.held.values.pop(self.name, None)
+
+    def getValue(self, key):
+        return self.held.values[self.name, key]
+
+    def updateValue(self, key, value):
+        self.held.values[self.name, key] = value
+        self.held.most = max(self.held.most, len(value[0]))
+
+    def removeKey(self, key):
+        del self.held.values[self.name, key]
+
+
+class Watermark:
+    def __init__(self, at_ms):
+        self.at_ms = at_ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.at_ms
+
+
+@pytest.mark.parametrize("steps", [(5000, 64, 256), (97, 16, 40), (1 << 19, 1 << 13, 1 << 16)])
+def test_a_clients_signals_lie_in_small_blocks(monkeypatch, steps):
+    """One client's whole history in one batch, and in batches with a watermark between, is never one value of state."""
+    for name, size in zip(("RUN_SIGNALS", "BLOCK_SIGNALS", "STEP_SIGNALS"), steps, strict=True):
+        monkeypatch.setattr(stateful, name, size, raising=False)
+    draw, rows = random.Random(9), []
+    for attempt in range(4000):
+        start = draw.randrange(900) * 10_000
+        rows.append(("c", "x", attempt // 2, "start", start))
+        rows += [("c", "x", attempt // 2, "ready", start + d) for d in draw.choice([[0], [30000], [30001], [1000, 90000], [], [], []])]
+    draw.shuffle(rows)
+    for cuts in ([9_000_000], [1, 1_000_000, 1_000_001, 1_030_000, 4_000_000, 9_000_000]):
+        held, got, low = Held(), [], 0
+        for upto in [*cuts, 10**8]:
+            batch = [r for r in rows if low <= r[4] < upto]
+            frame = pd.DataFrame(batch, columns=["cluster_id", "client_id", "attempt", "kind", "ts_ms"])
+            watch = stateful.JoinWatch(30_000, 3)
+            watch.init(held)
+            list(watch.handleInputRows(("c", "x"), (frame[i : i + 50] for i in range(0, len(frame), 50)), None))
+            low = upto
+            while held.due is not None and held.due < upto:
+                held.due = None
+                got += list(watch.handleExpiredTimer(("c", "x"), Watermark(upto - 1), None))
+        told = pd.concat(got).astype(object)
+        told = told.where(told.notna(), None)
+        assert sorted(str(tuple(r)) for r in told[COLUMNS].itertuples(index=False)) == outcomes(rows)
+        assert held.most <= max(18 * steps[1], 20_000) and [k for k in held.values if k != "run"] == []
+
+
 RECORD = "cluster_id STRING, client_id STRING, ack_ms BIGINT, recv_ms BIGINT"
 
 
