@@ -12,6 +12,7 @@ Every random choice is seeded by block, island and epoch, so a task that runs ag
 
 from __future__ import annotations
 
+import itertools
 import os
 import time
 import zlib
@@ -67,6 +68,16 @@ class Generation:
         return len(self.numbers) > REMEMBERED or self.bytes > REMEMBERED_BYTES
 
 
+def _as_bytes(values: pa.LargeBinaryArray) -> list[bytes]:
+    """Values without nulls, cut out of one copy of their bytes."""
+    if not len(values):
+        return []
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1].tolist()
+    raw = data.to_pybytes() if data else b""
+    return [raw[a:b] for a, b in itertools.pairwise(ends)]
+
+
 class SegmentTokenizer:
     """Token ids of texts, computed once for each distinct segment.
 
@@ -93,32 +104,36 @@ class SegmentTokenizer:
         self.visible = T.byte_class(bytes(self.visible_bytes))
         self.young, self.old = Generation(), Generation()
 
-    def _encode(self, parts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-        """The ids of new segments one after another, in pieces, and their numbers.
+    def _encode(self, parts: list[bytes]) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+        """New segments in the order of their ids, the ids one after another, in pieces, and their numbers.
 
-        Segments that begin with a blank and a visible character are encoded together, as one text; the tokens' bytes tell
-        where each ends. Others begin a text and are encoded alone.
+        Segments that begin with a blank and a visible character are encoded together, as one text; others begin a text and
+        are texts of their own. The tokens' bytes tell where each segment ends.
         """
-        out: list[np.ndarray] = []
-        lengths = np.array(list(map(len, parts)), np.int64)
-        ends = np.cumsum(lengths)
-        free = np.array([len(x) > 1 and x[0] == 0x20 and x[1] in self.visible_bytes for x in parts], bool)
-        sizes, at = np.zeros(len(parts), np.int64), 0
-        others = np.append(np.flatnonzero(~free), len(parts))
-        while at < len(parts):
-            # Up to the next segment that begins a text, and to about 64 kB.
-            upto = int(others[np.searchsorted(others, at, "right")])
-            upto = min(upto, max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 16)))))
-            text = b"".join(parts[at:upto]).decode()
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            token_ends, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum(lengths[at:upto])
-            last = np.searchsorted(token_ends, wanted, "right")
-            if wanted[-1] and (last[0] == 0 or (token_ends[last - 1] != wanted).any()):
-                raise ValueError("the tokenizer's tokens do not follow the bytes of the text")
-            sizes[at:upto] = np.diff(last, prepend=0)
-            out.append(ids)
-            at = upto
-        return out, sizes
+        free: list[bytes] = []
+        others: list[bytes] = []
+        visible = self.visible_bytes
+        for x in parts:
+            (free if len(x) > 1 and x[0] == 0x20 and x[1] in visible else others).append(x)
+        out, sizes = [], [np.zeros(0, np.int64)]
+        for group in (free, others):
+            ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)))
+            at = 0
+            while at < len(group):
+                # About 64 kB.
+                upto = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 16))))
+                some = group[at:upto]
+                texts = [b"".join(some).decode()] if group is free else [x.decode() for x in some]
+                found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+                ids = np.array(list(itertools.chain.from_iterable(x.ids for x in found)), np.uint32)
+                token_ends, wanted = np.cumsum(self.bytes_of[ids]), ends[at:upto] - (ends[at - 1] if at else 0)
+                last = np.searchsorted(token_ends, wanted, "right")
+                if last[0] == 0 or (token_ends[last - 1] != wanted).any():
+                    raise ValueError("the tokenizer's tokens do not follow the bytes of the text")
+                sizes.append(np.diff(last, prepend=0))
+                out.append(ids)
+                at = upto
+        return free + others, out, np.concatenate(sizes)
 
     def ids(self, t: T.Texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's begin."""
@@ -131,19 +146,22 @@ class SegmentTokenizer:
         parts = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
         ).dictionary_encode()
-        distinct = parts.dictionary.to_pylist()
+        distinct = _as_bytes(parts.dictionary)
         if self.young.is_full():
             self.young, self.old = Generation(), self.young
         young, old = self.young, self.old
-        unseen = [x for x in distinct if x not in young.numbers]
-        again = [x for x in unseen if x in old.numbers]
+        number = list(map(young.numbers.get, distinct))
+        missing = [k for k, n in enumerate(number) if n is None]
+        before = [old.numbers.get(distinct[k]) for k in missing]
+        again = [n for n in before if n is not None]
         if again:
-            ids, ends = old.ids(np.array([old.numbers[x] for x in again], np.int64))
-            young.add(again, [ids], np.diff(ends))
-            unseen = [x for x in unseen if x not in old.numbers]
-        young.add(unseen, *self._encode(unseen))
-        number = np.array([young.numbers[x] for x in distinct], np.int64)
-        ids, ends = young.ids(number[parts.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64))
+            ids, ends = old.ids(np.array(again, np.int64))
+            young.add([distinct[k] for k, n in zip(missing, before, strict=True) if n is not None], [ids], np.diff(ends))
+        young.add(*self._encode([distinct[k] for k, n in zip(missing, before, strict=True) if n is None]))
+        for k in missing:
+            number[k] = young.numbers[distinct[k]]
+        indices = parts.indices.to_numpy(zero_copy_only=False)
+        ids, ends = young.ids(np.array(number, np.int64)[indices] if distinct else np.zeros(0, np.int64))
         return ids, ends[np.searchsorted(bounds, t.offsets)]
 
 

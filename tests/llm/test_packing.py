@@ -37,6 +37,24 @@ def test_segments_give_the_same_ids(tokenizer):
         assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts] + [[]]
 
 
+def test_short_texts_are_encoded_in_few_calls(tokenizer):
+    """Texts that begin with other segments do not break up what is encoded together."""
+    mine, calls = K.SegmentTokenizer("byte_bpe_50k.json"), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    mine.tokenizer = Counted()
+    texts = [f"Text{i} of words{i} and {chr(0x4E00 + i)} signs{i}" for i in range(300)]
+    ids, first = mine.ids(T.texts(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [
+        tokenizer.encode(t, add_special_tokens=False).ids for t in texts
+    ]
+    assert len(calls) == 2 and len(ids) > 2000
+
+
 def check(rows, documents, tokenizer, capacity, with_ids):
     want = []
     for doc, text in documents:
