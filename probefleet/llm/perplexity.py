@@ -44,6 +44,9 @@ PEAK_SYMBOLS = 5
 #: Languages with fewer trusted documents have no threshold: the model hardly saw them.
 LEAST_TRUSTED = 30
 
+#: The models, by their columns of counts: of all trusted documents, and of each half.
+MODELS = ("n", "n0", "n1")
+
 #: Signs before the first character of a word and after its last; words hold no such control characters but as signs.
 _BEGIN, _END = "\x02", "\x03"
 
@@ -275,64 +278,70 @@ def asked_grams(sliced: DataFrame) -> DataFrame:
     return sliced.select("words").mapInArrow(rows, "gram string").distinct()
 
 
-def kneser_ney(counts: DataFrame) -> tuple[dict[int, tuple[DataFrame, DataFrame]], float]:
-    """The model: for each order the n-grams' discounted shares of their contexts (gram, share) and the weight that each
-    context leaves to shorter ones (context, weight); and the probability of a symbol before anything is known.
+def kneser_ney(counts: DataFrame) -> tuple[dict[int, tuple[DataFrame, DataFrame]], list[float]]:
+    """The models of counts (gram and MODELS), side by side: for each order the n-grams' discounted shares of their contexts
+    (gram, share0, ...) and the weights that each context leaves to shorter ones (context, weight0, ...), null where a model
+    knows none; and for each model the probability of a symbol before anything is known.
 
     Below the highest order an n-gram counts once for each symbol seen before it.
     """
-    orders = {ORDER: counts.select("gram", "n")}
+    orders = {ORDER: counts.select("gram", *MODELS)}
     for order in range(ORDER - 1, 0, -1):
-        shorter = orders[order + 1].groupBy(F.substring("gram", 2, order).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        seen = (F.count_if(F.col(m) > 0).alias(m) for m in MODELS)
+        shorter = orders[order + 1].groupBy(F.substring("gram", 2, order).alias("gram")).agg(*seen)
         orders[order] = settled(shorter, f"grams-{order}")
-    tallies = [
-        t.agg(F.lit(order).alias("order"), F.count(F.lit(1)).alias("types"), *(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)))
-        for order, t in orders.items()
-    ]
-    every = tallies[0]
-    for t in tallies[1:]:
-        every = every.unionAll(t)
-    tally = {r["order"]: r for r in every.collect()}
-    model = {}
+    every = None
+    for order, table in orders.items():
+        own = table.select(F.lit(order).alias("order"), *MODELS)
+        every = own if every is None else every.unionAll(own)
+    types = (F.count_if(F.col(m) > 0).alias(f"{m}_types") for m in MODELS)
+    rare = (F.count_if(F.col(m) == k).alias(f"{m}_{k}") for m in MODELS for k in (1, 2, 3, 4))
+    tally = {r["order"]: r for r in every.groupBy("order").agg(*types, *rare).collect()}
+    models = {}
     for order, table in orders.items():
-        d1, d2, d3 = discounts(*(tally[order][f"n{k}"] for k in (1, 2, 3, 4)))
-        n = F.col("n")
-        taken = F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)
+        taken = []
+        for m in MODELS:
+            d1, d2, d3 = discounts(*(tally[order][f"{m}_{k}"] for k in (1, 2, 3, 4)))
+            n = F.col(m)
+            taken.append(F.when(n == 0, 0.0).when(n == 1, d1).when(n == 2, d2).otherwise(d3))
         context = F.substring("gram", 1, order - 1).alias("context")
-        contexts = table.groupBy(context).agg(F.sum("n").alias("total"), F.sum(taken).alias("left"))
-        shares = table.select("gram", "n", context).join(contexts, "context")
-        model[order] = (
-            shares.select("gram", ((n - taken) / F.col("total")).alias("share")),
-            contexts.select("context", (F.col("left") / F.col("total")).alias("weight")),
-        )
-    return model, 1 / (tally[1]["types"] + 1)
+        sums = [(F.sum(m).alias(f"total{k}"), F.sum(taken[k]).alias(f"left{k}")) for k, m in enumerate(MODELS)]
+        contexts = table.groupBy(context).agg(*(x for both in sums for x in both))
+        found = table.select("gram", *MODELS, context).join(contexts, "context")
+        total = [F.col(f"total{k}") for k in range(len(MODELS))]
+        shares = (F.when(F.col(m) > 0, (F.col(m) - taken[k]) / total[k]).alias(f"share{k}") for k, m in enumerate(MODELS))
+        weights = (F.when(total[k] > 0, F.col(f"left{k}") / total[k]).alias(f"weight{k}") for k in range(len(MODELS)))
+        models[order] = found.select("gram", *shares), contexts.select("context", *weights)
+    return models, [1 / (tally[1][f"{m}_types"] + 1) for m in MODELS]
 
 
-def gram_costs(grams: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], unseen: float) -> DataFrame:
-    """gram, cost: minus the logarithm of the interpolated probability of each distinct gram's last symbol.
+def gram_costs(grams: DataFrame, models: dict[int, tuple[DataFrame, DataFrame]], unseen: list[float]) -> DataFrame:
+    """gram, cost0, ...: minus the logarithm of the interpolated probability of each distinct gram's last symbol, by each
+    model.
 
     The orders are worked up from the lowest; each joins the grams' distinct endings with their counts.
     """
-    endings = {ORDER: grams}
-    for order in range(ORDER - 1, 0, -1):
-        endings[order] = endings[order + 1].select(F.substring("gram", 2, order).alias("gram")).distinct()
     p = None
     for order in range(1, ORDER + 1):
-        shares, weights = model[order]
-        known = endings[order].join(shares, "gram", "left").withColumn("context", F.substring("gram", 1, order - 1))
+        shares, weights = models[order]
+        endings = grams if order == ORDER else grams.select(F.substring("gram", ORDER + 1 - order, order).alias("gram")).distinct()
+        known = endings.join(shares, "gram", "left").withColumn("context", F.substring("gram", 1, order - 1))
         known = known.join(weights, "context", "left")
-        shorter = F.lit(unseen)
+        shorter = [F.lit(x) for x in unseen]
         if p is not None:
             known = known.withColumn("ending", F.substring("gram", 2, order - 1)).join(p, "ending")
-            shorter = F.col("p")
-        value = F.coalesce("share", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * shorter
-        p = settled(known.select(F.col("gram").alias("ending"), value.alias("p")), f"chances-{order}")
-    return p.select(F.col("ending").alias("gram"), (-F.log("p")).alias("cost"))
+            shorter = [F.col(f"p{k}") for k in range(len(unseen))]
+        values = (
+            (F.coalesce(f"share{k}", F.lit(0.0)) + F.coalesce(f"weight{k}", F.lit(1.0)) * x).alias(f"p{k}")
+            for k, x in enumerate(shorter)
+        )
+        p = settled(known.select(F.col("gram").alias("ending"), *values), f"chances-{order}")
+    return p.select(F.col("ending").alias("gram"), *((-F.log(f"p{k}")).alias(f"cost{k}") for k in range(len(unseen))))
 
 
-def slice_costs(sliced: DataFrame, costs: DataFrame, shards: int) -> DataFrame:
-    """slice, costs: for each slice the costs of its distinct grams, as (shard, 32-bit floats in the order of the grams'
-    hashes) for each shard.
+def slice_costs(asked: DataFrame, costs: DataFrame, shards: int) -> DataFrame:
+    """model, slice, costs: for each slice of asked the costs by its model of its distinct grams, as (shard, 32-bit floats
+    in the order of the grams' hashes) for each shard.
 
     Requests and costs meet by shard, packed. A shard has its part of the distinct grams, and of each slice's requests.
     """
@@ -346,17 +355,18 @@ def slice_costs(sliced: DataFrame, costs: DataFrame, shards: int) -> DataFrame:
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, packed in zip(batch.column("slice").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            for model, name, packed in zip(*(batch.column(c).to_pylist() for c in ("model", "slice", "words")), strict=True):
                 keys = np.sort(_gram_keys(word_grams(_words_of(packed))[0]))
-                parts = [(k, name, keys[at].tobytes()) for k, at in cut(keys)]
-                columns = zip(*parts, strict=True) if parts else [[]] * 3
-                types = (pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "slice", "keys"])
+                parts = [(k, model, name, keys[at].tobytes()) for k, at in cut(keys)]
+                columns = zip(*parts, strict=True) if parts else [[]] * 4
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, ["shard", "model", "slice", "keys"])
 
     def offer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = _gram_keys(batch.column("gram").to_pylist())
-            values = batch.column("cost").to_numpy().astype(np.float32)
+            values = np.stack([batch.column(f"cost{k}").to_numpy().astype(np.float32) for k in range(len(MODELS))], axis=1)
             parts = [(k, keys[at].tobytes(), values[at].tobytes()) for k, at in cut(keys)]
             columns = zip(*parts, strict=True) if parts else [[]] * 3
             types = (pa.int64(), pa.binary(), pa.binary())
@@ -364,33 +374,34 @@ def slice_costs(sliced: DataFrame, costs: DataFrame, shards: int) -> DataFrame:
 
     def answer(asked: pa.Table, offered: pa.Table) -> pa.Table:
         joined = lambda name, kind: np.frombuffer(b"".join(offered.column(name).to_pylist()), kind)
-        keys, values = joined("keys", np.uint64), joined("costs", np.float32)
+        keys, values = joined("keys", np.uint64), joined("costs", np.float32).reshape(-1, len(MODELS))
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
         found = [
-            {"shard": shard, "costs": values[np.searchsorted(keys, np.frombuffer(raw, np.uint64))].tobytes()}
-            for shard, raw in zip(asked.column("shard").to_pylist(), asked.column("keys").to_pylist(), strict=True)
+            {"shard": shard, "costs": values[np.searchsorted(keys, np.frombuffer(raw, np.uint64)), model].tobytes()}
+            for shard, model, raw in zip(*(asked.column(c).to_pylist() for c in ("shard", "model", "keys")), strict=True)
         ]
         kind = pa.struct([("shard", pa.int64()), ("costs", pa.binary())])
-        return pa.table({"slice": asked.column("slice"), "answer": pa.array(found, kind)})
+        return pa.table({"model": asked.column("model"), "slice": asked.column("slice"), "answer": pa.array(found, kind)})
 
-    requests = sliced.select("slice", "words").mapInArrow(ask, "shard long, slice long, keys binary")
-    offers = costs.select("gram", "cost").mapInArrow(offer, "shard long, keys binary, costs binary")
+    requests = asked.select("model", "slice", "words").mapInArrow(ask, "shard long, model int, slice long, keys binary")
+    offers = costs.mapInArrow(offer, "shard long, keys binary, costs binary")
     answers = requests.groupBy("shard").cogroup(offers.groupBy("shard")).applyInArrow(
-        answer, "slice long, answer struct<shard: long, costs: binary>"
+        answer, "model int, slice long, answer struct<shard: long, costs: binary>"
     )
-    return answers.groupBy("slice").agg(F.collect_list("answer").alias("costs"))  # the distinct grams of a slice
+    return answers.groupBy("model", "slice").agg(F.collect_list("answer").alias("costs"))  # the distinct grams of a slice
 
 
-_SCORED = "key long, doc_id long, lang string, n_symbols long, n_words long, cost double, peaks double"
+_SCORED = "model int, key long, doc_id long, lang string, n_symbols long, n_words long, cost double, peaks double"
 
 
-def document_costs(sliced: DataFrame, costs: DataFrame) -> DataFrame:
-    """key, doc_id, lang, n_symbols, n_words, cost (summed) and peaks of every document of the slices.
+def document_costs(asked: DataFrame, costs: DataFrame) -> DataFrame:
+    """model, key, doc_id, lang, n_symbols, n_words, cost (summed) and peaks of every document of the slices, by the model
+    that its slice asks.
 
     peaks sums the cubes of the costs of a symbol of the words that have PEAK_SYMBOLS.
     """
-    shards = max(1, sliced.count() // SHARD_SLICES)
+    shards = max(1, asked.count() // SHARD_SLICES)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -413,12 +424,13 @@ def document_costs(sliced: DataFrame, costs: DataFrame) -> DataFrame:
                 n_words = np.bincount(doc, counts, len(sizes)).astype(np.int64)
                 total = np.bincount(doc, counts * word_cost[word], len(sizes)).astype(np.float64)
                 peaks = np.bincount(doc, counts * peak[word], len(sizes)).astype(np.float64)
+                model = np.full(len(sizes), row["model"].as_py(), np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*(row[c].values for c in ("keys", "doc_ids", "langs")), *map(pa.array, (n_symbols, n_words, total, peaks))],
-                    ["key", "doc_id", "lang", "n_symbols", "n_words", "cost", "peaks"],
+                    [pa.array(model), *(row[c].values for c in ("keys", "doc_ids", "langs")), *map(pa.array, (n_symbols, n_words, total, peaks))],
+                    ["model", "key", "doc_id", "lang", "n_symbols", "n_words", "cost", "peaks"],
                 )
 
-    found = sliced.join(slice_costs(sliced, costs, shards), "slice", "left").drop("slice")
+    found = asked.join(slice_costs(asked, costs, shards), ["model", "slice"], "left").drop("slice")
     return found.mapInArrow(rows, _SCORED)
 
 
@@ -434,20 +446,26 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     )
 
 
-def scored_by(sliced: DataFrame, counts: DataFrame) -> DataFrame:
-    """document_costs of the slices under the model of some counts (gram, n)."""
-    model, unseen = kneser_ney(counts)
-    costs = gram_costs(settled(asked_grams(sliced), "asked-grams"), model, unseen)
-    return settled(document_costs(sliced, costs), "document-costs")
+def scored_by(asked: DataFrame, sliced: DataFrame, counts: DataFrame) -> DataFrame:
+    """document_costs of the slices of asked, whose words are all in sliced, under the models of some counts (gram, n0, n1).
+
+    The models are worked out in one pass: a pass for each would be as many plans, jobs and tasks for the driver to hold.
+    """
+    models, unseen = kneser_ney(counts.withColumn("n", F.col("n0") + F.col("n1")))
+    costs = gram_costs(settled(asked_grams(sliced), "asked-grams"), models, unseen)
+    return settled(document_costs(asked, costs), "document-costs")
+
+
+def of_other_half(picked: DataFrame, counts: DataFrame) -> DataFrame:
+    """The trusted slices, each asking the model of the other half; none without two halves."""
+    both = counts.agg(F.max("n0"), F.max("n1")).first()
+    model = F.when(F.col("half") == 0, MODELS.index("n1")).otherwise(MODELS.index("n0"))
+    return picked.where(F.lit(all(both))).withColumn("model", model).drop("half")
 
 
 def unseen_scores(picked: DataFrame, counts: DataFrame) -> DataFrame:
     """document_costs of the trusted documents, each half under the model of the other half; none without two halves."""
-    halves = [counts.select("gram", F.col(f"n{k}").alias("n")).where("n > 0") for k in (0, 1)]
-    if any(x.isEmpty() for x in halves):
-        return picked.sparkSession.createDataFrame([], _SCORED)
-    one, other = (scored_by(picked.where(F.col("half") == k).drop("half"), halves[1 - k]) for k in (0, 1))
-    return one.unionAll(other)
+    return scored_by(of_other_half(picked, counts), picked, counts)
 
 
 def quality_classifier(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -472,8 +490,10 @@ def quality_classifier(documents: DataFrame, labels: DataFrame, quantile: float
             F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"),
             F.col("d.keys").alias("key"),
         )
-    scored = scored_by(sliced, counts.select("gram", (F.col("n0") + F.col("n1")).alias("n")))
-    known = unseen_scores(picked, counts).where("n_symbols > 0")
+    asked = sliced.withColumn("model", F.lit(MODELS.index("n"))).unionByName(of_other_half(picked, counts))
+    every = scored_by(asked, sliced, counts)
+    scored = every.where(F.col("model") == MODELS.index("n"))
+    known = every.where((F.col("model") != MODELS.index("n")) & (F.col("n_symbols") > 0))
 
     means = (F.sum("cost") / F.sum("n_symbols")).alias("mean"), (F.sum("peaks") / F.sum("n_words")).alias("mean_peak")
     # Tables by language are written: their joins are broadcasts where the size allows it, as one language may hold most rows.

@@ -150,6 +150,27 @@ def test_limits_come_from_unseen_documents(spark, corpus):
         assert mine[r.doc_id].cost == pytest.approx(sum(-math.log(models[r.half](g)) for g in grams), rel=1e-5)
 
 
+def test_one_pass_works_out_all_models(spark, corpus):
+    """The driver holds what each job, its stages and its plan leave; a pass for each model took three times as many."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    context = spark.sparkContext
+    context.setJobGroup("one-pass", "all models")
+    try:
+        assert P.quality_classifier(corpus, labels).count() == corpus.count()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("one-pass")) < 120
+
+
+def test_no_limits_without_two_halves(spark, corpus):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1 and toxic = 0")
+    one = labels.where(P.half(labels.doc_id) == 1)
+    picked = P.trusted_slices(P.slices(corpus, 100_000), one, 100_000)
+    assert picked.count() and P.unseen_scores(picked, P.trusted_counts(picked)).count() == 0
+    got = P.quality_classifier(corpus, one).toPandas()
+    assert len(got) == corpus.count() and got.kept.all() and got.threshold.isna().all() and got.perplexity.notna().any()
+
+
 def test_hidden_labels(spark):
     """Half of the labels are hidden from the classifier, which meets these documents for the first time."""
     documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en' and doc_id % 2 = 0")
