@@ -206,7 +206,7 @@ def trusted_slices(sliced: DataFrame, trusted: DataFrame, slice_bytes: int = SLI
                 ["slice", "keys", "doc_ids", "langs", "docs", "words", "half"],
             )
 
-        for batch in batches:
+        for batch in T.giving_back(batches):
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 sizes, steps, counts = _unpack(row["docs"])
@@ -245,7 +245,7 @@ def trusted_counts(picked: DataFrame) -> DataFrame:
     """gram, n0, n1: the ORDER-grams of the trusted documents, with their counts in each half."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.giving_back(batches):
             for docs, packed, which in zip(*(batch.column(c).to_pylist() for c in ("docs", "words", "half")), strict=True):
                 _, steps, counts = _unpack(docs)
                 words = _words_of(packed)
@@ -271,7 +271,7 @@ def asked_grams(sliced: DataFrame) -> DataFrame:
     """gram: the distinct ORDER-grams of all slices."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.giving_back(batches):
             for packed in batch.column("words").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(word_grams(_words_of(packed))[0], pa.string())], ["gram"])
 
@@ -354,7 +354,7 @@ def slice_costs(asked: DataFrame, costs: DataFrame, shards: int) -> DataFrame:
             yield k, order[bounds[k] : bounds[k + 1]]
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.giving_back(batches):
             for model, name, packed in zip(*(batch.column(c).to_pylist() for c in ("model", "slice", "words")), strict=True):
                 keys = np.sort(_gram_keys(word_grams(_words_of(packed))[0]))
                 parts = [(k, model, name, keys[at].tobytes()) for k, at in cut(keys)]
@@ -364,7 +364,7 @@ def slice_costs(asked: DataFrame, costs: DataFrame, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, ["shard", "model", "slice", "keys"])
 
     def offer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.giving_back(batches):
             keys = _gram_keys(batch.column("gram").to_pylist())
             values = np.stack([batch.column(f"cost{k}").to_numpy().astype(np.float32) for k in range(len(MODELS))], axis=1)
             parts = [(k, keys[at].tobytes(), values[at].tobytes()) for k, at in cut(keys)]
@@ -373,6 +373,7 @@ def slice_costs(asked: DataFrame, costs: DataFrame, shards: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "keys", "costs"])
 
     def answer(asked: pa.Table, offered: pa.Table) -> pa.Table:
+        T.give_back()
         joined = lambda name, kind: np.frombuffer(b"".join(offered.column(name).to_pylist()), kind)
         keys, values = joined("keys", np.uint64), joined("costs", np.float32).reshape(-1, len(MODELS))
         order = np.argsort(keys)
@@ -404,7 +405,7 @@ def document_costs(asked: DataFrame, costs: DataFrame) -> DataFrame:
     shards = max(1, asked.count() // SHARD_SLICES)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.giving_back(batches):
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 sizes, steps, counts = _unpack(row["docs"].as_py())

@@ -171,6 +171,13 @@ def give_back() -> None:
         trim(0)
 
 
+def giving_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches unchanged; what is free goes back before the first and after the last."""
+    give_back()
+    yield from batches
+    give_back()
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in order, cut into batches of at most limit text bytes (or one row)."""
     give_back()

@@ -2,6 +2,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from unittest.mock import MagicMock
 
 import pyarrow as pa
 import pytest
@@ -162,6 +163,21 @@ def test_one_pass_works_out_all_models(spark, corpus):
     assert len(context.statusTracker().getJobIdsForGroup("one-pass")) < 120
 
 
+def test_each_step_lets_go_what_a_worker_keeps(spark, monkeypatch):
+    """A worker comes from other work, as packing with its tokenizer: not only the first step asks what may go."""
+    frame = MagicMock()
+    frame.count.return_value = 1
+    for name in ("select", "groupBy", "agg", "join", "drop", "distinct", "mapInArrow", "cogroup", "applyInArrow"):
+        getattr(frame, name).return_value = frame
+    P.trusted_counts(frame), P.asked_grams(frame), P.document_costs(frame, frame)
+    asked = []
+    monkeypatch.setattr(T, "releases", [lambda: asked.append(1)])
+    steps = [call.args[0] for call in frame.mapInArrow.call_args_list]
+    assert len(steps) == 5
+    for k, rows in enumerate(steps, 1):
+        assert list(rows([])) == [] and len(asked) == 2 * k
+
+
 def test_no_limits_without_two_halves(spark, corpus):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1 and toxic = 0")
     one = labels.where(P.half(labels.doc_id) == 1)
