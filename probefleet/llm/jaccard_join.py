@@ -279,17 +279,24 @@ class CountTree:
                     yield int(self.order[a + i]), self.order[np.concatenate(others)]
 
 
+def count_vectors(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """For each set how many of its members are in each of GROUPS groups. Some sets at a time: a job holds millions of members."""
+    vectors = np.empty((len(sets), GROUPS), np.uint16 if sizes.max() < 1 << 16 else np.int64)
+    for at in range(0, len(sets), GROUPS):
+        some = sets[at : at + GROUPS]
+        owner = np.repeat(np.arange(len(some)), sizes[at : at + GROUPS])
+        groups = (np.concatenate(some) >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64)
+        vectors[at : at + GROUPS] = np.bincount(owner * GROUPS + groups, minlength=len(some) * GROUPS).reshape(-1, GROUPS)
+    return vectors
+
+
 def linked_sets(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     """Links (positions) that connect all similar sets; pairs that earlier links connect already are not verified."""
     sizes = np.array([len(s) for s in sets], np.int64)
     if len(sets) < 2:
         return
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    groups = (np.concatenate(sets) >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64)
-    vectors = np.bincount(owner * GROUPS + groups, minlength=len(sets) * GROUPS).reshape(-1, GROUPS)
-    vectors = vectors.astype(np.uint16 if vectors.max() < 1 << 16 else np.int64)
     label = np.arange(len(sets))
-    for i, others in CountTree(vectors, sizes).pairs():
+    for i, others in CountTree(count_vectors(sets, sizes), sizes).pairs():
         others = others[label[others] != label[i]]
         if not len(others):
             continue

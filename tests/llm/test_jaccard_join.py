@@ -138,3 +138,20 @@ def test_components_against_union_find(spark):
     df = spark.createDataFrame([*edges, (None, 4)], "a long, b long")
     assert dict(components(df).collect()) == want
     assert components(df.limit(0)).count() == 0
+
+
+def test_a_job_holds_little_beside_its_sets():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)) for n in rng.integers(20, 250, 4000)]
+    sets[7] = sets[4]
+    tracemalloc.start()
+    try:
+        assert set(J.linked_sets(sets)) in ({(4, 7)}, {(7, 4)})
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 8 << 20
+    sizes = np.array([len(x) for x in sets])
+    assert J.count_vectors(sets, sizes).tolist() == [np.bincount((x >> np.uint64(56)).astype(int), minlength=256).tolist() for x in sets]
