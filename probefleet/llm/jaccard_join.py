@@ -8,12 +8,17 @@ The join runs in steps:
 
 1. Documents with equal sets are one node.
 2. A node's *prefix* is its first n - ceil(0.75 n) + slack(n) shingles in a common order. Prefixes of similar sets share
-   at least the slack of the smaller set, so nodes with fewer shared shingles have no partner and end here. The others
-   lie in *clusters*: components of the graph of shared prefix shingles, to which a shingle adds a star.
+   at least the slack of the smaller set, so nodes with fewer shared shingles have no partner and end here. Of the
+   others, two of similar sizes that share as many prefix shingles with each other are a candidate pair; *clusters* are
+   the components of the candidate pairs. A shingle of very many nodes makes no pairs: among the nodes that can be
+   linked by such shingles alone, it adds a star.
 3. Clusters are dealt to jobs of bounded size: small ones together, large ones as pairs of tiles of similar set sizes.
    A job holds an R-tree over its points and verifies the surviving pairs.
 4. Components of the verified links.
 
+One shingle in common says little: in a large corpus nearly all documents are connected by chance through some. So
+clusters grow with the groups of similar documents and not with the corpus.
+
 The common order puts frequent shingles last. Any order gives the same result; this one keeps passages that many
 documents share from joining their clusters.
 """
@@ -21,10 +26,11 @@ documents share from joining their clusters.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probefleet.llm import text as T
@@ -41,6 +47,10 @@ GROUPS = 256
 FANOUT = 64
 #: A job of small clusters, and a tile of a large one, have about this many shingles.
 JOB_SHINGLES = 2_000_000
+#: And at most about this many sets: boxes of small sets tell little apart.
+JOB_SETS = 10_000
+#: A shingle of more nodes than this makes no pairs; so many times is it looked at what is left without the others.
+PAIRED_NODES, PAIRED_LEVELS = 128, 2
 #: A prefix has one more shingle, and similar sets share one more in it, for each so many shingles of a set.
 SLACK_EVERY = 8
 #: Prefix entries that a task gathers before it sends them, and entries for each bucket.
@@ -212,24 +222,77 @@ def shared_entries(documents: DataFrame, frequent: np.ndarray, buckets: int) ->
     return packed.groupBy("place").applyInArrow(meet, "h long, node long")
 
 
-def candidate_edges(entries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: a star for each shared shingle, over the nodes that share enough shingles to have a partner.
+def _smallest_partner(n: Column) -> Column:
+    return F.floor((n * PERCENT + SCALE - 1) / SCALE)
+
+
+def _least_shared(n: Column) -> Column:
+    """Prefix shingles that similar sets share at least if the smaller one has n shingles."""
+    return F.greatest(F.lit(1), F.floor(n / SLACK_EVERY))
+
+
+def _similar_sizes(n: Column, m: Column) -> Column:
+    return SCALE * F.least(n, m) >= PERCENT * F.greatest(n, m)
+
+
+def _paired(entries: DataFrame, level: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """a, b: pairs of nodes that share enough prefix shingles, one of them in at most `most` nodes; and the entries of the
+    other shingles at nodes that have enough of these to be linked by them alone.
+
+    Each pair counts the shingles of few nodes that it shares, and as many others as it can share.
+    """
+    many = settled(entries.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("h"), f"many-{level}")
+    others = entries.join(many, "h", "left_semi")
+    held = settled(others.groupBy("node").agg(F.count(F.lit(1)).alias("held")), f"held-{level}")
+    # Similar sets share many shingles, mostly with the same third ones: equal lists of nodes make their pairs once.
+    lists = (
+        entries.join(many, "h", "left_anti")
+        .groupBy("h")
+        .agg(F.sort_array(F.collect_list(F.struct("node", "n_shingles"))).alias("list"))
+        .where(F.size("list") > 1)
+        .groupBy("list")
+        .agg(F.count(F.lit(1)).alias("times"))
+    )
+    first = lists.select("list", "times", F.posexplode("list").alias("at", "x"))
+    later = F.slice("list", F.col("at") + 2, F.size("list"))
+    pairs = first.select("times", "x", F.explode(F.filter(later, lambda y: _similar_sizes(F.col("x.n_shingles"), y["n_shingles"]))).alias("y"))
+    smaller = F.least(F.col("x.n_shingles"), F.col("y.n_shingles"))
+    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
+        F.sum("times").alias("shared"), F.min(_least_shared(smaller)).alias("enough")
+    )
+    for name in ("a", "b"):
+        pairs = pairs.join(held.select(F.col("node").alias(name), F.col("held").alias(f"held_{name}")), name, "left")
+    possible = F.col("shared") + F.least(F.coalesce("held_a", F.lit(0)), F.coalesce("held_b", F.lit(0)))
+    pairs = settled(pairs.where(possible >= F.col("enough")).select("a", "b"), f"pairs-{level}")
+    rest = others.join(held, "node").where(F.col("held") >= _least_shared(_smallest_partner(F.col("n_shingles"))))
+    return pairs, settled(rest.select("h", "node", "n_shingles"), f"rest-{level}")
+
+
+def candidate_edges(entries: DataFrame, nodes: DataFrame, most: int = PAIRED_NODES) -> DataFrame:
+    """a, b: the pairs of nodes that share enough prefix shingles to be linked; and a star for each shingle of more than
+    `most` nodes, over those that can be linked by such shingles alone.
 
     Nodes that go take shared shingles with them, so the test is made again on what is left.
     """
-    n = F.col("n_shingles")
-    smallest_partner = F.floor((n * PERCENT + SCALE - 1) / SCALE)
-    enough = F.greatest(F.lit(1), F.floor(smallest_partner / SLACK_EVERY))
-    sizes = nodes.select("node", enough.alias("enough"))
+    sizes = nodes.select("node", "n_shingles", _least_shared(_smallest_partner(F.col("n_shingles"))).alias("enough"))
     left = entries
     for k in range(2):
+        if k:
+            shared = left.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+            left = left.join(shared, "h").select("h", "node")
         # A node has at most its prefix here; a frequent shingle's rows never gather in one task.
         counted = left.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("node")))
-        left = counted.join(sizes, "node").where("n >= enough").select("h", "node").distinct()
+        left = counted.join(sizes, "node").where("n >= enough").select("h", "node", "n_shingles").distinct()
         left = settled(left, f"entries-{k}")
-        stars = left.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-        left = left.join(stars, "h").select("h", "node", "low")
-    return left.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    edges = []
+    for level in range(PAIRED_LEVELS):
+        pairs, left = _paired(left, level, most)
+        edges.append(pairs)
+        if left.isEmpty():
+            break
+    stars = left.groupBy("h").agg(F.min("node").alias("low"))
+    edges.append(left.join(stars, "h").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    return reduce(DataFrame.unionAll, edges).distinct()
 
 
 class CountTree:
@@ -255,8 +318,13 @@ class CountTree:
         shared = np.minimum(a[0][:, None, :], b[0][None, :, :]).sum(axis=2, dtype=np.int64)
         return (PERCENT + SCALE) * shared >= PERCENT * (a[1][:, None] + b[1][None, :])
 
-    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(point, later points that can be linked with it), by positions in the given vectors."""
+    def pairs(self, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(point, later points that can be linked with it), by positions in the given vectors.
+
+        label names the component of each point, and may change between two results: leaves that are of one component
+        together are not looked into.
+        """
+        starts = np.arange(0, len(self.order), FANOUT)
         for leaf in range(len(self.leaves[1])):
             box = tuple(x[leaf : leaf + 1] for x in self.leaves)
             found = []
@@ -265,6 +333,9 @@ class CountTree:
                 below = tuple(x[lo : lo + FANOUT] for x in self.leaves)
                 found += [lo + k for k in np.flatnonzero(self._possible(box, below)[0]) if lo + k >= leaf]
             a = leaf * FANOUT
+            labels = label[self.order]
+            lows, highs = np.minimum.reduceat(labels, starts), np.maximum.reduceat(labels, starts)
+            found = [x for x in found if min(lows[x], lows[leaf]) < max(highs[x], highs[leaf])]
             points = (self.vectors[a : a + FANOUT], self.sizes[a : a + FANOUT])
             partners: list[list[np.ndarray]] = [[] for _ in range(len(points[1]))]
             for other in found:
@@ -296,7 +367,7 @@ def linked_sets(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     if len(sets) < 2:
         return
     label = np.arange(len(sets))
-    for i, others in CountTree(count_vectors(sets, sizes), sizes).pairs():
+    for i, others in CountTree(count_vectors(sets, sizes), sizes).pairs(label):
         others = others[label[others] != label[i]]
         if not len(others):
             continue
@@ -316,7 +387,8 @@ def _jobs(clusters: DataFrame, job_shingles: int) -> DataFrame:
     """node and its jobs (an array of names): one for a small cluster; for a large one all pairs of tiles, of its size
     class and the classes next to it, that hold the node."""
     n = F.col("n_shingles")
-    sizes = clusters.groupBy("root").agg(F.sum("n_shingles").alias("total"))
+    weight = F.greatest(n, F.lit(job_shingles // JOB_SETS))
+    sizes = clusters.groupBy("root").agg(F.sum(weight).alias("total"))
     whole = sizes.agg(F.sum(F.when(F.col("total") <= job_shingles, F.col("total")))).first()[0] or 0
     bundles = max(1, -(-whole // job_shingles))
     bundle = F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(bundles)).cast("string"))
@@ -325,7 +397,7 @@ def _jobs(clusters: DataFrame, job_shingles: int) -> DataFrame:
     # Linked sets differ by a factor of 3/4 at most, so their classes are equal or neighbours.
     size_class = F.floor(F.log(n.cast("double")) / float(np.log(SCALE / PERCENT)) + 1e-9).cast("long")
     large = rows.where(F.col("total") > job_shingles).select("root", "node", "n_shingles", size_class.alias("c"))
-    tiles = large.groupBy("root", "c").agg(F.ceil(F.sum("n_shingles") / job_shingles).cast("long").alias("k"))
+    tiles = large.groupBy("root", "c").agg(F.ceil(F.sum(weight) / job_shingles).cast("long").alias("k"))
     up, down = (
         tiles.select("root", (F.col("c") + step).alias("c"), F.col("k").alias(name)) for step, name in ((-1, "k_up"), (1, "k_down"))
     )
@@ -349,7 +421,7 @@ def _jobs(clusters: DataFrame, job_shingles: int) -> DataFrame:
     return small.unionAll(tiled.select("node", F.concat(same, above, below).alias("jobs")))
 
 
-def _components_of(documents: DataFrame, job_shingles: int, bucket_entries: int) -> tuple[DataFrame, DataFrame]:
+def _components_of(documents: DataFrame, job_shingles: int, bucket_entries: int, paired_nodes: int) -> tuple[DataFrame, DataFrame]:
     """The profiles of all rows, and node, root, component (its smallest id) of all nodes."""
     rows = settled(profiles(documents), "profiles")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
@@ -359,7 +431,7 @@ def _components_of(documents: DataFrame, job_shingles: int, bucket_entries: int)
         "nodes",
     )
     entries = settled(shared_entries(documents, frequent_shingles(documents, total), buckets), "entries")
-    edges = candidate_edges(entries, nodes)
+    edges = candidate_edges(entries, nodes, paired_nodes)
     clusters = settled(components(edges).join(nodes.select("node", "key", "n_shingles"), "node"), "clusters")
     jobs = _jobs(clusters, job_shingles).join(clusters.select("node", "key"), "node")
     # Equal rows of documents have equal keys; one of them is enough.
@@ -385,7 +457,7 @@ def _components_of(documents: DataFrame, job_shingles: int, bucket_entries: int)
 
 
 def similarity_components(
-    documents: DataFrame, job_shingles: int = JOB_SHINGLES, bucket_entries: int = BUCKET_ENTRIES
+    documents: DataFrame, job_shingles: int = JOB_SHINGLES, bucket_entries: int = BUCKET_ENTRIES, paired_nodes: int = PAIRED_NODES
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of documents.
 
@@ -393,20 +465,20 @@ def similarity_components(
     doc_id; so do rows with a null doc_id, unless a linked row has one. Equal rows are copies. Columns other than
     doc_id and text are not read.
     """
-    rows, named = _components_of(documents, job_shingles, bucket_entries)
+    rows, named = _components_of(documents, job_shingles, bucket_entries, paired_nodes)
     component = F.coalesce(F.when(F.col("component") != NO_ID, F.col("component")), F.col("doc_id"))
     return rows.join(named, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 @keeping_columns
 def without_near_copies(
-    documents: DataFrame, job_shingles: int = JOB_SHINGLES, bucket_entries: int = BUCKET_ENTRIES
+    documents: DataFrame, job_shingles: int = JOB_SHINGLES, bucket_entries: int = BUCKET_ENTRIES, paired_nodes: int = PAIRED_NODES
 ) -> DataFrame:
     """One row of documents for each component, that with the smallest doc_id; all rows without words stay.
 
     Rows that stay are unchanged. Of rows with that doc_id, one stays.
     """
-    rows, named = _components_of(documents, job_shingles, bucket_entries)
+    rows, named = _components_of(documents, job_shingles, bucket_entries, paired_nodes)
     members = rows.join(named, "node").select("root", "id", "key")
     first = members.groupBy("root").agg(F.min(F.struct("id", "key")).alias("first"))
     gone = members.join(first, "root").where(F.col("key") != F.col("first.key")).select(F.col("key").alias("_key")).distinct()

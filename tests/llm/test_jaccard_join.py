@@ -155,3 +155,66 @@ def test_a_job_holds_little_beside_its_sets():
     assert peak < 8 << 20
     sizes = np.array([len(x) for x in sets])
     assert J.count_vectors(sets, sizes).tolist() == [np.bincount((x >> np.uint64(56)).astype(int), minlength=256).tolist() for x in sets]
+
+
+def test_candidates_share_enough_with_each_other(spark):
+    # Nodes of 80 shingles: similar ones share 10 of their prefixes; a node with 7 shared ones may have a partner.
+    entries, sizes = [], {i: 80 for i in range(40)}
+    shingle = iter(range(10**6))
+    # Any two of 40 nodes have one shingle in common, which links nothing, and all of them one more.
+    entries += [(h, x) for i in range(40) for j in range(i) for h in [next(shingle)] for x in (i, j)]
+    entries += [(h, x) for h in [next(shingle)] for x in range(40)]
+    for a, b, n_a, n_b, shared in ((100, 101, 80, 80, 10), (102, 103, 80, 80, 9), (104, 105, 80, 108, 40), (106, 107, 81, 108, 10)):
+        sizes |= {a: n_a, b: n_b}
+        entries += [(h, x) for h in (next(shingle) for _ in range(shared)) for x in (a, b)]
+    # Eight nodes have 12 shingles in common; two others share 6 of these, 4 among themselves.
+    sizes |= {200 + i: 80 for i in range(10)}
+    common = [next(shingle) for _ in range(12)]
+    entries += [(h, 200 + i) for h in common for i in range(8)] + [(h, x) for h in common[:6] for x in (208, 209)]
+    entries += [(h, x) for h in (next(shingle) for _ in range(4)) for x in (208, 209)]
+    rows = spark.createDataFrame([*entries, *entries[:50]], "h long, node long")
+    nodes = spark.createDataFrame(list(sizes.items()), "node long, n_shingles long")
+    copies = {(i, j) for i in range(200, 208) for j in range(i + 1, 208)}
+    found = {(min(r), max(r)) for r in map(tuple, J.candidate_edges(rows, nodes).collect())}
+    assert found == {(100, 101), (106, 107), (208, 209)} | copies
+    few = dict(components(J.candidate_edges(rows, nodes, most=5)).collect())
+    assert {few[i] for i in range(200, 208)} == {200} and few[208] == few[209] and few[100] == few[101] and few[106] == few[107]
+    assert not {*range(40), 102, 103, 104, 105} & set(few)
+
+
+@pytest.mark.parametrize("paired_nodes", [1, 3, 30])
+def test_shingles_of_many_documents(spark, paired_nodes):
+    rng = random.Random(7)
+    word = lambda n=3000: f"w{rng.randrange(n)}"
+    line = [word() for _ in range(25)]
+    documents = []
+    for size in (12, 40, 120):
+        text = [word() for _ in range(size)]
+        for _ in range(25):
+            copy = list(text)
+            for _ in range(rng.randint(0, size // 25 + 1)):
+                copy[rng.randrange(size)] = word()
+            documents.append((len(documents), " ".join(copy)))
+    documents += [(500 + i, " ".join([*line, *(word() for _ in range(rng.randint(1, 9)))])) for i in range(30)]
+    documents += [(600 + i, " ".join(word(3) for _ in range(rng.randint(1, 30)))) for i in range(60)]
+    df = spark.createDataFrame(documents, "doc_id long, text string")
+    want = brute(documents)
+    assert len({c for _, _, c in want}) < len(documents)
+    assert result(J.similarity_components(df, paired_nodes=paired_nodes)) == want
+
+
+def test_a_tile_has_a_bounded_number_of_small_sets(spark):
+    clusters = spark.range(3 * J.JOB_SETS // 2).selectExpr("id as node", "0L as root", "7L as n_shingles")
+    names = {x for r in J._jobs(clusters, J.JOB_SHINGLES).selectExpr("explode(jobs) as job").distinct().collect() for x in r}
+    assert len(names) == 3
+
+
+def test_points_that_are_linked_are_not_compared_again(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(np.append(base, rng.integers(0, 1 << 63, 2, dtype=np.uint64))) for _ in range(20 * J.FANOUT)]
+    compared = []
+    possible = J.CountTree._possible
+    monkeypatch.setattr(J.CountTree, "_possible", lambda self, a, b: compared.append(len(a[1]) * len(b[1])) or possible(self, a, b))
+    assert set(roots_of(len(sets), J.linked_sets(sets))) == {0}
+    assert sum(compared) < 2 * J.FANOUT * len(sets)
